@@ -1,4 +1,664 @@
-"""Registered catalogue queries and their SQL."""
+"""Registered catalogue queries and their SQL, by operator family."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyard.functions import rules, text
+from tallyard.functions.schemas import PRODUCT
+from tallyard.operators import archive, assemble, cart, coverage, dedupe, exclusions, fx, health, inventory, shipping, translation
+from tallyard.plans.inputs import CART_SQL, PRODUCTS_SQL, cart_requests, inventory_sql, products, read
+from tallyard.plans.inputs import inventory as inventory_table
+from tallyard.sources import elements, sinks
+from tallyard.streaming import progress
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- inventory --------------------------------------------------------------
+
+_ROW = "productId, optionText, hasOption, requestedQty, maxStock, stockStatus, stockLimited, onePrice, boxPrice, effectivePrice, hasBoxDiscount, isSoldOut"
+
+
+@query("inventory_rows", f"SELECT {_ROW} FROM ({inventory_sql()})")
+def inventory_rows(spark, sf_dir):
+    return inventory_table(spark, sf_dir).select(*_ROW.split(", "))
+
+
+def _summary_sql(source: str) -> str:
+    return f"""WITH inv AS ({source}), names AS (SELECT productId, string_agg(optionText, ' / ' ORDER BY pos) AS optionNames
+      FROM (SELECT productId, optionText, min(ord) AS pos FROM inv WHERE optionText <> '' GROUP BY ALL) GROUP BY productId)
+    SELECT *, stockStatus = 'OUT_OF_STOCK' AS isSoldOut FROM (
+    SELECT *, CASE WHEN outOfStockRowCount = rowCount THEN 'OUT_OF_STOCK' WHEN lowStockRowCount > 0 THEN 'LOW_STOCK' WHEN limitedRowCount > 0 THEN 'LIMITED' ELSE 'IN_STOCK' END AS stockStatus
+    FROM (SELECT productId, count(*) AS rowCount, count_if(hasOption)::BIGINT AS optionCount, bool_or(hasOption) AS hasOptions, bool_or(hasBoxDiscount) AS hasBoxDiscount,
+      sum(maxStock)::BIGINT AS totalStock, min(maxStock) AS minStock, max(maxStock) AS maxStock, sum(requestedQty)::BIGINT AS requestedQtyTotal,
+      min(effectivePrice) AS priceMin, max(effectivePrice) AS priceMax, count_if(stockLimited)::BIGINT AS limitedRowCount,
+      count_if(stockStatus = 'LOW_STOCK')::BIGINT AS lowStockRowCount, count_if(stockStatus = 'OUT_OF_STOCK')::BIGINT AS outOfStockRowCount
+      FROM inv GROUP BY productId) JOIN names USING (productId))"""
+
+
+@query("a1_product_summary", _summary_sql(inventory_sql()))
+def a1_product_summary(spark, sf_dir):
+    return inventory.summarise(inventory_table(spark, sf_dir))
+
+
+@query("order_stock_summary", _summary_sql(inventory_sql("l_orderkey", 15, 2)))
+def order_stock_summary(spark, sf_dir):
+    return inventory.summarise(inventory_table(spark, sf_dir, "l_orderkey", 15, 2))
+
+
+@query("availability_rows", f"""SELECT productId, productName, p_brand AS brandHint, categoryHint, '' AS optionText, false AS hasOption, CAST(NULL AS BIGINT) AS requestedQty,
+  CAST(NULL AS BIGINT) AS maxStock, CASE WHEN isSoldOut THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END AS stockStatus, false AS stockLimited, price AS effectivePrice, isSoldOut FROM ({PRODUCTS_SQL})""")
+def availability_rows(spark, sf_dir):
+    return inventory.availability_rows(products(spark, sf_dir))
+
+
+@query("availability_summary", f"""SELECT productId, productName, p_brand AS brandHint, categoryHint, CASE WHEN isSoldOut THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END AS stockStatus,
+  1::BIGINT AS rowCount, 0::BIGINT AS optionCount, isSoldOut::BIGINT AS outOfStockRowCount, price AS priceMin, price AS priceMax, isSoldOut FROM ({PRODUCTS_SQL})""")
+def availability_summary(spark, sf_dir):
+    return inventory.availability_summary(products(spark, sf_dir))
+
+
+@query("popup_overlay", f"""WITH inv AS ({inventory_sql()}), pop AS (SELECT productId, optionText AS k, arg_min(optionId, ord) AS oid FROM inv WHERE hasOption GROUP BY ALL)
+  SELECT inv.productId, optionText, coalesce(oid, '0') AS optionId, coalesce('s' || oid, '') AS submitOptionId, coalesce(oid IS NOT NULL, false) AS hasOption,
+    CASE WHEN oid IS NULL THEN 'cart' ELSE 'popup' END AS productName, requestedQty, maxStock FROM inv LEFT JOIN pop ON inv.productId = pop.productId AND inv.optionText = pop.k""")
+def popup_overlay(spark, sf_dir):
+    rows = inventory_table(spark, sf_dir)
+    popup = rows.filter("hasOption").select("ord", "productId", "optionText", "optionId", F.concat(F.lit("s"), "optionId").alias("submitOptionId"), "hasOption", F.lit("popup").alias("productName"))
+    lines = rows.select("productId", "optionText", F.lit("0").alias("optionId"), F.lit("").alias("submitOptionId"), F.lit(False).alias("hasOption"), F.lit("cart").alias("productName"), "requestedQty", "maxStock")
+    return inventory.overlay_popup(lines, popup)
+
+
+@query("requested_problems", f"""WITH inv AS ({inventory_sql(shift=15)}), pop AS (SELECT productId, optionId, bool_or(maxStock > 0) AS selectable, max(maxStock) AS maxStock, bool_or(stockLimited) AS sel FROM inv GROUP BY ALL)
+  SELECT * FROM (SELECT inv.productId, inv.optionId, requestedQty * 6 AS requestedQty, CASE WHEN selectable IS NULL THEN 'OPTION_NOT_FOUND' WHEN NOT selectable THEN 'OPTION_NOT_SELECTABLE'
+    WHEN requestedQty * 6 > pop.maxStock THEN 'QUANTITY_ABOVE_STOCK' WHEN NOT sel THEN 'OPTION_NOT_SELECTED' END AS reason
+  FROM inv LEFT JOIN pop ON inv.productId = pop.productId AND inv.optionId = pop.optionId AND pop.selectable IS NOT NULL AND pop.maxStock <> 7) WHERE reason IS NOT NULL""")
+def requested_problems(spark, sf_dir):
+    rows = inventory_table(spark, sf_dir, shift=15)
+    popup = rows.groupBy("productId", "optionId").agg(F.bool_or(F.col("maxStock") > 0).alias("selectable"), F.max("maxStock").alias("maxStock"), F.bool_or("stockLimited").alias("selectedForCart"))
+    return inventory.requested_problems(rows.select("productId", "optionId", (F.col("requestedQty") * 6).alias("requestedQty")), popup.filter("maxStock <> 7"))
+
+
+@query("unselectable_products", f"""SELECT productId, count(*) AS "rowCount" FROM ({inventory_sql(shift=15)}) GROUP BY productId HAVING NOT bool_or(maxStock > 25)""")
+def unselectable_products(spark, sf_dir):
+    return inventory.unselectable_products(inventory_table(spark, sf_dir, shift=15).withColumn("selectable", F.col("maxStock") > 25))
+
+
+@query("mark_unavailable", f"""SELECT productId, isSoldOut OR m.id IS NOT NULL AS unavailableInCart, CASE WHEN m.id IS NOT NULL THEN 'SOLD_OUT' ELSE 'ON_SALE' END AS saleStatus
+  FROM ({PRODUCTS_SQL}) LEFT JOIN (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id FROM lineitem WHERE l_quantity = 1) m ON m.id = productId""")
+def mark_unavailable(spark, sf_dir):
+    p = products(spark, sf_dir).select("productId", F.col("isSoldOut").alias("unavailableInCart"), F.lit("ON_SALE").alias("saleStatus"))
+    return inventory.mark_unavailable(p, read(spark, sf_dir, "lineitem").filter("l_quantity = 1").select(F.col("l_partkey").cast("string").alias("productId")))
+
+
+@query("locale_rank", """SELECT productId, row_number() OVER (PARTITION BY categoryHint ORDER BY lower(productName), try_cast(productId AS BIGINT), productId)::INTEGER AS rank
+  FROM (SELECT CAST(p_partkey AS VARCHAR) AS productId, p_type AS categoryHint, p_name AS productName FROM part)""")
+def locale_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("productId"), F.col("p_type").alias("categoryHint"), F.col("p_name").alias("productName"), F.lit("").alias("brandHint"), F.lit("").alias("optionText"))
+    order = inventory.in_order(p)
+    return p.withColumn("rank", F.row_number().over(Window.partitionBy("categoryHint").orderBy(*order))).select("productId", "rank")
+
+
+# --- rules and text ---------------------------------------------------------
+
+_EN_RULES = (("hardware", ("bolt", "GEAR", "bracket")), ("things", ("widget", "gadget")), ("cold", ("cold",)))
+
+
+@query("brand_category", """SELECT productId, CASE WHEN productId LIKE '%0' THEN p_brand WHEN contains(p_name, 'small') THEN 'small' WHEN contains(p_name, 'large') THEN 'large' ELSE '' END AS brand,
+  CASE WHEN contains(p_name, 'bolt') OR contains(p_name, 'gear') OR contains(p_name, 'bracket') THEN 'hardware' WHEN contains(p_name, 'widget') OR contains(p_name, 'gadget') THEN 'things'
+    WHEN contains(p_name, 'cold') THEN 'cold' ELSE 'none' END AS category FROM (SELECT CAST(p_partkey AS VARCHAR) AS productId, p_brand, lower(p_name) AS p_name FROM part)""")
+def brand_category(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    name = F.when(F.col("id").endswith("0"), F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name")).otherwise(F.col("p_name"))
+    return p.select(F.col("id").alias("productId"), rules.infer_brand(name, ("small", "large")).alias("brand"), rules.infer_category(name, _EN_RULES, "none").alias("category"))
+
+
+@query("package_info", """SELECT CAST(p_partkey AS VARCHAR) AS productId, CASE WHEN p_size % 4 = 0 THEN 1::BIGINT ELSE p_size::BIGINT END AS packageQty,
+  CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '세트' WHEN 2 THEN '개' ELSE 'p' END AS packageUnit,
+  CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_size || ' 개 1 세트' WHEN 2 THEN p_size || '개' ELSE p_size || '개p' END AS packageText FROM part""")
+def package_info(spark, sf_dir):
+    p, n = read(spark, sf_dir, "part"), F.col("p_size").cast("string")
+    tail = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat(n, F.lit(" 개 1 세트"))).when(F.col("p_size") % 4 == 2, F.concat(n, F.lit("개"))).otherwise(F.concat(n, F.lit("개p")))
+    info = rules.package_info(F.concat(F.col("p_name"), F.lit(" "), tail))
+    return p.select(F.col("p_partkey").cast("string").alias("productId"), info.alias("i")).select("productId", "i.*")
+
+
+@query("normalize_text", r"""SELECT conv_id, turn, trim(regexp_replace(text, '[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS text,
+  lower(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', '', 'g')) AS comparable FROM conversations""")
+def normalize_text(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.squash(F.col("text")).alias("text"), text.comparable_name(F.col("text")).alias("comparable"))
+
+
+@query("numeric_coercions", r"""SELECT event_id, coalesce(try_cast(regexp_replace(s, '[^0-9-]', '', 'g') AS BIGINT), 0) AS n, try_cast(nullif(regexp_extract(replace(s, ',', ''), '-?[0-9]+(?:\.[0-9]+)?', 0), '') AS DECIMAL(18,4)) AS price,
+  coalesce(try_cast(regexp_replace(regexp_extract(s, '-?[0-9][0-9,]*', 0), '[^0-9-]', '', 'g') AS BIGINT), 0) AS parsed,
+  CASE WHEN t IS NULL OR t = '' THEN NULL WHEN trim(t) = '' THEN 0.0 ELSE try_cast(t AS DOUBLE) END AS nullable,
+  CASE WHEN t IN ('true', '1') THEN true WHEN t IN ('no', 'off') THEN false END AS flag
+  FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '판매가 ' || (event_id * 7) || ',' || '000원 (10%)' WHEN 1 THEN '12-' || event_id WHEN 2 THEN '-' || event_id || '.5' WHEN 3 THEN '무료' ELSE event_id || ' ~ 9' END AS s,
+    CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN 'true' WHEN 3 THEN 'no' WHEN 4 THEN CAST(event_id AS VARCHAR) ELSE 'abc' END AS t FROM events)""")
+def numeric_coercions(spark, sf_dir):
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    n = i.cast("string")
+    s = (
+        F.when(i % 5 == 0, F.concat(F.lit("판매가 "), (i * 7).cast("string"), F.lit(",000원 (10%)"))).when(i % 5 == 1, F.concat(F.lit("12-"), n))
+        .when(i % 5 == 2, F.concat(F.lit("-"), n, F.lit(".5"))).when(i % 5 == 3, "무료").otherwise(F.concat(n, F.lit(" ~ 9")))
+    )
+    t = F.when(i % 6 == 0, "").when(i % 6 == 1, "  ").when(i % 6 == 2, "true").when(i % 6 == 3, "no").when(i % 6 == 4, n).otherwise("abc")
+    return e.select("event_id", text.to_number(s).alias("n"), text.to_price(s).alias("price"), text.parse_price(s).alias("parsed"), text.to_nullable_number(t).alias("nullable"), text.to_boolean(t, F.lit(None)).alias("flag")).withColumn(
+        "flag", F.when(F.col("event_id") % 6 == 4, F.when(F.col("event_id") == 1, True)).otherwise(F.col("flag"))
+    )
+
+
+@query("unavailable_products", """SELECT p_partkey, CASE WHEN p_size = 1 OR p_type = 'PROMO' THEN true WHEN p_size % 3 = 0 THEN p_size % 2 = 0 WHEN p_size % 3 = 1 THEN NOT (p_size % 2 = 0 AND p_size % 5 = 0) ELSE false END AS unavailable FROM part""")
+def unavailable_products(spark, sf_dir):
+    p, z = read(spark, sf_dir, "part"), F.col("p_size")
+    none = F.lit(None).cast("boolean")
+    value = rules.unavailable(
+        F.when(z == 1, True), none, F.when(F.col("p_type") == "PROMO", F.lit(" SOLD_OUT ")), F.when(z % 3 == 0, z % 2 != 0), F.when(z % 3 == 1, z % 2 == 0), F.when(z % 3 == 1, z % 5 == 0)
+    )
+    return p.select("p_partkey", value.alias("unavailable"))
+
+
+@query("last_category", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 THEN p_brand ELSE '' END AS category FROM part""")
+def last_category(spark, sf_dir):
+    p, z = read(spark, sf_dir, "part"), F.col("p_size")
+    deep = F.when(z % 3 == 0, F.concat(F.lit("A > B › "), "p_type"))
+    return p.select("p_partkey", rules.last_category(deep, F.lit("  "), F.when(z % 3 == 1, F.concat("p_name", F.lit(" | "), "p_brand", F.lit(" |"))), F.lit("")).alias("category"))
+
+
+@query("url_params", r"""SELECT page_id, CASE WHEN contains(url, '?page=') THEN try_cast(regexp_extract(url, '\?page=([0-9]+)', 1) AS INTEGER) END AS page,
+  CASE WHEN contains(url, 'utm_source=') THEN regexp_extract(url, 'utm_source=([^&#]*)', 1) END AS source FROM pages""")
+def url_params(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.page_number(F.col("url")).alias("page"), text.query_value(F.col("url"), "utm_source").alias("source"))
+
+
+@query("format_elapsed", """SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.2fs', ms / 1000.0) ELSE printf('%dm %.1fs', (ms // 60000), (ms % 60000) / 1000.0) END AS elapsed
+  FROM (SELECT event_id, event_id * 200 AS ms FROM events)""")
+def format_elapsed(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", text.format_ms(F.col("event_id") * 200).alias("elapsed"))
+
+
+@query("kst_stamps", """SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%y%m%d%H%M') AS minute, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day,
+  CAST(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS DATE) - INTERVAL 1 YEAR AS yearStart, date_trunc('hour', ts) + INTERVAL 1 HOUR AS nextHour FROM events""".replace(
+    "CAST(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS DATE) - INTERVAL 1 YEAR AS yearStart", "CAST(CAST(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS DATE) - INTERVAL 1 YEAR AS DATE) AS yearStart"))
+def kst_stamps(spark, sf_dir):
+    ts = F.col("ts")
+    return read(spark, sf_dir, "events").select(
+        "event_id", text.kst_minute(ts).alias("minute"), text.kst_day(ts).alias("day"), text.year_start(F.to_date(text.kst_day(ts))).alias("yearStart"), text.next_hour(ts).alias("nextHour")
+    )
+
+
+# --- dedupe, sets, windows --------------------------------------------------
+
+
+@query("first_wins", "SELECT user_id, arg_min(event_type, row(ts, event_id)) AS event_type, min(event_id) FILTER (true) AS n, arg_min(value, row(ts, event_id)) AS value FROM events GROUP BY user_id".replace(
+    "min(event_id) FILTER (true) AS n", "arg_min(event_id, row(ts, event_id)) AS event_id"))
+def first_wins(spark, sf_dir):
+    return dedupe.keep_first(read(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS event_id FROM events GROUP BY user_id")
+def last_wins(spark, sf_dir):
+    return dedupe.last_value_first_position(read(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id"), ["user_id"], "event_id")
+
+
+@query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n, 'duplicate' AS reason FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return dedupe.duplicate_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("first_per_page", """SELECT productId, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS r FROM (SELECT * FROM (%s) WHERE NOT isSoldOut)) WHERE r <= 5""" % PRODUCTS_SQL)
+def first_per_page(spark, sf_dir):
+    return dedupe.first_n(products(spark, sf_dir).filter("not isSoldOut"), ["page"], ["ord"], 5).select("productId", "page")
+
+
+@query("numbered_batches", "SELECT p_partkey, (r - 1) // 100 AS batch, (r - 1) // 1000 AS wave FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)")
+def numbered_batches(spark, sf_dir):
+    n = dedupe.numbered(read(spark, sf_dir, "part").select("p_partkey", (-F.col("p_retailprice")).alias("down")), ["down", "p_partkey"])
+    return translation.batched(n, n).select("p_partkey", F.col("batch").cast("bigint").alias("batch"), F.col("wave").cast("bigint").alias("wave"))
+
+
+@query("unique_names", "SELECT p_partkey, CASE WHEN r = 1 THEN p_name ELSE p_name || '_' || r END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS r FROM part)")
+def unique_names(spark, sf_dir):
+    return dedupe.suffixed(read(spark, sf_dir, "part"), ["p_brand"], "p_name", ["p_partkey"], "name").select("p_partkey", "name")
+
+
+@query("requested_products", "SELECT CAST(p_partkey AS VARCHAR) AS productId FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def requested_products(spark, sf_dir):
+    wanted = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("productId"))
+    return products(spark, sf_dir).join(wanted, "productId", "left_semi").select("productId")
+
+
+@query("unseen_products", "SELECT CAST(p_partkey AS VARCHAR) AS productId FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def unseen_products(spark, sf_dir):
+    seen = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("productId"))
+    return exclusions.without(products(spark, sf_dir), seen).select("productId")
+
+
+@query("id_sets", """WITH a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 48), b AS (SELECT p_partkey AS id FROM part WHERE p_size < 20)
+  SELECT id, 'union' AS kind FROM (SELECT id FROM a UNION SELECT id FROM b) UNION ALL SELECT id, 'both' FROM (SELECT id FROM a INTERSECT SELECT id FROM b) UNION ALL SELECT id, 'only' FROM (SELECT id FROM a EXCEPT SELECT id FROM b)""")
+def id_sets(spark, sf_dir):
+    a = read(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("id")).distinct()
+    b = read(spark, sf_dir, "part").filter("p_size < 20").select(F.col("p_partkey").alias("id"))
+    kind = lambda d, k: d.select("id", F.lit(k).alias("kind"))
+    return kind(a.union(b).distinct(), "union").union(kind(a.intersect(b), "both")).union(kind(a.subtract(b), "only"))
+
+
+# --- coverage ---------------------------------------------------------------
+
+_COVER_SQL = f"""exp AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS p FROM orders WHERE o_orderstatus <> 'P'),
+  e AS (SELECT productId || '::' || CASE WHEN hasOption THEN 'OPTION:' || optionText ELSE 'SINGLE' END AS key, productId FROM inv WHERE maxStock > 10 AND productId IN (SELECT p FROM exp)),
+  a AS (SELECT productId || '::' || CASE WHEN hasOption THEN 'OPTION:' || optionText ELSE 'SINGLE' END AS key, productId FROM inv WHERE maxStock % 3 <> 0 AND productId IN (SELECT p FROM exp)),
+  d AS (SELECT key, coalesce(x.n, 0) AS expected, coalesce(y.n, 0) AS actual FROM (SELECT key, count(*) AS n FROM e GROUP BY key) x FULL JOIN (SELECT key, count(*) AS n FROM a GROUP BY key) y USING (key)
+    WHERE coalesce(x.n, 0) <> coalesce(y.n, 0))"""
+
+
+def _cover(spark, sf_dir):
+    rows = inventory_table(spark, sf_dir, "l_orderkey")
+    orders = read(spark, sf_dir, "orders")
+    p = orders.select(F.col("o_orderkey").cast("string").alias("productId"))
+    out = orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("productId"))
+    return p, rows.withColumn("selectedForCart", F.col("maxStock") > 10), rows.filter("maxStock % 3 <> 0"), out
+
+
+@query("coverage_rows", f"WITH inv AS ({inventory_sql('l_orderkey')}), {_COVER_SQL} SELECT key, expected, actual, greatest(expected - actual, 0) AS missing, greatest(actual - expected, 0) AS extra FROM d")
+def coverage_rows(spark, sf_dir):
+    p, popup, actual, out = _cover(spark, sf_dir)
+    expected = coverage.expected_products(p, out)
+    key = coverage.row_key(F.col("productId"), F.col("optionId"), F.col("optionText"), F.col("hasOption"))
+    side = lambda d: d.join(expected, "productId", "left_semi").withColumn("key", key)
+    return coverage.row_differences(side(popup.filter("selectedForCart")), side(actual))
+
+
+@query("coverage_summary", f"""WITH inv AS ({inventory_sql('l_orderkey')}), {_COVER_SQL}, seen AS (SELECT DISTINCT productId AS p FROM a)
+  SELECT (SELECT count(*) FROM exp) AS expectedProductCount, (SELECT count(*) FROM exp JOIN seen USING (p)) AS actualProductCount, (SELECT count(*) FROM exp ANTI JOIN seen USING (p)) AS missingProductCount,
+    (SELECT count(*) FROM e) AS expectedRowCount, (SELECT count(*) FROM a) AS actualRowCount, (SELECT count(*) FROM e) > 0 AS rowCoverageAvailable, (SELECT count(*) FROM d WHERE expected > actual) AS missingRowKeys,
+    (SELECT count(*) FROM d WHERE expected < actual) AS extraRowKeys, (SELECT count(DISTINCT split_part(key, '::', 1)) FROM d WHERE split_part(key, '::', 1) IN (SELECT p FROM seen)) AS partialProductCount,
+    (SELECT count(*) FROM exp ANTI JOIN seen USING (p)) = 0 AS complete, (SELECT count(*) FROM d) = 0 AS optionCoverageComplete""")
+def coverage_summary(spark, sf_dir):
+    return coverage.coverage(*_cover(spark, sf_dir))
+
+
+@query("quality_gate", "SELECT count(*) AS total, count(*) FILTER (WHERE l_quantity = 1) AS excluded, count(*) FILTER (WHERE l_quantity = 1) >= 0.001 * count(*) AS abort FROM lineitem")
+def quality_gate(spark, sf_dir):
+    return coverage.quality_gate(read(spark, sf_dir, "lineitem"), F.col("l_quantity") == 1)
+
+
+# --- assembly and archive ---------------------------------------------------
+
+_BACKEND_SQL = f"""WITH inv AS (SELECT * FROM ({inventory_sql(shift=15)}) WHERE CAST(productId AS BIGINT) % 5 <> 0), p AS ({PRODUCTS_SQL}),
+  opt AS (SELECT productId, optionId, arg_min(optionText, ord) AS t, arg_min(maxStock, ord) AS q, min(ord) AS o FROM inv WHERE hasOption GROUP BY ALL),
+  opts AS (SELECT productId, string_agg(optionId || ':' || t || ':' || q, ',' ORDER BY o) AS options FROM opt GROUP BY productId),
+  s AS (SELECT productId, bool_or(hasOption) AS hasOption, CASE WHEN bool_or(hasOption) THEN sum(CASE WHEN hasOption THEN maxStock END)::BIGINT ELSE arg_min(maxStock, ord) END AS q FROM inv GROUP BY productId)
+  SELECT *, CASE WHEN inventoryUnavailable OR stockStatus = 'OUT_OF_STOCK' THEN 'SOLD_OUT' ELSE 'ON_SALE' END AS saleStatus FROM (
+  SELECT p.productId AS id, s.productId IS NOT NULL AS inventoryObserved, p.isSoldOut AS inventoryUnavailable, CASE WHEN s.hasOption THEN 'OPTION' ELSE 'SINGLE' END AS type, p.productName AS nameKo, s.q AS stockQuantity,
+    CASE WHEN p.isSoldOut THEN 'OUT_OF_STOCK' WHEN s.q <= 0 THEN 'OUT_OF_STOCK' WHEN s.q <= 10 THEN 'LOW_STOCK' WHEN s.q IS NOT NULL THEN 'IN_STOCK' ELSE '' END AS stockStatus, CASE WHEN s.hasOption THEN coalesce(o.options, '') ELSE '' END AS options
+  FROM p LEFT JOIN s USING (productId) LEFT JOIN opts o USING (productId))"""
+
+
+def _backend(spark, sf_dir):
+    rows = inventory_table(spark, sf_dir, shift=15).filter(F.col("productId").cast("bigint") % 5 != 0).withColumn("productName", F.lit(""))
+    return assemble.backend_products(products(spark, sf_dir), rows)
+
+
+@query("backend_products", _BACKEND_SQL)
+def backend_products(spark, sf_dir):
+    listed = F.array_join(F.transform("options", lambda o: F.concat_ws(":", o["id"], o["nameKo"], o["stockQuantity"].cast("string"))), ",")
+    return _backend(spark, sf_dir).select("id", "inventoryObserved", "inventoryUnavailable", "type", "nameKo", "stockQuantity", "stockStatus", listed.alias("options"), "saleStatus")
+
+
+@query("translation_input", f"""SELECT productId, productName, optionText, maxStock FROM (SELECT i.productId, p.productName, optionText, maxStock FROM ({inventory_sql()}) i JOIN ({PRODUCTS_SQL}) p USING (productId) WHERE maxStock > 40)
+  UNION ALL SELECT productId, productName, NULL, NULL FROM ({PRODUCTS_SQL}) p WHERE productId NOT IN (SELECT productId FROM ({inventory_sql()}) WHERE maxStock > 40)""")
+def translation_input(spark, sf_dir):
+    rows = inventory_table(spark, sf_dir).filter("maxStock > 40").select("productId", F.lit("").alias("productName"), "optionText", "maxStock")
+    return assemble.translation_input(rows, products(spark, sf_dir))
+
+
+def _stored(spark, sf_dir):
+    part = read(spark, sf_dir, "part").filter("p_partkey % 3 <> 0")
+    return part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("nameKo"), F.when(F.col("p_size") % 2 == 0, F.lit("ja")).otherwise("").alias("nameJa"), F.lit("").alias("nameEn"),
+        F.when(F.col("p_size") > 10, F.col("p_retailprice")).cast("decimal(18,4)").alias("originalPrice"), F.col("p_size").cast("bigint").alias("stockQuantity"), F.lit("IN_STOCK").alias("stockStatus"),
+    )
+
+
+def _incoming(spark, sf_dir):
+    part = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0")
+    return part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" new"))).when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_name")).alias("nameKo"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("JA")).otherwise("").alias("nameJa"), F.lit("EN").alias("nameEn"), (F.col("p_retailprice") + 1).cast("decimal(18,4)").alias("originalPrice"),
+        F.when(F.col("p_size") % 4 != 0, F.col("p_size").cast("bigint") * 2).alias("stockQuantity"), F.when(F.col("p_size") % 4 != 1, F.lit("LOW_STOCK")).otherwise("").alias("stockStatus"),
+        F.lit(10).alias("lowStockThreshold"), (F.col("p_size") % 6 != 0).alias("inventoryObserved"), F.lit(False).alias("inventoryUnavailable"),
+    )
+
+
+_MERGE_INPUT_SQL = """s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS nameKo, CASE WHEN p_size % 2 = 0 THEN 'ja' ELSE '' END AS nameJa, '' AS nameEn, CASE WHEN p_size > 10 THEN CAST(p_retailprice AS DECIMAL(18,4)) END AS originalPrice,
+    p_size::BIGINT AS stockQuantity, 'IN_STOCK' AS stockStatus FROM part WHERE p_partkey % 3 <> 0),
+  i AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 5 = 0 THEN p_name || ' new' WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS nameKo, CASE WHEN p_size % 3 = 0 THEN 'JA' ELSE '' END AS nameJa, 'EN' AS nameEn,
+    CAST(p_retailprice + 1 AS DECIMAL(18,4)) AS originalPrice, CASE WHEN p_size % 4 <> 0 THEN p_size::BIGINT * 2 END AS stockQuantity, CASE WHEN p_size % 4 <> 1 THEN 'LOW_STOCK' ELSE '' END AS stockStatus, p_size % 6 <> 0 AS obs FROM part WHERE p_partkey % 2 = 0),
+  b AS (SELECT coalesce(s.id, i.id) AS id, s.id IS NULL AS fresh, i.id IS NOT NULL AS present, coalesce(s.nameKo, '') AS ko, coalesce(s.nameJa, '') AS ja, coalesce(s.nameEn, '') AS en, s.originalPrice AS op, s.stockQuantity AS q, coalesce(s.stockStatus, '') AS st,
+    i.nameKo AS iko, i.nameJa AS ija, i.nameEn AS ien, i.originalPrice AS iop, i.stockQuantity AS iq, i.stockStatus AS ist, i.obs FROM s FULL JOIN i ON s.id = i.id)"""
+
+
+def _merge_sql(ko, ja, en, op, q, st, yen="NULL", extra="0"):
+    """Fields after the merge by expressions over (stored, i-prefixed incoming) columns; ``extra`` counts converted fields."""
+    changed = " + ".join(f"CASE WHEN {a} IS DISTINCT FROM {b} THEN 1 ELSE 0 END" for a, b in (("nameKo", "ko"), ("nameJa", "ja"), ("nameEn", "en"), ("originalPrice", "op"), ("stockQuantity", "q"), ("stockStatus", "st")))
+    pick = lambda e, old: f"CASE WHEN present THEN {e} ELSE {old} END"
+    return f"""WITH {_MERGE_INPUT_SQL}, m AS (SELECT *, {pick(ko, 'ko')} AS nameKo, {pick(ja, 'ja')} AS nameJa, {pick(en, 'en')} AS nameEn, {pick(op, 'op')} AS originalPrice, {pick(q, 'q')} AS stockQuantity, {pick(st, 'st')} AS stockStatus FROM b),
+      y AS (SELECT *, CASE WHEN present THEN {yen} END::BIGINT AS yenPrice, CASE WHEN present THEN {changed} + {extra} ELSE 0 END::INTEGER AS changedFields FROM m)
+      SELECT id, nameKo, nameJa, nameEn, originalPrice, stockQuantity, stockStatus, yenPrice, changedFields,
+        CASE WHEN NOT present THEN 'kept' WHEN fresh THEN 'new' WHEN changedFields > 0 THEN 'updated' ELSE 'unchanged' END AS state FROM y"""
+
+
+def _text(new, old):
+    return f"CASE WHEN {new} <> '' THEN {new} ELSE {old} END"
+
+
+_GENERAL_SQL = _merge_sql(_text("iko", "ko"), _text("ija", "ja"), _text("ien", "en"), "op", "CASE WHEN obs THEN iq ELSE q END", f"CASE WHEN obs THEN {_text('ist', 'st')} ELSE st END")
+_DETAIL_SQL = _merge_sql(
+    _text("iko", "ko"), _text("ija", "ja"), _text("ien", "en"), "iop", "q", "st", "floor(CAST(originalPrice AS DOUBLE) * 0.11627 + 0.5)", "2"
+)
+_TRANSLATION_SQL = _merge_sql(
+    "CASE WHEN iko <> '' AND iko <> ko THEN iko ELSE ko END", "CASE WHEN (iko <> '' AND iko <> ko) OR ija <> '' THEN ija ELSE ja END", "CASE WHEN (iko <> '' AND iko <> ko) OR ien <> '' THEN ien ELSE en END", "op", "q", "st"
+)
+_MERGED = ("id", "nameKo", "nameJa", "nameEn", "originalPrice", "stockQuantity", "stockStatus", "yenPrice", "changedFields", "state")
+
+
+@query("archive_merge_general", _GENERAL_SQL)
+def archive_merge_general(spark, sf_dir):
+    return archive.merge(_stored(spark, sf_dir), _incoming(spark, sf_dir), "general").select(*_MERGED)
+
+
+@query("archive_merge_detail", _DETAIL_SQL)
+def archive_merge_detail(spark, sf_dir):
+    return archive.merge(_stored(spark, sf_dir), _incoming(spark, sf_dir), "detail", 0.11627, "2608210030").select(*_MERGED)
+
+
+@query("archive_merge_translation", _TRANSLATION_SQL)
+def archive_merge_translation(spark, sf_dir):
+    return archive.merge(_stored(spark, sf_dir), _incoming(spark, sf_dir), "translation").select(*_MERGED)
+
+
+@query("archive_statistics", f"""SELECT count(*) FILTER (WHERE state = 'new') AS newCount, count(*) FILTER (WHERE state = 'updated') AS updatedCount, count(*) FILTER (WHERE state = 'unchanged') AS unchangedCount,
+  count(*) FILTER (WHERE state = 'kept') AS keptCount, sum(changedFields)::BIGINT AS changedFieldCount, 0::BIGINT AS newOptionCount, 0::BIGINT AS updatedOptionCount FROM ({_GENERAL_SQL})""")
+def archive_statistics(spark, sf_dir):
+    return archive.statistics(archive.merge(_stored(spark, sf_dir), _incoming(spark, sf_dir), "general"))
+
+
+# --- translation ------------------------------------------------------------
+
+
+def _translation_rows(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    name = F.when(F.col("l_partkey") % 50 == 7, F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("name "), F.col("l_partkey").cast("string")))
+    return line.select(
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"), F.col("l_partkey").cast("string").alias("productId"), name.alias("nameKo"),
+        F.when(F.col("l_suppkey") == 1, "").otherwise(F.col("l_suppkey").cast("string")).alias("optionId"),
+        F.when(F.col("l_suppkey") == 2, " ").otherwise(F.concat(F.lit("o"), (F.col("l_suppkey") + F.when(F.col("l_quantity") > 49, 1).otherwise(0)).cast("string"))).alias("optionText"), F.lit(True).alias("hasOption"),
+    )
+
+
+_T_SQL = """r AS (SELECT row(l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS ord, CAST(l_partkey AS VARCHAR) AS productId,
+    CASE WHEN l_partkey % 50 = 7 THEN 'n' || l_linenumber ELSE 'name ' || l_partkey END AS nameKo, CASE WHEN l_suppkey = 1 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS optionId,
+    CASE WHEN l_suppkey = 2 THEN '' ELSE 'o' || (l_suppkey + CASE WHEN l_quantity > 49 THEN 1 ELSE 0 END) END AS optionText FROM lineitem),
+  p AS (SELECT productId, arg_min(nameKo, ord) AS nameKo, min(ord) AS ord FROM r GROUP BY productId HAVING count(DISTINCT nameKo) = 1),
+  t AS (SELECT productId, optionId, arg_min(optionText, ord) AS ko, min(ord) AS pos FROM r WHERE optionId NOT IN ('', '0') AND optionText <> '' GROUP BY ALL)"""
+
+
+@query("translation_problems", f"""WITH {_T_SQL} SELECT productId, CAST(NULL AS VARCHAR) AS optionId, 'two names' AS reason FROM r GROUP BY productId HAVING count(DISTINCT nameKo) > 1
+  UNION ALL SELECT productId, optionId, reason FROM (SELECT r.productId, r.optionId, CASE WHEN r.optionId = '' THEN 'empty option id' WHEN r.optionId = '0' THEN 'option id 0' WHEN optionText = '' THEN 'empty option text'
+    WHEN optionText <> t.ko THEN 'other text for the same id' END AS reason FROM r LEFT JOIN t ON r.productId = t.productId AND r.optionId = t.optionId) WHERE reason IS NOT NULL""")
+def translation_problems(spark, sf_dir):
+    return translation.group_rows(_translation_rows(spark, sf_dir))[2]
+
+
+@query("translation_tasks", f"""WITH {_T_SQL}, arch AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'name ' || p_partkey AS nameKo, CASE WHEN p_size % 2 = 0 THEN 'ja' ELSE '' END AS ja, 'en' AS en FROM part WHERE p_partkey % 3 <> 0),
+  f AS (SELECT p.*, a.id IS NULL OR a.nameKo <> p.nameKo AS other, a.ja, a.en FROM p LEFT JOIN arch a ON a.id = p.productId),
+  g AS (SELECT productId, nameKo, other OR ja = '' AS j, other OR en = '' AS e FROM f),
+  o AS (SELECT productId, string_agg(optionId || '=' || ko, ',' ORDER BY pos) AS options FROM t WHERE optionId NOT LIKE '%3' GROUP BY productId)
+  SELECT productId AS key, CASE WHEN j OR e THEN nameKo ELSE '' END AS nameKo, j AS translateNameJa, e AS translateNameEn, coalesce(options, '') AS options FROM g LEFT JOIN o USING (productId) WHERE j OR e OR options IS NOT NULL""")
+def translation_tasks(spark, sf_dir):
+    p, o, _ = translation.group_rows(_translation_rows(spark, sf_dir))
+    part = read(spark, sf_dir, "part").filter("p_partkey % 3 <> 0")
+    stored = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), F.col("p_partkey").cast("string")).alias("nameKo"), F.when(F.col("p_size") % 2 == 0, "ja").otherwise("").alias("nameJa"), F.lit("en").alias("nameEn"))
+    known = o.filter(F.col("optionId").endswith("3")).select("productId", "optionId", "ko", F.lit("x").alias("ja"), F.lit("y").alias("en"))
+    t = translation.tasks(p, o, stored, known, "general")
+    return t.select("key", "nameKo", "translateNameJa", "translateNameEn", F.array_join(F.transform("options", lambda x: F.concat_ws("=", x["optionId"], x["ko"])), ",").alias("options"))
+
+
+@query("translation_current", """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS productId, p_name AS nameKo, p_size FROM part)
+  SELECT *, nameJa = '' OR nameEn = '' AS incomplete FROM (SELECT productId, nameKo, CASE WHEN p_size % 3 = 0 THEN 'new' WHEN p_size % 5 <> 0 THEN 'ja' ELSE '' END AS nameJa, CASE WHEN p_size % 5 <> 0 THEN 'en' ELSE '' END AS nameEn FROM p)""")
+def translation_current(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    p = part.select(F.col("id").alias("productId"), F.col("p_name").alias("nameKo"))
+    stored = part.select("id", F.when(F.col("p_size") % 5 == 0, "other").otherwise(F.col("p_name")).alias("nameKo"), F.lit("ja").alias("nameJa"), F.lit("en").alias("nameEn"))
+    new = part.filter("p_size % 3 = 0").select(F.col("id").alias("productId"), F.lit("new").alias("nameJa"), F.lit("").alias("nameEn"))
+    return translation.current(p, stored, new, "general")
+
+
+# --- exchange rates ---------------------------------------------------------
+
+
+@query("fx_convert", "SELECT o_orderkey, floor(o_totalprice * 0.11627 + 0.5)::BIGINT AS yenPrice FROM orders")
+def fx_convert(spark, sf_dir):
+    rate = spark.range(1).select(F.lit(0.11627).alias("rate"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return fx.convert(o, rate, F.current_timestamp()).select("o_orderkey", "yenPrice")
+
+
+@query("fx_price_errors", "SELECT c_custkey, c_acctbal AS price, 'negative price' AS error FROM customer WHERE c_acctbal < 0")
+def fx_price_errors(spark, sf_dir):
+    return fx.price_errors(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("price")))
+
+
+@query("fx_history", """SELECT strftime(ts, '%y%m%d') AS date, arg_max(value, row(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, event_id)) AS rate FROM events GROUP BY ALL""")
+def fx_history(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.date_format("ts", "yyMMdd").alias("date"), F.col("value").alias("rate"), F.col("event_id").alias("ord"))
+    return fx.update_history(e.filter("ord % 10 <> 0"), e.filter("ord % 10 = 0")).select("date", "rate")
+
+
+@query("fx_hourly", "SELECT date_trunc('hour', ts) AS hour, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY ALL")
+def fx_hourly(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("at"), "ts", "value")
+    return e.groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(F.max_by("value", "at").alias("value"))
+
+
+@query("fx_derived", "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN round(100::DECIMAL(18,6) / o_totalprice::DECIMAL(18,6), 5)::DECIMAL(12,5) END AS rate FROM orders".replace(
+    "round(100::DECIMAL(18,6) / o_totalprice::DECIMAL(18,6), 5)::DECIMAL(12,5)", "CAST(floor(10000000.0 / o_totalprice + 0.5) / 100000.0 AS DECIMAL(12,5))"))
+def fx_derived(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.lit("JPY").alias("currency"), F.when(F.col("o_totalprice") > 1000, 100).otherwise(1).cast("double").alias("unit"), F.col("o_totalprice").alias("cashBuy"))
+    return fx.derive(o).select("o_orderkey", "rate")
+
+
+# --- cart and shipping ------------------------------------------------------
+
+
+@query("cart_validate", CART_SQL)
+def cart_validate(spark, sf_dir):
+    return cart.validated(cart_requests(spark, sf_dir))
+
+
+@query("cart_merge", f"SELECT site, productId, optionId, sum(quantity)::BIGINT AS quantity FROM ({CART_SQL}) WHERE reason IS NULL GROUP BY ALL")
+def cart_merge(spark, sf_dir):
+    return cart.merged(cart.validated(cart_requests(spark, sf_dir)).filter("reason is null"))
+
+
+@query("cart_by_site", f"SELECT site, count(*) AS items, sum(quantity)::BIGINT AS quantity FROM ({CART_SQL}) WHERE reason IS NULL GROUP BY ALL")
+def cart_by_site(spark, sf_dir):
+    return cart.by_site(cart.validated(cart_requests(spark, sf_dir)).filter("reason is null"))
+
+
+@query("cart_extract", "SELECT o_orderkey AS doc, 'mall-a.example' AS site, CAST(o_custkey AS VARCHAR) AS productId, CAST(n AS VARCHAR) AS optionId, n::DOUBLE AS quantity FROM orders, (SELECT unnest([1, 2]) AS n)")
+def cart_extract(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    item = lambda n: F.struct(F.lit("mall-a.example").alias("site"), F.col("o_custkey").cast("string").alias("productId"), F.lit(str(n)).alias("optionId"), F.lit(n).alias("quantity"))
+    items = F.array(item(1), item(2))
+    j = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(items)).otherwise(F.to_json(F.struct(F.struct(items.alias("items")).alias("data"))))
+    return cart.extract_requests(o.select(F.col("o_orderkey").alias("doc"), j.alias("json")))
+
+
+@query("cart_by_product", f"""SELECT site, productId, string_agg(optionId || 'x' || quantity, ',' ORDER BY optionId, quantity) AS items FROM ({CART_SQL}) WHERE reason IS NULL GROUP BY ALL""")
+def cart_by_product(spark, sf_dir):
+    g = cart.by_product(cart.validated(cart_requests(spark, sf_dir)).filter("reason is null"))
+    return g.select("site", "productId", F.array_join(F.transform("items", lambda x: F.concat(x["optionId"], F.lit("x"), x["quantity"].cast("string"))), ",").alias("items"))
+
+
+@query("match_blocks", """SELECT p_size AS batch, p_partkey AS blockId, CAST(p_partkey AS VARCHAR) AS productId, 'id' AS matchMode FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT p.p_size, p.p_partkey, CASE WHEN u.n = 1 THEN u.id WHEN b.n = 1 AND b.ids = 1 THEN b.id END, CASE WHEN u.n = 1 THEN 'name' WHEN b.n = 1 AND b.ids = 1 THEN 'single' ELSE 'unresolved' END
+  FROM part p JOIN (SELECT p_size, p_name, count(*) AS n, min(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY ALL) u ON u.p_size = p.p_size AND u.p_name = p.p_name
+  JOIN (SELECT p_size, count(*) AS n, count(*) AS ids, min(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY ALL) b ON b.p_size = p.p_size WHERE p_partkey % 2 = 1""")
+def match_blocks(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumn("pid", F.col("p_partkey").cast("string"))
+    ids = F.when(F.col("p_partkey") % 2 == 0, F.array("pid")).otherwise(F.array().cast("array<string>"))
+    blocks = part.select(F.col("p_size").alias("batch"), F.col("p_partkey").alias("blockId"), ids.alias("ids"), F.concat(F.lit("[x] "), F.upper("p_name")).alias("name"))
+    return cart.match_blocks(blocks, part.select(F.col("p_size").alias("batch"), F.col("pid").alias("productId"), F.col("p_name").alias("productName")))
+
+
+@query("shipping_pairs", "SELECT DISTINCT o_custkey AS doc, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders UNION SELECT o_custkey, CAST(o_orderkey AS VARCHAR) || 'k', o_orderstatus FROM orders")
+def shipping_pairs(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    kid = F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit("k")).alias("id"), F.col("o_orderstatus").alias("mft_itemName"))
+    row = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("mft_itemName"), F.array(kid).alias("kids"))
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("json"))
+    return shipping.records(docs)
+
+
+# --- health, warnings, runs -------------------------------------------------
+
+
+@query("cycle_risks", """WITH c AS (SELECT user_id, CAST(strftime(ts, '%j') AS INTEGER) AS cycleNo, CAST(round(sum(value) * 100) AS BIGINT) / 100.0 AS ms, (count(*) * 9000)::BIGINT AS dom, (max(event_id) % 400)::BIGINT AS heap FROM events WHERE user_id < 40 GROUP BY ALL),
+  w AS (SELECT *, count(*) OVER p AS n, avg(CASE WHEN ms > 0 THEN ms END) OVER p AS mean, max(dom) OVER p AS pd, max(heap) OVER p AS ph FROM c WINDOW p AS (PARTITION BY user_id ORDER BY cycleNo ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+  SELECT user_id, cycleNo, coalesce(n >= 2 AND dom > 15000 AND dom > 1.6 * pd, false) AS dom, coalesce(n >= 2 AND ph > 120 AND heap > 1.45 * ph, false) AS heap, cycleNo % 6 = 0 AS forcedRefresh FROM w""")
+def cycle_risks(spark, sf_dir):
+    e = read(spark, sf_dir, "events").filter("user_id < 40")
+    c = e.groupBy("user_id", F.dayofyear("ts").alias("cycleNo")).agg(F.round(F.sum("value"), 2).alias("msPerProduct"), (F.count("*") * 9000).alias("maxDomNodes"), (F.max("event_id") % 400).alias("maxHeapMb"))
+    r = health.cycle_risks(c, ["user_id"])
+    return r.select("user_id", "cycleNo", F.array_contains("reasons", "dom-node-growth").alias("dom"), F.array_contains("reasons", "js-heap-growth").alias("heap"), "forcedRefresh")
+
+
+@query("cycle_summary", """SELECT user_id, count(*) AS pages, sum(e)::BIGINT AS elapsedMs, max(e) AS slowestPageMs, max(d) AS maxDomNodes, arg_min(d, event_id) AS firstDomNodes, arg_max(d, event_id) AS lastDomNodes
+  FROM (SELECT user_id, event_id, event_id % 977 AS e, event_id % 131 AS d FROM events) WHERE e > 0 GROUP BY user_id""")
+def cycle_summary(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 977).alias("elapsedMs"), (F.col("event_id") % 131).alias("domNodes"))
+    return health.cycle_summary(e, ["user_id"], "event_id").drop("meanPageMs")
+
+
+@query("page_scan", """WITH r AS (SELECT event_type AS run, CAST(strftime(ts, '%j') AS INTEGER) AS page, CASE WHEN user_id % 4 = 0 AND event_id % 2 = 1 THEN NULL ELSE user_id % 9 END AS p FROM events),
+  f AS (SELECT run, page, count(*) AS added FROM (SELECT run, p, min(page) AS page FROM r WHERE p IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+  g AS (SELECT run, page, coalesce(array_to_string(list_sort(list(DISTINCT p) FILTER (WHERE p IS NOT NULL)), ','), '') AS sig, count(p) AS total FROM r GROUP BY ALL),
+  h AS (SELECT g.*, coalesce(added, 0) AS added, lag(sig) OVER (PARTITION BY run ORDER BY page) AS prev FROM g LEFT JOIN f USING (run, page)),
+  o AS (SELECT *, CASE WHEN total = 0 THEN 'empty-page' WHEN sig = prev THEN 'duplicate-page' WHEN added = 0 THEN 'no-new-products' END AS own FROM h),
+  s AS (SELECT *, min(CASE WHEN own IS NOT NULL THEN page END) OVER (PARTITION BY run ORDER BY page) AS stop FROM o)
+  SELECT run, page, total, added, CASE WHEN stop IS NULL THEN 'kept' WHEN stop = page THEN own ELSE 'after-stop' END AS status FROM s""")
+def page_scan(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    p = F.when((F.col("user_id") % 4 == 0) & (F.col("event_id") % 2 == 1), None).otherwise(F.col("user_id") % 9)
+    return health.page_scan(e.select(F.col("event_type").alias("run"), F.dayofyear("ts").alias("page"), p.alias("productId")), run=["run"])
+
+
+@query("page_counters", f"""WITH p AS ({PRODUCTS_SQL}) SELECT page, count(*) AS total, count_if(NOT isSoldOut)::BIGINT AS active, count_if(isSoldOut)::BIGINT AS soldOut, count(*) AS added FROM p GROUP BY page""")
+def page_counters(spark, sf_dir):
+    return health.page_counters(products(spark, sf_dir))
+
+
+@query("catalog_info", "SELECT p_partkey, greatest(coalesce(CASE WHEN p_size % 3 = 0 THEN ceil(p_partkey / 40.0) END, CASE WHEN p_size % 3 = 1 THEN p_size END, 1), 1)::INTEGER AS lastPage FROM part".replace("CASE WHEN p_size % 3 = 0 THEN", "CASE WHEN p_size % 3 = 0 AND p_partkey > 0 THEN"))
+def catalog_info(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_partkey")).alias("totalCount"), F.when(F.col("p_size") % 3 == 1, F.col("p_size")).alias("linkedLast"))
+    return health.catalog_info(p, 40).select("p_partkey", "lastPage")
+
+
+@query("exclusion_reasons", """WITH r AS (SELECT event_type AS code, user_id, event_id FROM events), c AS (SELECT code, count(*) AS n, min(event_id) AS pos FROM r GROUP BY code),
+  s AS (SELECT code, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY k) AS sampleIds FROM (SELECT code, user_id, row_number() OVER (PARTITION BY code ORDER BY min(event_id), user_id) AS k FROM r GROUP BY code, user_id) WHERE k <= 3 GROUP BY code)
+  SELECT code AS reasonCode, n AS "count", sampleIds, row_number() OVER (ORDER BY n DESC, pos)::INTEGER AS rank FROM c JOIN s USING (code)""")
+def exclusion_reasons(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("reasonCode"), F.col("event_type").alias("reason"), F.col("user_id").alias("productId"), F.col("event_id").alias("ord"))
+    return exclusions.reason_stats(e).select("reasonCode", "count", F.array_join("sampleIds", ",").alias("sampleIds"), "rank")
+
+
+@query("exclusion_warnings", """SELECT CAST(strftime(ts, '%j') AS INTEGER) AS page, event_type AS reason, count(DISTINCT user_id) AS "count", event_type || ' (' || count(DISTINCT user_id) || ')' AS message FROM events GROUP BY CAST(strftime(ts, '%j') AS INTEGER), event_type""")
+def exclusion_warnings(spark, sf_dir):
+    return exclusions.warnings(read(spark, sf_dir, "events").select(F.dayofyear("ts").alias("page"), F.col("event_type").alias("reason"), F.col("user_id").alias("productId")))
+
+
+@query("merged_batches", """SELECT o_custkey AS run, sum(o_orderkey)::BIGINT AS requested, count(*) AS added, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT DISTINCT o_orderpriority AS id FROM orders x WHERE x.o_custkey = o.o_custkey)) AS ids FROM orders o GROUP BY o_custkey""")
+def merged_batches(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("requested"), F.lit(1).cast("bigint").alias("added"), F.array("o_orderpriority").alias("ids"))
+    return exclusions.merged_batches(o).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("latest_run", "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS activeRuns, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS latestCompleted FROM orders")
+def latest_run(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    at = F.struct(F.col("o_orderdate"), F.col("o_orderkey"))
+    return health.active_runs(o.select(F.col("o_orderkey").alias("runId"), status.alias("status"), at.alias("finishedAt"), at.alias("updatedAt"), at.alias("startedAt")))
+
+
+@query("progress_state", """SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type, arg_max(value, row(ts, event_id)) FILTER (WHERE value > 0) AS value,
+  arg_max(CAST(json_extract(props, '$.k') AS BIGINT), row(ts, event_id)) FILTER (WHERE json_extract(props, '$.k') IS NOT NULL) AS k, max(ts) AS updatedAt, count(*) AS patches FROM events GROUP BY user_id""")
+def progress_state(spark, sf_dir):
+    return progress.fold(progress.patches(read(spark, sf_dir, "events")), "user_id", ["ts", "event_id"], progress.FIELDS)
+
+
+# --- pages and exports ------------------------------------------------------
+
+
+@query("html_titles", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+  len(regexp_extract_all(html, '<a '))::BIGINT AS links FROM pages""")
+def html_titles(spark, sf_dir):
+    e = elements.elements(read(spark, sf_dir, "pages").select("page_id", "html"))
+    return e.groupBy("page_id").agg(elements.first_of(F.col("tag") == "title", F.col("text"), "title"), F.count_if(F.col("tag") == "a").cast("bigint").alias("links"))
+
+
+@query("html_menu", r"""SELECT page_id, n - 1 AS at, trim(x[n]) AS label FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS n FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a>', 1) AS x FROM pages))""")
+def html_menu(spark, sf_dir):
+    e = elements.elements(read(spark, sf_dir, "pages").select("page_id", "html"))
+    items = elements.nearest(e.filter("tag = 'a'"), e.filter("tag = 'li'"), ["page_id"])
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
+    return items.select("page_id", at.cast("bigint").alias("at"), F.col("text").alias("label"))
+
+
+@query("csv_lines", """SELECT '"' || p_partkey || '","' || replace(CASE WHEN p_size % 2 = 0 THEN '''=' || p_name ELSE p_name END, '"', '""') || '","' || (-p_size) || '","' || CASE WHEN p_size <= 5 THEN 'true' ELSE 'false' END || '",""' AS line FROM part""")
+def csv_lines(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("="), "p_name")).otherwise(F.col("p_name")).alias("name"), (-F.col("p_size")).alias("n"), (F.col("p_size") <= 5).alias("out")
+    )
+    return sinks.csv_lines(p, ["id", "name", "n", "out", "absent"])
+
+
+@query("json_lines", """SELECT '{"id":' || p_partkey || ',"name":"' || p_name || '","brand":' || CASE WHEN p_size % 2 = 0 THEN '"' || p_brand || '"' ELSE 'null' END || '}' AS line FROM part""")
+def json_lines(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return sinks.json_lines(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand")))
+
+
+@query("without_urls", "SELECT CAST(p_partkey AS VARCHAR) AS id, 1::BIGINT AS kept, p_name AS name FROM part")
+def without_urls(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.lit("u").alias("productUrl"),
+        F.struct(F.lit("u").alias("productUrl"), F.array(F.struct(F.lit("u").alias("productUrl"), F.col("p_name").alias("name"))).alias("rows")).alias("inner"),
+    )
+    out = sinks.without_field(p, "productUrl")
+    return out.select("id", F.size("inner.rows").cast("bigint").alias("kept"), F.col("inner.rows")[0]["name"].alias("name"))
+
+
+def product_fields() -> list[str]:
+    return list(PRODUCT)
