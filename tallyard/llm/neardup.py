@@ -7,17 +7,18 @@ circularly by ``k``:
 
     h_k(S) = min over x in S of table[(sigma(x) + k) mod UNIVERSE]
 
-so two permutations give all coordinates. Bands of coordinates make buckets, and links
-are confirmed on the full sets of shingle hashes.
+so two permutations give all coordinates. Bands of coordinates make buckets; two bits of
+each coordinate make a sketch. A candidate pair shares a bucket and has sketches that
+differ in ``DIFFER`` coordinates at most; a pair at the threshold fails either test about
+once in a hundred thousand, a closer one less. Links are confirmed on the full sets of
+shingle hashes.
 
 Documents with the same set are one class from the start (copies are never paired).
-Buckets are not expanded into pairs either. In a round every class of a bucket is
-compared with one pivot of the bucket, and links join components; a bucket is done with
-once it lies in one component. Jaccard distance obeys the triangle inequality, so the
-distances to the first pivot also settle pairs that were never compared: classes whose
-distances to a common pivot differ by more than the threshold can't be linked. Rounds go
-on while they are cheaper than comparing what is left pair by pair, which comes last, so
-no link between members of a bucket is lost.
+In a round, the classes of a bucket are compared with one pivot of the bucket and links
+join components; a bucket is done with once it lies in one component. When what is left is
+no more than a bounded number of comparisons for each row, or after ``ROUNDS`` rounds, all
+candidate pairs of one bucket in different components are compared, each in the first
+bucket they share, so no link among candidates is lost.
 
 Defined results: null, empty and blank texts have the empty set and are alone; a text
 of fewer words than a shingle has one shingle, all of its words; rows with the same
@@ -28,156 +29,135 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.llm.bytehash import MIX, finish, joined, words
 from tallyard.llm.common import lookup_join, materialise, slices, text_of
 
 SHINGLE = 5
 UNIVERSE = 1 << 20
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 36, 8
+#: Coordinates of a signature; the sketch has two bits for each.
+COORDINATES = 512
+#: Coordinates in which sketches of a candidate pair differ at most: 57.6 are expected of a link at
+#: the threshold (0.15 * 3/4 of all), with a deviation of 7.1.
+DIFFER = 88
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rounds of comparisons with pivots, at most, before the rest is compared pair by pair.
-ROUNDS = 8
-
-_MIX = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Words end at these bytes.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
-def _finish(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mix in which every input bit moves every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, A-Z lower-cased.
-
-    The polynomial hash of a word is the difference of two prefix sums of
-    ``byte value * B ** -position`` scaled back by ``B ** start``; arithmetic wraps at 64 bits.
-    """
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, prepend=0, append=len(data))[1:] + ([starts[0]] + [0] * (len(starts) - 1)))
-    power = _powers(int(place.max()) + 2)
-    value = np.where(space, np.uint64(0), _BYTE[_LOWER[data]] * power[np.maximum(place, 0)])
-    sums = np.add.reduceat(value, starts)
-    return _finish(sums ^ (ends - starts).astype(np.uint64) * np.uint64(_MIX))
-
-
-_POWER = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        size = max(n, 4096)
-        factors = np.full(size, 0xD6E8FEB86659FD93, np.uint64)
-        factors[0] = 1
-        _POWER = np.cumprod(factors, dtype=np.uint64)
-    return _POWER
-
-
-def shingle_set(data: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of UTF-8 bytes."""
-    words = word_hashes(data)
-    if not len(words):
-        return words
-    k = min(k, len(words))
-    out = np.full(len(words) - k + 1, np.uint64(k))
+#: Rounds of comparisons with pivots, at most.
+ROUNDS = 4
+#: Comparisons of sketches for each row of a bucket that need no further round.
+COMPARISONS = 256
+
+_TURN = np.random.default_rng(7).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of the k-word shingles, sorted within each text; offset of each text and of the end)."""
+    data, offsets = joined(texts)
+    starts, hashes = words(data)
+    first = np.searchsorted(starts, offsets)  # first word of each text
+    count = np.diff(first)
+    # a shingle begins at each word that has k - 1 more in its text, or at the first of a short text
+    width = np.minimum(count, k)
+    shingles = np.maximum(count - k + 1, (count > 0).astype(count.dtype))
+    doc = np.repeat(np.arange(len(texts)), shingles)
+    at = np.repeat(first[:-1], shingles) + np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    out = width[doc].astype(np.uint64)
+    padded = np.concatenate((hashes, np.zeros(k, np.uint64)))
     for i in range(k):
-        out = _finish(out * np.uint64(_MIX) + words[i : len(words) - k + 1 + i])
-    return np.unique(out)
+        inside = i < width[doc]
+        out += np.where(inside, padded[at + i] * _TURN[i], np.uint64(0))
+    out = finish(out)
+    order = np.lexsort((out, doc))
+    out, doc = out[order], doc[order]
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    out, doc = out[fresh], doc[fresh]
+    return out, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
 def _table() -> np.ndarray:
     """The second permutation, with its head repeated for the circular shift."""
     table = np.random.default_rng(11).permutation(UNIVERSE).astype(np.int32)
-    return np.concatenate((table, table[: BANDS * ROWS]))
+    return np.concatenate((table, table[:COORDINATES]))
 
 
-def signature(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = (shingles * np.uint64(0x2545F491)) & np.uint64(UNIVERSE - 1)
-    at = np.unique(at.astype(np.int64))
-    n = BANDS * ROWS
-    best = np.full(n, UNIVERSE, np.int32)
-    view = np.lib.stride_tricks.sliding_window_view(table, n)
-    for i in range(0, len(at), 2048):
-        np.minimum(best, view[at[i : i + 2048]].min(axis=0), out=best)
+def signatures(shingles: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """(texts, COORDINATES); rows of texts without shingles are meaningless."""
+    at = ((shingles * np.uint64(0x2545F491)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
+    best = np.full((len(offsets) - 1, COORDINATES), UNIVERSE, np.int32)
+    view = np.lib.stride_tricks.sliding_window_view(table, COORDINATES)
+    for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for i in range(a, b, 512):
+            np.minimum(best[doc], view[at[i : min(b, i + 512)]].min(axis=0), out=best[doc])
     return best
 
 
-def _bands(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands(coordinates: np.ndarray) -> np.ndarray:
+    rows = coordinates[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for i in range(ROWS):
-        out = _finish(out * np.uint64(_MIX) + rows[:, i])
+        out = finish(out * MIX + rows[:, :, i])
     return out.view(np.int64)
 
 
-SIGNED = "doc_id long, mark string, n_shingles long, node binary, bands array<long>"
+def sketches(coordinates: np.ndarray) -> np.ndarray:
+    """(texts, 2 * COORDINATES / 64): the lowest bit of all coordinates, then the next bit."""
+    planes = [np.packbits((coordinates >> b & 1).astype(np.uint8), axis=1).view(">i8") for b in (0, 1)]
+    return np.concatenate(planes, axis=1).astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def _lists(rows: np.ndarray, filled: np.ndarray) -> pa.Array:
+    """Rows as lists, empty where ``filled`` is false."""
+    offsets = np.concatenate(([0], np.cumsum(filled * rows.shape[1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[filled].reshape(-1)))
+
+
+SIGNED = "doc_id long, mark string, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = _table()
     for batch in slices(batches):
-        sizes, keys, bands = [], [], []
-        for text in batch.column(2):
-            own = shingle_set(np.frombuffer(text.as_buffer() or b"", np.uint8))
-            sizes.append(len(own))
-            keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-            bands.append(_bands(signature(own, table)) if len(own) else np.empty(0, np.int64))
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*bands, np.empty(0, np.int64)])))
+        sets, offsets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist())
+        size = np.diff(offsets)
+        best = signatures(sets, offsets, table)
+        raw = sets.tobytes()
+        keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists],
-            ["doc_id", "mark", "n_shingles", "node", "bands"],
+            [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), _lists(bands(best), size > 0), _lists(sketches(best), size > 0)],
+            ["doc_id", "mark", "n_shingles", "node", "bands", "sketch"],
         )
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of the full sets of each pair's texts."""
-    known: dict[bytes, np.ndarray] = {}
     for batch in slices(batches):
-        common, union = [], []
-        for a, b, ta, tb in zip(*(batch.column(i) for i in range(4)), strict=True):
-            sets = []
-            for key, text in ((a.as_py(), ta), (b.as_py(), tb)):
-                if key not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[key] = shingle_set(np.frombuffer(text.as_buffer() or b"", np.uint8))
-                sets.append(known[key])
-            n = len(np.intersect1d(*sets, assume_unique=True))
-            common.append(n)
-            union.append(len(sets[0]) + len(sets[1]) - n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "union"]
-        )
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, common, union of distinct pairs (a, b) of nodes; b may be the same for very many."""
+        pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        texts: dict[bytes, bytes] = {}
+        for i, t in ((0, 2), (1, 3)):
+            texts.update(zip((p[i] for p in pairs), batch.column(t).cast(pa.binary()).to_pylist(), strict=True))
+        sets, offsets = shingle_sets(list(texts.values()))
+        own = {k: sets[a:b] for k, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)}
+        common = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in pairs], np.int64)
+        union = np.array([len(own[a]) + len(own[b]) for a, b in pairs], np.int64) - common
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(union)], ["a", "b", "common", "union"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links among distinct pairs (a, b) of nodes; b may be the same for very many."""
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     with_b = lookup_join(pairs, of("b"), "b", ["a"])
-    joined = with_b.join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return materialise(joined.mapInArrow(_compare, "a binary, b binary, common long, union long"), "checked")
+    both = with_b.join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    checked = both.mapInArrow(_compare, "a binary, b binary, common long, union long")
+    return materialise(checked.filter(100 * F.col("common") >= percent * F.col("union")).select("a", "b"), "links")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -209,70 +189,65 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n_shingles, node (digest of the set, null if empty), bands of each row; frozen."""
+    """doc_id, mark, n_shingles, node (digest of the set, null if empty), bands and sketch of each row; frozen."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("mark"), text_of().alias("text"))
     return materialise(source.mapInArrow(_sign, SIGNED), "signed")
 
 
+def _near(a: str, b: str, percent: int):
+    """Whether two classes (columns sketch and n_shingles of either side) can be linked."""
+    planes = COORDINATES // 64
+    other = lambda i: F.col(f"sketch{a}")[i].bitwiseXOR(F.col(f"sketch{b}")[i])
+    differ = sum((F.bit_count(other(i).bitwiseOR(other(planes + i))) for i in range(planes)), F.lit(0))
+    small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
+    return (100 * small >= percent * large) & (differ <= DIFFER)
+
+
 def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of all nodes that have a link, as found among the classes of each bucket."""
-    filled = signed.filter("node is not null")
-    reps = filled.groupBy("node").agg(F.min(F.struct("mark", "n_shingles", "bands")).alias("r")).select("node", "r.*")
-    buckets = reps.select("node", "mark", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    buckets = materialise(buckets.select("node", "mark", "n_shingles", F.xxhash64("band", "value").alias("bucket")), "bands")
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    live = materialise(buckets.join(crowded, "bucket"), "buckets")
+    """(node, root) of all nodes that have a link, as found among the candidates of each bucket."""
+    # a class is named by its set; bands, sketch and size are the same for all of its rows
+    reps = signed.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("mark", "n_shingles", "bands", "sketch"), "mark").alias("r")).select("node", "r.*")
+    rows = reps.select("node", "mark", F.col("n_shingles").alias("n"), "bands", "sketch", F.posexplode("bands").alias("band", "value"))
+    bucket = F.xxhash64("band", "value")
+    rows = materialise(rows.select("node", "mark", "n", "bands", "sketch", "band", bucket.alias("bucket")), "bands")
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    live = materialise(rows.join(crowded, "bucket"), "buckets")
     marks = live.select("node", "mark").distinct()
     plain = docs.select(F.md5(text_of()).alias("mark"), text_of().alias("text"))
     wanted = plain.join(marks.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
     texts = materialise(marks.join(wanted, "mark").select("node", "text"), "texts")
-
-    far = 1 - F.col("common") / F.col("union")
-    slack = 1 - percent / 100 + 1e-9
-    is_link = 100 * F.col("common") >= percent * F.col("union")
-
-    # every class of a bucket against the bucket's pivot, the same one in as many buckets as can be
-    pivot = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-    live = materialise(lookup_join(live.select("bucket", "node", "n_shingles"), materialise(pivot, "pivots"), "bucket", ["node"]), "live")
-    pairs = materialise(live.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    found = _verified(pairs, texts)
-    links = found.filter(is_link).select("a", "b")
-    distance = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), far.alias("far"))
-    live = live.join(distance, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).drop("pivot")
-    live = materialise(live, "live")
-    roots = components(links)
-
-    for turn in range(1, ROUNDS + 1):
-        now = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-        now = materialise(now.join(open_, "bucket"), "open")
-        if now.isEmpty():
+    live = live.select("bucket", "band", "node", "n", "bands", "sketch").withColumn("root", F.col("node"))
+    links = roots = None
+    for turn in range(ROUNDS + 1):
+        if roots is not None:
+            live = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            closed = live.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 = r1").select("bucket")
+            live = materialise(live.join(closed, "bucket", "left_anti"), "open")
+        groups = live.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        left = groups.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+        if not left["rows"]:
             break
-        groups = now.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-        cost = groups.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        rest = cost.agg(F.sum("pairs")).first()[0]
-        last = rest <= 4 * now.count() or turn == ROUNDS
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.abs(F.col("fa") - F.col("fb")) <= slack)
-        side = lambda x: now.select("bucket", *[F.col(c).alias(f"{t}{x}") for c, t in (("node", "_"), ("root", "r"), ("n_shingles", "n"), ("far", "f"))])
+        last = turn == ROUNDS or (turn and left["pairs"] <= COMPARISONS * left["rows"])
+        side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "root", "n", "bands", "sketch")]
         if last:
-            # classes whose distances to the pivot lie in the same or the next step of the slack
-            step = lambda x: F.floor(F.col(f"f{x}") / slack).cast("int")
-            left = side("a").withColumn("step", F.explode(F.array(step("a") - 1, step("a"), step("a") + 1)))
-            right = side("b").withColumn("step", step("b"))
-            meet = (left["bucket"] == right["bucket"]) & (left["step"] == right["step"])
-            both = left.join(right, meet & (F.col("_a") < F.col("_b")) & (F.col("ra") != F.col("rb")) & fits)
+            a, b = live.select("bucket", "band", *side("_a")), live.select("bucket", *side("_b"))
+            earlier = F.exists(F.zip_with(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
+            pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _near("_a", "_b", percent) & ~earlier)
+            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
-            chosen = side("b").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("_b", F.lit(turn)), "_b", "rb", "nb", "fb")).alias("p"))
-            chosen = materialise(chosen.select("bucket", "p._b", "p.rb", "p.nb", "p.fb"), "pivots")
-            both = lookup_join(materialise(side("a"), "side"), chosen, "bucket", ["_a"]).filter((F.col("ra") != F.col("rb")) & fits)
-        pairs = materialise(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "pairs")
-        new = _verified(pairs, texts).filter(is_link).select("a", "b")
-        if not new.isEmpty():
-            links = links.unionByName(new)
+            # the same pivot in as many buckets as can be
+            pivots = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *side("_b"))).alias("p"))
+            pivots = materialise(pivots.select("bucket", *[f"p.{c}_b" for c in ("node", "root", "n", "sketch")]), "pivots")
+            met = lookup_join(live.select("bucket", *side("_a")), pivots, "bucket", ["node_a"])
+            pairs = met.filter((F.col("root_a") != F.col("root_b")) & _near("_a", "_b", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        new = _verified(materialise(pairs, "pairs"), texts, percent)
+        found = not new.isEmpty()
+        links = new if links is None else links.unionByName(new)
+        if found or roots is None:
             roots = components(links)
         if last:
             break
-    return roots
+    return roots if roots is not None else components(signed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyard.llm.common import slices, text_of
-from tallyard.llm.neardup import word_hashes
+from tallyard.llm.bytehash import words
 
 PASSAGE = 1024
 #: Labelled documents that the model is fitted on, at most.
@@ -68,10 +68,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         begins = ~space & (fresh | np.concatenate(([True], space[:-1])))
         at = np.flatnonzero(begins)
         if len(at):
-            joined = data.copy()
-            # word_hashes sees the texts as one; a space there would shift nothing that matters
+            # texts that touch are parted by a space
             cut = fresh & ~space & np.concatenate(([False], ~space[:-1]))
-            hashes = _hashes(joined, np.flatnonzero(cut))
+            hashes = _hashes(data, np.flatnonzero(cut))
             own = owner[at]
             words = np.bincount(own, minlength=len(doc))
             m = np.maximum(words, 1)
@@ -101,7 +100,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _hashes(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Word hashes of concatenated texts that also break at ``cuts``."""
-    return word_hashes(np.insert(data, cuts, 0x20) if len(cuts) else data)
+    return words(np.insert(data, cuts, 0x20) if len(cuts) else data)[1]
 
 
 class Model:
