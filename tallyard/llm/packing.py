@@ -19,23 +19,32 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.llm.bytehash import HashIndex, joined, token_hashes
 from tallyard.llm.common import materialise, maybe_broadcast, slices, text_of
 
 CAPACITY = 4096
 END_ID = 2
 
-#: Words that a worker remembers with their ids before it starts afresh.
-WORD_CACHE = 400_000
+#: A mark between pre-tokens that are encoded together.
+MARK = "\x01"
 
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Texts of these characters alone, and without apostrophes, are cut at changes between letters, digits
+#: and other signs; lower case and composition don't move those borders.
+PLAIN = "[\t-\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*"
+
+_KIND = np.zeros(256, np.uint8)  # 0: white space
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 
 
 def default_tokenizer() -> str:
@@ -44,36 +53,98 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordTokenizer:
-    """Ids of whole texts, by way of the ids of their white-space separated words.
+class PieceTokenizer:
+    """Ids of whole texts by way of their pre-tokens, which recur and are encoded once.
 
-    No pre-token of the tokenizer crosses white space, so the ids of a text are those
-    of its words in a row; most words recur and are encoded once.
+    The tokenizer encodes each pre-token by itself: a run of letters, one digit, or a run of other signs.
+    Plain texts are cut and looked up by whole batches; all others go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        from numpy import array
-
-        return [array(x.ids, "<u4").tobytes() for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known, split = self.known, [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
-        return [
-            self._encode([text])[0] if words is None else b"".join(map(known.__getitem__, words))
-            for text, words in zip(texts, split, strict=True)
-        ]
+        self.plain = re.compile(PLAIN).fullmatch
+        self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
+        mark = self.encoder.encode(MARK, add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("the tokenizer has no single id for the mark")
+        self.mark = mark[0]
+        self.index = HashIndex()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index.clear()
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[str], keys: np.ndarray) -> None:
+        numbers = self.index.add(keys)
+        while len(self.first) < self.index.size:
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        for at in range(0, len(pieces), 2048):
+            own = pieces[at : at + 2048]
+            found = self.encoder.encode_batch_fast([f" {MARK} ".join(own)], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(own) - 1:
+                raise ValueError("the tokenizer merged pieces")
+            size = np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+            ids = np.delete(ids, marks)
+            while len(self.ids) < self.used + len(ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            mine = numbers[at : at + len(own)]
+            self.count[mine] = size
+            self.first[mine] = self.used + np.cumsum(size) - size
+            self.used += len(ids)
+
+    def _encode_plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        data, offsets = joined(texts)
+        kind = _KIND[data]
+        begins = kind > 0
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return [np.empty(0, np.uint32)] * len(texts)
+        keys = token_hashes(data, starts, kind == 0)
+        numbers = self.index.find(keys)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            if self.index.size + len(new) > self.index.limit:
+                self._reset()
+                missing = np.arange(len(keys))
+                new, first = np.unique(keys, return_index=True)
+            at = missing[first]
+            ends = np.append(starts, len(data))[at + 1]
+            raw = data.tobytes()
+            self._learn([raw[a:b].decode().rstrip() for a, b in zip(starts[at].tolist(), ends.tolist(), strict=True)], new)
+            numbers[missing] = self.index.find(keys[missing])
+        count = self.count[numbers]
+        total = np.cumsum(count)
+        out = self.ids[np.repeat(self.first[numbers] - (total - count), count) + np.arange(total[-1])]
+        edges = np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
+        return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [bool(self.plain(t)) and not any(x in t for x in self.special) for t in texts]
+        found = iter(self._encode_plain([t.encode() for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        return [next(found) if p else self._alone(t) for t, p in zip(texts, plain, strict=True)]
+
+
+#: One for each tokenizer file and Python worker, kept between tasks.
+_WORKERS: dict[str, PieceTokenizer] = {}
+
+
+def worker(path: str) -> PieceTokenizer:
+    if path not in _WORKERS:
+        _WORKERS[path] = PieceTokenizer(path)
+    return _WORKERS[path]
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -89,17 +160,17 @@ def _pieces(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part = WordTokenizer(tokenizer), TaskContext.get().partitionId()
+        words, part = worker(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = END_ID.to_bytes(4, "little")
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
-                ids, start, view = ids + end, 0, memoryview(ids + end)
+                ids, start = memoryview(ids.astype("<u4").tobytes() + end), 0
                 for length in cut(len(ids) // 4, capacity):
                     rank = seen.get(length, 0)
                     seen[length] = rank + 1
-                    rows.append((doc, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), len(ids) // 4, part, rank))
+                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, part, rank))
                     start += length
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.int32(), pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"])
