@@ -38,8 +38,8 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "reserved"),
 )
-#: Edits allowed: one for so many characters of the notice.
-CHARS_PER_EDIT = 10
+#: Edits allowed: one for so many characters of the notice; seeds are about as long.
+CHARS_PER_EDIT = 14
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
