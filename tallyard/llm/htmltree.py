@@ -15,7 +15,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "template tfoot th thead title tr ul".split()
 )
@@ -63,7 +63,7 @@ def parse(html: str) -> Node:
             if up is not root:
                 here = up.parent
             continue
-        if tag in BLOCK and tag != "br":
+        if tag in BLOCK:
             up = here
             while up is not root and up.tag != "p" and up.tag not in SCOPE and up.tag not in ("li", "td", "th", "dd", "button"):
                 up = up.parent
