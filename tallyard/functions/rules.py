@@ -108,8 +108,10 @@ def last_category(*levels: Column) -> Column:
 
 def detail_spec(rows: Column, words: list[str]) -> Column:
     """Value of the first row (label, value) for the first word that a filled row's label holds."""
-    hits = [F.get(F.filter(rows, lambda r, w=w: r["label"].contains(w) & has_text(r["value"])), F.lit(0)) for w in words]
-    return squash(F.coalesce(*hits)["value"])
+    def first(word: str) -> Column:
+        return F.get(F.filter(rows, lambda r: r["label"].contains(word) & has_text(r["value"])), F.lit(0))
+
+    return squash(F.coalesce(*[first(w) for w in words])["value"])
 
 
 #: Row statuses of popup options add one for controls that are switched off.

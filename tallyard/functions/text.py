@@ -212,6 +212,7 @@ def distinct_texts(items: Column) -> Column:
 
 def pick_by_words(entries: Column, words: list[str]) -> Column:
     """Value of the first entry (key, value) whose key holds the first word that any key holds."""
-    found = [F.get(F.filter(entries, lambda e, w=w: e["key"].contains(w)), F.lit(0)) for w in words]
-    picked = F.coalesce(*found)
-    return picked["value"]
+    def first(word: str) -> Column:
+        return F.get(F.filter(entries, lambda e: e["key"].contains(word)), F.lit(0))
+
+    return F.coalesce(*[first(w) for w in words])["value"]
