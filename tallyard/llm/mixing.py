@@ -83,6 +83,12 @@ def sample(
 
     ``importance`` (positive, 1 if not given) multiplies a document's inclusion odds.
     """
+    drawn = _drawn(docs, keep, weights, most, importance, seed)
+    return drawn.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int, importance: Column | None, seed: int) -> DataFrame:
+    """The sample with the columns of ``keep`` under numbered names, which can't clash."""
     named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     size = word_count(text_of())
     marks = docs.select(
@@ -155,14 +161,12 @@ def sample(
         "extra", F.when(F.col("wanted") <= 0, 0).when(F.col("border").isNull(), 1).when(F.col("slice") < F.col("border"), 1).otherwise(0)
     )
     out = rest.unionByName(at_border)
-    return out.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        "size", "source_size", "target", (F.col("certain") + F.col("extra")).cast("int").alias("copies"), "mark", "nth",
-    )
+    return out.withColumn("copies", (F.col("certain") + F.col("extra")).cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 17) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the sample takes it."""
     columns = docs.columns
-    picked = sample(docs, columns, weights, most, seed=seed).filter("copies > 0")
-    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    picked = _drawn(docs, columns, weights, most, None, seed).filter("copies > 0")
+    repeated = picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])

@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3)
     return Model(seed).fit(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), np.array([r["label"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` and ``score`` of each document."""
+def score(docs: DataFrame, model: Model | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns of ``keep`` and the score, under ``name``, of each document."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +197,10 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 scores = np.full(batch.num_rows, 0.5)
             else:
                 scores = model.forward(*passages(*_buffers(batch.column(len(keep)))))["score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], [*keep, name])
 
     plain = docs.select(*keep, text_of().alias("_text"))
-    return plain.mapInArrow(run, f"{schema}, score double")
+    return plain.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,4 +214,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model accepts."""
     columns = docs.columns
-    return score(docs, fit(docs, labels), columns).filter(F.col("score") >= THRESHOLD).select(*columns)
+    return score(docs, fit(docs, labels), columns, "_score").filter(F.col("_score") >= THRESHOLD).select(*columns)
