@@ -206,17 +206,19 @@ def _near(a: str, b: str, percent: int):
 def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all nodes that have a link, as found among the candidates of each bucket."""
     # a class is named by its set; bands, sketch and size are the same for all of its rows
-    reps = signed.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("mark", "n_shingles", "bands", "sketch"), "mark").alias("r")).select("node", "r.*")
-    rows = reps.select("node", "mark", F.col("n_shingles").alias("n"), "bands", "sketch", F.posexplode("bands").alias("band", "value"))
-    bucket = F.xxhash64("band", "value")
-    rows = materialise(rows.select("node", "mark", "n", "bands", "sketch", "band", bucket.alias("bucket")), "bands")
+    reps = signed.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("mark", "n_shingles", "bands", "sketch"), "mark").alias("r"))
+    reps = materialise(reps.select("node", "r.mark", F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"), "reps")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    # most buckets hold one class; narrow rows find the others, and only theirs take bands and sketches along
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-    live = materialise(rows.join(crowded, "bucket"), "buckets")
-    marks = live.select("node", "mark").distinct()
+    crowded = materialise(rows.join(crowded, "bucket"), "crowded")
+    wide = reps.join(crowded.select("node").distinct(), "node", "left_semi")
+    wide = materialise(wide, "wide")
     plain = docs.select(F.md5(text_of()).alias("mark"), text_of().alias("text"))
-    wanted = plain.join(marks.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
-    texts = materialise(marks.join(wanted, "mark").select("node", "text"), "texts")
-    live = live.select("bucket", "band", "node", "n", "bands", "sketch").withColumn("root", F.col("node"))
+    wanted = plain.join(wide.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    texts = materialise(wide.select("node", "mark").join(wanted, "mark").select("node", "text"), "texts")
+    live = crowded.join(wide.select("node", "n", "bands", "sketch"), "node").withColumn("root", F.col("node"))
+    live = materialise(live, "live")
     links = roots = None
     for turn in range(ROUNDS + 1):
         if roots is not None:
