@@ -27,11 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.llm.common import lookup_join, materialise, maybe_broadcast, text_of
+from tallyard.llm.common import lookup_join, materialise, text_of
 
 #: Slices of the rank scale for which words are summed.
 SLICES = 65_536
 
+#: Sources whose targets are broadcast; with more, they are joined by shuffle with salted hot sources.
+FEW_SOURCES = 5_000
+
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -101,7 +104,7 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
     marks = materialise(marks, "mix-marks")
     sources = marks.groupBy("source_key", "source_null").agg(F.sum("size").cast("long").alias("source_size"))
     targets = materialise(_targets(sources, weights, most), "mix-targets")
-    few = targets.limit(5_001).count() <= 5_000
+    few = targets.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     key = ["source_key", "source_null"]
 
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -120,7 +123,6 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
     if few:
         joined = marks.join(F.broadcast(targets), key)
     else:
-        one = lambda d: d.withColumn("_source", F.struct(*key)).drop(*key)
         text_key = F.concat(F.col("source_null").cast("string"), F.lit(":"), F.col("source_key"))
         joined = lookup_join(
             marks.withColumn("_source", text_key), targets.withColumn("_source", text_key).drop(*key), "_source", ["row"]
