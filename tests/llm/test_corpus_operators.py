@@ -97,6 +97,12 @@ def test_mixing(docs):
     assert mixing.mix(docs).count() == sum(r.copies for r in got)
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    few = {r.doc_id: (r.copies, r.target) for r in mixing.sample(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert {r.doc_id: (r.copies, r.target) for r in mixing.sample(docs, ["doc_id"]).collect()} == few
+
+
 def water(by):
     order = sorted(by, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
