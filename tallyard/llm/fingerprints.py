@@ -114,12 +114,12 @@ def sketch(prefixes: Prefixes) -> np.ndarray:
     slot = (x & np.uint64(SLOTS - 1)).astype(np.int64)
     value = x >> np.uint64(32)
     best = np.full(SLOTS, 1 << 32, np.uint64)
-    # minimum by class: small candidates are enough, sorted once
-    order = np.argsort(value, kind="stable")[: 64 * SLOTS] if len(value) > 64 * SLOTS else np.argsort(value, kind="stable")
-    seen = slot[order]
-    classes, first = np.unique(seen, return_index=True)
-    best[classes] = value[order][first]
-    if len(classes) < SLOTS and len(order) < len(value):
+    # the smallest of a class is nearly always among the smallest of all: those are sorted, the rest only if a class got none
+    few = np.flatnonzero(value < np.uint64(min(1 << 32, (16 * SLOTS << 32) // len(x))))
+    few = few[np.argsort(value[few], kind="stable")]
+    classes, first = np.unique(slot[few], return_index=True)
+    best[classes] = value[few[first]]
+    if len(classes) < SLOTS and len(few) < len(x):
         np.minimum.at(best, slot, value)
         classes = np.flatnonzero(best < 1 << 32)
     if len(classes) < SLOTS:

@@ -31,6 +31,8 @@ from tallyard.llm.common import lookup_join, materialise, text_of
 
 #: Slices of the rank scale for which words are summed.
 SLICES = 65_536
+#: Slices summed together first.
+BLOCK = 256
 
 #: Sources whose targets are broadcast; with more, they are joined by shuffle with salted hot sources.
 FEW_SOURCES = 5_000
@@ -139,9 +141,14 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
         .withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * F.lit(SLICES)).cast("int"))
     )
     cells = ranked.filter("wanted > 0").groupBy(*key, "slice").agg(F.sum("size").alias("words"), F.max("wanted").alias("wanted"))
-    running = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    border = cells.filter("before < wanted and before + words >= wanted").select(*key, F.col("slice").alias("border"), F.col("before").alias("border_before"))
+    cells = materialise(cells.withColumn("block", F.expr(f"slice div {BLOCK}")), "mix-cells")
+    # the border's block of slices, then its slice: no window is longer than a block, or than there are blocks
+    blocks = cells.groupBy(*key, "block").agg(F.sum("words").alias("words"), F.max("wanted").alias("wanted"))
+    running = lambda by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = (F.col("before") < F.col("wanted")) & (F.col("before") + F.col("words") >= F.col("wanted"))
+    blocks = blocks.withColumn("before", running(key, "block")).filter(reached).select(*key, "block", F.col("before").alias("block_before"))
+    border = cells.join(blocks, [*key, "block"]).withColumn("before", F.col("block_before") + running(key, "slice")).filter(reached)
+    border = border.select(*key, F.col("slice").alias("border"), F.col("before").alias("border_before"))
     border = materialise(border, "mix-border")  # one row per source at most
     if few:
         placed = ranked.join(F.broadcast(border), key, "left")
