@@ -39,7 +39,12 @@ NOTICES = (
     ("all rights reserved", "reserved"),
 )
 #: Edits allowed: one for so many characters of the notice; seeds are about as long.
-CHARS_PER_EDIT = 14
+CHARS_PER_EDIT = 10
+#: Words that tell a notice from those of other licences, and what may stand there instead.
+TELLING = {
+    "mit": ("bsd", "isc", "gpl", "mpl", "epl", "x11", "zlib", "cc0", "bsl"), "nc": ("sa", "nd"), "sa": ("nc", "nd"),
+    "mozilla": ("eclipse", "netscape"), "lesser": ("affero",),
+}
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -65,14 +70,59 @@ def _patterns():
     out = []
     for notice, label in NOTICES:
         edits = len(notice) // CHARS_PER_EDIT
-        out.append((notice, label, edits, seeds(notice), regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
+        at: dict[str, int] = {}
+        for i, x in enumerate(notice):
+            at[x] = at.get(x, 0) | 1 << i
+        out.append((notice, label, edits, seeds(notice), at, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
+    return out
+
+
+def _holds(window: str, n: int, at: dict[str, int], edits: int) -> bool:
+    """Whether some part of ``window`` is within ``edits`` of the n characters at places ``at``.
+
+    A column of the table of distances is two bit vectors of steps (Myers); far cheaper than a failing search.
+    """
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = full, 0, n
+    for x in window:
+        eq = at.get(x, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more = down | (full & ~(diagonal | up))
+        less = up & diagonal
+        if more & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+            if distance <= edits:
+                return True
+        more, less = more << 1, less << 1
+        up = (less | ~(diagonal | more)) & full
+        down = more & diagonal & full
+    return False
+
+
+@cache
+def _others(notice: str, edits: int):
+    """Patterns of which none fits a span of ``notice`` with so many edits.
+
+    Either another licence's word makes it closer, or all letters of the telling word went into the edits.
+    """
+    import regex
+
+    out = []
+    for word in set(notice.split()) & TELLING.keys():
+        before, after = (regex.escape(x.strip()) for x in f" {notice} ".split(f" {word} "))
+        around = lambda x, e: regex.compile(rf"(?:{before} {x} {after}){{e<={e}}}")  # noqa: B023, E731
+        out += [around(x, edits - 1) for x in TELLING[word]]
+        if edits >= len(word):
+            out.append(around(r"\S+", edits - len(word)))
     return out
 
 
 def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
     """(label, first word, last word, edits, length of the notice) of each notice found, in order."""
     found = set()
-    for notice, label, edits, parts, pattern in _patterns():
+    for notice, label, edits, parts, places, pattern in _patterns():
         windows = []
         for offset, seed in parts:
             at = words.find(seed)
@@ -86,6 +136,8 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
             lo = max(lo, end, 0)
             # offsets count bytes; a character cut at either end becomes a mismatch there
             window = words[lo : hi + 4 * edits].decode("utf-8", "replace")
+            if not _holds(window, len(notice), places, edits):
+                continue
             if m := pattern.search(window):
                 start = lo + len(window[: m.start()].encode())
                 stop = lo + len(window[: m.end()].encode())
@@ -94,7 +146,9 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
                 while stop > start and words[stop - 1 : stop] == b" ":
                     stop -= 1
                 first = words.count(b" ", 0, start)
-                found.add((label, first, first + words.count(b" ", start, stop), sum(m.fuzzy_counts), len(notice)))
+                off = sum(m.fuzzy_counts)
+                if not (off and any(x.fullmatch(m[0].strip()) for x in _others(notice, off))):
+                    found.add((label, first, first + words.count(b" ", start, stop), off, len(notice)))
                 end = stop
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 

@@ -279,3 +279,31 @@ def test_seeds_find_every_candidate(notice, label):
             i = int(g.integers(1, len(text) - 1))
             text[i] = "q"
         assert any(s.decode() in "".join(text) for _, s in licenses.seeds(notice))
+
+
+def edited(g, notice, edits, letters, most=None):
+    """``notice`` with so many edits inside."""
+    text = list(notice)
+    for _ in range(edits):
+        i, op = int(g.integers(1, (most or len(text)) - 1)), int(g.integers(3))
+        text[i : i + (op != 1)] = [] if op == 2 else [letters[int(g.integers(len(letters)))]]
+    return "".join(text)
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("Releesed under tha MIT licanse", "mit"), ("lisenced under the apache lisense version 2 o", "apache"), ("lisensed under cc by nc 4 O", "cc-by,cc-by-nc"),
+    ("permision is hereby grantad free of charg to any persan obtaining a cpy of", "mit"), ("released under the m1t license", "mit"),
+    # other licences' words are no misprints
+    ("licensed under cc by sa 4 0", "cc-by,cc-by-sa"), ("licensed under cc by nd 4 0", "cc-by"), ("released under the bsd license", ""), ("released under the new license", ""),
+    ("this source code form is subject to the terms of the eclipse public license", ""), ("under the terms of the gnu affero general public license", "gpl"),
+])
+def test_one_edit_for_ten_characters(text, labels):
+    assert licenses.scan(f"some words {text} and more".encode())[5] == labels
+
+
+def test_the_quick_test_of_windows_is_exact():
+    g = np.random.default_rng(4)
+    for notice, _, edits, _, places, pattern in licenses._patterns():
+        for _ in range(30):
+            text = f"a word {edited(g, notice, int(g.integers(edits + 3)), 'aeilrst m')} or two"
+            assert licenses._holds(text, len(notice), places, edits) == bool(pattern.search(text))
