@@ -127,15 +127,20 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
         for offset, seed in parts:
             at = words.find(seed)
             while at >= 0:
-                windows.append((max(0, at - offset - edits), at - offset + len(notice) + edits))
+                # offsets count bytes; an edit may have put in a character of four
+                windows.append((max(0, at - offset - 4 * edits), at - offset + len(notice) + edits))
                 at = words.find(seed, at + 1)
         end = -1
         for lo, hi in sorted(set(windows)):
             if hi <= end:
                 continue  # within a span that is found already
             lo = max(lo, end, 0)
-            # offsets count bytes; a character cut at either end becomes a mismatch there
-            window = words[lo : hi + 4 * edits].decode("utf-8", "replace")
+            hi += 4 * edits
+            while lo > end and 0x80 <= words[lo] < 0xC0:  # whole characters only
+                lo -= 1
+            while hi < len(words) and 0x80 <= words[hi] < 0xC0:
+                hi += 1
+            window = words[lo:hi].decode("utf-8", "replace")
             if not _holds(window, len(notice), places, edits):
                 continue
             if m := pattern.search(window):

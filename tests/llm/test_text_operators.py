@@ -301,6 +301,21 @@ def test_one_edit_for_ten_characters(text, labels):
     assert licenses.scan(f"some words {text} and more".encode())[5] == labels
 
 
+def test_windows_hold_edits_of_many_bytes():
+    """A notice that the bare pattern finds in the whole text is found in a window of it."""
+    assert licenses.scan("all ri€ghts reserved".encode())[5] == "reserved"
+    g = np.random.default_rng(5)
+    for notice, label, edits, _, _, pattern in licenses._patterns():
+        for k in range(40):
+            # half of them have all edits ahead of the last seed
+            bad = edited(g, notice, edits, "é€日\U0001f600", len(notice) * edits // (edits + 1) if k % 2 else None)
+            text = f"日本語 words€ {bad} ünd mehr"
+            m = pattern.search(text)
+            off = sum(m.fuzzy_counts) if m else 0
+            if m and not (off and any(x.fullmatch(m[0].strip()) for x in licenses._others(notice, off))):
+                assert label in {x[0] for x in licenses.fuzzy(text.encode())}, text
+
+
 def test_the_quick_test_of_windows_is_exact():
     g = np.random.default_rng(4)
     for notice, _, edits, _, places, pattern in licenses._patterns():
