@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyard.llm import mixing, neardup, packing, pii, quality
 from tallyard.llm.common import materialise, table
 
+#: Documents are near copies from this Jaccard similarity of their shingles on.
+PERCENT = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, fitted on the labelled rows of ``docs``, accepts."""
@@ -20,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, PERCENT)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

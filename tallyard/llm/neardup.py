@@ -9,9 +9,9 @@ circularly by ``k``:
 
 so two permutations give all coordinates. Bands of coordinates make buckets; two bits of
 each coordinate make a sketch. A candidate pair shares a bucket and has sketches that
-differ in ``DIFFER`` coordinates at most; a pair at the threshold fails either test about
-once in a hundred thousand, a closer one less. Links are confirmed on the full sets of
-shingle hashes.
+differ in a bounded number of coordinates; bands and bound follow from the threshold, so
+that a pair at it fails either test about once in a hundred thousand, a closer one less.
+Links are confirmed on the full sets of shingle hashes.
 
 Documents with the same set are one class from the start (copies are never paired).
 In a round, the classes of a bucket are compared with one pivot of the bucket and links
@@ -30,7 +30,9 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +44,12 @@ from tallyard.llm.common import lookup_join, materialise, slices, text_of
 
 SHINGLE = 5
 UNIVERSE = 1 << 20
-BANDS, ROWS = 36, 8
 #: Coordinates of a signature; the sketch has two bits for each.
 COORDINATES = 512
-#: Coordinates in which sketches of a candidate pair differ at most: 57.6 are expected of a link at
-#: the threshold (0.15 * 3/4 of all), with a deviation of 7.1.
-DIFFER = 88
+#: Bands, at most, and the share of pairs at the threshold that may share none.
+MOST_BANDS, MISSED = 40, 1.1e-5
+#: Deviations above the expectation that sketches of a pair at the threshold may differ by.
+DEVIATIONS = 4.25
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Rounds of comparisons with pivots, at most.
@@ -100,10 +102,25 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, table: np.ndarray) ->
     return best
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
-    for i in range(ROWS):
+@cache
+def settings(percent: int) -> tuple[int, int, int]:
+    """(bands, coordinates of a band, coordinates in which sketches may differ) for links of ``percent``.
+
+    The longest bands of which few enough suffice: 36 of 8 and 88 at 85 %, 38 of 6 and 112 at 80 %.
+    """
+    if not 5 <= percent <= 100:
+        raise ValueError(f"no settings for {percent} %")
+    same = percent / 100
+    needed = lambda rows: 1 if same == 1 else math.ceil(math.log(MISSED) / math.log1p(-(same**rows)))
+    rows = max((r for r in range(2, 33) if needed(r) <= MOST_BANDS and needed(r) * r <= COORDINATES), default=1)
+    other = (1 - same) * 3 / 4  # two bits of different coordinates are the same once in four
+    return needed(rows), rows, math.ceil(COORDINATES * other + DEVIATIONS * math.sqrt(COORDINATES * other * (1 - other)))
+
+
+def bands(coordinates: np.ndarray, count: int, size: int) -> np.ndarray:
+    rows = coordinates[:, : count * size].reshape(-1, count, size).astype(np.uint64)
+    out = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(rows), 1))
+    for i in range(size):
         out = finish(out * MIX + rows[:, :, i])
     return out.view(np.int64)
 
@@ -123,8 +140,9 @@ def _lists(rows: np.ndarray, filled: np.ndarray) -> pa.Array:
 SIGNED = "doc_id long, mark string, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     table = _table()
+    count, rows, _ = settings(percent)
     for batch in slices(batches):
         sets, offsets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist())
         size = np.diff(offsets)
@@ -132,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = sets.tobytes()
         keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), _lists(bands(best), size > 0), _lists(sketches(best), size > 0)],
+            [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), _lists(bands(best, count, rows), size > 0), _lists(sketches(best), size > 0)],
             ["doc_id", "mark", "n_shingles", "node", "bands", "sketch"],
         )
 
@@ -188,10 +206,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, mark, n_shingles, node (digest of the set, null if empty), bands and sketch of each row; frozen."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("mark"), text_of().alias("text"))
-    return materialise(source.mapInArrow(_sign, SIGNED), "signed")
+    return materialise(source.mapInArrow(lambda x: _sign(x, percent), SIGNED), "signed")
 
 
 def _near(a: str, b: str, percent: int):
@@ -200,7 +218,7 @@ def _near(a: str, b: str, percent: int):
     other = lambda i: F.col(f"sketch{a}")[i].bitwiseXOR(F.col(f"sketch{b}")[i])
     differ = sum((F.bit_count(other(i).bitwiseOR(other(planes + i))) for i in range(planes)), F.lit(0))
     small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (100 * small >= percent * large) & (differ <= DIFFER)
+    return (100 * small >= percent * large) & (differ <= settings(percent)[2])
 
 
 def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,7 +272,7 @@ def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFram
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs``."""
-    signed = sign(docs)
+    signed = sign(docs, percent)
     roots = link(docs, signed, percent)
     # by class, so that copies are counted once before anything is joined
     by_class = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

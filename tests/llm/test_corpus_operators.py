@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,45 @@ def test_chains_and_groups(spark):
     assert kept == sorted({c for _, c in got.values()})
 
 
+def test_pipeline_drops_copies_of_eighty_percent(spark, sf):
+    """Pairs of Jaccard 0.815 (4 of 200 words changed) are links of the stage, those of 0.777 are none."""
+    rows = []
+    for i in range(60):
+        text = [f"w{i}x{j}" for j in range(200)]
+        rows.append((2 * i, " ".join(text)))
+        for k in range(4 if i < 40 else 5):
+            text[20 + 35 * k] = "other"
+        rows.append((2 * i + 1, " ".join(text)))
+    sets = dict((d, shingles(t)) for d, t in rows)
+    near = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(60)]
+    assert all(0.8 < x < 0.82 for x in near[:40]) and all(0.77 < x < 0.8 for x in near[40:])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, sf).collect())
+    assert kept == sorted([2 * i for i in range(60)] + [2 * i + 1 for i in range(40, 60)])
+
+
+def test_candidate_settings_follow_the_threshold():
+    assert neardup.settings(85) == (36, 8, 88)
+    g = np.random.default_rng(2)
+    for percent in (70, 80, 90):
+        count, rows, differ = neardup.settings(percent)
+        assert count * rows <= neardup.COORDINATES and (1 - (percent / 100) ** rows) ** count < 2e-5
+        sets, offsets, half = [], [0], 400  # pairs of sets exactly at the threshold
+        for _ in range(100):
+            common, own = half * 2 * percent // 100, half * (100 - percent) // 100
+            x = g.integers(1, 1 << 63, common + 2 * own, dtype=np.uint64)
+            for part in (x[: common + own], np.concatenate((x[:common], x[common + own :]))):
+                sets.append(part)
+                offsets.append(offsets[-1] + len(part))
+        best = neardup.signatures(np.concatenate(sets), np.array(offsets), neardup._table())
+        planes = neardup.sketches(best).view(np.uint64)
+        apart = planes[::2] ^ planes[1::2]
+        apart = np.bitwise_count(apart[:, :8] | apart[:, 8:]).sum(1)
+        assert apart.max() <= differ and abs(apart.mean() - 0.75 * (100 - percent) / 100 * neardup.COORDINATES) < 6
+        values = neardup.bands(best, count, rows)
+        assert (values[::2] == values[1::2]).any(1).all()
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count() and neardup.near_duplicates(none).count() == 0
