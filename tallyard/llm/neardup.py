@@ -288,8 +288,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, one of those if it is repeated."""
+    """One row of each component: that of the smallest doc_id, null last; the same text comes once, blank rows all stay."""
     columns = docs.columns
-    survivors = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(survivors, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    signed = sign(docs, percent)
+    roots = link(docs, signed, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("first")
+    by_class = signed.filter("node is not null").groupBy("node").agg(first)
+    rooted = by_class.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    survivors = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    survivors = materialise(survivors.select(F.col("first.doc_id").alias("_first"), F.col("first.mark").alias("_first_mark")), "survivors")
+    blank = ~text_of().rlike(r"[^\x20\x09-\x0D]")  # a row without words is a component
+    rows = docs.filter(~blank).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_mark", F.md5(text_of()))
+    kept = rows.join(survivors, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_first_mark")), "left_semi")
+    # a survivor's id and text may stand in several rows
+    return kept.dropDuplicates(["_id", "_mark"]).select(*columns).unionByName(docs.filter(blank).select(*columns))

@@ -85,6 +85,20 @@ def test_pipeline_drops_copies_of_eighty_percent(spark, sf):
     assert kept == sorted([2 * i for i in range(60)] + [2 * i + 1 for i in range(40, 60)])
 
 
+def test_one_row_of_each_component(spark):
+    """Null and repeated ids don't lose texts of other components, nor bring copies back."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (3, text("c")),
+        (5, text("d")), (5, text("e")), (4, text("e")), (6, text("f")), (6, text("f")), (None, ""), (None, " "), (7, None), (7, ""),
+    ]
+    for percent in (80, 85):
+        got = [(r.doc_id, r.text) for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()]
+        got = [x for x in got if x != (None, text("b") + " more")] + [(None, text("b")) for x in got if x == (None, text("b") + " more")]
+        want = [(None, text("a")), (None, text("b")), (3, text("c")), (5, text("d")), (4, text("e")), (6, text("f")), (None, ""), (None, " "), (7, None), (7, "")]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_candidate_settings_follow_the_threshold():
     assert neardup.settings(85) == (36, 8, 88)
     g = np.random.default_rng(2)
