@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,24 +13,30 @@ from pyspark.sql import functions as F
 from tallyard.functions.text import kst_day, year_start
 
 
-def records(documents: DataFrame, key: str = "doc", column: str = "json", depth: int = 60) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the session's shared folder and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'tallyard')}"
+    path = f"{base.rstrip('/')}/shipping-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def records(documents: DataFrame, key: str = "doc", column: str = "json") -> DataFrame:
     """Distinct (key, id, name) of all nodes that have both ``id`` and ``mft_itemName``.
 
-    A recursive query walks arrays and objects level by level; documents that are no JSON give
-    nothing. The row limit of recursive queries holds for a call, so large inputs go in batches.
+    Arrays and objects are walked level by level until a level is empty, with no limit of rows or of
+    depth here; each level is stored. Documents that are no JSON give nothing.
     """
-    spark = documents.sparkSession
-    name = f"shipping_{uuid.uuid4().hex}"
-    documents.select(F.col(key).alias("doc"), F.try_parse_json(F.col(column)).alias("v")).filter("v is not null").createOrReplaceTempView(name)
-    found = spark.sql(f"""
-        WITH RECURSIVE walk(doc, v) MAX RECURSION LEVEL {depth} AS (
-            SELECT doc, v FROM {name}
-            UNION ALL
-            SELECT w.doc, e.value FROM walk AS w, LATERAL variant_explode(w.v) AS e
-        )
-        SELECT doc, try_variant_get(v, '$.id', 'string') AS id, try_variant_get(v, '$.mft_itemName', 'string') AS name FROM walk
-    """)
-    return found.filter("id is not null and name is not null").dropDuplicates(["doc", "id", "name"]).withColumnRenamed("doc", key)
+    v = F.try_parse_json(F.col(column))
+    level = _stored(documents.select(F.col(key).alias("doc"), v.alias("v")).filter("v is not null"))
+    found = []
+    while not level.isEmpty():
+        found.append(level.selectExpr("doc", "try_variant_get(v, '$.id', 'string') AS id", "try_variant_get(v, '$.mft_itemName', 'string') AS name"))
+        inner = level.filter("schema_of_variant(v) LIKE 'OBJECT<%' OR schema_of_variant(v) LIKE 'ARRAY<%'")
+        level = _stored(inner.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("doc", "value").withColumnRenamed("value", "v"))
+    rows = reduce(DataFrame.unionByName, found) if found else documents.select(F.col(key).alias("doc"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")).limit(0)
+    return rows.filter("id is not null and name is not null").dropDuplicates(["doc", "id", "name"]).withColumnRenamed("doc", key)
 
 
 def date_ranges(df: DataFrame, ts: str = "ts") -> DataFrame:

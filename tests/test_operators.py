@@ -100,6 +100,15 @@ def test_shipping(spark):
     assert rows(shipping.records(df), "doc", "id", "name") == [(1, "1", "A"), (1, "2", "B")]
 
 
+def test_shipping_of_deep_and_many_nodes(spark):
+    """Nodes below level 60, and more nodes than a recursive query may give."""
+    deep = '{"a":' * 70 + '{"id":1,"mft_itemName":"A"}' + "}" * 70
+    assert rows(shipping.records(spark.createDataFrame([(1, deep)], "doc int, json string")), "doc", "id", "name") == [(1, "1", "A")]
+    kids = F.array_repeat(F.lit('{"id":1,"mft_itemName":"A"}'), 100)
+    many = spark.range(4000).select(F.col("id").alias("doc"), F.concat(F.lit("["), F.array_join(kids, ","), F.lit("]")).alias("json"))
+    assert shipping.records(many).count() == 4000
+
+
 def test_cycle_risk(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 10.0), ("a", 3, 23.0), ("b", 1, 10.0), ("b", 2, 10.0), ("b", 3, 22.0), ("c", 1, 1.0), ("c", 2, 90.0)], "run string, cycleNo int, msPerProduct double")
     r = health.cycle_risks(df.withColumn("maxDomNodes", F.lit(1)).withColumn("maxHeapMb", F.lit(1)), ["run"]).filter("size(reasons) > 0")
