@@ -58,12 +58,12 @@ def tokens_of(url: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     names = F.transform(labels, lambda x: F.concat(F.lit("h:"), x))
     endings = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.least(F.size(labels), F.lit(4)), F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
         lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")),
     )
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     level = lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "9")
-    parts = F.transform(F.slice(segments, 1, 8), lambda x: F.concat(F.lit("p:"), level(x)))
+    parts = F.transform(segments, lambda x: F.concat(F.lit("p:"), level(x)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
     scheme = F.concat(F.lit("s:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^([A-Za-z]+)://", 1)))
@@ -89,8 +89,17 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     empty = pages.sparkSession.createDataFrame([], "rule array<string>, confidence double, lift double, support double")
     if not total:
         return empty
-    baskets = marked.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     support = min(1.0, max(SUPPORT, LEAST_PAGES / total))
+    # tokens of the same pages (a deep common path has many) are mined as one: a rule with two of them
+    # would fall to the one without; else combinations would double with each token
+    page = [F.xxhash64("tokens", F.lit(i)).cast("decimal(38,0)") for i in (1, 2)]
+    seen = marked.select(F.explode("tokens").alias("token"), page[0].alias("x"), page[1].alias("y"))
+    seen = seen.groupBy("token").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).filter(F.col("n") >= F.lit(support * total * 0.999))
+    alike = materialise(seen.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"), "alike")
+    numbered = materialise(marked.select(F.expr("uuid()").alias("page"), "tokens", "bad"), "numbered")
+    first = numbered.select("page", F.explode("tokens").alias("token")).join(alike, "token", "left_semi").groupBy("page").agg(F.collect_list("token").alias("few"))
+    marked = numbered.join(first, "page", "left").select(F.coalesce("few", F.array().cast("array<string>")).alias("tokens"), "bad")
+    baskets = marked.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets).associationRules
     kept = rules.filter(F.array_contains("consequent", BLOCKED) & (F.col("lift") >= LIFT))
     kept = materialise(kept.select(F.array_sort("antecedent").alias("rule"), "confidence", "lift", "support"), "rules")
@@ -102,7 +111,14 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .filter((F.size("inner") < F.size("rule")) & (F.col("inner_confidence") >= F.col("confidence")))
         .groupBy("rule", "inner").agg(F.count("*").alias("met")).filter(F.col("met") == F.size("inner")).select("rule").distinct()
     )
-    return kept.join(worse, "rule", "left_anti")
+    kept = kept.join(worse, "rule", "left_anti")
+    # each rule again with every token that stands for one of its own
+    told = kept.select("*", F.explode("rule").alias("token")).join(alike, "token").groupBy("rule", "confidence", "lift", "support").agg(F.collect_list("members").alias("members"))
+    product = F.aggregate(
+        "members", F.array(F.array()).cast("array<array<string>>"),
+        lambda rules, tokens: F.flatten(F.transform(rules, lambda r: F.transform(tokens, lambda t: F.concat(r, F.array(t))))),
+    )
+    return told.select(F.explode(product).alias("rule"), "confidence", "lift", "support").withColumn("rule", F.array_sort("rule"))
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -299,6 +299,18 @@ def test_mined_rules_block(spark):
     assert all((got[i] == "block") == (i % 4 == 0) for i, _ in rows)
 
 
+def test_rules_of_deep_tokens(spark):
+    """Segments beyond the eighth and suffixes of more than four labels are mined and matched."""
+    deep = "/".join("abcdefghi")
+    rows = [(i, f"http://site.example.uk/{deep}/{'win' if i % 4 == 0 else 'news'}/{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urlrules.judge(pages, labels).collect()}
+    assert all((got[i] == "block") == (i % 4 == 0) for i, _ in rows)
+    tokens = spark.createDataFrame([("http://a.b.c.d.e.f/",)], "url string").select(urlrules.tokens_of(F.col("url")).alias("t")).first().t
+    assert {"d:b.c.d.e.f", "d:a.b.c.d.e.f"} <= set(tokens)
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
