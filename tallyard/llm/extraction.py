@@ -130,7 +130,11 @@ def main_text(html: str | None) -> str:
     if up is not None:
         best = up
     kept, parent = [best], best.parent
-    if parent is not None and up is None:
+    if parent is not None and up is not None:
+        # a story may go on in further articles
+        scores = lambda x: not isinstance(x, str) and x.tag in ("article", "main") and not _boilerplate(x) and score.get(x, 0.0) >= 0.2 * score.get(best, 0.0) > 0
+        kept = [x for x in parent.children if x is best or scores(x)]
+    elif parent is not None:
         kept = []
         threshold = max(10.0, 0.2 * score.get(best, 0.0))
         same = best.get("class")

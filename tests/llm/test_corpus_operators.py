@@ -246,6 +246,12 @@ def test_main_text(main, want):
     assert extraction.main_text(PAGE.format(main=main)) == want
 
 
+def test_sibling_articles_are_kept():
+    one, two = "Part one of the story, with words enough to score.", "Part two of the story, with words enough to score, too."
+    main = f"<main><article><p>{one}</p></article><article><p>{two}</p></article><article><a href=/>A teaser that is long enough, but links.</a></article></main>"
+    assert extraction.main_text(PAGE.format(main=main)) == f"{one} {two}"
+
+
 def test_extraction_of_odd_pages(spark, sf):
     deep = "<div>" * 3000 + "<p>The deepest paragraph, which is long enough, stands here.</p>"
     df = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (3, "u", "no tags, but text &lt;x&gt;", 5), (4, "u", deep, 5), (4, "u", deep, 5), (None, "u", "<p" * 50, 5), (6, "u", "<!-- open <p>x", 5)], "page_id long, url string, html string, n_chars int")
