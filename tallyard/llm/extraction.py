@@ -1,12 +1,14 @@
 """Main text of web pages by tree scoring.
 
 Boilerplate elements are recognised by tag, role and the words of class and id, and
-left out. Each paragraph then earns points, one plus one for each comma and for each
-hundred characters (three at most), and passes them to its ancestors: all to the
-parent, half to the grandparent, a third and so on above. A container's points are
-discounted by the share of its text that stands in links. The best container, widened
-to the article or main element around it, is kept with those of its siblings that score
-well enough or are paragraphs of prose.
+left out, unless they hold most of the page's scored paragraphs. Each paragraph then earns
+points, one plus one for each comma and for each hundred characters (three at most), and
+passes them to its nearest ``LEVELS`` ancestors: all to the parent, half to the
+grandparent, a third and so on. A container's points are discounted by the share of its
+text that stands in links; article and main elements get a bonus. The best container is
+kept with those of its siblings that score well enough or are paragraphs of prose; where
+the container's only company is a parent that adds headings or prose outside links, as
+an article does around its body, the parent takes its place.
 
 Defined results: null, empty and markup-only html give the empty text; pages whose
 paragraphs are all too short to score keep what isn't boilerplate; repeated rows are
@@ -40,6 +42,8 @@ NEVER_DROPPED = frozenset("#root html body article main h1".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4 figcaption div section article".split())
 #: Characters below which a paragraph earns nothing.
 LEAST = 25
+#: Ancestors that get points of a paragraph; factor of article and main; share of prose that spares a name; share of the best score that widens it.
+LEVELS, BONUS, MOST, CLOSE = 8, 1.25, 0.5, 0.75
 
 WORDS = re.compile(r"[a-z]+")
 
@@ -72,7 +76,7 @@ def _boilerplate(node: Node) -> bool:
     return False
 
 
-def _measure(root: Node):
+def _measure(root: Node, skip=_boilerplate):
     """Length and linked length of each node's text, and points of each container."""
     length: dict[Node, int] = defaultdict(int)
     linked: dict[Node, int] = defaultdict(int)
@@ -81,9 +85,11 @@ def _measure(root: Node):
     own: dict[Node, int] = defaultdict(int)
     links = 0
     stack: list[Node] = []
-    for event, item in walk(root, _boilerplate):
+    around: list[Node] = []  # of each open element, the paragraph that its text belongs to
+    for event, item in walk(root, skip):
         if event == "open":
             stack.append(item)
+            around.append(item if item.tag in PARAGRAPHS or not around else around[-1])
             links += item.tag == "a"
         elif event == "text":
             n = len(" ".join(item.split()))
@@ -92,19 +98,16 @@ def _measure(root: Node):
                 length[node] += n
                 commas[node] += item.count(",") + item.count("，") + item.count("、")
                 linked[node] += n * bool(links)
-                # text of inline elements belongs to the paragraph around them
-                up = node
-                while up.tag not in PARAGRAPHS and up.parent is not None:
-                    up = up.parent
-                own[up] += n
+                own[around[-1]] += n
         else:
             stack.pop()
+            around.pop()
             links -= item.tag == "a"
             if item.tag in PARAGRAPHS and own[item] >= LEAST:
                 score = 1 + commas[item] + min(length[item] // 100, 3)
                 # a block of bare text is its own container
                 up, level = (item if item.tag in ("div", "section", "article") else item.parent), 1
-                while up is not None:
+                while up is not None and level <= LEVELS:
                     points[up] += score / level
                     up, level = up.parent, level + 1
             if stack:
@@ -114,44 +117,76 @@ def _measure(root: Node):
     return length, linked, points
 
 
+def _bulky(root: Node) -> set[Node]:
+    """Elements named like boilerplate (not by their tag) that hold the story all the same.
+
+    They hold most of the page's prose in paragraphs and its article, main or h1 element, or,
+    where the page has none, three paragraphs at least.
+    """
+    prose: dict[Node, int] = defaultdict(int)
+    count: dict[Node, int] = defaultdict(int)
+    heads: dict[Node, int] = defaultdict(int)
+    named: list[Node] = []
+    for event, item in walk(root, lambda x: x.tag in DROPPED_TAGS):
+        if event == "open":
+            if _boilerplate(item):
+                named.append(item)
+        elif event == "close":
+            if item.tag == "p" and (n := sum(len(x) for x in item.children if isinstance(x, str))) >= LEAST:
+                prose[item] += n
+                count[item] += 1
+            heads[item] += item.tag in ("article", "main", "h1")
+            if item.parent is not None:
+                for sums in (prose, count, heads):
+                    sums[item.parent] += sums[item]
+    holds = lambda x: heads[x] > 0 if heads[root] else count[x] >= 3
+    return {x for x in named if prose[x] > MOST * prose[root] and holds(x) and not _apart(x)}
+
+
+def _apart(node: Node) -> bool:
+    """Elements that readers' comments and hidden parts are in, however long."""
+    low = f" {node.attrs.lower()} "
+    return bool(re.search(r"comment|discussion|respond|hidden|display\s*:\s*none|\brole\b", low))
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    length, linked, points = _measure(root)
+    spared = _bulky(root)
+    left_out = (lambda x: x not in spared and _boilerplate(x)) if spared else _boilerplate
+    length, linked, points = _measure(root, left_out)
     density = lambda x: linked[x] / length[x] if length[x] else 0.0
-    score = {x: p * (1 - density(x)) for x, p in points.items()}
+    score = {x: p * (1 - density(x)) * (BONUS if x.tag in ("article", "main") else 1.0) for x, p in points.items()}
     if not score:
-        return " ".join(blocks(root, _boilerplate))
+        return " ".join(blocks(root, left_out))
     best = max(score, key=score.__getitem__)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:
+    # the body of an article: a parent that scores nearly as well, or is an article itself, holds the rest of it
+    while (up := best.parent) is not None and up.tag not in ("#root", "html", "body"):
+        if not (up.tag == "article" or (best.tag != "article" and score.get(up, 0.0) >= CLOSE * score[best])):
+            break
         best = up
     kept, parent = [best], best.parent
-    if parent is not None and up is not None:
-        # a story may go on in further articles
-        scores = lambda x: not isinstance(x, str) and x.tag in ("article", "main") and not _boilerplate(x) and score.get(x, 0.0) >= 0.2 * score.get(best, 0.0) > 0
-        kept = [x for x in parent.children if x is best or scores(x)]
-    elif parent is not None:
+    if parent is not None:
         kept = []
-        threshold = max(10.0, 0.2 * score.get(best, 0.0))
+        threshold = max(10.0, 0.2 * score[best]) if best.tag not in ("article", "main") else 0.2 * score[best]
         same = best.get("class")
         for x in parent.children:
             if x is best:
                 kept.append(x)
-            elif isinstance(x, str) or _boilerplate(x):
+            elif isinstance(x, str) or left_out(x):
                 continue
-            elif score.get(x, 0.0) + (0.2 * score.get(best, 0.0) if same and x.get("class") == same else 0.0) >= threshold:
+            elif score.get(x, 0.0) + (0.2 * score[best] if same and x.get("class") == same else 0.0) >= threshold and (x.tag == best.tag or best.tag != "article"):
                 kept.append(x)
-            elif x.tag == "p" and ((length[x] > 80 and density(x) < 0.25) or (0 < length[x] <= 80 and density(x) == 0)):
+            elif best.tag not in ("article", "main") and x.tag == "p" and ((length[x] > 80 and density(x) < 0.25) or (0 < length[x] <= 80 and density(x) == 0)):
                 kept.append(x)
-            elif x.tag in ("h1", "h2", "h3") and density(x) == 0:
+            elif x.tag in ("h1", "h2", "h3") and density(x) == 0 and best.tag != "article":
                 kept.append(x)
+            elif parent.tag == "main" and x.tag == best.tag == "section" and length[x] and density(x) < 0.25:
+                kept.append(x)  # short sections of one story
 
     def skip(x: Node) -> bool:
-        if _boilerplate(x):
+        if left_out(x):
             return True
         # menus without a name
         return x.tag in ("ul", "ol", "div", "table") and x not in kept and density(x) > 0.8 and sum(not isinstance(c, str) for c in x.children) >= 3

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/)?>",
-    re.S,
-)
+#: Name and attributes of a tag; quotes count after an equals sign only. Possessive, so nothing is read twice.
+TAG = re.compile(r"(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+PLAIN_TAG = re.compile(r"(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # fixed values of HTML
@@ -42,49 +42,89 @@ class Node:
         return default
 
 
+def _tags(html: str):
+    """(start, stop, match or None) of tags, comments and declarations, in order; each character is read a bounded number of times."""
+    at, pattern = 0, TAG
+    while (at := html.find("<", at)) >= 0:
+        stop = match = None
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            stop = len(html) if end < 0 else end + 3
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at)
+            stop = len(html) if end < 0 else end + 1
+        elif html[at + 1 : at + 2].isalpha() or html[at + 1 : at + 2] == "/":
+            match = pattern.match(html, at + 1)
+            if match is None and pattern is TAG and (match := PLAIN_TAG.match(html, at + 1)):
+                pattern = PLAIN_TAG  # a quote without its end: from here on, quotes don't count
+            if match is None and html.find(">", at) < 0:
+                return  # no tag ends after this
+            stop = match.end() if match else None
+        if stop is None:
+            at += 1
+        else:
+            moved = yield at, stop, match
+            at = max(stop, moved or 0)
+            yield  # the answer to send
+
+
 def parse(html: str) -> Node:
     """The root of the tree; text children are raw, with references undecoded."""
     root = Node("#root")
     at, here = 0, root
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            up = here
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag doesn't close blocks
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
-            continue
-        if tag in BLOCK:
-            up = here
-            while up is not root and up.tag != "p" and up.tag not in SCOPE and up.tag not in ("li", "td", "th", "dd", "button"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if tag in ENDS:
-            up, last = here, None
-            while up is not root and (up.tag not in SCOPE):
-                if up.tag in ENDS[tag]:
-                    last = up
-                up = up.parent
-            if last is not None:
-                here = last.parent
-        node = Node(tag, m["attrs"] or "", here)
-        here.children.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            node.children.append(html[at : close.start() if close else len(html)])
-            at = close.end() if close else len(html)
-        elif tag not in VOID:
-            here = node
+    opened: Counter[str] = Counter()  # of each name, elements that are open
+
+    def close(node: Node) -> Node:
+        """Closes what is open down to ``node``, and ``node``."""
+        up = here
+        while up is not node:
+            opened[up.tag] -= 1
+            up = up.parent
+        opened[node.tag] -= 1
+        return node.parent
+
+    tags = _tags(html)
+    for start, stop, m in tags:
+        if start > at:
+            here.children.append(html[at:start])
+        at = stop
+        moved = None
+        if m is not None:
+            tag = m["tag"].lower()
+            if m["end"]:
+                up = here if opened[tag] > 0 else root
+                while up is not root and up.tag != tag:
+                    if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag doesn't close blocks
+                        up = root
+                        break
+                    up = up.parent
+                if up is not root:
+                    here = close(up)
+            else:
+                if tag in BLOCK and opened["p"] > 0:
+                    up = here
+                    while up is not root and up.tag != "p" and up.tag not in SCOPE and up.tag not in ("li", "td", "th", "dd", "button"):
+                        up = up.parent
+                    if up.tag == "p":
+                        here = close(up)
+                if tag in ENDS and any(opened[x] > 0 for x in ENDS[tag]):
+                    up, last = here, None
+                    while up is not root and (up.tag not in SCOPE):
+                        if up.tag in ENDS[tag]:
+                            last = up
+                        up = up.parent
+                    if last is not None:
+                        here = close(last)
+                node = Node(tag, m["attrs"] or "", here)
+                here.children.append(node)
+                if tag in RAW:
+                    ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    node.children.append(html[at : ended.start() if ended else len(html)])
+                    at = moved = ended.end() if ended else len(html)
+                elif tag not in VOID:
+                    here = node
+                    opened[tag] += 1
+        tags.send(moved)
     if at < len(html):
         here.children.append(html[at:])
     return root
