@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests only).
+#: Where intermediate tables go when a local session names no shared folder.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/tallyard"
 
 #: Rows that a side may have to be broadcast; beyond it the join is a shuffle.
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     os.makedirs(DEFAULT_CHECKPOINT_DIR, exist_ok=True)
     return f"file://{DEFAULT_CHECKPOINT_DIR}"
 
@@ -66,7 +68,7 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], how: str = "inner",
+    left: DataFrame, right: DataFrame | Callable[[Column], DataFrame], key: str, spread_by: list[str], how: str = "inner",
     share: float = 0.002, floor: int = 500, salts: int = 32,
 ) -> DataFrame:
     """Joins ``left`` to ``right``, which has one row per ``key``, whatever the skew of ``left``.
@@ -74,17 +76,19 @@ def lookup_join(
     Keys holding at least ``share`` of the rows of ``left`` (1/share keys at most, so
     the list is bounded) are joined on (key, salt), with their rows of ``right`` repeated
     once for each salt; all other keys take a plain join. ``left`` should be materialised:
-    it is read three times.
+    it is read three times. ``right`` may be a function that gives its rows of a condition on
+    the key, if it is cheaper to make them than to filter them.
     """
+    pick = right if callable(right) else right.filter
     total = left.count()
     counted = left.groupBy(key).count().filter(F.col("count") >= max(floor, total * share))
     heavy = [r[0] for r in counted.filter(F.col(key).isNotNull()).select(key).collect()]
     if not heavy:
-        return left.join(right, key, how)
+        return left.join(pick(F.lit(True)), key, how)
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     salted = left.filter(hot).withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = right.filter(hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = pick(hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        left.filter(~hot).join(right, key, how)
+        left.filter(~hot).join(pick(~hot), key, how)
         .unionByName(salted.join(copies, [key, "_salt"], how).drop("_salt"))
     )

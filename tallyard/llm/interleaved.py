@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -103,9 +103,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
 
-def store(payloads: DataFrame) -> DataFrame:
-    """The media table (digest, media): one row per distinct payload of ``payloads`` (payload binary)."""
+def store(payloads: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """The media table (digest, media): one row per distinct payload of ``payloads`` (payload binary), or of those whose digest is ``wanted``."""
     keyed = payloads.select(F.sha2("payload", 256).alias("digest"), "payload")
+    if wanted is not None:
+        keyed = keyed.filter(wanted)
     return keyed.mapInArrow(_store, "digest string, media binary").dropDuplicates(["digest"])
 
 
@@ -174,10 +176,11 @@ def parse_sequences(docs: DataFrame, html: str = "html") -> DataFrame:
     return docs.select(*kept, html).mapInArrow(run, f"{schema}, items {ITEM_DDL}")
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: list[str]) -> DataFrame:
+def resolve(sequences: DataFrame, media: DataFrame | Callable[[Column], DataFrame], key: list[str]) -> DataFrame:
     """One row per item with its media: the columns of ``sequences``, the item's fields and ``media``.
 
-    ``sequences`` should be materialised; ``media`` has one row per digest.
+    ``sequences`` should be materialised; ``media`` has one row per digest, or is a function
+    that gives the rows of a condition on the digest.
     """
     flat = sequences.withColumn("item", F.explode("items")).drop("items")
     flat = flat.select(*[c for c in flat.columns if c != "item"], "item.*")
@@ -192,35 +195,64 @@ def assemble(resolved: DataFrame, key: list[str]) -> DataFrame:
     return resolved.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = (
+    "doc_id long, n_bytes long, n_texts long, n_media long, position int, caption string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "media_bytes long, media_sha256 string, feature string"
+)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        for value in batch.column(2):
+        for value in batch.column(6):
             media = value.as_py()
             samples = decode(media)
             payload = samples.tobytes()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *columns],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), *columns], [x.split()[0] for x in READ.split(", ")])
+
+
+def payloads(docs: DataFrame) -> DataFrame:
+    """The payload of each text, and that of its first ``WIDTH`` bytes, which is shown ahead of it."""
+    whole = docs.select(padded(text_of()).alias("payload"))
+    return whole.select(F.explode(F.array("payload", _start("payload"))).alias("payload"))
+
+
+def _start(payload: str) -> Column:
+    return F.substring(F.col(payload), 1, WIDTH)
 
 
 def text_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and html: each text as one captioned figure that refers to its payload."""
-    digest = F.sha2(padded(text_of()), 256)
+    """doc_id, n_bytes, payload (its digest) and html of each text.
+
+    The lines of the text are paragraphs. After the first stands a figure that refers to the
+    payload of the whole text, at the end one that refers to that of its start.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), padded(text_of()).alias("whole"))
+    plain = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    size = F.octet_length("text").cast("string")
+    figure = lambda digest, what: F.concat(
+        F.lit('<figure><img data-digest="'), digest, F.lit(f'" alt="{what}"><figcaption>{what} of '), size, F.lit(" bytes</figcaption></figure>")
+    )
+    lines = F.split(plain, "\n")
     html = F.concat(
-        F.lit('<article><figure><img data-digest="'), digest, F.lit('"><figcaption>'),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"),
+        F.lit("<article><p>"), lines[0], F.lit("</p>"), figure(F.sha2("whole", 256), "text"),
+        F.lit("<p>"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "</p><p>"), F.lit("</p>"),
+        figure(F.sha2(_start("whole"), 256), "start"), F.lit("</article>"),
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), html.alias("html"))
+    return own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), html.alias("html"))
+
+
+def media_of(sequences: DataFrame) -> DataFrame:
+    """``sequences`` with counts of their items, and items reduced to media."""
+    of = lambda kind: F.filter("items", lambda x: x["kind"] == kind)
+    kept = [c for c in sequences.columns if c != "items"]
+    return sequences.select(*kept, F.size(of("text")).cast("long").alias("n_texts"), F.size(of("media")).cast("long").alias("n_media"), of("media").alias("items"))
 
 
 def features(resolved: DataFrame) -> DataFrame:
-    """What the stored bytes of each resolved media item hold."""
-    return resolved.filter("media is not null").select("doc_id", "n_bytes", "media").mapInArrow(_read, READ)
+    """What the stored bytes of each document's own text hold: those of the media item captioned as text."""
+    found = resolved.filter("media is not null and caption like 'text of %'")
+    return found.select("doc_id", "n_bytes", "n_texts", "n_media", "position", "caption", "media").mapInArrow(_read, READ)

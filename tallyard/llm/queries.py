@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyard.llm import extraction, fingerprints, interleaved, licenses, mixing, neardup, packing, pii, quality, urlrules
-from tallyard.llm.common import materialise, table, text_of
+from tallyard.llm.common import materialise, table
 
 
 def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    media = interleaved.store(docs.select(interleaved.padded(text_of()).alias("payload")))
-    sequences = materialise(interleaved.parse_sequences(interleaved.text_documents(docs)), "sequences")
-    return interleaved.features(interleaved.resolve(sequences, media, ["doc_id"]))
+    payloads = interleaved.payloads(docs)
+    sequences = materialise(interleaved.media_of(interleaved.parse_sequences(interleaved.text_documents(docs))), "sequences")
+    return interleaved.features(interleaved.resolve(sequences, lambda wanted: interleaved.store(payloads, wanted), ["doc_id"]))
 
 
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.sample(table(spark, sf_dir, "documents"), ["doc_id"])
+    drawn = mixing.sample(table(spark, sf_dir, "documents"), ["doc_id"], importance=mixing.by_length())
     return drawn.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken", "copies")
 
 
