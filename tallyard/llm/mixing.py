@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words. With ``c`` = target / words of the source,
-every document of the source is taken ``floor(c)`` times for certain, and once more with
-a chance given by its inclusion probability: documents are ranked by
+Each source gets a target number of words. Documents have an importance x, and a document
+is wanted min(3, level * x) times, with the level at which a source's documents, times
+their words, bring its target. It is taken the whole part of that many times for certain,
+and once more with the rest as its inclusion probability p: documents are ranked by
 
     q = (u / (1 - u)) / (p / (1 - p))
 
-with a random number ``u`` of the document and its inclusion probability ``p``, and the
-lowest ranks are taken. Probabilities differ between sources and, within one, between
-documents if an importance column is given. The size of the sample is fixed: ranks are
-taken until the words they bring meet what certain copies leave of the target, to
-within half of the document at the border.
+with a random number ``u`` of the document, and the lowest ranks are taken. Importance
+grows with the logarithm of a document's length unless another column is given; it is
+rounded to quarters of a doubling, so a source has few different ones. The size of the
+sample is fixed: ranks are taken until the words they bring meet what certain copies
+leave of the target, to within half of the document at the border.
 
-``u`` is a hash of doc_id, text hash, seed and the row's number among equal rows, so
+``u`` is a hash of doc_id, source, text hash, seed and the row's number among equal rows, so
 reruns agree. Ranks are never gathered by source: words are summed by (source, slice of
 ``u``), the slices' running sums find the slice that the border falls into, and only
 that slice (1/65536 of a source) is ordered row by row.
@@ -80,18 +81,80 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
     )
 
 
+def by_length() -> Column:
+    """Importance of a document: the logarithm of its words."""
+    return F.log2(word_count(text_of()) + 2)
+
+
+def _quarter(importance: Column) -> Column:
+    """Quarters of a doubling that an importance is nearest to, from -32 to 32; 0 for null and what isn't positive."""
+    value = importance.cast("double")
+    near = F.greatest(F.least(F.round(4 * F.log2(value)), F.lit(32.0)), F.lit(-32.0))
+    return F.when((value > 0) & ~F.isnan(value), near).otherwise(F.lit(0.0)).cast("int")
+
+
+def _weight(quarter: Column) -> Column:
+    return F.pow(F.lit(2.0), quarter / 4)
+
+
+def _levels(marks: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """``targets`` with ``level``, null if all documents are taken ``most`` times, and ``wanted``, the words that certain copies leave."""
+    key = ["source_key", "source_null"]
+    cells = marks.groupBy(*key, "quarter").agg(F.sum("size").cast("double").alias("words"))  # 65 rows a source at most
+    cells = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("quarter", "words")), asc=False).alias("cells"))
+    total = lambda part, value: F.aggregate(part, F.lit(0.0), lambda a, x: a + value(x))
+
+    def of_full(n: Column) -> Column:
+        """The level if the n most important cells are taken ``most`` times."""
+        full, rest = F.slice("cells", F.lit(1), n), F.slice("cells", n + 1, F.size("cells"))
+        spread = total(rest, lambda x: _weight(x["quarter"]) * x["words"])
+        return F.struct(F.when(spread > 0, (F.col("target") - most * total(full, lambda x: x["words"])) / spread).alias("level"), rest[0]["quarter"].alias("next"))
+
+    steps = F.transform(F.sequence(F.lit(0), F.size("cells") - 1), of_full)
+    fit = F.filter(steps, lambda s: s["level"] * _weight(s["next"]) <= most)
+    found = targets.join(cells, key).withColumn("level", F.get(fit, F.lit(0))["level"])
+    sure = total(F.col("cells"), lambda x: x["words"] * F.floor(_share(x["quarter"], most)))
+    return found.withColumn("wanted", F.greatest(F.col("target") - sure, F.lit(0.0))).drop("cells")
+
+
+def _share(quarter: Column, most: int) -> Column:
+    """Times that a document is wanted; what equals whole copies must not leave a crumb of rounding."""
+    times = F.round(F.least(F.lit(float(most)), F.col("level") * _weight(quarter)), 12)
+    return F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("level").isNull(), F.lit(float(most))).otherwise(times)
+
+
 def sample(
     docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES,
     importance: Column | None = None, seed: int = 17,
 ) -> DataFrame:
     """Columns of ``keep`` plus size, source_size, target, copies: one row per input row.
 
-    ``importance`` (positive, 1 if not given) multiplies a document's inclusion odds.
+    ``importance`` (positive, 1 if not given) multiplies how often a document is wanted.
     """
     drawn = _drawn(docs, keep, weights, most, importance, seed)
     return drawn.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", "copies")
 
 
+def _numbered(marks: DataFrame) -> DataFrame:
+    """``marks`` (materialised) with ``nth``, the number of each row among those of its mark.
+
+    Rows are numbered within their part of the input, and parts by the rows before them, so
+    that no task gets all rows of a mark.
+    """
+    again = materialise(marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "mix-again")
+    if again.isEmpty():
+        return marks.withColumn("nth", F.lit(1).cast("long"))
+    parted = marks.withColumn("part", F.shiftright("row", 33))
+    repeated = lookup_join(parted, again, "mark", ["row"])
+    local = repeated.withColumn("local", F.row_number().over(Window.partitionBy("mark", "part").orderBy("row")))
+    counts = repeated.groupBy("mark", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("mark").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("mark", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = local.join(counts, ["mark", "part"]).withColumn("nth", F.col("local") + F.col("before")).drop("local", "before", "part")
+    single = parted.join(again, "mark", "left_anti").drop("part").withColumn("nth", F.lit(1).cast("long"))
+    return materialise(single.unionByName(placed), "mix-marks")
+
+
 def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int, importance: Column | None, seed: int) -> DataFrame:
     """The sample with the columns of ``keep`` under numbered names, which can't clash."""
     named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
@@ -99,29 +162,18 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
     marks = docs.select(
         *named, size.alias("size"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"),
-        (F.lit(1.0) if importance is None else F.coalesce(importance.cast("double"), F.lit(1.0))).alias("importance"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.md5(text_of())).alias("mark"),
+        (F.lit(0) if importance is None else _quarter(importance)).alias("quarter"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.md5(F.col("source").cast("string")), F.lit("")), F.md5(text_of())).alias("mark"),
         F.monotonically_increasing_id().alias("row"),
     )
     marks = materialise(marks, "mix-marks")
     sources = marks.groupBy("source_key", "source_null").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = materialise(_targets(sources, weights, most), "mix-targets")
+    targets = materialise(_levels(marks, _targets(sources, weights, most), most), "mix-targets")
     few = targets.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     key = ["source_key", "source_null"]
 
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # a target that equals whole copies must not leave a crumb of rounding
-    share = F.round(share, 12)
-    # repeated rows get different numbers, and the same number in each run
-    again = marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = _numbered(marks)
     u_of = lambda number: (F.pmod(F.xxhash64("mark", number), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    repeated = again.limit(1).count() > 0
-    if repeated:
-        marks = marks.join(again, "mark", "left")
-        tie = F.when(F.col("n").isNotNull(), F.row_number().over(Window.partitionBy("mark").orderBy("row"))).otherwise(F.lit(1))
-        marks = materialise(marks.withColumn("nth", tie).drop("n"), "mix-marks")
-    else:
-        marks = marks.withColumn("nth", F.lit(1))
     if few:
         joined = marks.join(F.broadcast(targets), key)
     else:
@@ -132,11 +184,13 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
     u = u_of(F.col("nth"))
     p = F.least(F.greatest(F.col("fraction"), F.lit(1e-12)), F.lit(1 - 1e-12))
     ranked = (
-        joined.withColumn("certain", F.floor(share).cast("int"))
-        .withColumn("fraction", share - F.floor(share))
-        .withColumn("wanted", F.greatest(F.col("target") - F.floor(share) * F.col("source_size"), F.lit(0.0)))
+        joined.withColumn("share", _share(F.col("quarter"), most))
+        .withColumn("certain", F.floor("share").cast("int"))
+        .withColumn("fraction", F.col("share") - F.floor("share"))
+        # documents that are wanted whole times only have no rank
+        .withColumn("wanted", F.when(F.col("fraction") > 0, F.col("wanted")).otherwise(F.lit(0.0)))
         .withColumn("u", u)
-        .withColumn("q", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p) * F.col("importance")))
+        .withColumn("q", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
         # q / (1 + q) maps the ranks to 0..1 in order
         .withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * F.lit(SLICES)).cast("int"))
     )
@@ -176,6 +230,6 @@ def _drawn(docs: DataFrame, keep: list[str], weights: tuple[int, ...], most: int
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 17) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the sample takes it."""
     columns = docs.columns
-    picked = _drawn(docs, columns, weights, most, None, seed).filter("copies > 0")
+    picked = _drawn(docs, columns, weights, most, by_length(), seed).filter("copies > 0")
     repeated = picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
