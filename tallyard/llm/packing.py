@@ -1,16 +1,20 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-Lengths are partitioned into reciprocal-capacity classes: class ``k`` takes pieces
-of exactly ``capacity / k`` tokens for ``k`` = 1, 2, 4, ..., ``capacity``, and each bin
-of class ``k`` is filled with exactly ``k`` pieces. A document is cut into whole
-sequences first and its rest by the binary digits of its length, largest piece
-first, so that every piece fills its slot and a full bin has no padding.
-
-A worker numbers the pieces of each class within its own partition; the only thing
-workers share is one count per (partition, class), whose prefix sums turn local
-numbers into global ones. Bins that a class leaves open at its end are filled by the
-next smaller class, whose slot size divides what is left, so one sequence at most is
-padded in the whole corpus.
+Lengths are partitioned into reciprocal-capacity classes: class ``k`` takes documents of
+more than capacity / (k + 1) and at most capacity / k tokens (the last class, ``CLASSES``,
+all shorter ones), and each bin of class ``k`` is filled with exactly ``k`` of them. A
+document longer than a sequence fills whole sequences first; its rest is packed like a
+document. Documents in bins stay whole.
+
+Each worker fills its bins from its own partition and shares nothing while it does so.
+What full bins leave free is filled by every so many documents, cut where a gap ends:
+whenever the worker's gaps hold more than ``SLACK`` tokens, the next documents go there.
+At the end of a partition, documents of bins that did not fill up go into the gaps, then
+into sequences one after another; the last part of a sequence, one for each worker, is cut
+by the binary digits of its length. Those pieces meet in sequences of their own, in slots
+of 4096 / 2**j tokens. So a gap below ``LEAST`` tokens stays padded, and one sequence of
+the corpus may be short; one count per worker, and per length of the last pieces, turns
+local numbers into global ones.
 
 Defined results: null or empty text is a document with the end id alone; repeated rows
 are packed once each; other columns of the input are ignored, and an empty table gives
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,8 @@ from tallyard.llm.common import materialise, maybe_broadcast, slices, text_of
 
 CAPACITY = 4096
 END_ID = 2
+#: Classes of lengths; tokens of a gap worth filling; tokens of gaps that a worker leaves open before it fills them.
+CLASSES, LEAST, SLACK = 32, 16, 4096
 
 #: A mark between pre-tokens that are encoded together.
 MARK = "\x01"
@@ -147,33 +154,115 @@ def worker(path: str) -> PieceTokenizer:
     return _WORKERS[path]
 
 
-def cut(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths of a document: whole sequences, then the binary digits of the rest."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local_rank long"
+def cut(length: int) -> list[int]:
+    """The binary digits of a length, largest first."""
+    return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
+
+
+class Bins:
+    """The sequences that one worker fills: rows (doc_id, start, length, ids_crc32, doc_tokens, sequence, offset)."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity, self.sequences, self.room = capacity, 0, 0
+        self.open: dict[int, list] = {}  # of each class, the documents of its open bin
+        self.gaps: deque[list[int]] = deque()  # [sequence, offset, room]
+        self.tails: dict[int, int] = {}  # last pieces of each length so far
+        self.rows: list[tuple] = []
+
+    def _new(self) -> int:
+        self.sequences += 1
+        return self.sequences - 1
+
+    def _put(self, piece: tuple, taken: int, length: int, sequence: int, offset: int) -> None:
+        doc, ids, start, tokens = piece
+        self.rows.append((doc, start + taken, length, zlib.crc32(ids[4 * taken : 4 * (taken + length)]), tokens, sequence, offset))
+
+    def add(self, doc, ids: bytes) -> None:
+        tokens, start, c = len(ids) // 4, 0, self.capacity
+        while tokens - start >= c:
+            self._put((doc, ids[4 * start : 4 * (start + c)], start, tokens), 0, c, self._new(), 0)
+            start += c
+        if start == tokens:
+            return
+        piece, length = (doc, ids[4 * start :], start, tokens), tokens - start
+        if self.room > SLACK and self.room >= length:
+            self._fill(piece, length)
+            return
+        k = min(c // length, CLASSES)
+        members = self.open.setdefault(k, [])
+        members.append((piece, length))
+        if len(members) == k:
+            sequence, at = self._new(), 0
+            for own, n in members:
+                self._put(own, 0, n, sequence, at)
+                at += n
+            self._gap(sequence, at)
+            del self.open[k]
+
+    def _gap(self, sequence: int, at: int) -> None:
+        if self.capacity - at >= LEAST:
+            self.gaps.append([sequence, at, self.capacity - at])
+            self.room += self.capacity - at
+
+    def _fill(self, piece: tuple, length: int) -> int:
+        """Puts a document into gaps, in parts where it must; tokens placed."""
+        taken = 0
+        while taken < length and self.gaps:
+            gap = self.gaps[0]
+            n = min(gap[2], length - taken)
+            if 0 < length - taken - n < LEAST and n > 2 * LEAST:
+                n -= LEAST  # no crumbs
+            self._put(piece, taken, n, gap[0], gap[1])
+            taken, gap[1], gap[2], self.room = taken + n, gap[1] + n, gap[2] - n, self.room - n
+            if gap[2] < LEAST or taken < length:
+                self.room -= gap[2]
+                self.gaps.popleft()
+        return taken
+
+    def finish(self) -> None:
+        held = [x for members in self.open.values() for x in members]
+        left = [(piece, self._fill(piece, length), length) for piece, length in held]
+        whole = sum(length - taken for _, taken, length in left) // self.capacity
+        self.gaps.extend([self._new(), 0, self.capacity] for _ in range(whole))
+        full = whole * self.capacity
+        for piece, taken, length in left:
+            while taken < length and full:
+                gap = self.gaps[0]
+                n = min(gap[2], length - taken)
+                self._put(piece, taken, n, gap[0], gap[1])
+                taken, gap[1], gap[2], full = taken + n, gap[1] + n, gap[2] - n, full - n
+                if not gap[2]:
+                    self.gaps.popleft()
+            for n in cut(length - taken):
+                rank = self.tails.get(n, 0)
+                self.tails[n] = rank + 1
+                self._put(piece, taken, n, -1, rank)
+                taken += n
+
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, `at` long, part int"
 
 
 def _pieces(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part = worker(tokenizer), TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
+        words, part, bins = worker(tokenizer), TaskContext.get().partitionId(), Bins(capacity)
         end = END_ID.to_bytes(4, "little")
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array([part] * len(rows), pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "at", "part"])
+
         for batch in slices(batches):
-            rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
-                ids, start = memoryview(ids.astype("<u4").tobytes() + end), 0
-                for length in cut(len(ids) // 4, capacity):
-                    rank = seen.get(length, 0)
-                    seen[length] = rank + 1
-                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, part, rank))
-                    start += length
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.int32(), pa.int64()], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"])
+                bins.add(doc, ids.astype("<u4").tobytes() + end)
+            if bins.rows:
+                yield batch_of(bins.rows)
+                bins.rows = []
+        bins.finish()
+        if bins.rows:
+            yield batch_of(bins.rows)
 
     return run
 
@@ -185,22 +274,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # frozen: partition numbers and ranks must not change when a task runs again
     pieces = materialise(source.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), PIECES), "pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    # partitions x classes rows; one class to a task
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    bases, at = {}, 0  # 13 classes at most
-    for length in sorted(totals, reverse=True):
-        bases[length] = at
+    # one row for each worker and, of the last pieces, length
+    slot = F.when(F.col("sequence") < 0, F.col("length")).otherwise(F.lit(0).cast("long")).alias("slot")
+    counts = pieces.groupBy("part", slot).agg(F.max(F.when(F.col("sequence") < 0, F.col("at")).otherwise(F.col("sequence"))).alias("most"))
+    counts = materialise(counts.select("part", "slot", (F.col("most") + 1).alias("n")), "pack-counts")
+    before = Window.partitionBy("slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("part", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    totals = {r["slot"]: r["n"] for r in counts.groupBy("slot").agg(F.sum("n").alias("n")).collect()}  # 14 at most
+    base, at = F.lit(0).cast("long"), totals.get(0, 0) * capacity
+    for length in sorted((x for x in totals if x), reverse=True):
+        base = F.when(F.col("slot") == length, F.lit(at).cast("long")).otherwise(base)
         at += totals[length] * length
-    base = F.lit(0).cast("long")
-    for length, value in bases.items():
-        base = F.when(F.col("length") == length, F.lit(value).cast("long")).otherwise(base)
-    place = base + (F.col("before") + F.col("local_rank")) * F.col("length")
+    place = F.when(F.col("slot") == 0, (F.col("before") + F.col("sequence")) * capacity + F.col("at")).otherwise(base + (F.col("before") + F.col("at")) * F.col("slot"))
     return (
-        pieces.join(maybe_broadcast(counts.select("part", "length", "before")), ["part", "length"])
-        .withColumn("place", place)
+        pieces.select("*", slot).join(maybe_broadcast(placed), ["part", "slot"]).withColumn("place", place)
         .select(
             "doc_id", "start", "length", "ids_crc32", "doc_tokens",
             F.expr(f"place div {capacity}").alias("sequence_id"),
