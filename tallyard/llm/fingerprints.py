@@ -23,6 +23,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ M = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 700_001_027)
 SPAN = 24
 SLOTS = 32
+#: Bytes of text in a range, about.
+RANGE_BYTES = 64 << 20
 
 
 def _reduce(x: np.ndarray) -> np.ndarray:
@@ -187,39 +190,51 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each document and its edited text, and likeness to it and the next document.
 
-    Documents are dealt out by ranges of doc_id, whose bounds are quantiles of all ids (ties
-    stay in one range); a range's rows are read in order by one task, and the first row of the
-    next range is sent along to close it. No task sees more than a range and no text moves twice.
+    Documents are dealt out by ranges of doc_id, one to a task, whose bounds are quantiles of
+    all ids; their number follows the bytes of the texts. An id with many rows gets several
+    ranges, by text hash. A range's rows are read in order by one task, and the first row of
+    the next range is sent along to close it. No task sees more than a range and no text moves
+    twice.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a null id is below all others
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text_of().alias("text"))
-    cuts = source.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(cuts), reverse=True)
-    ranged = source.withColumn("range", _search(F.col("key"), bounds))
-    order = [F.col("key").desc(), F.xxhash64("text").desc(), F.col("text").desc()]
-    top = ranged.groupBy("range").agg(F.max("key").alias("key")).collect()  # one row per range
-    top = sorted(((r["range"], r["key"]) for r in top), key=lambda x: -x[1])
+    if not ranges:
+        size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    cuts = source.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0] or []
+    # several equal cuts are one id with many rows: its ranges are even parts of the hashes
+    ties = Counter(cuts)
+    bounds = [(k, (1 << 63) - 1 - (i << 64) // n) for k, n in ties.items() for i in range(n)]
+    bounds.sort(reverse=True)
+    hashed = source.withColumn("hash", F.xxhash64("text"))
+    ranged = hashed.withColumn("range", _search(F.col("key"), F.col("hash"), bounds))
+    order = [F.col("key").desc(), F.col("hash").desc(), F.col("text").desc()]
+    place = F.struct("key", "hash")
+    top = ranged.groupBy("range").agg(F.max(place).alias("top")).collect()  # one row per range
+    top = sorted(((r["range"], r["top"]["key"], r["top"]["hash"]) for r in top), key=lambda x: x[0])
     if not top:
         return spark.createDataFrame([], COLUMNS)
-    before = [(top[i - 1][0], top[i][1]) for i in range(len(top))]  # the head of range i closes the one before; the first closes the last
-    heads = spark.createDataFrame(before, "closes int, key long")
-    firsts = ranged.select("key", "doc_id", "text").join(F.broadcast(heads), "key")
-    # among rows of one key, the first in the order
-    firsts = firsts.groupBy("closes").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text", "doc_id")).alias("f"))
-    closing = firsts.select(F.col("closes").alias("range"), F.lit(-(1 << 63)).alias("key"), F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.lit(True).alias("closing"))
-    rows = ranged.select("range", "key", "doc_id", "text", F.lit(False).alias("closing")).unionByName(closing)
-    dealt = rows.repartition(ranges, "range").sortWithinPartitions("range", "closing", *order)
+    before = [(top[i - 1][0], top[i][1], top[i][2]) for i in range(len(top))]  # the head of range i closes the one before; the first closes the last
+    heads = spark.createDataFrame(before, "closes int, key long, hash long")
+    firsts = ranged.select("key", "hash", "doc_id", "text").join(F.broadcast(heads), ["key", "hash"])
+    # among rows of one place, the first in the order
+    firsts = firsts.groupBy("closes").agg(F.max(F.struct("text", "doc_id")).alias("f"))
+    closing = firsts.select(
+        F.col("closes").alias("range"), F.lit(-(1 << 63)).alias("key"), F.lit(0).cast("long").alias("hash"),
+        F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.lit(True).alias("closing"),
+    )
+    rows = ranged.select("range", "key", "hash", "doc_id", "text", F.lit(False).alias("closing")).unionByName(closing)
+    dealt = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "closing", *order)
     return dealt.select("range", "doc_id", "text", "closing").mapInArrow(_chain, COLUMNS)
 
 
-def _search(key: Column, bounds: list[int]) -> Column:
-    """Number of ``bounds`` (descending) above ``key``, by binary search."""
+def _search(key: Column, mark: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of ``bounds`` (descending) above (``key``, ``mark``), by binary search."""
     if not bounds:
         return F.lit(0)
-    table, steps = F.array(*[F.lit(b) for b in bounds]), []
+    keys, marks, steps = F.array(*[F.lit(k) for k, _ in bounds]), F.array(*[F.lit(m) for _, m in bounds]), []
     step = 1 << (len(bounds).bit_length() - 1)
     while step:
         steps.append(step)
@@ -227,7 +242,8 @@ def _search(key: Column, bounds: list[int]) -> Column:
 
     def take(found: Column, step: Column) -> Column:
         at = found + step
-        above = F.element_at(table, F.least(at, F.lit(len(bounds)))) > key
+        i = F.least(at, F.lit(len(bounds)))
+        above = (F.element_at(keys, i) > key) | ((F.element_at(keys, i) == key) & (F.element_at(marks, i) > mark))
         return F.when((at <= len(bounds)) & above, at).otherwise(found)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), take)
