@@ -1,12 +1,13 @@
 """URL filtering by association rules, in DataFrame operations only.
 
 A URL becomes a set of tokens: labels and suffixes of its host, segments of its path with
-numbers levelled, file ending, names of its parameters, scheme. Spark's FP-growth mines
-combinations of tokens with the verdict of labelled pages; rules that conclude "block" and
-pass support, confidence and lift are kept, and pruned when a shorter rule they contain is
-as confident. Matching is by inverted index: rules are listed by token, a token set meets
-them by equality, and a rule matches when all its tokens have met. Different token sets are
-matched once, not once for each page.
+numbers levelled, file ending, names of its parameters, scheme. Pages are labelled by the
+fixed rule that decides them, others by the document that their url numbers, if it is
+labelled. Spark's FP-growth mines combinations of tokens with those labels; rules that
+conclude "block" and pass support, confidence and lift are kept, and pruned when a shorter
+rule they contain is as confident. Matching is by inverted index: a rule is listed under its
+rarest token, a token set meets it there by equality, and it matches when all its tokens
+are in the set. Different token sets are matched once, not once for each page.
 
 Fixed rules (host and path) come first; the mined rules judge what those leave.
 
@@ -27,7 +28,7 @@ from tallyard.llm.common import lookup_join, materialise, maybe_broadcast
 RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.7, 1.5
+SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
 #: Labelled pages that a rule must cover, whatever their number.
 LEAST_PAGES = 20
 BLOCKED = "=block"
@@ -71,15 +72,19 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(known))
 
 
-def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """tokens and ``bad`` of the pages whose url ends in the number of a labelled document.
+def labelled(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+    """tokens and ``bad`` of the pages that a fixed rule decides, or whose url ends in the number of a labelled document.
 
     A document marked as toxic or of low quality speaks for blocking.
     """
     bad = F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("number")).agg(bad.alias("bad"))
-    number = F.regexp_extract(path_of(F.col("url")), r"([0-9]+)[^0-9/]*/?$", 1).try_cast("long")
-    return pages.select(tokens_of(F.col("url")).alias("tokens"), number.alias("number")).join(known, "number").select("tokens", "bad")
+    url = F.col("url").cast("string")
+    number = F.regexp_extract(path_of(url), r"([0-9]+)[^0-9/]*/?$", 1).try_cast("long")
+    verdict = fixed_rule(host_of(url), path_of(url), rules)[1]
+    told = pages.select(tokens_of(url).alias("tokens"), number.alias("number"), verdict.alias("verdict"))
+    by_rule = told.filter("verdict is not null").select("tokens", (F.col("verdict") == "block").cast("int").alias("bad"))
+    return by_rule.unionByName(told.filter("verdict is null").join(known, "number").select("tokens", "bad"))
 
 
 def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -100,18 +105,18 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     first = numbered.select("page", F.explode("tokens").alias("token")).join(alike, "token", "left_semi").groupBy("page").agg(F.collect_list("token").alias("few"))
     marked = numbered.join(first, "page", "left").select(F.coalesce("few", F.array().cast("array<string>")).alias("tokens"), "bad")
     baskets = marked.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets).associationRules
+    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE, numPartitions=int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets).associationRules
     kept = rules.filter(F.array_contains("consequent", BLOCKED) & (F.col("lift") >= LIFT))
     kept = materialise(kept.select(F.array_sort("antecedent").alias("rule"), "confidence", "lift", "support"), "rules")
-    # a rule falls if a shorter one within it is as confident; rules meet by a shared token
-    by_token = kept.select("rule", "confidence", F.explode("rule").alias("token"))
-    short = by_token.select(F.col("rule").alias("inner"), F.col("confidence").alias("inner_confidence"), "token")
+    # a rule falls if a shorter one within it is as confident; they meet at the shorter one's rarest token
+    kept = materialise(_listed(kept, seen.select("token", "n")), "listed")
+    short = kept.select(F.col("rule").alias("inner"), F.col("confidence").alias("inner_confidence"), F.col("rarest").alias("token"))
     worse = (
-        by_token.join(short, "token")
-        .filter((F.size("inner") < F.size("rule")) & (F.col("inner_confidence") >= F.col("confidence")))
-        .groupBy("rule", "inner").agg(F.count("*").alias("met")).filter(F.col("met") == F.size("inner")).select("rule").distinct()
+        kept.select("rule", "confidence", F.explode("rule").alias("token")).join(short, "token")
+        .filter((F.size("inner") < F.size("rule")) & (F.col("inner_confidence") >= F.col("confidence")) & (F.size(F.array_except("inner", "rule")) == 0))
+        .select("rule").distinct()
     )
-    kept = kept.join(worse, "rule", "left_anti")
+    kept = kept.drop("rarest").join(worse, "rule", "left_anti")
     # each rule again with every token that stands for one of its own
     told = kept.select("*", F.explode("rule").alias("token")).join(alike, "token").groupBy("rule", "confidence", "lift", "support").agg(F.collect_list("members").alias("members"))
     product = F.aggregate(
@@ -121,12 +126,20 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return told.select(F.explode(product).alias("rule"), "confidence", "lift", "support").withColumn("rule", F.array_sort("rule"))
 
 
+def _listed(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rules`` with ``rarest``, the token of each that ``tokens`` (token, n) counts the fewest of."""
+    counted = rules.select("rule", F.explode("rule").alias("token")).join(tokens, "token", "left")
+    rarest = counted.groupBy("rule").agg(F.min(F.struct("n", "token")).alias("least")).select("rule", F.col("least.token").alias("rarest"))
+    return rules.join(rarest, "rule")
+
+
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """key, rule of the token sets (key, tokens) that hold a whole rule; the most confident of each."""
-    index = rules.select(F.col("rule"), "confidence", F.explode("rule").alias("token"))
-    met = token_sets.select("key", F.explode("tokens").alias("token")).join(maybe_broadcast(index), "token")
-    whole = met.groupBy("key", "rule", "confidence").agg(F.count("*").alias("met")).filter(F.col("met") == F.size("rule"))
-    best = F.max(F.struct("confidence", -F.size("rule"), F.array_join("rule", " ").alias("name")))
+    met = token_sets.select("key", "tokens", F.explode("tokens").alias("token"))
+    counts = met.join(maybe_broadcast(rules.select(F.explode("rule").alias("token")).distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = materialise(_listed(rules.select("rule", "confidence"), counts), "index").withColumnRenamed("rarest", "token")
+    whole = met.join(maybe_broadcast(index), "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
+    best = F.max(F.struct("confidence", (-F.size("rule")).alias("size"), F.array_join("rule", " ").alias("name")))
     return whole.groupBy("key").agg(best.alias("best")).select("key", F.col("best.name").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
 
 
