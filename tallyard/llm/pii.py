@@ -6,8 +6,10 @@ classifier. Every candidate gets votes (for, against, abstain) of labelers: the
 own check, gazetteers of cue words near it, and its context (quotes, assignment signs,
 neighbouring letters). Expectation-maximisation over the counts of vote patterns of all
 candidates (a table bounded by kinds x 3^labelers, never by the data) estimates each
-labeler's reliability and each pattern's posterior, and a logistic classifier over votes and
-kind is trained on those posteriors. The fitted weights are applied as a column expression.
+labeler's reliability and each pattern's posterior. The final classifier does not see the
+votes: it is a logistic model, one for each kind, over features of the span itself
+(length, shares of digits, capitals and different characters, what stands on either side),
+trained on the posteriors and applied as a column expression.
 
 Defined results: null and empty texts have no spans; spans of different kinds may overlap and
 are all reported, and redaction masks their union; repeated rows are scanned each; columns
@@ -54,7 +56,10 @@ CUES = {
 CONTEXT = 32
 LABELERS = ("check", "cue", "assigned", "quoted", "apart", "varied")
 
-SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean,votes:string>"
+#: One digit for each: length by doublings; quarters of digits, of capitals and of different characters; kind of character to the left and right.
+FEATURES = ("length", "digits", "capitals", "different", "left", "right")
+
+SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean,votes:string,features:string>"
 
 
 # --- candidates -------------------------------------------------------------
@@ -143,6 +148,21 @@ def _votes(kind: str, value: Column, left: Column, right: Column) -> Column:
     )
 
 
+def _features(value: Column, left: Column, right: Column) -> Column:
+    n = F.greatest(F.length(value), F.lit(1))
+    quarters = lambda count: F.floor(4 * count / n).cast("int").cast("string")
+
+    def side(x: Column, at: str) -> Column:
+        is_ = lambda kinds: x.rlike(f"^[{kinds}]" if at == "start" else f"[{kinds}]$")
+        return F.when(x == "", "0").when(is_(r"\s"), "1").when(is_("A-Za-z"), "2").when(is_("0-9"), "3").when(is_(r"\"'<>()\[\]{}"), "4").otherwise("5")
+
+    return F.concat(
+        F.least(F.floor(F.log2(n)), F.lit(9)).cast("int").cast("string"), quarters(F.length(_digits(value))),
+        quarters(F.length(F.regexp_replace(value, "[^A-Z]", ""))), quarters(F.size(F.array_distinct(F.split(value, "")))),
+        side(left, "end"), side(right, "start"),
+    )
+
+
 def _found(kind: str, text: Column) -> Column:
     """Candidate spans of one kind: leftmost, not overlapping; positions in code points."""
     pattern = PATTERNS[kind]
@@ -166,7 +186,7 @@ def _found(kind: str, text: Column) -> Column:
             base = _valid(kind, p["value"]) if kind in BASE else F.lit(False)
             return F.struct(
                 F.lit(kind).alias("kind"), p["start"].cast("long").alias("start"), stop.cast("long").alias("end"), base.alias("base"),
-                _votes(kind, p["value"], left, right).alias("votes"),
+                _votes(kind, p["value"], left, right).alias("votes"), _features(p["value"], left, right).alias("features"),
             )
 
         return _let(F.struct(own["matches"].alias("matches"), own["gaps"].alias("gaps"), _before(steps).alias("starts")), placed)
@@ -187,20 +207,23 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Reliability of each labeler and the weights of the final classifier."""
+    """Reliability of each labeler, and of each kind and feature value (``kind:place:value``) its weight in the classifier."""
 
     reliability: dict[str, dict[str, float]] = field(default_factory=dict)
     bias: dict[str, float] = field(default_factory=dict)
-    weights: dict[str, dict[str, float]] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
 
     def probability(self, span: Column) -> Column:
         z = F.lit(0.0)
         for kind, b in self.bias.items():
-            z = z + F.when(span["kind"] == kind, F.lit(b)).otherwise(F.lit(0.0))
-        for i, name in enumerate(LABELERS):
-            own = self.weights.get(name, {})
-            z = z + F.substring(span["votes"], i + 1, 1).eqNullSafe("+").cast("double") * own.get("+", 0.0)
-            z = z + F.substring(span["votes"], i + 1, 1).eqNullSafe("-").cast("double") * own.get("-", 0.0)
+            own = F.lit(b)
+            for i in range(len(FEATURES)):
+                known = {k.rsplit(":", 1)[1]: w for k, w in self.weights.items() if k.startswith(f"{kind}:{i}:")}
+                digit, part = F.substring(span["features"], i + 1, 1), F.lit(0.0)
+                for value, w in sorted(known.items()):
+                    part = F.when(digit == value, F.lit(w)).otherwise(part)
+                own = own + part
+            z = F.when(span["kind"] == kind, own).otherwise(z)
         return 1 / (1 + F.exp(-z))
 
 
@@ -241,27 +264,38 @@ def fit(spans: DataFrame, rounds: int = 40) -> Model:
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         post = new
     reliability = {name: {"for": c["+", 1] / (c["+", 1] + c["+", 0]), "against": c["-", 0] / (c["-", 1] + c["-", 0])} for name, c in zip(LABELERS, chance, strict=True)}
-    # logistic regression on the posteriors, weighted by counts
-    bias, weights = dict.fromkeys(kinds, 0.0), {name: {"+": 0.0, "-": 0.0} for name in LABELERS}
-    total = sum(n for _, _, n in cells)
-    for step in range(400):
-        db, dw = dict.fromkeys(kinds, 0.0), {name: {"+": 0.0, "-": 0.0} for name in LABELERS}
-        for (kind, votes, n), p in zip(cells, post, strict=True):
-            z = bias[kind] + sum(weights[LABELERS[i]].get(v, 0.0) for i, v in enumerate(votes))
-            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n / total
-            db[kind] += g
-            for i, v in enumerate(votes):
-                if v != "0":
-                    dw[LABELERS[i]][v] += g
-        rate = 4.0 / (1 + step / 200)
-        for kind in kinds:
-            bias[kind] -= rate * (db[kind] + 1e-4 * bias[kind])
-        for name in LABELERS:
-            for v in "+-":
-                weights[name][v] -= rate * (dw[name][v] + 1e-4 * weights[name][v])
+    told = F.create_map(*[x for (k, v, _), p in zip(cells, post, strict=True) for x in (F.lit(f"{k}:{v}"), F.lit(p))])
+    seen = spans.select(F.explode("spans").alias("s")).filter(~F.col("s.kind").isin(*BASE))
+    seen = seen.select("s.kind", "s.features", told[F.concat_ws(":", "s.kind", "s.votes")].alias("p"))
+    # at most kinds x 10 x 5^3 x 6^2 rows, whatever the data
+    seen = seen.groupBy("kind", "features").agg(F.count("*").alias("n"), F.avg("p").alias("p")).orderBy("kind", "features").collect()
+    bias, weights = {}, {}
+    for kind in sorted({r["kind"] for r in seen}):
+        own = [([f"{kind}:{i}:{v}" for i, v in enumerate(r["features"])], r["n"], r["p"]) for r in seen if r["kind"] == kind]
+        bias[kind], found = _logistic(own)
+        weights.update(found)
     return Model(reliability, bias, weights)
 
 
+def _logistic(cells: list[tuple[list[str], int, float]], steps: int = 120) -> tuple[float, dict[str, float]]:
+    """Bias and weights of a logistic model of (features, count, target), by gradient steps with a small penalty."""
+    total = sum(n for _, n, _ in cells)
+    bias, weights = 0.0, {name: 0.0 for names, _, _ in cells for name in names}
+    for step in range(steps):
+        slope, slopes = 0.0, dict.fromkeys(weights, 0.0)
+        for names, n, p in cells:
+            z = bias + sum(weights[x] for x in names)
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n / total
+            slope += g
+            for x in names:
+                slopes[x] += g
+        rate = 2.0 / (1 + step / 60)
+        bias -= rate * slope
+        for x, g in slopes.items():
+            weights[x] -= rate * (g + 1e-4 * weights[x])
+    return bias, weights
+
+
 def decide(spans: Column, model: Model) -> Column:
     """Base spans and those that the classifier accepts, by start, then kind as listed."""
     # the added kinds need their own check as well as the classifier
@@ -289,9 +323,11 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each run of overlapping spans replaced by the kind of its first, in brackets."""
     columns = docs.columns
-    found = materialise(docs.select(candidates(text_of()).alias("spans")).filter(F.size("spans") > 0), "spans")
+    # texts are searched once; numbered names can't clash with those of the input
+    found = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], text_of().alias("text"), candidates(text_of()).alias("spans"))
+    found = materialise(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
     model = fit(found)
-    text = text_of()
+    text = F.col("text")
 
     def mask(spans: Column) -> Column:
         """Pieces of text between the spans, with a mark for each span that begins a run."""
@@ -307,6 +343,6 @@ def redact(docs: DataFrame) -> DataFrame:
             lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"].cast("int") + 1, F.length(text))),
         )
 
-    marked = docs.withColumn("_spans", decide(candidates(text), model))
-    new = F.when(F.size("_spans") > 0, _let(F.col("_spans"), mask)).otherwise(F.col("text"))
-    return marked.withColumn("text", new).select(*columns)
+    kept = found.withColumn("spans", F.when(F.size("spans") > 0, decide(F.col("spans"), model)))
+    masked = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, _let(F.col("spans"), mask))
+    return kept.select(*[F.coalesce(masked, F.col(f"_k{i}")).alias(c) if c == "text" else F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
