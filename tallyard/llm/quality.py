@@ -12,7 +12,7 @@ sample of labelled documents (``SAMPLE``) and scores every document.
 
 Defined results: null and empty texts are one passage without content and get a score
 like any other; several labels of one doc_id count as their mean; without labelled
-rows every score is 0.5; repeated rows score the same; columns other than doc_id and
+rows every score is 0.5 and ``keep_good`` keeps all; repeated rows score the same; columns other than doc_id and
 text are ignored; an empty table gives an empty result.
 """
 
@@ -169,7 +169,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, per_doc = passages(*_buffers(batch.column(0)))
         ends = np.cumsum(per_doc)
         rows = [x[b - n : b].astype("<f4").tobytes() for b, n in zip(ends, per_doc, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["passages", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["passages", "label", "h"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Model | None:
@@ -178,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3)
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    # repeated doc_ids can't lengthen the sample
-    found = found.select("text", "label", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample).select("text", "label")
-    rows = found.mapInArrow(_encoded, "passages binary, label double").collect()
+    # repeated doc_ids can't lengthen the sample; texts are encoded where they are
+    encoded = found.select("text", "label", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(_encoded, "passages binary, label double, h long")
+    rows = encoded.orderBy("h", "label", "passages").limit(sample).collect()
     if not rows:
         return None
     bags = [np.frombuffer(r["passages"], "<f4").reshape(-1, WIDTH) for r in rows]
@@ -212,6 +212,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model accepts."""
+    """The rows of ``docs`` that the model accepts; all of them if there are no labelled rows to learn from."""
     columns = docs.columns
-    return score(docs, fit(docs, labels), columns, "_score").filter(F.col("_score") >= THRESHOLD).select(*columns)
+    if (model := fit(docs, labels)) is None:
+        return docs
+    # numbered names can't clash with those of the input
+    named = docs.select(text_of().alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)])
+    scored = score(named, model, [f"_k{i}" for i in range(len(columns))]).filter(F.col("score") >= THRESHOLD)
+    return scored.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
