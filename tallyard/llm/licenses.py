@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,11 @@ def seeds(notice: str) -> list[tuple[int, bytes]]:
 
 
 @cache
-def _patterns():
+def _patterns(notices: tuple[tuple[str, str], ...] = NOTICES):
     import regex
 
     out = []
-    for notice, label in NOTICES:
+    for notice, label in notices:
         edits = len(notice) // CHARS_PER_EDIT
         at: dict[str, int] = {}
         for i, x in enumerate(notice):
@@ -119,10 +120,22 @@ def _others(notice: str, edits: int):
     return out
 
 
-def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
+class _Places:
+    """Number of the word at a byte, counted once for a text when it is first asked for."""
+
+    def __init__(self, words: bytes):
+        self.words, self.spaces = words, None
+
+    def word(self, at: int) -> int:
+        if self.spaces is None:
+            self.spaces = np.flatnonzero(np.frombuffer(self.words, np.uint8) == 0x20)
+        return int(np.searchsorted(self.spaces, at))
+
+
+def fuzzy(words: bytes, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[str, int, int, int, int]]:
     """(label, first word, last word, edits, length of the notice) of each notice found, in order."""
-    found = set()
-    for notice, label, edits, parts, places, pattern in _patterns():
+    found, count = set(), _Places(words)
+    for notice, label, edits, parts, places, pattern in _patterns(notices):
         windows = []
         for offset, seed in parts:
             at = words.find(seed)
@@ -150,29 +163,29 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int, int]]:
                     start += 1
                 while stop > start and words[stop - 1 : stop] == b" ":
                     stop -= 1
-                first = words.count(b" ", 0, start)
+                first = count.word(start)
                 off = sum(m.fuzzy_counts)
                 if not (off and any(x.fullmatch(m[0].strip()) for x in _others(notice, off))):
-                    found.add((label, first, first + words.count(b" ", start, stop), off, len(notice)))
+                    found.add((label, first, count.word(stop), off, len(notice)))
                 end = stop
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
-def scan(text: bytes) -> tuple:
+def scan(text: bytes, notices: tuple[tuple[str, str], ...] = NOTICES) -> tuple:
     words = words_of(text)
     if not words:
         return 0, 0, None, None, "", "", 0.0, ""
     framed = b" " + words + b" "
     places: list[int] = []
-    exact = set()
+    exact, count = set(), _Places(words)
     for phrase, label in PHRASES:
         needle = f" {phrase} ".encode()
         at = framed.find(needle)
         while at >= 0:
-            places.append(words.count(b" ", 0, at))
+            places.append(count.word(at))
             exact.add(label)
             at = framed.find(needle, at + 1)
-    near = fuzzy(words)
+    near = fuzzy(words, notices)
     score = max([1.0 if exact else 0.0, *(1 - edits / n for *_, edits, n in near)])
     return (
         words.count(b" ") + 1, len(places), min(places, default=None), max(places, default=None),
@@ -186,14 +199,17 @@ SCANNED = (
 )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan_licenses(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+    """Counts, places, labels and near notices (label:first word:last word:edits) of each document.
+
+    ``notices`` are pairs of lower-case words joined by single spaces, and a label.
+    """
     types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string()]
     names = [x.split()[0] for x in SCANNED.split(", ")]
-    for batch in slices(batches):
-        rows = [scan(bytes(x.as_buffer() or b"")) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [scan(bytes(x.as_buffer() or b""), notices) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Counts, places, labels and near notices (label:first word:last word:edits) of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_scan, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCANNED)
