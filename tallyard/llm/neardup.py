@@ -14,11 +14,13 @@ that a pair at it fails either test about once in a hundred thousand, a closer o
 Links are confirmed on the full sets of shingle hashes.
 
 Documents with the same set are one class from the start (copies are never paired).
-In a round, the classes of a bucket are compared with one pivot of the bucket and links
-join components; a bucket is done with once it lies in one component. When what is left is
-no more than a bounded number of comparisons for each row, or after ``ROUNDS`` rounds, all
-candidate pairs of one bucket in different components are compared, each in the first
-bucket they share, so no link among candidates is lost.
+In a turn, the classes of a bucket are compared with a few pivots of the bucket and links
+join components. A pivot that has met all of its bucket leaves it, and a bucket is done
+with once what is left of it lies in one component, so every pair of a bucket is compared
+or already joined; the first pivot is the class that meets the most others. From the second turn on, shingles that no other open class has are
+counted: what a class has besides them bounds its likeness to any other, exactly, so that
+most classes that are on their own are compared with few. Pivots are of different components where they can be: members of a
+large component that is already joined are not compared with each other.
 
 Defined results: null, empty and blank texts have the empty set and are alone; a text
 of fewer words than a shingle has one shingle, all of its words; rows with the same
@@ -32,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +54,10 @@ MOST_BANDS, MISSED = 40, 1.1e-5
 DEVIATIONS = 4.25
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rounds of comparisons with pivots, at most.
-ROUNDS = 4
-#: Comparisons of sketches for each row of a bucket that need no further round.
-COMPARISONS = 256
+#: Pivots of a bucket grow by this factor each turn, up to so many.
+GROWTH, MOST_PICKS = 16, 4096
+#: Names that may be broadcast: two digests of 16 bytes each.
+FEW_NAMES = 100_000
 
 _TURN = np.random.default_rng(7).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
@@ -170,12 +172,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The links among distinct pairs (a, b) of nodes; b may be the same for very many."""
+    """The links among distinct pairs (a, b) of nodes, with all columns of the pairs; b may be the same for very many."""
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    with_b = lookup_join(pairs, of("b"), "b", ["a"])
+    with_b = lookup_join(pairs.select("a", "b"), of("b"), "b", ["a"])
     both = with_b.join(of("a"), "a").select("a", "b", "text_a", "text_b")
     checked = both.mapInArrow(_compare, "a binary, b binary, common long, union long")
-    return materialise(checked.filter(100 * F.col("common") >= percent * F.col("union")).select("a", "b"), "links")
+    checked = checked.filter(100 * F.col("common") >= percent * F.col("union")).select("a", "b")
+    return materialise(checked, "links")
+
+
+def _renamed(df: DataFrame, column: str, names: DataFrame, spread_by: list[str]) -> DataFrame:
+    """``df`` (materialised) with the values of ``column`` replaced by their ``root`` in ``names`` (node, root), if they have one."""
+    names = names.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    if names.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        named = df.join(F.broadcast(names), column, "left")
+    else:
+        named = lookup_join(df, names, column, spread_by, "left")
+    return named.withColumn(column, F.coalesce("_root", column)).select(*df.columns)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -183,26 +196,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Roots hook onto smaller roots that an edge shows, then pointers are shortened,
     until no edge joins two roots. Rounds grow with the logarithm of the diameter.
+    Up to ``FEW_NAMES`` edges (counted) are a few megabytes and need no shuffles.
     """
-    edges = edges.select("a", "b").filter("a <> b").distinct()
-    parent = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parent = materialise(parent.withColumn("root", F.col("node")), "cc")
-    of = lambda name, to: parent.select(F.col("node").alias(name), F.col("root").alias(to))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    crossing = materialise(ordered(edges), "cc")
+    few = crossing.count() <= FEW_NAMES
+    frozen = lambda df: materialise(df, "cc").coalesce(1) if few else materialise(df, "cc")
+    crossing = crossing.coalesce(1) if few else crossing
+    parent = frozen(crossing.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     for _ in range(most_rounds):
-        crossing = edges.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb")
-        crossing = materialise(crossing.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc")
         if crossing.isEmpty():
             return parent
-        hook = materialise(crossing.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), "cc")
+        hook = frozen(crossing.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:  # a root's target may have been hooked itself
-            step = hook.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            longer = hook.join(step, "to", "left").select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-            longer = materialise(longer, "cc")
-            hook = longer.select("root", "to")
-            if longer.filter("moved").isEmpty():
+            longer = frozen(_renamed(hook.withColumn("was", F.col("root")), "root", hook, ["node"]))
+            hook = longer.select("node", "root")
+            if longer.filter("root <> was").isEmpty():
                 break
-        parent = materialise(parent.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "cc")
-        edges = crossing  # roots are nodes too
+        parent = frozen(_renamed(parent, "root", hook, ["node"]))
+        half = frozen(_renamed(crossing, "a", hook, ["b"]))
+        crossing = frozen(ordered(_renamed(half, "b", hook, ["a"])))
     raise RuntimeError("components did not settle")
 
 
@@ -213,12 +226,33 @@ def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _near(a: str, b: str, percent: int):
-    """Whether two classes (columns sketch and n_shingles of either side) can be linked."""
+    """Whether two classes (columns sketch, n and own of either side) can be linked.
+
+    ``own`` shingles of a class are in no other set it may still be compared with, so the
+    rest of its set bounds the intersection.
+    """
     planes = COORDINATES // 64
     other = lambda i: F.col(f"sketch{a}")[i].bitwiseXOR(F.col(f"sketch{b}")[i])
     differ = sum((F.bit_count(other(i).bitwiseOR(other(planes + i))) for i in range(planes)), F.lit(0))
-    small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (100 * small >= percent * large) & (differ <= settings(percent)[2])
+    common = F.least(F.col(f"n{a}") - F.col(f"own{a}"), F.col(f"n{b}") - F.col(f"own{b}"))
+    return (100 * common >= percent * (F.col(f"n{a}") + F.col(f"n{b}") - common)) & (differ <= settings(percent)[2])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
+        who = np.repeat(np.asarray(batch.column(0)), np.diff(offsets))
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(sets.view(np.int64))], ["who", "shingle"])
+
+
+def _with_own(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``live`` with ``own`` counted anew: shingles of a class that no other open one has. Classes of too many are left out."""
+    spread = texts.join(live.select("node").distinct(), "node", "left_semi")
+    spread = spread.select(F.xxhash64("node").alias("who"), "text").mapInArrow(_spread, "who long, shingle long")
+    single = spread.groupBy("shingle").agg(F.count("*").alias("k"), F.min("who").alias("who")).filter("k = 1")
+    own = single.groupBy("who").agg(F.count("*").alias("counted"))
+    counted = live.withColumn("who", F.xxhash64("node")).join(own, "who", "left").withColumn("own", F.coalesce("counted", F.lit(0).cast("long")))
+    return materialise(counted.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select(*live.columns), "own")
 
 
 def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,48 +260,43 @@ def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFram
     # a class is named by its set; bands, sketch and size are the same for all of its rows
     reps = signed.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("mark", "n_shingles", "bands", "sketch"), "mark").alias("r"))
     reps = materialise(reps.select("node", "r.mark", F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"), "reps")
-    rows = reps.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
-    # most buckets hold one class; narrow rows find the others, and only theirs take bands and sketches along
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    # most buckets hold one class; narrow rows find the others, and only theirs take sketches along
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
     crowded = materialise(rows.join(crowded, "bucket"), "crowded")
-    wide = reps.join(crowded.select("node").distinct(), "node", "left_semi")
-    wide = materialise(wide, "wide")
-    plain = docs.select(F.md5(text_of()).alias("mark"), text_of().alias("text"))
-    wanted = plain.join(wide.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
-    texts = materialise(wide.select("node", "mark").join(wanted, "mark").select("node", "text"), "texts")
-    live = crowded.join(wide.select("node", "n", "bands", "sketch"), "node").withColumn("root", F.col("node"))
+    # a class whose buckets are full is near the middle of a group
+    wide = materialise(reps.drop("bands").join(crowded.groupBy("node").agg(F.sum("k").alias("company")), "node"), "wide")
+    # copies of a text are dropped by each task before they meet
+    plain = docs.select(F.md5(text_of()).alias("mark"), text_of().alias("text")).dropDuplicates(["mark"])
+    texts = materialise(wide.select("node", "mark").join(plain, "mark").select("node", "text"), "texts")
+    live = crowded.drop("k").join(wide.select("node", "n", "company", "sketch"), "node").withColumn("root", F.col("node")).withColumn("own", F.lit(0).cast("long"))
     live = materialise(live, "live")
-    links = roots = None
-    for turn in range(ROUNDS + 1):
-        if roots is not None:
-            live = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            closed = live.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 = r1").select("bucket")
-            live = materialise(live.join(closed, "bucket", "left_anti"), "open")
-        groups = live.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        left = groups.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
-        if not left["rows"]:
-            break
-        last = turn == ROUNDS or (turn and left["pairs"] <= COMPARISONS * left["rows"])
-        side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "root", "n", "bands", "sketch")]
-        if last:
-            a, b = live.select("bucket", "band", *side("_a")), live.select("bucket", *side("_b"))
-            earlier = F.exists(F.zip_with(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
-            pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _near("_a", "_b", percent) & ~earlier)
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        else:
-            # the same pivot in as many buckets as can be
-            pivots = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *side("_b"))).alias("p"))
-            pivots = materialise(pivots.select("bucket", *[f"p.{c}_b" for c in ("node", "root", "n", "sketch")]), "pivots")
-            met = lookup_join(live.select("bucket", *side("_a")), pivots, "bucket", ["node_a"])
-            pairs = met.filter((F.col("root_a") != F.col("root_b")) & _near("_a", "_b", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        new = _verified(materialise(pairs, "pairs"), texts, percent)
-        found = not new.isEmpty()
-        links = new if links is None else links.unionByName(new)
-        if found or roots is None:
-            roots = components(links)
-        if last:
-            break
-    return roots if roots is not None else components(signed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    links, turn = [], 0
+    while not live.isEmpty():
+        if turn:
+            live = _with_own(live, texts, percent)
+        picks = min(GROWTH**turn, MOST_PICKS)
+        side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "root", "n", "own", "sketch")]
+        # pivots of different roots, from the middle of their groups, and the same in as many buckets as can be
+        place = F.pmod(F.xxhash64("root", F.lit(turn)), F.lit(picks))
+        pivots = live.groupBy("bucket", place.alias("place")).agg(F.min(F.struct((-F.col("company")).alias("first"), F.xxhash64("node").alias("h"), *side("_b"))).alias("p"))
+        pivots = materialise(pivots.select("bucket", *[f"p.{c}_b" for c in ("node", "root", "n", "own", "sketch")]), "pivots")
+        met = lookup_join(live.select("bucket", *side("_a")), pivots, "bucket", ["node_a"])
+        met = met.filter((F.col("root_a") != F.col("root_b")) & _near("_a", "_b", percent))
+        pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
+        pairs = materialise(pairs, "pairs")
+        new = _verified(pairs, texts, percent)
+        # a pivot has met all rows of its bucket
+        live = live.join(pivots.select("bucket", F.col("node_b").alias("node")), ["bucket", "node"], "left_anti")
+        if not new.isEmpty():
+            links.append(new)
+            roots = components(new.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            live = _renamed(materialise(live, "open"), "root", roots, ["node", "bucket"])
+        shared = live.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+        live = materialise(live.join(shared, "bucket", "left_semi"), "open")
+        turn += 1
+    none = signed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return components(reduce(DataFrame.unionByName, links) if links else none)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
