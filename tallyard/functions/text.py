@@ -66,7 +66,7 @@ def to_boolean(c: Column, fallback: Column) -> Column:
 def to_integer(c: Column, fallback: int, least: int = 0) -> Column:
     value = c.try_cast("double")
     whole = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("bigint")
-    return F.coalesce(F.greatest(whole, F.lit(least).cast("bigint")), F.lit(fallback).cast("bigint"))
+    return F.when(whole.isNull(), F.lit(fallback).cast("bigint")).otherwise(F.greatest(whole, F.lit(least).cast("bigint")))
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
@@ -127,10 +127,15 @@ def absolute_url(url: Column, scheme: str, host: str, folder: str = "/") -> Colu
         .when(u.startswith("?") | u.startswith("#"), F.concat(F.lit(base + folder), u))
         .otherwise(F.concat(F.lit(base + folder), F.regexp_replace(u, r"^(?:\./)+", "")))
     )
-    # a/../b, as often as listings use it
-    for _ in range(4):
-        path = F.regexp_replace(path, r"(?<=[^/])/(?!\.\.)[^/?#]+/\.\./", "/")
-    return path
+    # steps up are taken one by one, never above the root
+    head, tail = F.regexp_extract(path, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.regexp_extract(path, r"(?s)[?#].*$", 0)
+    steps = F.substring(path, F.length(head) + 1, F.length(path) - F.length(head) - F.length(tail))
+
+    def take(done: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+
+    walked = F.array_join(F.aggregate(F.split(steps, "/"), F.array().cast("array<string>"), take), "/")
+    return F.when(steps.contains("/../"), F.concat(head, walked, tail)).otherwise(path)
 
 
 def outer_box_quantity(c: Column) -> Column:

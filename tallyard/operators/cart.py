@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.operators.dedupe import keep_first
+
 from tallyard.functions.text import comparable_name, squash
 
 #: Sites by domain suffix; the flag tells whether a request must name an option.
@@ -56,9 +58,9 @@ def by_site(requests: DataFrame) -> DataFrame:
     return requests.groupBy("site").agg(F.count("*").alias("items"), F.sum("quantity").alias("quantity"))
 
 
-def listed(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Requests with their product's name, or the reason that it isn't there."""
-    found = products.select("productId", "productName").dropDuplicates(["productId"])
+def listed(requests: DataFrame, products: DataFrame, order: str = "ord") -> DataFrame:
+    """Requests with the name their product is first listed under, and whether it isn't there."""
+    found = keep_first(products.select("productId", "productName", order), ["productId"], [order, "productName"]).drop(order)
     return requests.join(found, "productId", "left").withColumn("missing", F.col("productName").isNull())
 
 

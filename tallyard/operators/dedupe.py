@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.sources.shared import frozen
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. One pre-aggregated shuffle: no sort of a key's rows."""
@@ -23,11 +25,11 @@ def last_value_first_position(df: DataFrame, keys: list[str], order: str) -> Dat
 def numbered(df: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     """A dense number over the whole frame: ranges are counted, then rows numbered within them.
 
-    No window over all rows: rows are sorted by range, and one count for each partition is
-    all that a single task sees.
+    No window over all rows: rows are sorted by range, and one count for each range is all
+    that a single task sees. Ranges are written once: counts and numbers are of the same ones.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_id", F.monotonically_increasing_id())
+    spread = frozen(spread.withColumn("_id", F.monotonically_increasing_id()), "ranges")
     within = Window.partitionBy("_part").orderBy("_id")
     local = spread.withColumn("_local", F.row_number().over(within))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -72,10 +72,10 @@ def update_history(history: DataFrame, new: DataFrame, order: str = "ord") -> Da
     return both.groupBy("date").agg(*[F.max_by(c, F.struct("_new", order)).alias(c) for c in rest])
 
 
-def hourly(rates: DataFrame, ts: str = "ts") -> DataFrame:
-    """The last row of each hour."""
-    hour = F.date_trunc("HOUR", F.col(ts))
-    return rates.groupBy(hour.alias("hour")).agg(*[F.max_by(c, ts).alias(c) for c in rates.columns if c != ts])
+def hourly(rates: DataFrame, ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+    """The last row of each hour, by ``order`` (``ts`` alone if not given)."""
+    hour, last = F.date_trunc("HOUR", F.col(ts)), F.struct(*(order or [ts]))
+    return rates.groupBy(hour.alias("hour")).agg(*[F.max_by(c, last).alias(c) for c in rates.columns if c != ts])
 
 
 def to_yen(price: Column, rate: Column) -> Column:

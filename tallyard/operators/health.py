@@ -102,7 +102,7 @@ def run_summary(pages: DataFrame, products: DataFrame, expected: int | None, ful
 def active_runs(runs: DataFrame) -> DataFrame:
     """Number of running runs and the latest completed one."""
     done = F.when(F.col("status") == "completed", F.coalesce("finishedAt", "updatedAt", "startedAt"))
-    return runs.agg(F.count_if(F.col("status").isin("queued", "running")).alias("activeRuns"), F.max_by("runId", F.struct(done, "runId")).alias("_any"), F.max_by(F.when(done.isNotNull(), F.col("runId")), done).alias("latestCompleted")).drop("_any")
+    return runs.agg(F.count_if(F.col("status").isin("queued", "running")).alias("activeRuns"), F.max_by(F.when(done.isNotNull(), F.col("runId")), done).alias("latestCompleted"))
 
 
 def elapsed(now: Column) -> Column:

@@ -160,9 +160,7 @@ def numeric_coercions(spark, sf_dir):
         .when(i % 5 == 2, F.concat(F.lit("-"), n, F.lit(".5"))).when(i % 5 == 3, "무료").otherwise(F.concat(n, F.lit(" ~ 9")))
     )
     t = F.when(i % 6 == 0, "").when(i % 6 == 1, "  ").when(i % 6 == 2, "true").when(i % 6 == 3, "no").when(i % 6 == 4, n).otherwise("abc")
-    return e.select("event_id", text.to_number(s).alias("n"), text.to_price(s).alias("price"), text.parse_price(s).alias("parsed"), text.to_nullable_number(t).alias("nullable"), text.to_boolean(t, F.lit(None)).alias("flag")).withColumn(
-        "flag", F.when(F.col("event_id") % 6 == 4, F.when(F.col("event_id") == 1, True)).otherwise(F.col("flag"))
-    )
+    return e.select("event_id", text.to_number(s).alias("n"), text.to_price(s).alias("price"), text.parse_price(s).alias("parsed"), text.to_nullable_number(t).alias("nullable"), text.to_boolean(t, F.lit(None)).alias("flag"))
 
 
 @query("unavailable_products", """SELECT p_partkey, CASE WHEN p_size = 1 OR p_type = 'PROMO' THEN true WHEN p_size % 3 = 0 THEN p_size % 2 = 0 WHEN p_size % 3 = 1 THEN NOT (p_size % 2 = 0 AND p_size % 5 = 0) ELSE false END AS unavailable FROM part""")
@@ -475,8 +473,7 @@ def fx_history(spark, sf_dir):
 
 @query("fx_hourly", "SELECT date_trunc('hour', ts) AS hour, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY ALL")
 def fx_hourly(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("at"), "ts", "value")
-    return e.groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(F.max_by("value", "at").alias("value"))
+    return fx.hourly(read(spark, sf_dir, "events").select("ts", "event_id", "value"), order=["ts", "event_id"]).select("hour", "value")
 
 
 @query("fx_derived", "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN round(100::DECIMAL(18,6) / o_totalprice::DECIMAL(18,6), 5)::DECIMAL(12,5) END AS rate FROM orders".replace(
@@ -542,21 +539,25 @@ def shipping_pairs(spark, sf_dir):
 # --- health, warnings, runs -------------------------------------------------
 
 
-@query("cycle_risks", """WITH c AS (SELECT user_id, CAST(strftime(ts, '%j') AS INTEGER) AS cycleNo, CAST(round(sum(value) * 100) AS BIGINT) / 100.0 AS ms, (count(*) * 9000)::BIGINT AS dom, (max(event_id) % 400)::BIGINT AS heap FROM events WHERE user_id < 40 GROUP BY ALL),
-  w AS (SELECT *, count(*) OVER p AS n, avg(CASE WHEN ms > 0 THEN ms END) OVER p AS mean, max(dom) OVER p AS pd, max(heap) OVER p AS ph FROM c WINDOW p AS (PARTITION BY user_id ORDER BY cycleNo ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-  SELECT user_id, cycleNo, coalesce(n >= 2 AND dom > 15000 AND dom > 1.6 * pd, false) AS dom, coalesce(n >= 2 AND ph > 120 AND heap > 1.45 * ph, false) AS heap, cycleNo % 6 = 0 AS forcedRefresh FROM w""")
+@query("cycle_risks", """WITH c AS (SELECT user_id, CAST(strftime(ts, '%j') AS INTEGER) AS cycleNo, sum(event_id % 977)::BIGINT AS ms, (count(*) * 9000)::BIGINT AS dom, (max(event_id) % 400)::BIGINT AS heap FROM events GROUP BY ALL),
+  w AS (SELECT *, count(*) OVER p AS n, sum(ms) OVER p AS total, count(*) FILTER (WHERE ms > 0) OVER p AS filled, max(dom) OVER p AS pd, max(heap) OVER p AS ph
+    FROM c WINDOW p AS (PARTITION BY user_id ORDER BY cycleNo ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+  r AS (SELECT *, coalesce(n >= 2 AND ms > 0 AND filled > 0 AND ms * 1000 > (200 * total + filled) // (2 * filled) * 22, false) AS slow,
+    coalesce(n >= 2 AND dom > 15000 AND dom > 1.6 * pd, false) AS dom_, coalesce(n >= 2 AND ph > 120 AND heap > 1.45 * ph, false) AS heap_ FROM w)
+  SELECT user_id, cycleNo, slow, dom_ AS dom, heap_ AS heap, cycleNo % 6 = 0 AS forcedRefresh,
+    concat_ws(', ', CASE WHEN cycleNo % 6 = 0 THEN 'periodic-refresh' END, CASE WHEN slow THEN 'slowdown' END, CASE WHEN dom_ THEN 'dom-node-growth' END, CASE WHEN heap_ THEN 'js-heap-growth' END) AS label FROM r""")
 def cycle_risks(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("user_id < 40")
-    c = e.groupBy("user_id", F.dayofyear("ts").alias("cycleNo")).agg(F.round(F.sum("value"), 2).alias("msPerProduct"), (F.count("*") * 9000).alias("maxDomNodes"), (F.max("event_id") % 400).alias("maxHeapMb"))
-    r = health.cycle_risks(c, ["user_id"])
-    return r.select("user_id", "cycleNo", F.array_contains("reasons", "dom-node-growth").alias("dom"), F.array_contains("reasons", "js-heap-growth").alias("heap"), "forcedRefresh")
+    e = read(spark, sf_dir, "events")
+    c = e.groupBy("user_id", F.dayofyear("ts").alias("cycleNo")).agg(F.sum(F.col("event_id") % 977).alias("msPerProduct"), (F.count("*") * 9000).alias("maxDomNodes"), (F.max("event_id") % 400).alias("maxHeapMb"))
+    r, has = health.cycle_risks(c, ["user_id"]), lambda x: F.array_contains("reasons", x)
+    return r.select("user_id", "cycleNo", has("slowdown").alias("slow"), has("dom-node-growth").alias("dom"), has("js-heap-growth").alias("heap"), "forcedRefresh", "label")
 
 
-@query("cycle_summary", """SELECT user_id, count(*) AS pages, sum(e)::BIGINT AS elapsedMs, max(e) AS slowestPageMs, max(d) AS maxDomNodes, arg_min(d, event_id) AS firstDomNodes, arg_max(d, event_id) AS lastDomNodes
+@query("cycle_summary", """SELECT user_id, count(*) AS pages, sum(e)::BIGINT AS elapsedMs, avg(e) AS meanPageMs, max(e) AS slowestPageMs, max(d) AS maxDomNodes, arg_min(d, event_id) AS firstDomNodes, arg_max(d, event_id) AS lastDomNodes
   FROM (SELECT user_id, event_id, event_id % 977 AS e, event_id % 131 AS d FROM events) WHERE e > 0 GROUP BY user_id""")
 def cycle_summary(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 977).alias("elapsedMs"), (F.col("event_id") % 131).alias("domNodes"))
-    return health.cycle_summary(e, ["user_id"], "event_id").drop("meanPageMs")
+    return health.cycle_summary(e, ["user_id"], "event_id")
 
 
 @query("page_scan", """WITH r AS (SELECT event_type AS run, CAST(strftime(ts, '%j') AS INTEGER) AS page, CASE WHEN user_id % 4 = 0 AND event_id % 2 = 1 THEN NULL ELSE user_id % 9 END AS p FROM events),
