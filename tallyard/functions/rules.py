@@ -107,11 +107,11 @@ def last_category(*levels: Column) -> Column:
 
 
 def detail_spec(rows: Column, words: list[str]) -> Column:
-    """Value of the first row (label, value) for the first word that a filled row's label holds."""
+    """Value of the first row (labelKo, valueKo) whose label holds a word: that of the first word whose row is filled, or null."""
     def first(word: str) -> Column:
-        return F.get(F.filter(rows, lambda r: r["label"].contains(word) & has_text(r["value"])), F.lit(0))
+        return F.nullif(squash(F.get(F.filter(rows, lambda r: squash(r["labelKo"]).contains(word)), F.lit(0))["valueKo"]), F.lit(""))
 
-    return squash(F.coalesce(*[first(w) for w in words])["value"])
+    return F.coalesce(*[first(w) for w in words])
 
 
 #: Row statuses of popup options add one for controls that are switched off.

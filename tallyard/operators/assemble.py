@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import rules
 from tallyard.functions.schemas import OPTION, SPECS
-from tallyard.functions.text import distinct_texts, first_positive, first_text, not_thumbnail, squash
+from tallyard.functions.text import distinct_texts, first_positive, first_text, not_thumbnail, squash, to_price
 from tallyard.operators.dedupe import keep_first
 
-#: Labels that never become specs.
-PRICE_LABELS = "가격|판매가|소비자가|브랜드"
+# fixed values
+PRICE_LABELS = "판매가|총 합계금액|브랜드"
+PRICE_WORDS = ("총 상품금액", "상품금액", "판매가", "총 합계금액")
+BRAND_WORDS = ("브랜드",)
+
+
+def field(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that may be lacking, as ``kind``; null where it is."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
 def images(main: Column, detail: Column, existing: Column) -> Column:
@@ -23,100 +30,183 @@ def images(main: Column, detail: Column, existing: Column) -> Column:
 
 
 def spec_rows(rows: Column) -> Column:
-    """Specs of rows (labelKo, labelJa, valueKo, valueJa, sortOrder): filled, no prices or brands, first of a label."""
-    clean = F.filter(rows, lambda r: (squash(r["labelKo"]) != "") & (squash(r["valueKo"]) != "") & ~r["labelKo"].rlike(PRICE_LABELS))
+    """Specs of rows (labelKo, labelJa, valueKo, valueJa, sortOrder): filled, no prices or brands, first of a label.
+
+    Japanese texts that lack are the Korean ones, a lacking sort order is ten times the place.
+    """
+    clean = F.filter(rows, lambda r: (squash(r["labelKo"]) != "") & (squash(r["valueKo"]) != "") & ~squash(r["labelKo"]).rlike(PRICE_LABELS))
     labels = F.transform(clean, lambda r: squash(r["labelKo"]))
     first = F.filter(clean, lambda r, i: F.array_position(labels, squash(r["labelKo"])) == i + 1)
     return F.transform(
         first, lambda r, i: F.struct(
-            squash(r["labelKo"]).alias("labelKo"), squash(r["labelJa"]).alias("labelJa"), squash(r["valueKo"]).alias("valueKo"),
-            squash(r["valueJa"]).alias("valueJa"), F.coalesce(r["sortOrder"], (i + 1) * 10).cast("int").alias("sortOrder"),
+            squash(r["labelKo"]).alias("labelKo"), first_text(squash(r["labelJa"]), squash(r["labelKo"])).alias("labelJa"), squash(r["valueKo"]).alias("valueKo"),
+            first_text(squash(r["valueJa"]), squash(r["valueKo"])).alias("valueJa"), F.coalesce(r["sortOrder"], i * 10).cast("int").alias("sortOrder"),
         )
     ).cast(SPECS)
 
 
+def labelled(*pairs: tuple[Column, Column]) -> Column:
+    """Spec rows of (label, value) columns."""
+    return F.array(*[
+        F.struct(label.alias("labelKo"), F.lit("").alias("labelJa"), value.alias("valueKo"), F.lit("").alias("valueJa"), F.lit(None).cast("int").alias("sortOrder")) for label, value in pairs
+    ]).cast(SPECS)
+
+
 def spec_map(entries: Column) -> Column:
-    """Specs of a label to value map, prices and brands left out."""
-    kept = F.filter(F.map_entries(entries), lambda e: ~e["key"].rlike(PRICE_LABELS) & (squash(e["value"]) != ""))
-    return spec_rows(F.transform(kept, lambda e: F.struct(e["key"].alias("labelKo"), F.lit("").alias("labelJa"), e["value"].alias("valueKo"), F.lit("").alias("valueJa"), F.lit(None).cast("int").alias("sortOrder"))))
+    """Specs of a label to value map."""
+    return spec_rows(F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("labelKo"), F.lit("").alias("labelJa"), e["value"].alias("valueKo"), F.lit("").alias("valueJa"), F.lit(None).cast("int").alias("sortOrder"))))
 
 
-def specs(rows: Column, raw: Column) -> Column:
-    """Spec rows if there are any, else those of the raw map."""
-    made = spec_rows(F.coalesce(rows, F.array().cast(SPECS)))
-    return F.when(F.size(made) > 0, made).otherwise(F.coalesce(spec_map(raw), F.array().cast(SPECS)))
+def specs(rows: Column, raw: Column, named: Column | None = None) -> Column:
+    """Spec rows if there are any, else those of the raw map, else of the named fields."""
+    none = F.array().cast(SPECS)
+    made, mapped = spec_rows(F.coalesce(rows, none)), F.coalesce(spec_map(raw), none)
+    return F.when(F.size(made) > 0, made).when(F.size(mapped) > 0, mapped).otherwise(none if named is None else spec_rows(named))
+
+
+def named_specs(details: DataFrame) -> Column:
+    """The named fields of a detail row as spec rows."""
+    # fixed values
+    fields = {
+        "origin": "원산지", "manufacturer": "제조사", "material": "소재", "packageSize": "포장 사이즈", "weight": "무게", "certification": "인증", "targetAge": "사용 대상 연령", "warranty": "품질보증기준",
+    }
+    return labelled(*[(F.lit(label), field(details, name, "string")) for name, label in fields.items()])
+
+
+def spec_facts(details: DataFrame) -> Column:
+    """struct of the four facts that the first mall's products carry in place of specs; null if none is known."""
+    # fixed values
+    facts = {"material": "material", "packagingSize": "packageSize", "weight": "weight", "countryofOrigin": "origin"}
+    known = {name: F.nullif(squash(field(details, c, "string")), F.lit("")) for name, c in facts.items()}
+    return F.when(F.coalesce(*known.values()).isNotNull(), F.struct(*[c.alias(name) for name, c in known.items()]))
 
 
 def original_price(*candidates: Column) -> Column:
     return first_positive(*candidates).cast("decimal(18,4)")
 
 
-def options(inventory: DataFrame, translated: DataFrame | None = None, order: str = "ord") -> DataFrame:
-    """productId, options: one option per id of a product, in order of first appearance."""
-    rows = inventory.filter("hasOption").withColumn("_id", squash(F.col("optionId")))
-    first = keep_first(rows.filter("_id <> ''"), ["productId", "_id"], [order])
+def options(inventory: DataFrame, translated: DataFrame | None = None, order: str = "ord", detail: bool = False) -> DataFrame:
+    """productId, options: one option per id of a product, in order of first appearance.
+
+    Rows without an id (or with the id 0) are options of their own, with an empty id. ``name`` is the
+    Japanese one; the English one is for general collection, an added price for details.
+    """
+    raw = squash(F.col("optionId"))
+    rows = inventory.filter("hasOption").withColumns({"_raw": raw, "_id": F.when(raw == "0", "").otherwise(raw)})
+    first = keep_first(rows.filter("_id <> ''"), ["productId", "_id"], [order]).unionByName(rows.filter("_id = ''"))
     if translated is None:
-        first = first.withColumn("_ja", F.lit("")).withColumn("_en", F.lit(""))
+        first = first.withColumns({"_ja": F.lit(""), "_en": F.lit("")})
     else:
-        t = translated.select("productId", F.col("optionId").alias("_id"), squash(F.col("ja")).alias("_ja"), squash(F.col("en")).alias("_en"))
-        first = first.join(t, ["productId", "_id"], "left")
-    ko = squash(F.col("optionText"))
+        t = translated.select("productId", squash(F.col("optionId")).alias("_raw"), squash(F.col("ja")).alias("_ja"), squash(F.col("en")).alias("_en")).filter("_raw <> ''")
+        first = first.join(t.groupBy("productId", "_raw").agg(F.max("_ja").alias("_ja"), F.max("_en").alias("_en")), ["productId", "_raw"], "left")
+    sold = (F.coalesce(field(inventory, "stockStatus", "string"), F.lit("")) == rules.OUT) | F.coalesce(field(inventory, "isSoldOut", "boolean"), F.lit(False))
+    ja, en = F.coalesce("_ja", F.lit("")), F.coalesce("_en", F.lit(""))
     option = F.struct(
-        F.col("_id").alias("id"), F.lit(None).cast("string").alias("barcode"), F.coalesce(first_text(F.col("_ja"), ko), F.lit("")).alias("name"), ko.alias("nameKo"),
-        F.coalesce("_ja", F.lit("")).alias("nameJa"), F.coalesce("_en", F.lit("")).alias("nameEn"), F.lit(0).cast("bigint").alias("additionalPrice"),
-        F.col("maxStock").cast("bigint").alias("stockQuantity"), F.when(F.col("maxStock") <= 0, "SOLD_OUT").otherwise("ON_SALE").alias("status"),
+        F.col("_id").alias("id"), F.nullif(squash(field(inventory, "barcode", "string")), F.lit("")).alias("barcode"), ja.alias("name"), squash(F.col("optionText")).alias("nameKo"),
+        ja.alias("nameJa"), (F.lit("") if detail else en).alias("nameEn"),
+        (F.coalesce(field(inventory, "addPrice", "bigint"), F.lit(0)) if detail else F.lit(None)).cast("bigint").alias("additionalPrice"),
+        F.col("maxStock").cast("bigint").alias("stockQuantity"), rules.sale_status(F.lit(""), sold).alias("status"),
     )
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), option.alias("o"))))
     return first.groupBy("productId").agg(F.transform(listed, lambda x: x["o"]).cast(f"array<{OPTION}>").alias("options"))
 
 
-def stock(inventory: DataFrame, order: str = "ord") -> DataFrame:
-    """productId, hasOption, observed, quantity, statuses of each product's rows.
+def option_stock(made: Column) -> Column:
+    """Sum of the known stock of options; null if none is known."""
+    known = F.filter(F.transform(made, lambda o: o["stockQuantity"]), lambda q: q.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, q: a + q))
 
-    Quantity: the sum of its options' known stock, or of a single product the first known.
-    """
-    known = F.col("maxStock").isNotNull()
+
+def stock(inventory: DataFrame, order: str = "ord") -> DataFrame:
+    """productId, hasOption, observed, single (the first known stock), statuses, and what the first row says of the product."""
+    known, price = F.col("maxStock").isNotNull(), field(inventory, "onePrice", "decimal(18,4)")
     return inventory.groupBy("productId").agg(
         F.bool_or(F.coalesce("hasOption", F.lit(False))).alias("hasOption"), F.bool_or(F.col("hasOption").isNotNull()).alias("observed"),
-        F.sum(F.when(F.col("hasOption"), F.col("maxStock"))).cast("bigint").alias("_options"), F.min_by(F.when(known, F.col("maxStock")), F.when(known, F.col(order))).cast("bigint").alias("_single"),
-        F.collect_set("stockStatus").alias("statuses"), F.min_by("productName", order).alias("_name"),
-    ).withColumn("quantity", F.when(F.col("hasOption"), F.col("_options")).otherwise(F.col("_single"))).drop("_options", "_single")
+        F.min_by(F.when(known, F.col("maxStock")), F.when(known, F.col(order))).cast("bigint").alias("single"), F.collect_set("stockStatus").alias("statuses"),
+        F.min_by(F.when(price > 0, price), F.when(price > 0, F.col(order))).alias("onePrice"),
+        *[F.min_by(field(inventory, c, kind), order).alias(f"first_{c}") for c, kind in (("productName", "string"), ("isSoldOut", "boolean"), ("brandHint", "string"), ("categoryHint", "string"))],
+    )
+
+
+def _listed(products: DataFrame) -> DataFrame:
+    """What a list says of a product, in columns of their own names."""
+    flags = [field(products, c, k) for c, k in (("isSoldOut", "boolean"), ("unavailableInCart", "boolean"), ("saleStatus", "string"), ("cartAddable", "boolean"), ("hasAddButton", "boolean"), ("hasCountInput", "boolean"))]
+    text = {c: field(products, c, "string").alias(f"p_{c}") for c in ("productName", "brandHint", "categoryHint", "categoryCode", "thumbnailUrl", "imageUrl")}
+    lists = {c: field(products, c, "array<string>").alias(f"p_{c}") for c in ("mainImageUrls", "imageUrls")}
+    return products.select("productId", F.lit(True).alias("p_found"), rules.unavailable(*flags).alias("p_out"), field(products, "price", "decimal(18,4)").alias("p_price"), *text.values(), *lists.values())
+
+
+def _detailed(details: DataFrame) -> DataFrame:
+    """What a detail page says of a product, in columns of their own names."""
+    none = F.array().cast(SPECS)
+    rows, raw = field(details, "specRows", SPECS), field(details, "rawDetailSpec", "map<string,string>")
+    mapped = F.transform(F.map_entries(raw), lambda e: F.struct(e["key"].alias("labelKo"), e["value"].alias("valueKo")))
+    found = lambda words: F.coalesce(rules.detail_spec(F.coalesce(rows, none), list(words)), rules.detail_spec(mapped, list(words)))
+    first_mall = F.coalesce(field(details, "sourceMall", "string") == "mall-a", F.lit(False))
+    out = F.coalesce(field(details, "isSoldOut", "boolean"), F.lit(False)) | F.coalesce(field(details, "unavailableInCart", "boolean"), F.lit(False)) | (squash(field(details, "saleStatus", "string")) == "SOLD_OUT")
+    text = [field(details, c, "string").alias(f"d_{c}") for c in ("productName", "barcode", "categoryDepth1", "categoryDepth2", "categoryDepth3", "brandHint", "thumbnailUrl")]
+    lists = [field(details, c, "array<string>").alias(f"d_{c}") for c in ("mainImageUrls", "detailImageUrls", "introImageUrls", "imageUrls")]
+    price = original_price(field(details, "originalPrice", "decimal(18,4)"), field(details, "salePrice", "decimal(18,4)"), to_price(found(PRICE_WORDS)), field(details, "consumerPrice", "decimal(18,4)"))
+    return details.select(
+        "productId", *text, *lists, out.alias("d_out"), price.alias("d_price"), found(BRAND_WORDS).alias("d_brandSpec"),
+        F.when(first_mall, none).otherwise(specs(rows, raw, named_specs(details))).alias("d_specs"), F.when(first_mall, spec_facts(details)).alias("d_facts"),
+    )
 
 
 def backend_products(
     products: DataFrame, inventory: DataFrame, details: DataFrame | None = None, translations: DataFrame | None = None, mode: str = "general",
-    threshold: int = 10, order: str = "ord",
+    threshold: int = 10, order: str = "ord", translated_options: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per product: of the details in detail mode, else of products and of inventory without product."""
+    """One row per product: of the details in detail mode, else of products and of inventory without product.
+
+    Details give name, barcode, images and specs in either mode; category, brand and price in detail mode
+    only. A product that no list has is described by its first inventory row.
+    """
+    detail = mode == "detail"
     listed = keep_first(products.filter("productId <> ''"), ["productId"], [order])
-    sums = stock(inventory.filter("productId <> ''"), order)
-    if mode == "detail":
-        base = keep_first(details.filter("productId <> ''"), ["productId"], [order]).select("productId")
-    else:
-        base = listed.select("productId").union(sums.select("productId")).distinct()
-    flags = {c: F.col(c) if c in products.columns else F.lit(None).cast("boolean") for c in ("isSoldOut", "unavailableInCart", "cartAddable", "hasAddButton", "hasCountInput")}
-    sale = F.col("saleStatus") if "saleStatus" in products.columns else F.lit(None).cast("string")
-    p = listed.select("productId", F.col("productName").alias("_listed"), rules.unavailable(flags["isSoldOut"], flags["unavailableInCart"], sale, flags["cartAddable"], flags["hasAddButton"], flags["hasCountInput"]).alias("_out"))
-    out = base.join(p, "productId", "left").join(sums, "productId", "left").join(options(inventory, None, order), "productId", "left")
+    rows = inventory.filter("productId <> ''")
+    sums = stock(rows, order)
+    pages = None if details is None else keep_first(details.filter("productId <> ''"), ["productId"], [order] if order in details.columns else ["productId"])
+    if detail and pages is None:
+        raise ValueError("detail mode needs a table of details")
+    base = pages.select("productId") if detail else listed.select("productId").union(sums.select("productId")).distinct()
+    out = base.join(_listed(listed), "productId", "left").join(sums, "productId", "left").join(options(rows, translated_options, order, detail), "productId", "left")
+    seen = _detailed(pages if pages is not None else listed.select("productId").limit(0))
+    out = out.join(seen, "productId", "left")
     if translations is not None:
         t = keep_first(translations, ["productId"], ["productId"]).select("productId", F.col("nameKo").alias("_tko"), F.col("nameJa").alias("_tja"), F.col("nameEn").alias("_ten"))
         out = out.join(t, "productId", "left")
     else:
         out = out.withColumns({c: F.lit("") for c in ("_tko", "_tja", "_ten")})
-    unavailable = F.coalesce("_out", F.lit(False))
-    status = rules.backend_status(F.col("quantity"), F.coalesce("statuses", F.array().cast("array<string>")), threshold, unavailable)
+    said = lambda c: F.when(F.col("p_found"), F.col(f"p_{c}")).otherwise(F.col(f"first_{c}"))
+    unavailable = F.coalesce("p_out", "first_isSoldOut", F.lit(False)) | F.coalesce("d_out", F.lit(False))
+    several = F.coalesce("hasOption", F.lit(False))
+    none = F.array().cast(f"array<{OPTION}>")
+    made = F.when(several, F.coalesce("options", none)).otherwise(none)
+    # options of an unavailable product are sold out, whatever their stock
+    closed = F.when(unavailable, F.transform(made, lambda o: o.withField("status", F.lit("SOLD_OUT")))).otherwise(made)
+    quantity = F.when(several, option_stock(F.col("options"))).otherwise(F.col("single"))
+    status = rules.backend_status(quantity, F.coalesce("statuses", F.array().cast("array<string>")), threshold, unavailable)
+    main = F.concat(F.coalesce("d_mainImageUrls", F.array().cast("array<string>")), F.array("d_thumbnailUrl"), F.coalesce("p_mainImageUrls", F.array().cast("array<string>")), F.array("p_thumbnailUrl", "p_imageUrl"))
+    more = F.concat(F.coalesce("d_detailImageUrls", F.array().cast("array<string>")), F.coalesce("d_introImageUrls", F.array().cast("array<string>")))
+    shown = F.concat(F.coalesce("d_imageUrls", F.array().cast("array<string>")), F.coalesce("p_imageUrls", F.array().cast("array<string>")))
+    picture = images(main, more, shown)
+    brand = squash(F.coalesce(first_text(F.col("d_brandHint"), F.col("d_brandSpec"), said("brandHint")), F.lit("")))
+    category = rules.last_category(F.col("d_categoryDepth3"), F.col("d_categoryDepth2"), F.col("d_categoryDepth1"), said("categoryHint"), F.col("p_categoryCode"))
     return out.select(
         F.col("productId").alias("id"), F.coalesce("observed", F.lit(False)).alias("inventoryObserved"), unavailable.alias("inventoryUnavailable"),
-        F.when(F.coalesce("hasOption", F.lit(False)), "OPTION").otherwise("SINGLE").alias("type"),
-        squash(F.coalesce(first_text(F.col("_tko"), F.col("_listed"), F.col("_name")), F.lit(""))).alias("nameKo"), squash(F.col("_tja")).alias("nameJa"), squash(F.col("_ten")).alias("nameEn"),
-        F.col("quantity").alias("stockQuantity"), F.lit(threshold).alias("lowStockThreshold"), status.alias("stockStatus"), rules.sale_status(status, unavailable).alias("saleStatus"),
-        F.when(F.coalesce("hasOption", F.lit(False)), F.coalesce("options", F.array().cast(f"array<{OPTION}>"))).otherwise(F.array().cast(f"array<{OPTION}>")).alias("options"),
+        F.nullif(squash(F.col("d_barcode")), F.lit("")).alias("barcode"), F.when(several, "OPTION").otherwise("SINGLE").alias("type"),
+        squash(F.coalesce(first_text(F.col("_tko"), F.col("d_productName"), said("productName")), F.lit(""))).alias("nameKo"), squash(F.col("_tja")).alias("nameJa"), squash(F.col("_ten")).alias("nameEn"),
+        (category if detail else F.lit("")).alias("categoryId"), (brand if detail else F.lit("")).alias("brandId"),
+        (original_price(F.col("d_price"), F.col("onePrice"), F.col("p_price")) if detail else F.lit(None).cast("decimal(18,4)")).alias("originalPrice"),
+        quantity.alias("stockQuantity"), F.lit(threshold).alias("lowStockThreshold"), status.alias("stockStatus"), rules.sale_status(status, unavailable).alias("saleStatus"),
+        picture["imageUrls"].alias("imageUrls"), picture["thumbnailUrl"].alias("thumbnailUrl"), closed.alias("options"), F.coalesce("d_specs", F.array().cast(SPECS)).alias("specs"), F.col("d_facts").alias("specFacts"),
     )
 
 
 def translation_input(inventory: DataFrame, products: DataFrame, detail: bool = False) -> DataFrame:
     """Inventory rows with their products' names, and products without inventory."""
-    names = products.select("productId", F.col("productName").alias("_name")).dropDuplicates(["productId"])
+    names = keep_first(products.select("productId", F.col("productName").alias("_name")), ["productId"], ["_name"])
     rows = inventory.join(names, "productId", "inner" if detail else "left").withColumn("productName", F.coalesce(F.nullif("_name", F.lit("")), "productName")).drop("_name")
     lacking = products.join(inventory.select("productId").distinct(), "productId", "left_anti")
     return rows.unionByName(lacking.select("productId", "productName"), allowMissingColumns=True)
@@ -124,7 +214,7 @@ def translation_input(inventory: DataFrame, products: DataFrame, detail: bool =
 
 def with_details(details: DataFrame, inventory: DataFrame, summary: DataFrame) -> DataFrame:
     """Details with their products' stock."""
-    return details.join(stock(inventory).select("productId", "quantity"), "productId", "left").join(summary, "productId", "left")
+    return details.join(stock(inventory).select("productId", "hasOption", "observed", "single"), "productId", "left").join(summary, "productId", "left")
 
 
 def live_overlay(parsed: DataFrame, live: DataFrame) -> DataFrame:

@@ -301,9 +301,10 @@ def quality_gate(spark, sf_dir):
 # --- assembly and archive ---------------------------------------------------
 
 _BACKEND_SQL = f"""WITH inv AS (SELECT * FROM ({inventory_sql(shift=15)}) WHERE CAST(productId AS BIGINT) % 5 <> 0), p AS ({PRODUCTS_SQL}),
-  opt AS (SELECT productId, optionId, arg_min(optionText, ord) AS t, arg_min(maxStock, ord) AS q, min(ord) AS o FROM inv WHERE hasOption GROUP BY ALL),
-  opts AS (SELECT productId, string_agg(optionId || ':' || t || ':' || q, ',' ORDER BY o) AS options FROM opt GROUP BY productId),
-  s AS (SELECT productId, bool_or(hasOption) AS hasOption, CASE WHEN bool_or(hasOption) THEN sum(CASE WHEN hasOption THEN maxStock END)::BIGINT ELSE arg_min(maxStock, ord) END AS q FROM inv GROUP BY productId)
+  opt AS (SELECT productId, CASE WHEN optionId = '0' THEN '' ELSE optionId END AS id, arg_min(optionText, ord) AS t, arg_min(maxStock, ord) AS q, min(ord) AS o
+    FROM inv WHERE hasOption GROUP BY productId, optionId, CASE WHEN optionId = '0' THEN ord END),
+  opts AS (SELECT productId, string_agg(id || ':' || t || ':' || q, ',' ORDER BY o) AS options FROM opt GROUP BY productId),
+  s AS (SELECT productId, bool_or(hasOption) AS hasOption, CASE WHEN bool_or(hasOption) THEN (SELECT sum(q)::BIGINT FROM opt WHERE opt.productId = inv.productId) ELSE arg_min(maxStock, ord) END AS q FROM inv GROUP BY productId)
   SELECT *, CASE WHEN inventoryUnavailable OR stockStatus = 'OUT_OF_STOCK' THEN 'SOLD_OUT' ELSE 'ON_SALE' END AS saleStatus FROM (
   SELECT p.productId AS id, s.productId IS NOT NULL AS inventoryObserved, p.isSoldOut AS inventoryUnavailable, CASE WHEN s.hasOption THEN 'OPTION' ELSE 'SINGLE' END AS type, p.productName AS nameKo, s.q AS stockQuantity,
     CASE WHEN p.isSoldOut THEN 'OUT_OF_STOCK' WHEN s.q <= 0 THEN 'OUT_OF_STOCK' WHEN s.q <= 10 THEN 'LOW_STOCK' WHEN s.q IS NOT NULL THEN 'IN_STOCK' ELSE '' END AS stockStatus, CASE WHEN s.hasOption THEN coalesce(o.options, '') ELSE '' END AS options

@@ -75,8 +75,8 @@ def next_daily_runs(spark, sf_dir):
 
 @query("spec_values", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'Korea' END AS origin, CASE WHEN p_size % 3 = 0 THEN p_type END AS picked FROM part""")
 def spec_values(spark, sf_dir):
-    z, row = F.col("p_size"), lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
-    rows = F.array(row("제조국", F.lit("Korea")), row("원산지(1)", F.lit(" ")), row("상품 원산지", F.when(z % 2 == 0, F.col("p_brand"))))
+    z, row = F.col("p_size"), lambda label, value: F.struct(F.lit(label).alias("labelKo"), value.alias("valueKo"))
+    rows = F.array(row("제조국", F.lit("Korea")), row("원산지(1)", F.when(z % 2 == 0, F.col("p_brand")).otherwise(" ")), row("상품 원산지", F.lit("of a later row")))
     entry = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
     entries = F.array(entry(F.lit("size"), F.col("p_name")), entry(F.when(z % 3 == 0, "kind of it").otherwise("none"), F.col("p_type")))
     return read(spark, sf_dir, "part").select("p_partkey", rules.detail_spec(rows, ["원산지", "제조국"]).alias("origin"), text.pick_by_words(entries, ["type", "kind"]).alias("picked"))
