@@ -23,6 +23,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY_SAME = frozenset("li p tr td th dt dd option".split())
 WITHOUT_TEXT = frozenset("html head script style".split())
 
+#: Elements of pages are handed on from this many on.
+ROWS_AT_ONCE = 2000
+
 FIELDS = "pos int, last int, tag string, id string, classes array<string>, attrs map<string,string>, text string, up array<int>"
 
 
@@ -90,11 +93,14 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                found = pd.DataFrame(read_elements(getattr(row, html)), columns=names)
-                for i, c in enumerate(kept):
-                    found.insert(i, c, getattr(row, c))
-                yield found
+            rows: list[tuple] = []
+            for page in zip(*(frame[c] for c in [*kept, html]), strict=True):
+                rows.extend((*page[:-1], *element) for element in read_elements(page[-1]))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=[*kept, *names])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=[*kept, *names])
 
     return pages.select(*kept, html).mapInPandas(run, schema)
 
@@ -302,6 +308,22 @@ def definition_pairs(els: DataFrame, keys: list[str], scopes: DataFrame) -> Data
     return met.groupBy(*keys, "scope", "ord", "key").agg(F.min_by("value", "at").alias("value")).filter("key <> ''")
 
 
+def row_pairs(els: DataFrame, keys: list[str], scopes: DataFrame) -> DataFrame:
+    """(keys, ord, key, value): each cell of the table rows inside ``scopes`` with the cell after it, a table's own texts in page order."""
+    trs = inside(els.filter("tag = 'tr'"), scopes, keys).select(*keys, F.col("pos").alias("scope")).distinct()
+    cells = els.filter("tag in ('th', 'td')").withColumn("scope", F.explode("up")).join(trs, [*keys, "scope"])
+    listed = F.array_sort(F.collect_list(F.struct("pos", squash(F.coalesce(first_text(attr("value"), attr("data-price"), F.col("text")), F.lit(""))).alias("value"), squash(F.col("text")).alias("key"))))
+    rows = cells.groupBy(*keys, "scope").agg(listed.alias("cells")).filter("size(cells) > 1")
+    met = F.zip_with(F.slice("cells", F.lit(1), F.size("cells") - 1), F.slice("cells", F.lit(2), F.size("cells") - 1), lambda a, b: F.struct(a["pos"].alias("ord"), a["key"].alias("key"), b["value"].alias("value")))
+    return rows.select(*keys, F.inline(met)).filter("key <> ''")
+
+
+def in_order(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): all pairs of a page in order."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "key", "value")))
+    return pairs.groupBy(*keys).agg(F.transform(listed, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias(name))
+
+
 def as_map(pairs: DataFrame, keys: list[str], name: str = "values") -> DataFrame:
     """(keys, values): the pairs of a page as entries in order, the last value of a key winning."""
     last = pairs.groupBy(*keys, "key").agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
@@ -382,10 +404,12 @@ def details_b(els: DataFrame, keys: list[str], scheme: str = "https", host: str
     shown = inside(els.filter("tag in ('dd', 'strong')"), els.filter(has_class("item_price")), keys).groupBy(*keys).agg(first_of(F.col("text") != "", F.col("text"), "shownPrice"))
     hidden = els.groupBy(*keys).agg(first_of(attr("name").isin("goodsPrice", "goods_price", "set_goods_price", "goodsDcPrice") & (attr("value") != ""), attr("value"), "hiddenPrice"))
     joined = hidden
-    for d in (titles, crumbs, shown, as_map(pairs, keys, "info"), spec_rows(pairs.filter("not key rlike '가격|판매가|브랜드'"), keys),
+    cells = row_pairs(els, keys, els.filter((F.col("id") == "contents") | has_class("goods_view") | has_class("item_info_box")))
+    for d in (titles, crumbs, shown, as_map(pairs, keys, "info"), in_order(cells, keys, "cells"), spec_rows(pairs.filter("not key rlike '가격|판매가|브랜드'"), keys),
               image_urls(els, keys, els.filter(has_class("item_photo_slide")), scheme, host, "mainImageUrls"), image_urls(els, keys, els.filter(has_class("detail_explain_box")), scheme, host, "introImageUrls")):
         joined = joined.join(d, keys, "left")
-    pick = lambda *w: F.coalesce(pick_by_words(F.col("info"), list(w)), F.lit(""))
+    # labels are searched in definition lists first, then in the cells of table rows
+    pick = lambda *w: F.coalesce(first_text(pick_by_words(F.col("info"), list(w)), pick_by_words(F.col("cells"), list(w))), F.lit(""))
     name, price = product_name(F.col("title")), F.coalesce(first_text(pick("판매가"), F.col("shownPrice"), F.col("hiddenPrice")), F.lit(""))
     composition = pick("박스구성", "박스 구성")
     return joined.select(
