@@ -131,7 +131,8 @@ def merge(stored: DataFrame, incoming: DataFrame, source: str, rate: float | Non
         price = out["originalPrice"]
         out["yenPrice"] = F.when(price >= 0, round_half_up(price.cast("double") * rate)).cast("bigint")
         out["convertTime"] = F.lit(convert_time)
-    final = F.struct(*[F.when(present, c).otherwise(b(f)).alias(f) for f, c in out.items()])
+    # kept products list their options in the order of an object's keys too
+    final = F.struct(*[F.when(present, c).otherwise(options if f == "options" else b(f)).alias(f) for f, c in out.items()])
     both = both.withColumn("final", final)
     scalars = [f for f in PRODUCT if f not in ("id", "options")]
     changes = sum((~F.col("final")[f].eqNullSafe(b(f))).cast("int") for f in scalars) + cleared.cast("int")

@@ -300,7 +300,7 @@ def quality_gate(spark, sf_dir):
 
 # --- assembly and archive ---------------------------------------------------
 
-_BACKEND_SQL = f"""WITH inv AS (SELECT * FROM ({inventory_sql(shift=15)}) WHERE CAST(productId AS BIGINT) % 5 <> 0), p AS ({PRODUCTS_SQL}),
+_BACKEND_SQL = f"""WITH inv AS (SELECT * FROM ({inventory_sql(shift=15)}) WHERE CAST(productId AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size <= 45)), p AS ({PRODUCTS_SQL}),
   opt AS (SELECT productId, CASE WHEN optionId = '0' THEN '' ELSE optionId END AS id, arg_min(optionText, ord) AS t, arg_min(maxStock, ord) AS q, min(ord) AS o
     FROM inv WHERE hasOption GROUP BY productId, optionId, CASE WHEN optionId = '0' THEN ord END),
   opts AS (SELECT productId, string_agg(id || ':' || t || ':' || q, ',' ORDER BY o) AS options FROM opt GROUP BY productId),
@@ -312,7 +312,8 @@ _BACKEND_SQL = f"""WITH inv AS (SELECT * FROM ({inventory_sql(shift=15)}) WHERE
 
 
 def _backend(spark, sf_dir):
-    rows = inventory_table(spark, sf_dir, shift=15).filter(F.col("productId").cast("bigint") % 5 != 0).withColumn("productName", F.lit(""))
+    stocked = read(spark, sf_dir, "part").filter("p_size <= 45").select(F.col("p_partkey").cast("string").alias("productId"))
+    rows = inventory_table(spark, sf_dir, shift=15).join(stocked, "productId", "left_semi").withColumn("productName", F.lit(""))
     return assemble.backend_products(products(spark, sf_dir), rows)
 
 
@@ -330,7 +331,7 @@ def translation_input(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter("p_partkey % 3 <> 0")
+    part = read(spark, sf_dir, "part").filter("p_size <= 40")
     return part.select(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("nameKo"), F.when(F.col("p_size") % 2 == 0, F.lit("ja")).otherwise("").alias("nameJa"), F.lit("").alias("nameEn"),
         F.when(F.col("p_size") > 10, F.col("p_retailprice")).cast("decimal(18,4)").alias("originalPrice"), F.col("p_size").cast("bigint").alias("stockQuantity"), F.lit("IN_STOCK").alias("stockStatus"),
@@ -338,7 +339,7 @@ def _stored(spark, sf_dir):
 
 
 def _incoming(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0")
+    part = read(spark, sf_dir, "part").filter("p_size > 12")
     return part.select(
         F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" new"))).when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_name")).alias("nameKo"),
         F.when(F.col("p_size") % 3 == 0, F.lit("JA")).otherwise("").alias("nameJa"), F.lit("EN").alias("nameEn"), (F.col("p_retailprice") + 1).cast("decimal(18,4)").alias("originalPrice"),
@@ -348,9 +349,9 @@ def _incoming(spark, sf_dir):
 
 
 _MERGE_INPUT_SQL = """s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS nameKo, CASE WHEN p_size % 2 = 0 THEN 'ja' ELSE '' END AS nameJa, '' AS nameEn, CASE WHEN p_size > 10 THEN CAST(p_retailprice AS DECIMAL(18,4)) END AS originalPrice,
-    p_size::BIGINT AS stockQuantity, 'IN_STOCK' AS stockStatus FROM part WHERE p_partkey % 3 <> 0),
+    p_size::BIGINT AS stockQuantity, 'IN_STOCK' AS stockStatus FROM part WHERE p_size <= 40),
   i AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 5 = 0 THEN p_name || ' new' WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS nameKo, CASE WHEN p_size % 3 = 0 THEN 'JA' ELSE '' END AS nameJa, 'EN' AS nameEn,
-    CAST(p_retailprice + 1 AS DECIMAL(18,4)) AS originalPrice, CASE WHEN p_size % 4 <> 0 THEN p_size::BIGINT * 2 END AS stockQuantity, CASE WHEN p_size % 4 <> 1 THEN 'LOW_STOCK' ELSE '' END AS stockStatus, p_size % 6 <> 0 AS obs FROM part WHERE p_partkey % 2 = 0),
+    CAST(p_retailprice + 1 AS DECIMAL(18,4)) AS originalPrice, CASE WHEN p_size % 4 <> 0 THEN p_size::BIGINT * 2 END AS stockQuantity, CASE WHEN p_size % 4 <> 1 THEN 'LOW_STOCK' ELSE '' END AS stockStatus, p_size % 6 <> 0 AS obs FROM part WHERE p_size > 12),
   b AS (SELECT coalesce(s.id, i.id) AS id, s.id IS NULL AS fresh, i.id IS NOT NULL AS present, coalesce(s.nameKo, '') AS ko, coalesce(s.nameJa, '') AS ja, coalesce(s.nameEn, '') AS en, s.originalPrice AS op, s.stockQuantity AS q, coalesce(s.stockStatus, '') AS st,
     i.nameKo AS iko, i.nameJa AS ija, i.nameEn AS ien, i.originalPrice AS iop, i.stockQuantity AS iq, i.stockStatus AS ist, i.obs FROM s FULL JOIN i ON s.id = i.id)"""
 
@@ -427,14 +428,14 @@ def translation_problems(spark, sf_dir):
     return translation.group_rows(_translation_rows(spark, sf_dir))[2]
 
 
-@query("translation_tasks", f"""WITH {_T_SQL}, arch AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'name ' || p_partkey AS nameKo, CASE WHEN p_size % 2 = 0 THEN 'ja' ELSE '' END AS ja, 'en' AS en FROM part WHERE p_partkey % 3 <> 0),
+@query("translation_tasks", f"""WITH {_T_SQL}, arch AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'name ' || p_partkey AS nameKo, CASE WHEN p_size % 2 = 0 THEN 'ja' ELSE '' END AS ja, 'en' AS en FROM part WHERE p_size <= 40),
   f AS (SELECT p.*, a.id IS NULL OR a.nameKo <> p.nameKo AS other, a.ja, a.en FROM p LEFT JOIN arch a ON a.id = p.productId),
   g AS (SELECT productId, nameKo, other OR ja = '' AS j, other OR en = '' AS e FROM f),
   o AS (SELECT productId, string_agg(optionId || '=' || ko, ',' ORDER BY pos) AS options FROM t WHERE optionId NOT LIKE '%3' GROUP BY productId)
   SELECT productId AS key, CASE WHEN j OR e THEN nameKo ELSE '' END AS nameKo, j AS translateNameJa, e AS translateNameEn, coalesce(options, '') AS options FROM g LEFT JOIN o USING (productId) WHERE j OR e OR options IS NOT NULL""")
 def translation_tasks(spark, sf_dir):
     p, o, _ = translation.group_rows(_translation_rows(spark, sf_dir))
-    part = read(spark, sf_dir, "part").filter("p_partkey % 3 <> 0")
+    part = read(spark, sf_dir, "part").filter("p_size <= 40")
     stored = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("name "), F.col("p_partkey").cast("string")).alias("nameKo"), F.when(F.col("p_size") % 2 == 0, "ja").otherwise("").alias("nameJa"), F.lit("en").alias("nameEn"))
     known = o.filter(F.col("optionId").endswith("3")).select("productId", "optionId", "ko", F.lit("x").alias("ja"), F.lit("y").alias("en"))
     t = translation.tasks(p, o, stored, known, "general")

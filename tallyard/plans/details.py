@@ -1,11 +1,11 @@
-"""Backend products of detail collection: prices, brands, images, specs and translated options, with DuckDB SQL."""
+"""Archive options and backend products of detail collection: prices, brands, images, specs and translated options, with DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallyard.functions.schemas import SPECS
-from tallyard.operators import assemble
+from tallyard.operators import archive, assemble
 from tallyard.plans.catalogue import inventory_table, query, read
 from tallyard.plans.inputs import inventory_sql, products
 
@@ -25,9 +25,10 @@ def _details(spark, sf_dir):
 
 
 def _translated(spark, sf_dir):
-    """Names of some options in two languages, by product."""
+    """Names of options in two languages, by product; those of odd numbers are not translated yet."""
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("productId"), F.col("l_suppkey").cast("string").alias("optionId")).distinct()
-    return rows.filter("cast(optionId as bigint) % 2 = 0").withColumns({"ja": F.concat(F.lit("ja "), "optionId"), "en": F.concat(F.lit("en "), "optionId")})
+    done = F.col("optionId").cast("bigint") % 2 == 0
+    return rows.withColumns({"ja": F.when(done, F.concat(F.lit("ja "), "optionId")), "en": F.when(done, F.concat(F.lit("en "), "optionId"))})
 
 
 _OPTIONS_SQL = """opt AS (SELECT productId, optionId AS raw, CASE WHEN optionId = '0' THEN '' ELSE optionId END AS id, arg_min(optionText, ord) AS t, arg_min(maxStock, ord) AS q, min(ord) AS o
@@ -57,3 +58,28 @@ def detail_products(spark, sf_dir):
         F.array_join(F.transform("options", option), ",").alias("options"), F.array_join(F.transform("specs", spec), ",").alias("specs"),
         F.when(F.col("specFacts").isNotNull(), F.concat_ws("/", "specFacts.material", "specFacts.packagingSize", "specFacts.weight", "specFacts.countryofOrigin")).alias("facts"),
     )
+
+
+def _with_options(part, options):
+    """Products with options of (id, Korean name, stock)."""
+    made = [F.named_struct(F.lit("id"), F.lit(i), F.lit("nameKo"), name, F.lit("stockQuantity"), stock.cast("bigint"), F.lit("status"), F.lit("ON_SALE")) for i, name, stock in options]
+    full = lambda o: F.struct(
+        o["id"].alias("id"), F.lit(None).cast("string").alias("barcode"), F.lit("").alias("name"), o["nameKo"].alias("nameKo"), F.lit("").alias("nameJa"), F.lit("").alias("nameEn"),
+        F.lit(None).cast("bigint").alias("additionalPrice"), o["stockQuantity"].alias("stockQuantity"), o["status"].alias("status"),
+    )
+    return part.select(F.col("p_partkey").cast("string").alias("id"), "p_size", F.col("p_name").alias("nameKo"), F.lit("OPTION").alias("type"), F.transform(F.array(*made), full).alias("options"))
+
+
+@query("archive_options", """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size > 12 AND p_size % 7 = 0 THEN 'SINGLE' ELSE 'OPTION' END AS type,
+    CASE WHEN p_size <= 12 THEN '2:old:5,10:' || p_name || ':' || p_size WHEN p_size % 7 = 0 THEN '' WHEN p_size > 40 THEN '2:' || CASE WHEN p_size % 2 = 0 THEN 'new' ELSE '' END || ':' || p_size || ',3:more:1'
+      ELSE '2:' || CASE WHEN p_size % 2 = 0 THEN 'new' ELSE 'old' END || ':' || p_size || ',3:more:1,10:' || p_name || ':' || p_size END AS options,
+    CASE WHEN p_size <= 12 OR p_size % 7 = 0 THEN 0 WHEN p_size > 40 THEN 2 ELSE 1 END AS newOptions, CASE WHEN p_size <= 12 OR p_size > 40 OR p_size % 7 = 0 THEN 0 ELSE 1 END AS updatedOptions FROM part""")
+def archive_options(spark, sf_dir):
+    part, z = read(spark, sf_dir, "part"), F.col("p_size")
+    stored = _with_options(part.filter("p_size <= 40"), [("10", F.col("p_name"), z), ("2", F.lit("old"), F.lit(5))])
+    seen = _with_options(part.filter("p_size > 12"), [("2", F.when(z % 2 == 0, "new").otherwise(""), z), ("3", F.lit("more"), F.lit(1))])
+    single = F.col("p_size") % 7 == 0
+    seen = seen.withColumns({"options": F.when(~single, F.col("options")), "type": F.when(single, "SINGLE").otherwise("OPTION"), "inventoryObserved": F.lit(True)})
+    option = lambda o: F.concat_ws(":", o["id"], o["nameKo"], o["stockQuantity"].cast("string"))
+    merged = archive.merge(stored, seen, "general")
+    return merged.select("id", "type", F.array_join(F.transform("options", option), ",").alias("options"), "newOptions", "updatedOptions")
