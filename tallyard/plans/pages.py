@@ -100,7 +100,7 @@ def cart_pages_b(spark, sf_dir):
 
 
 @query("detail_pages_a", """SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS productNo, lpad(CAST(p_partkey AS VARCHAR), 13, '8') AS barcode, p_name AS productName, p_brand AS categoryDepth1, p_size AS outerBoxQty,
-    (p_size * 100)::BIGINT AS consumerPrice, CASE WHEN p_size % 2 = 0 THEN 'wood' ELSE p_type END AS material, p_size || 'g' AS weight, '소재=' || p_type || '@10,무게=' || p_size || 'g@20' AS specs,
+    (p_size * 100)::BIGINT AS consumerPrice, CASE WHEN p_size % 2 = 0 THEN 'wood' ELSE p_type END AS material, p_size || 'g' AS weight, '소재=' || p_type || '@0,무게=' || p_size || 'g@10' AS specs,
     CASE WHEN p_size % 3 = 0 THEN '입고비=' || p_size END AS fees, CASE WHEN p_size % 5 = 0 THEN '1:red:true' ELSE '1:red:false' END || ',2:blue:false' AS options,
     'https://mall-a.example/a' || p_partkey || '.jpg,https://cdn.example/b.jpg' AS images FROM part""")
 def detail_pages_a(spark, sf_dir):
@@ -122,7 +122,7 @@ def detail_pages_a(spark, sf_dir):
 
 @query("detail_pages_b", """SELECT p_partkey, p_name AS productName, p_brand AS categoryDepth1, 'kind' AS categoryDepth2, 'by ' || p_brand AS brandHint,
     (CASE WHEN p_size % 3 = 0 THEN p_size * 1000 + 500 WHEN p_size % 3 = 1 THEN p_size * 1000 + 700 ELSE p_size * 10 END)::BIGINT AS salePrice, p_size AS outerBoxQty, CASE WHEN p_size % 2 = 0 THEN 'M' || p_partkey ELSE '' END AS modelName,
-    '박스구성=' || p_size || '개입@10' AS specs, 'https://mall-b.example/m' || p_partkey || '.jpg' AS images FROM part""")
+    '박스구성=' || p_size || '개입@0' AS specs, 'https://mall-b.example/m' || p_partkey || '.jpg' AS images FROM part""")
 def detail_pages_b(spark, sf_dir):
     html = _html(
         '<div class="location_tit"><span>홈</span><span>', F.col("p_brand"), '</span><span>&gt;</span><span>kind</span></div><div id="contents"><div class="item_info_box"><div class="item_detail_tit"><h3>', F.col("p_name"), " 바로가기</h3></div>",

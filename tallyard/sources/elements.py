@@ -331,12 +331,25 @@ def as_map(pairs: DataFrame, keys: list[str], name: str = "values") -> DataFrame
     return last.groupBy(*keys).agg(F.transform(listed, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias(name))
 
 
-def spec_rows(pairs: DataFrame, keys: list[str], name: str = "specRows") -> DataFrame:
-    """(keys, specRows): the first value of each label, numbered in tens."""
-    first = pairs.groupBy(*keys, "key").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+def _specs(labels: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): labels in order, numbered in tens from 0; those without a value are left out after that."""
     listed = F.array_sort(F.collect_list(F.struct("ord", "key", "value")))
-    row = lambda x, i: F.struct(x["key"].alias("labelKo"), F.lit("").alias("labelJa"), x["value"].alias("valueKo"), F.lit("").alias("valueJa"), ((i + 1) * 10).cast("int").alias("sortOrder"))
-    return first.groupBy(*keys).agg(F.transform(listed, row).alias(name))
+    row = lambda x, i: F.struct(
+        x["key"].alias("labelKo"), x["key"].alias("labelJa"), x["value"].alias("valueKo"), x["value"].alias("valueJa"), (i * 10).cast("int").alias("sortOrder")
+    )
+    return labels.groupBy(*keys).agg(F.filter(F.transform(listed, row), lambda s: s["valueKo"] != "").alias(name))
+
+
+def spec_rows(pairs: DataFrame, keys: list[str], name: str = "specRows") -> DataFrame:
+    """(keys, specRows): the first filled value of each label of a table."""
+    first = pairs.filter("value <> ''").groupBy(*keys, "key").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    return _specs(first, keys, name)
+
+
+def spec_rows_of_map(pairs: DataFrame, keys: list[str], name: str = "specRows") -> DataFrame:
+    """(keys, specRows): the last value of each label but prices and brands, where the label first stands."""
+    last = pairs.filter("not key rlike '판매가|브랜드'").groupBy(*keys, "key").agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    return _specs(last, keys, name)
 
 
 def image_urls(els: DataFrame, keys: list[str], scopes: DataFrame, scheme: str, host: str, name: str = "imageUrls") -> DataFrame:
@@ -405,7 +418,7 @@ def details_b(els: DataFrame, keys: list[str], scheme: str = "https", host: str
     hidden = els.groupBy(*keys).agg(first_of(attr("name").isin("goodsPrice", "goods_price", "set_goods_price", "goodsDcPrice") & (attr("value") != ""), attr("value"), "hiddenPrice"))
     joined = hidden
     cells = row_pairs(els, keys, els.filter((F.col("id") == "contents") | has_class("goods_view") | has_class("item_info_box")))
-    for d in (titles, crumbs, shown, as_map(pairs, keys, "info"), in_order(cells, keys, "cells"), spec_rows(pairs.filter("not key rlike '가격|판매가|브랜드'"), keys),
+    for d in (titles, crumbs, shown, as_map(pairs, keys, "info"), in_order(cells, keys, "cells"), spec_rows_of_map(pairs, keys),
               image_urls(els, keys, els.filter(has_class("item_photo_slide")), scheme, host, "mainImageUrls"), image_urls(els, keys, els.filter(has_class("detail_explain_box")), scheme, host, "introImageUrls")):
         joined = joined.join(d, keys, "left")
     # labels are searched in definition lists first, then in the cells of table rows
