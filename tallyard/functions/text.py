@@ -88,6 +88,11 @@ def format_ms(ms: Column) -> Column:
     )
 
 
+def display_number(c: Column) -> Column:
+    """Thousands apart, three places at most; a dash for null."""
+    return F.coalesce(F.call_function("format_number", c, F.lit("#,##0.###")), F.lit("-"))
+
+
 def product_name(c: Column) -> Column:
     # fixed value: the link text that listings append to names
     return strip(F.regexp_replace(squash(c), "\\s*바로가기\\s*$", ""))

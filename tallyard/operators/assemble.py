@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import rules
 from tallyard.functions.schemas import OPTION, SPECS
-from tallyard.functions.text import distinct_texts, first_positive, first_text, not_thumbnail, squash, to_price
+from tallyard.functions.text import distinct_texts, first_positive, first_text, not_thumbnail, parse_price, squash, to_price
 from tallyard.operators.dedupe import keep_first
 
 # fixed values
@@ -218,10 +218,10 @@ def with_details(details: DataFrame, inventory: DataFrame, summary: DataFrame) -
 
 
 def live_overlay(parsed: DataFrame, live: DataFrame) -> DataFrame:
-    """Parsed details with what the live page showed: price if positive, brand if any, images always."""
-    seen = live.select("productId", F.col("salePrice").alias("_price"), F.col("brandHint").alias("_brand"), F.col("imageUrls").alias("_images"))
-    joined = parsed.join(seen, "productId", "left")
-    return (
-        joined.withColumn("salePrice", F.coalesce(F.when(F.col("_price") > 0, F.col("_price")), "salePrice"))
-        .withColumn("brandHint", F.coalesce(F.nullif("_brand", F.lit("")), "brandHint")).withColumn("imageUrls", F.coalesce("_images", "imageUrls")).drop("_price", "_brand", "_images")
-    )
+    """Parsed details with what the live page showed (salePriceText, brandText, images): price if positive, brand if any, images always."""
+    names = {"salePriceText": "_text", "brandText": "_brand", "mainImageUrls": "_main", "introImageUrls": "_intro"}
+    joined = parsed.join(live.select("productId", F.lit(True).alias("_seen"), *[F.col(c).alias(n) for c, n in names.items()]), "productId", "left")
+    price, brand = parse_price(F.col("_text")), squash(F.col("_brand"))
+    shown = {c: F.when(F.col("_seen"), F.col(n)).otherwise(F.col(c)) for c, n in (("mainImageUrls", "_main"), ("introImageUrls", "_intro"))}
+    priced = {c: F.when(price > 0, price).otherwise(F.col(c)) for c in ("salePrice", "originalPrice") if c in parsed.columns}
+    return joined.withColumns({**priced, **shown, "brandHint": F.coalesce(F.nullif(brand, F.lit("")), "brandHint")}).drop("_seen", *names.values())

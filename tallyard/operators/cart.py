@@ -89,6 +89,19 @@ def match_blocks(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select("batch", "blockId", F.coalesce("byId", "byName", "alone").alias("productId"), mode.alias("matchMode"))
 
 
+def match_diagnostics(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """batch, productIndex, optionRowCount and what the block's first row says of its match."""
+    first = [F.min_by(c, order).alias(c) for c in ("productId", "productMatchMode")]
+    return rows.groupBy("batch", "productIndex").agg(F.count("*").alias("optionRowCount"), *first).withColumn(
+        "productMatchMode", F.coalesce(F.nullif("productMatchMode", F.lit("")), F.lit("unresolved"))
+    )
+
+
+def match_mode_counts(diagnostics: DataFrame) -> DataFrame:
+    """Blocks and option rows by batch and mode of match."""
+    return diagnostics.groupBy("batch", "productMatchMode").agg(F.count("*").alias("blocks"), F.sum("optionRowCount").alias("optionRows"))
+
+
 def sold_out_in_text(messages: DataFrame, requests: DataFrame) -> DataFrame:
     """Requested products that a message (batch, html, text) of their batch names by id or name.
 

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 BLOCKING = "(?i)captcha|access denied|forbidden|too many requests|\\b(403|429)\\b"
 RETRYABLE = "(?i)timeout|timed out|net::|socket|econnreset|closed|temporar"
 ABORTED = "(?i)abort|cancel"
+MESSAGES = {
+    "POPUP_COVERAGE_INCOMPLETE": "옵션 팝업 표시된 상품과 요청 상품 일치 실패",
+    "BULK_SELECTION_NOT_STABLE": "상품 체크 상태 안정화 실패",
+    "UNRESOLVED_UNAVAILABLE_PRODUCTS": "품절 팝업 식별 실패",
+    "REQUESTED_OPTION_NOT_FOUND": "요청한 옵션을 찾지 못함",
+    "OPTION_SELECTION_FAILED": "옵션 선택 실패",
+    "NO_SELECTABLE_OPTIONS": "상품의 선택 가능한 옵션 없음",
+    "OPTION_NOT_PURCHASABLE": "옵션 구매 불가",
+    "QUANTITY_EXCEEDS_STOCK": "요청 수량이 재고를 초과",
+}
+OTHER_MESSAGE = "장바구니 담기 처리에서 예외 발생"
 
 
 def reason_stats(rows: DataFrame, order: str = "ord", samples: int = 3) -> DataFrame:
@@ -26,10 +37,17 @@ def reason_stats(rows: DataFrame, order: str = "ord", samples: int = 3) -> DataF
 
 
 def reason_text(stats: DataFrame) -> DataFrame:
-    """All reasons in one line."""
-    part = F.concat(F.col("reason"), F.lit(" "), F.col("count").cast("string"))
+    """All reasons in one line, by rank, with their counts and sample ids. ``stats`` has one row per reason."""
+    ids = F.when(F.size("sampleIds") > 0, F.concat(F.lit(" ("), F.array_join("sampleIds", ", "), F.lit(")"))).otherwise("")
+    part = F.concat(F.col("reason"), F.lit(" "), F.col("count").cast("string"), F.lit("건"), ids)
     listed = F.array_sort(F.collect_list(F.struct("rank", part.alias("t"))))
-    return stats.agg(F.array_join(F.transform(listed, lambda x: x["t"]), ", ").alias("text"))
+    return stats.agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("text"))
+
+
+def reason_message(code: Column) -> Column:
+    """What a reason code means."""
+    known = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.coalesce(code, F.lit(""))), F.lit(OTHER_MESSAGE))
 
 
 def warnings(rows: DataFrame) -> DataFrame:

@@ -72,6 +72,21 @@ def update_history(history: DataFrame, new: DataFrame, order: str = "ord") -> Da
     return both.groupBy("date").agg(*[F.max_by(c, F.struct("_new", order)).alias(c) for c in rest])
 
 
+def stored_history(documents: DataFrame, column: str = "json") -> DataFrame:
+    """date, rate, revRate and ord of each entry of history documents; blank ones are empty, any that is no list fails the job."""
+    text = F.regexp_replace(F.col(column), "^\ufeff", "")
+    parsed = F.try_parse_json(F.when(F.trim(text) == "", "[]").otherwise(text))
+    entries = F.try_variant_get(parsed, "$", "array<struct<date:string,rate:double,revRate:double>>")
+    rows = documents.select(F.posexplode(F.coalesce(entries, F.raise_error(F.lit("a rate history must be a list")))).alias("ord", "e"))
+    return rows.select("e.date", "e.rate", "e.revRate", "ord")
+
+
+def history_document(history: DataFrame) -> DataFrame:
+    """One column ``json``, the history as one indented list by date; it has one entry per day."""
+    entries = F.array_sort(F.collect_list(F.struct(F.coalesce("date", F.lit("")).alias("date"), "rate", "revRate")))
+    return history.agg(F.to_json(entries, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
 def hourly(rates: DataFrame, ts: str = "ts", order: list[str] | None = None) -> DataFrame:
     """The last row of each hour, by ``order`` (``ts`` alone if not given)."""
     hour, last = F.date_trunc("HOUR", F.col(ts)), F.struct(*(order or [ts]))

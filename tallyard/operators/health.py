@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.functions.text import first_text
+from tallyard.functions.text import display_number, first_text
 
 # fixed values: thresholds of the alarms
 SLOWDOWN, NODES, NODE_GROWTH, HEAP_MB, HEAP_GROWTH, WINDOW, REFRESH_EVERY = 2.2, 15_000, 1.6, 120, 1.45, 5, 6
@@ -108,3 +108,17 @@ def active_runs(runs: DataFrame) -> DataFrame:
 def elapsed(now: Column) -> Column:
     """Live while running, else the reported value."""
     return F.when(F.col("status") == "running", F.unix_millis(now) - F.unix_millis(F.col("startedAt"))).otherwise(F.coalesce("progressMs", "summaryMs"))
+
+
+#: Counts a run shows, each from the first of these fields that its summary, else its progress has.
+METRICS = {
+    "detected": ("detectedTotalProductCount",), "collected": ("collectedProductCount",), "target": ("targetProductCount",),
+    "inventory": ("inventoryRowCount", "productSummaryCount"), "soldOut": ("soldOutProductCount",),
+}
+
+
+def metrics(runs: DataFrame) -> DataFrame:
+    """Adds the texts of ``METRICS`` and excluded (0 unless stated, only for mall-a) of runs with structs summary and progress."""
+    first = lambda names: F.coalesce(*[F.col(f"{part}.{n}") for n in names for part in ("summary", "progress")])
+    excluded = F.when(F.col("mall") == "mall-a", display_number(F.coalesce(first(["excludedProductCount"]), F.lit(0))))
+    return runs.withColumns({**{card: display_number(first(names)) for card, names in METRICS.items()}, "excluded": excluded})

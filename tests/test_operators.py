@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyard.functions.schemas import OPTION
-from tallyard.operators import archive, assemble, cart, coverage, dedupe, exclusions, fx, health, inventory, shipping, translation
+from tallyard.operators import archive, assemble, cart, coverage, dedupe, exclusions, fx, health, inventory, settings, shipping, translation
 
 
 def rows(df, *columns):
@@ -145,9 +145,26 @@ def test_assembly_of_details(spark):
     )
     r = df.select(assemble.images(F.col("m"), F.col("d"), F.col("e")).alias("i"), assemble.specs(F.lit(None), F.col("raw")).alias("s")).first()
     assert (r.i.imageUrls, r.i.thumbnailUrl) == (["a", "d"], "a")
-    assert [(x.labelKo, x.valueKo, x.sortOrder) for x in r.s] == [("재질", "면", 10)]
+    assert [(x.labelKo, x.valueKo, x.sortOrder) for x in r.s] == [("재질", "면", 0)]
 
 
 def test_exclusions(spark):
     df = spark.createDataFrame([("captcha here",), ("net::ERR",), ("user cancel",), ("x",)], "m string")
     assert [r.c for r in df.select(exclusions.error_class(F.col("m")).alias("c")).collect()] == ["blocking", "retryable", "aborted", "other"]
+
+
+def test_rate_history_must_be_a_list(spark):
+    docs = lambda *x: spark.createDataFrame([(d,) for d in x], "json string")
+    text = '[{"date":"260102","rate":0.11,"revRate":9.1},{"date":"260101","rate":1}]'
+    assert rows(fx.stored_history(docs(text, "")), "ord", "date", "rate") == [(0, "260102", 0.11), (1, "260101", 1.0)]
+    with pytest.raises(Exception, match="must be a list"):
+        fx.stored_history(docs('{"date":"260102"}')).collect()
+    assert fx.parse_rates_text('<script>var _data = {"rates":[{"currency":"JPY"}]};</script>') == [{"currency": "JPY"}]
+
+
+def test_settings(spark):
+    asked = spark.createDataFrame([("nowhere", "9", None), (None, "1001", "https://shop.example/x?cateIDX=4")], "mall string, pageEnd string, category string")
+    found = settings.resolve(asked, {"collectionMode": "odd"})
+    assert rows(found, "mall", "category", "settingsError") == [("mall-a", "4", "unknown collection mode"), ("nowhere", None, "unknown mall")]
+    assert rows(settings.resolve(asked), "pageEnd", "settingsError") == [(9, "unknown mall"), (1001, "too many pages")]
+    assert "accountPw" not in settings.shown(found.withColumn("accountPw", F.lit("x"))).columns

@@ -57,12 +57,20 @@ def test_cart(spark):
 def test_details(spark):
     r = elements.details_a(els(spark, DETAIL_A), ["page"]).first()
     assert (r.productNo, r.barcode, r.productName, r.outerBoxQty, r.material, r.weight, r.categoryDepth1) == ("55", "8800000000000", "연필 12개 1세트", 20, "나무", "1g", "A")
-    assert [(x.labelKo, x.valueKo, x.sortOrder) for x in r.specRows] == [("소재", "면", 10), ("무게", "1g", 20)]
+    assert [(x.labelKo, x.valueKo, x.sortOrder) for x in r.specRows] == [("소재", "면", 0), ("무게", "1g", 10)]
     assert r.introImageUrls == ["https://mall-a.example/a.jpg", "https://mall-a.example/b.jpg"]
     assert [(x.key, x.value) for x in r.my3pl] == [("입고비", "100")]
     assert [(x.name, x.disabled) for x in r.detailOptions] == [("opt", True)]
     r = elements.details_b(els(spark, DETAIL_B), ["page"]).first()
     assert (r.productName, r.salePrice, r.brandHint, r.outerBoxQty, r.categoryDepth1, r.mainImageUrls) == ("공책 3개", 1500, "톰보", 24, "문구", ["https://mall-b.example/m.jpg"])
+    assert [(x.labelKo, x.valueJa, x.sortOrder) for x in r.specRows] == [("박스구성", "24개입", 0)]
+
+
+def test_specs_without_values(spark):
+    pairs = spark.createDataFrame([(1, "a", ""), (2, "판매가", "9"), (3, "b", "x"), (4, "a", "y"), (5, "b", ""), (6, "가격", "z")], "ord int, key string, value string").withColumn("page", F.lit(1))
+    of = lambda df: [(x.labelKo, x.valueKo, x.sortOrder) for x in df.first().specRows]
+    assert of(elements.spec_rows(pairs, ["page"])) == [("판매가", "9", 0), ("b", "x", 10), ("a", "y", 20), ("가격", "z", 30)]
+    assert of(elements.spec_rows_of_map(pairs, ["page"])) == [("a", "y", 0), ("가격", "z", 20)]
 
 
 def test_json_inputs(spark):
@@ -91,3 +99,19 @@ def test_elements_text(spark):
     e = els(spark, "<p>a<b> b</p><p>c &amp; d<br>e<script>x</script>")
     assert [r.text for r in e.filter("tag = 'p'").orderBy("pos").collect()] == ["a b", "c & d" + "e"]
     assert e.filter(F.col("page") == 2).count() == 0
+
+
+def test_run_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("1", None)], "productId string, name string")
+    sinks.write_run({"products": rows, "warnings": rows.limit(0)}, str(tmp_path), "mall-a", "r1")
+    assert spark.read.json(f"{tmp_path}/mall-a/r1/products").count() == 1
+    assert (tmp_path / "mall-a" / "r1" / "warnings" / "_SUCCESS").exists()
+
+
+def test_scheduled_batches_see_new_rows_once(spark, tmp_path):
+    source, seen = tmp_path / "in", []
+    for n in (3, 2):
+        spark.range(n).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id long").parquet(str(source))
+        progress.scheduled(stream, lambda batch, i: seen.append((i, batch.count())), str(tmp_path / "state")).awaitTermination()
+    assert seen == [(0, 3), (1, 2)]
