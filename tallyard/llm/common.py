@@ -62,6 +62,24 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20) -> Itera
             yield batch.slice(at, step)
 
 
+def quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
+def extended(df: DataFrame, kept: list[str], source: Column, added: dict[str, str], run: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns ``kept`` of ``df``, whatever their names, and ``added`` ones (name: type), which ``run`` gives for batches of ``source``."""
+    own = df.select(*(F.col(quoted(c)) for c in kept), source)
+    types = [f"{quoted(c)} {own.schema[i].dataType.simpleString()}" for i, c in enumerate(kept)] + [f"{quoted(c)} {t}" for c, t in added.items()]
+    names = [*kept, *added]
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = [batch.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, *run(batch.column(len(kept)))], names)
+
+    return own.toDF(*(f"c{i}" for i in range(len(kept) + 1))).mapInArrow(batches_of, ", ".join(types))
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks ``df`` for broadcast if it has at most ``limit`` rows (counted), else leaves it."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -1,8 +1,8 @@
 """Queries of the training-data operators over whole tables.
 
-None of them has SQL: each rests on something DuckDB can't express (trained models, seeded
-hashes, tokenizers, image bytes, HTML trees, iterated links). ``tests/llm`` holds them
-against brute force, exact round trips and held-out accuracy instead.
+The vector codes have SQL (``oracle``). Each other rests on something DuckDB can't express (trained
+models, seeded hashes, tokenizers, image bytes, HTML trees, iterated links); ``tests/llm`` holds
+them against brute force, exact round trips and held-out accuracy instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyard.llm import extraction, fingerprints, interleaved, licenses, mixing, neardup, packing, pii, quality, urlrules
+from tallyard.llm import alignment, extraction, fingerprints, interleaved, licenses, mixing, neardup, oracle, packing, pieces, pii, quality, urlrules, vectorcodes
 from tallyard.llm.common import materialise, table
 
 
@@ -59,12 +59,26 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.digests(pieces.decode(encoded))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_interleaved_media, op2_weak_supervision_pii, op3_mil_quality, op4_harmonic_packing, op5_tree_scoring,
         op6_prefix_hash_fingerprints, op7_license_notices, op8_pareto_mixing, op9_association_rules, op10_circulant_minhash,
+        op11_token_groups, op12_partial_distance_codes, op13_sentence_pieces,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_partial_distance_codes": oracle.VECTOR_CODES}
