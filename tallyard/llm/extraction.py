@@ -1,14 +1,17 @@
 """Main text of web pages by tree scoring.
 
 Boilerplate elements are recognised by tag, role and the words of class and id, and
-left out, unless they hold most of the page's scored paragraphs. Each paragraph then earns
-points, one plus one for each comma and for each hundred characters (three at most), and
+left out, unless they hold most of the page's scored paragraphs. Names that stories use too
+(``SOFT``, as in entry-header or notice-board) keep an element from scoring; within the
+container that wins, it stays if it has a title or reads as prose. Names of states, as in
+has-sidebar, say nothing. Each paragraph then earns points, one plus one for each comma and for each hundred characters (three at most), and
 passes them to its nearest ``LEVELS`` ancestors: all to the parent, half to the
 grandparent, a third and so on. A container's points are discounted by the share of its
 text that stands in links; article and main elements get a bonus. The best container is
 kept with those of its siblings that score well enough or are paragraphs of prose; where
 the container's only company is a parent that adds headings or prose outside links, as
-an article does around its body, the parent takes its place.
+an article does around its body, the parent takes its place. Lists of links without a name
+are menus, unless prose of the story stands ahead of them. Every step is linear in the page.
 
 Defined results: null, empty and markup-only html give the empty text; pages whose
 paragraphs are all too short to score keep what isn't boilerplate; repeated rows are
@@ -38,51 +41,61 @@ DROPPED_WORDS = frozenset(
     "notice notices notification pager pagination pingback popup promo promotion recommended related reply replies respond respondent "
     "share sharing shoutbox sidebar signup social sponsor sponsored subscribe subscription toolbar trackback widget".split()
 )
+#: Of these, names that parts of a story have too, when other words stand beside them; a header's always.
+SOFT = frozenset("banner header masthead notice notices notification".split())
+#: Words that make a name one of a state of the page.
+STATES = frozenset("has with without no enabled disabled open closed".split())
 NEVER_DROPPED = frozenset("#root html body article main h1".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4 figcaption div section article".split())
-#: Characters below which a paragraph earns nothing.
-LEAST = 25
+#: Characters below which a paragraph earns nothing; from which on an element with a doubtful name reads as prose.
+LEAST, PROSE = 25, 60
 #: Ancestors that get points of a paragraph; factor of article and main; share of prose that spares a name; share of the best score that widens it.
 LEVELS, BONUS, MOST, CLOSE = 8, 1.25, 0.5, 0.75
 
 WORDS = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def _boilerplate(node: Node) -> bool:
-    if node.tag in DROPPED_TAGS:
-        return True
-    if node.tag in NEVER_DROPPED and node.tag not in ("article",):
-        return False
-    if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+KEEP, SOFTLY, DROP = range(3)
+
+
+def _kind(node: Node) -> int:
+    """Whether an element is boilerplate by its tag, role and names."""
+    if node.tag in DROPPED_TAGS or (node.tag == "header" and not node.inside):
+        return DROP
+    if node.tag in NEVER_DROPPED and node.tag != "article":
+        return KEEP
     attrs = node.attrs
     if not attrs or not attrs.strip():
-        return False
+        return KEEP
     low = attrs.lower()
     if "role" in low and node.get("role").lower() in DROPPED_ROLES:
-        return True
+        return DROP
     if "hidden" in low and (re.search(r"(?:^|\s)hidden(?:\s|=|$)", low) or node.get("aria-hidden") == "true"):
-        return True
+        return DROP
     if "style" in low and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.get("style").lower()):
-        return True
+        return DROP
     if "class" in low or "id" in low:
-        # camelCase names count as words too
-        named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{node.get('class')} {node.get('id')}").lower()
-        return not DROPPED_WORDS.isdisjoint(WORDS.findall(named))
-    return False
+        return max(map(_name_kind, f"{node.get('class')} {node.get('id')}".split()), default=KEEP)
+    return KEEP
+
+
+def _name_kind(name: str) -> int:
+    words = frozenset(WORDS.findall(CAMEL.sub(r"\1 \2", name).lower()))  # camelCase names count as words too
+    dropped = words & DROPPED_WORDS
+    if not dropped or words & STATES:
+        return KEEP
+    return SOFTLY if dropped <= SOFT and (len(words) > len(dropped) or "header" in dropped) else DROP
 
 
-def _measure(root: Node, skip=_boilerplate):
-    """Length and linked length of each node's text, and points of each container."""
+def _measure(root: Node, skip):
+    """Length and linked length of each node's text, points of each container, and the paragraphs that gave some."""
     length: dict[Node, int] = defaultdict(int)
     linked: dict[Node, int] = defaultdict(int)
     commas: dict[Node, int] = defaultdict(int)
     points: dict[Node, float] = defaultdict(float)
     own: dict[Node, int] = defaultdict(int)
+    scored: set[Node] = set()
     links = 0
     stack: list[Node] = []
     around: list[Node] = []  # of each open element, the paragraph that its text belongs to
@@ -104,6 +117,7 @@ def _measure(root: Node, skip=_boilerplate):
             around.pop()
             links -= item.tag == "a"
             if item.tag in PARAGRAPHS and own[item] >= LEAST:
+                scored.add(item)
                 score = 1 + commas[item] + min(length[item] // 100, 3)
                 # a block of bare text is its own container
                 up, level = (item if item.tag in ("div", "section", "article") else item.parent), 1
@@ -114,33 +128,59 @@ def _measure(root: Node, skip=_boilerplate):
                 length[stack[-1]] += length[item]
                 linked[stack[-1]] += linked[item]
                 commas[stack[-1]] += commas[item]
-    return length, linked, points
-
-
-def _bulky(root: Node) -> set[Node]:
-    """Elements named like boilerplate (not by their tag) that hold the story all the same.
-
-    They hold most of the page's prose in paragraphs and its article, main or h1 element, or,
-    where the page has none, three paragraphs at least.
-    """
-    prose: dict[Node, int] = defaultdict(int)
-    count: dict[Node, int] = defaultdict(int)
-    heads: dict[Node, int] = defaultdict(int)
-    named: list[Node] = []
-    for event, item in walk(root, lambda x: x.tag in DROPPED_TAGS):
-        if event == "open":
-            if _boilerplate(item):
-                named.append(item)
-        elif event == "close":
-            if item.tag == "p" and (n := sum(len(x) for x in item.children if isinstance(x, str))) >= LEAST:
-                prose[item] += n
-                count[item] += 1
-            heads[item] += item.tag in ("article", "main", "h1")
-            if item.parent is not None:
-                for sums in (prose, count, heads):
-                    sums[item.parent] += sums[item]
-    holds = lambda x: heads[x] > 0 if heads[root] else count[x] >= 3
-    return {x for x in named if prose[x] > MOST * prose[root] and holds(x) and not _apart(x)}
+    return length, linked, points, scored
+
+
+class _Page:
+    """What the elements of a page are by their names, and what they hold."""
+
+    def __init__(self, root: Node):
+        self.kind: dict[Node, int] = {}
+        self.letters: dict[Node, int] = defaultdict(int)
+        self.linked: dict[Node, int] = defaultdict(int)
+        self.titles: dict[Node, int] = defaultdict(int)
+        prose: dict[Node, int] = defaultdict(int)
+        count: dict[Node, int] = defaultdict(int)
+        heads: dict[Node, int] = defaultdict(int)
+        sums, links = (self.letters, self.linked, self.titles, prose, count, heads), 0
+        for event, item in walk(root, lambda x: x.tag in DROPPED_TAGS):
+            if event == "open":
+                self.kind[item] = _kind(item)
+                links += item.tag == "a"
+                here = item
+            elif event == "text":
+                n = len(" ".join(item.split()))
+                self.letters[here] += n
+                self.linked[here] += n * bool(links)
+            else:
+                links -= item.tag == "a"
+                if item.tag == "p" and (n := sum(len(x) for x in item.children if isinstance(x, str))) >= LEAST:
+                    prose[item] += n
+                    count[item] += 1
+                self.titles[item] += item.tag == "h1"
+                heads[item] += item.tag in ("article", "main", "h1")
+                if item.parent is not None:
+                    for own in sums:
+                        own[item.parent] += own[item]
+                    here = item.parent
+        # named like boilerplate, but with most of the page's prose in paragraphs and its article, main or h1
+        # element or, where it has none, three paragraphs at least: these hold the story all the same
+        holds = lambda x: heads[x] > 0 if heads[root] else count[x] >= 3
+        self.spared = {x for x, kind in self.kind.items() if kind and prose[x] > MOST * prose[root] and holds(x) and not _apart(x)}
+
+    def dropped(self, node: Node) -> bool:
+        return self.kind.get(node, DROP) == DROP and node not in self.spared
+
+    def apart(self, node: Node) -> bool:
+        """What takes no part in the scores."""
+        return self.kind.get(node, DROP) != KEEP and node not in self.spared
+
+    def reads(self, node: Node) -> bool:
+        """Whether a part of the story's container belongs to it, though its name may say otherwise."""
+        return not self.apart(node) or (not self.dropped(node) and (self.titles[node] > 0 or self._prose(node)))
+
+    def _prose(self, node: Node) -> bool:
+        return self.letters[node] >= (LEAST if node.tag == "p" else PROSE) and self.linked[node] < 0.25 * self.letters[node]
 
 
 def _apart(node: Node) -> bool:
@@ -153,13 +193,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    spared = _bulky(root)
-    left_out = (lambda x: x not in spared and _boilerplate(x)) if spared else _boilerplate
-    length, linked, points = _measure(root, left_out)
+    page = _Page(root)
+    length, linked, points, scored = _measure(root, page.apart)
     density = lambda x: linked[x] / length[x] if length[x] else 0.0
     score = {x: p * (1 - density(x)) * (BONUS if x.tag in ("article", "main") else 1.0) for x, p in points.items()}
     if not score:
-        return " ".join(blocks(root, left_out))
+        return " ".join(blocks(root, page.apart))
     best = max(score, key=score.__getitem__)
     # the body of an article: a parent that scores nearly as well, or is an article itself, holds the rest of it
     while (up := best.parent) is not None and up.tag not in ("#root", "html", "body"):
@@ -174,7 +213,7 @@ def main_text(html: str | None) -> str:
         for x in parent.children:
             if x is best:
                 kept.append(x)
-            elif isinstance(x, str) or left_out(x):
+            elif isinstance(x, str) or page.apart(x):
                 continue
             elif score.get(x, 0.0) + (0.2 * score[best] if same and x.get("class") == same else 0.0) >= threshold and (x.tag == best.tag or best.tag != "article"):
                 kept.append(x)
@@ -184,12 +223,15 @@ def main_text(html: str | None) -> str:
                 kept.append(x)
             elif parent.tag == "main" and x.tag == best.tag == "section" and length[x] and density(x) < 0.25:
                 kept.append(x)  # short sections of one story
+    whole, told = frozenset(kept), False
 
     def skip(x: Node) -> bool:
-        if left_out(x):
+        nonlocal told
+        if not page.reads(x):
             return True
-        # menus without a name
-        return x.tag in ("ul", "ol", "div", "table") and x not in kept and density(x) > 0.8 and sum(not isinstance(c, str) for c in x.children) >= 3
+        told = told or (x in scored and density(x) < 0.5)
+        # menus without a name; after prose, links are the story's own
+        return not told and x.tag in ("ul", "ol", "div", "table") and x not in whole and density(x) > 0.8 and sum(not isinstance(c, str) for c in x.children) >= 3
 
     return " ".join(t for x in kept for t in blocks(x, skip))
 

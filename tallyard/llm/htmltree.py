@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from html import unescape
 
 #: Name and attributes of a tag; quotes count after an equals sign only. Possessive, so nothing is read twice.
@@ -26,13 +26,18 @@ ENDS = {
 }
 #: ... unless one of these stands between.
 SCOPE = frozenset("ul ol dl table select html body article section div main aside nav header footer form".split())
+#: A start tag of a block ends an open paragraph unless one of these stands between.
+HOLDS = SCOPE | frozenset("li td th dd button".split())
+#: Elements that hold a story.
+STORY = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "inside", "children")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.inside = parent is not None and (parent.inside or parent.tag in STORY)
         self.children: list[Node | str] = []
 
     def get(self, name: str, default: str = "") -> str:
@@ -68,53 +73,63 @@ def _tags(html: str):
             yield  # the answer to send
 
 
+class _Open:
+    """The open elements, with the depths of those that end tags and new elements look for, so that none climbs."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.named: dict[str, list[int]] = {}
+        self.of = {"scope": [0], "hold": [0], "block": [0]}
+
+    def _lists(self, tag: str) -> list[list[int]]:
+        sets = (("scope", SCOPE), ("hold", HOLDS), ("block", BLOCK))
+        return [self.named.setdefault(tag, []), *(self.of[name] for name, tags in sets if tag in tags)]
+
+    def push(self, node: Node) -> None:
+        for depths in self._lists(node.tag):
+            depths.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at ``depth`` and all below it."""
+        while len(self.path) > depth:
+            for depths in self._lists(self.path.pop().tag):
+                depths.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: the nearest element of that name, but an inline one doesn't close blocks."""
+        depths = self.named.get(tag)
+        if depths and (tag in BLOCK or self.of["block"][-1] < depths[-1]):
+            self.close(depths[-1])
+
+    def start(self, tag: str) -> None:
+        """A start tag ends what can't hold it."""
+        if tag in BLOCK and (p := self.named.get("p")) and p[-1] > self.of["hold"][-1]:
+            self.close(p[-1])
+        if tag in ENDS:
+            scope = self.of["scope"][-1]
+            found = [d[i] for x in ENDS[tag] if (d := self.named.get(x)) and (i := bisect_right(d, scope)) < len(d)]
+            if found:
+                self.close(min(found))
+
+
 def parse(html: str) -> Node:
     """The root of the tree; text children are raw, with references undecoded."""
     root = Node("#root")
-    at, here = 0, root
-    opened: Counter[str] = Counter()  # of each name, elements that are open
-
-    def close(node: Node) -> Node:
-        """Closes what is open down to ``node``, and ``node``."""
-        up = here
-        while up is not node:
-            opened[up.tag] -= 1
-            up = up.parent
-        opened[node.tag] -= 1
-        return node.parent
-
+    at, opened = 0, _Open(root)
     tags = _tags(html)
     for start, stop, m in tags:
         if start > at:
-            here.children.append(html[at:start])
+            opened.path[-1].children.append(html[at:start])
         at = stop
         moved = None
         if m is not None:
             tag = m["tag"].lower()
             if m["end"]:
-                up = here if opened[tag] > 0 else root
-                while up is not root and up.tag != tag:
-                    if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag doesn't close blocks
-                        up = root
-                        break
-                    up = up.parent
-                if up is not root:
-                    here = close(up)
+                opened.end(tag)
             else:
-                if tag in BLOCK and opened["p"] > 0:
-                    up = here
-                    while up is not root and up.tag != "p" and up.tag not in SCOPE and up.tag not in ("li", "td", "th", "dd", "button"):
-                        up = up.parent
-                    if up.tag == "p":
-                        here = close(up)
-                if tag in ENDS and any(opened[x] > 0 for x in ENDS[tag]):
-                    up, last = here, None
-                    while up is not root and (up.tag not in SCOPE):
-                        if up.tag in ENDS[tag]:
-                            last = up
-                        up = up.parent
-                    if last is not None:
-                        here = close(last)
+                opened.start(tag)
+                here = opened.path[-1]
                 node = Node(tag, m["attrs"] or "", here)
                 here.children.append(node)
                 if tag in RAW:
@@ -122,11 +137,10 @@ def parse(html: str) -> Node:
                     node.children.append(html[at : ended.start() if ended else len(html)])
                     at = moved = ended.end() if ended else len(html)
                 elif tag not in VOID:
-                    here = node
-                    opened[tag] += 1
+                    opened.push(node)
         tags.send(moved)
     if at < len(html):
-        here.children.append(html[at:])
+        opened.path[-1].children.append(html[at:])
     return root
 
 
