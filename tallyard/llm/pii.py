@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 
 from tallyard.llm.common import materialise, text_of
 
-# fixed values: base patterns, made possessive where that can't change a match, so that
-# long runs are read once and without recursion
+# fixed values: base patterns, possessive where that can't change a match. Those that begin with
+# a run begin at its head only, or where the last match ended: a match that begins further on could
+# begin there too, and a long run is read once instead of once from each of its characters.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "url-login": r"[a-z][a-z0-9+.-]*+://[^\s/@:]++:[^\s/@]++@",
+    "url-login": r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/@:]++:[^\s/@]++@",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -52,8 +53,8 @@ CUES = {
     "iban": "iban|account|bank|transfer",
     "url-login": "url|dsn|connect|connection|database",
 }
-#: Characters on either side that labelers see.
-CONTEXT = 32
+#: Characters on either side that labelers see; of a block of text.
+CONTEXT, BLOCK = 32, 4096
 LABELERS = ("check", "cue", "assigned", "quoted", "apart", "varied")
 
 #: One digit for each: length by doublings; quarters of digits, of capitals and of different characters; kind of character to the left and right.
@@ -70,12 +71,12 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _before(lengths: Column) -> Column:
-    """Sum of the elements before each element, in blocks, so that long arrays stay cheap."""
+def _before(values: Column, largest: bool = False) -> Column:
+    """Sum, or maximum, of the elements before each element (0 for the first), in blocks, so that long arrays stay cheap."""
     block = 128
 
     def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x) if largest else a + x)
 
     def prefix(own: Column) -> Column:
         count = F.ceil(F.size(own) / block).cast("int")
@@ -83,18 +84,36 @@ def _before(lengths: Column) -> Column:
 
         def within(pair: Column) -> Column:
             bases = F.transform(pair["sums"], lambda _, i: total(F.slice(pair["sums"], F.lit(1), i)))
-            return _let(
-                F.struct(bases.alias("bases"), pair["own"].alias("own")),
-                lambda p: F.transform(
-                    p["own"],
-                    lambda _, i: F.get(p["bases"], F.floor(i / block).cast("int"))
-                    + total(F.slice(p["own"], (F.floor(i / block) * block + 1).cast("int"), F.pmod(i, F.lit(block)).cast("int"))),
-                ),
-            )
+
+            def one(p: Column, i: Column) -> Column:
+                base = F.get(p["bases"], F.floor(i / block).cast("int"))
+                own_part = total(F.slice(p["own"], (F.floor(i / block) * block + 1).cast("int"), F.pmod(i, F.lit(block)).cast("int")))
+                return F.greatest(base, own_part) if largest else base + own_part
+
+            return _let(F.struct(bases.alias("bases"), pair["own"].alias("own")), lambda p: F.transform(p["own"], lambda _, i: one(p, i)))
 
         return _let(F.struct(sums.alias("sums"), own.alias("own")), within)
 
-    return _let(lengths, lambda own: F.when(F.size(own) > 0, prefix(own)).otherwise(F.array().cast("array<bigint>")))
+    return _let(values, lambda own: F.when(F.size(own) > 0, prefix(own)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _blocks(text: Column) -> Column:
+    """``text`` in blocks of ``BLOCK`` code points: finding a place in a long text means counting from its start."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def _near(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` on, at most one block of them."""
+    at = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.get(blocks, at), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return F.coalesce(F.substring(two, (F.pmod(start, F.lit(BLOCK)) + 1).cast("int"), length.cast("int")), F.lit(""))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end``, however many."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(joined, (F.pmod(start, F.lit(BLOCK)) + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 def _digits(value: Column) -> Column:
@@ -175,25 +194,25 @@ def _found(kind: str, text: Column) -> Column:
         def placed(p: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
                 start = F.get(p["starts"], i) + F.length(F.get(p["gaps"], i))
-                return _let(F.struct(m.alias("value"), start.alias("start")), judged)
+                return _let(F.struct(m.alias("value"), start.alias("start"), p["blocks"].alias("blocks")), judged)
 
             return F.transform(p["matches"], one)
 
         def judged(p: Column) -> Column:
             stop = p["start"] + F.length(p["value"])
-            left = F.substring(text, F.greatest(p["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(p["start"], F.lit(CONTEXT)).cast("int"))
-            right = F.substring(text, stop.cast("int") + 1, F.lit(4))
+            left = _near(p["blocks"], F.greatest(p["start"] - CONTEXT, F.lit(0)), F.least(p["start"], F.lit(CONTEXT)))
+            right = _near(p["blocks"], stop, F.lit(4))
             base = _valid(kind, p["value"]) if kind in BASE else F.lit(False)
             return F.struct(
                 F.lit(kind).alias("kind"), p["start"].cast("long").alias("start"), stop.cast("long").alias("end"), base.alias("base"),
                 _votes(kind, p["value"], left, right).alias("votes"), _features(p["value"], left, right).alias("features"),
             )
 
-        return _let(F.struct(own["matches"].alias("matches"), own["gaps"].alias("gaps"), _before(steps).alias("starts")), placed)
+        return _let(F.struct(own["matches"].alias("matches"), own["gaps"].alias("gaps"), own["blocks"].alias("blocks"), _before(steps).alias("starts")), placed)
 
     none = F.array().cast(f"array<{SPAN}>")
     present = text.contains(GATES[kind]) if kind in GATES else text.rlike("[0-9]")
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"), _blocks(text).alias("blocks"))
     return F.when(present & text.rlike(pattern), _let(parts, body)).otherwise(none)
 
 
@@ -329,20 +348,21 @@ def redact(docs: DataFrame) -> DataFrame:
     model = fit(found)
     text = F.col("text")
 
-    def mask(spans: Column) -> Column:
-        """Pieces of text between the spans, with a mark for each span that begins a run."""
-        def step(state: Column, s: Column) -> Column:
-            starts = s["start"] >= state["at"]
-            between = F.substring(text, state["at"].cast("int") + 1, F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-            new = F.when(starts, F.concat(state["out"], F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(state["out"])
-            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
+    def mask(own: Column) -> Column:
+        """What stands between runs of spans, with a mark for the first of each run."""
+        ends = F.transform(own["spans"], lambda s: s["end"])
+
+        def marked(p: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                reached = F.get(p["reached"], i)
+                mark = F.concat(_between(p["blocks"], reached, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.when(s["start"] >= reached, mark).otherwise("")
+
+            tail = _between(p["blocks"], F.greatest(F.get(p["reached"], F.size("spans") - 1), F.get(p["ends"], F.size("spans") - 1)), F.length(text))
+            return F.concat(F.array_join(F.transform(p["spans"], one), ""), tail)
 
-        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(
-            spans, begin, step,
-            lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"].cast("int") + 1, F.length(text))),
-        )
+        return _let(F.struct(own["spans"].alias("spans"), own["blocks"].alias("blocks"), ends.alias("ends"), _before(ends, largest=True).alias("reached")), marked)
 
     kept = found.withColumn("spans", F.when(F.size("spans") > 0, decide(F.col("spans"), model)))
-    masked = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, _let(F.col("spans"), mask))
+    masked = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, _let(F.struct(F.col("spans"), _blocks(text).alias("blocks")), mask))
     return kept.select(*[F.coalesce(masked, F.col(f"_k{i}")).alias(c) if c == "text" else F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
