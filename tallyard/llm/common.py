@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +66,14 @@ def quoted(column: str) -> str:
     return f"`{column.replace('`', '``')}`"
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores after it until none of ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(df: DataFrame, kept: list[str], source: Column, added: dict[str, str], run: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """The columns ``kept`` of ``df``, whatever their names, and ``added`` ones (name: type), which ``run`` gives for batches of ``source``."""
     own = df.select(*(F.col(quoted(c)) for c in kept), source)
@@ -104,9 +112,10 @@ def lookup_join(
     if not heavy:
         return left.join(pick(F.lit(True)), key, how)
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    salted = left.filter(hot).withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = pick(hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = unused("salt", left.columns)
+    salted = left.filter(hot).withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    copies = pick(hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         left.filter(~hot).join(pick(~hot), key, how)
-        .unionByName(salted.join(copies, [key, "_salt"], how).drop("_salt"))
+        .unionByName(salted.join(copies, [key, salt], how).drop(salt))
     )

@@ -9,7 +9,8 @@ of 192 samples a row and read them back.
 Defined results: null or empty html has no items; a reference without its payload in the
 media table keeps position and caption with null media; documents that share a payload
 share one media row; repeated documents are parsed each; an empty table gives an empty
-result. Columns of the input other than the key and the html are dropped unless named.
+result. Other columns of the input stay, but for the html; those named as an added one
+(``items``, then the fields of an item) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyard.llm.common import lookup_join, slices, text_of
+from tallyard.llm.common import extended, lookup_join, quoted, slices, text_of
 from tallyard.llm.htmltree import BLOCK, Node, parse, walk
 
 WIDTH = 192
@@ -133,6 +134,7 @@ def items(html: str | None) -> list[dict]:
 
     skip = lambda x: x.tag in ("script", "style", "head", "template")
     caption: list[str] | None = None
+    captioned: list[tuple[int, int, str]] = []  # items from, to, and the caption of each figure that has one
     for event, item in walk(parse(html or ""), skip):
         if event == "text":
             (part if caption is None else caption).append(item)
@@ -148,11 +150,8 @@ def items(html: str | None) -> list[dict]:
         if node.tag == "figure":
             if event == "open":
                 figures.append({"at": len(out), "caption": None})
-            elif figures:
-                own = figures.pop()
-                for x in out[own["at"] :]:
-                    if x["kind"] == "media" and own["caption"]:
-                        x["caption"] = own["caption"]
+            elif figures and (own := figures.pop())["caption"]:
+                captioned.append((own["at"], len(out), own["caption"]))
         if node.tag == "figcaption" and figures:
             if event == "open":
                 caption = []
@@ -160,20 +159,19 @@ def items(html: str | None) -> list[dict]:
                 figures[-1]["caption"] = squeeze(caption) or None
                 caption = None
     flush()
+    told = 0  # of figures in figures, the outer one's caption holds
+    for first, end, text in sorted(captioned, key=lambda x: (x[0], -x[1])):
+        for x in out[max(first, told) : end]:
+            if x["kind"] == "media":
+                x["caption"] = text
+        told = max(told, end)
     return [{"position": i, **x} for i, x in enumerate(out)]
 
 
 def parse_sequences(docs: DataFrame, html: str = "html") -> DataFrame:
     """The columns of ``docs`` but ``html``, and ``items``: the ordered sequence."""
-    kept = [c for c in docs.columns if c != html]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = pa.array([items(x.as_py()) for x in batch.column(len(kept))], pa.list_(ITEM))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [rows], [*kept, "items"])
-
-    return docs.select(*kept, html).mapInArrow(run, f"{schema}, items {ITEM_DDL}")
+    kept = [c for c in docs.columns if c.lower() not in (html.lower(), "items")]
+    return extended(docs, kept, F.col(html).cast("string"), {"items": ITEM_DDL}, lambda own: [pa.array([items(x.as_py()) for x in own], pa.list_(ITEM))])
 
 
 def resolve(sequences: DataFrame, media: DataFrame | Callable[[Column], DataFrame], key: list[str]) -> DataFrame:
@@ -182,8 +180,9 @@ def resolve(sequences: DataFrame, media: DataFrame | Callable[[Column], DataFram
     ``sequences`` should be materialised; ``media`` has one row per digest, or is a function
     that gives the rows of a condition on the digest.
     """
-    flat = sequences.withColumn("item", F.explode("items")).drop("items")
-    flat = flat.select(*[c for c in flat.columns if c != "item"], "item.*")
+    fields = [f.name for f in ITEM]
+    kept = [F.col(quoted(c)) for c in sequences.columns if c.lower() not in ("items", "media", *fields)]
+    flat = sequences.select(*kept, F.inline("items"))
     texts = flat.filter("kind = 'text'").withColumn("media", F.lit(None).cast("binary"))
     found = lookup_join(flat.filter("kind = 'media'"), media, "digest", [*key, "position"], "left")
     return texts.unionByName(found)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyard.llm.bytehash import MIX, finish, joined, words
-from tallyard.llm.common import lookup_join, materialise, slices, text_of
+from tallyard.llm.common import lookup_join, materialise, quoted, slices, text_of, unused
 
 SHINGLE = 5
 UNIVERSE = 1 << 20
@@ -325,9 +325,12 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_class = signed.filter("node is not null").groupBy("node").agg(first)
     rooted = by_class.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     survivors = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    survivors = materialise(survivors.select(F.col("first.doc_id").alias("_first"), F.col("first.mark").alias("_first_mark")), "survivors")
+    # names that the input doesn't have
+    own_id, own_mark, first_id, first_mark = (unused(x, columns) for x in ("own_id", "own_mark", "first_id", "first_mark"))
+    survivors = materialise(survivors.select(F.col("first.doc_id").alias(first_id), F.col("first.mark").alias(first_mark)), "survivors")
     blank = ~text_of().rlike(r"[^\x20\x09-\x0D]")  # a row without words is a component
-    rows = docs.filter(~blank).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_mark", F.md5(text_of()))
-    kept = rows.join(survivors, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_first_mark")), "left_semi")
+    rows = docs.filter(~blank).withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_mark, F.md5(text_of()))
+    kept = rows.join(survivors, F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(own_mark) == F.col(first_mark)), "left_semi")
     # a survivor's id and text may stand in several rows
-    return kept.dropDuplicates(["_id", "_mark"]).select(*columns).unionByName(docs.filter(blank).select(*columns))
+    own = [F.col(quoted(c)) for c in columns]
+    return kept.dropDuplicates([own_id, own_mark]).select(*own).unionByName(docs.filter(blank).select(*own))
