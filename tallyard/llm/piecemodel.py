@@ -7,7 +7,8 @@ library then merges the normalised text with a copy of the model that normalises
 the lengths of the pieces lead back over the notes to byte spans of the source.
 
 Models are refused that this does not cover: without byte fallback, with user-defined symbols,
-that don't escape spaces, or that mark the ends of words instead of their starts.
+that don't escape spaces, that mark the ends of words instead of their starts, or with pieces
+that reach over the start of a word.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ SPACE = "▁"
 #: Kinds of pieces in the file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
-#: Texts are merged in parts of about this many characters, so that the library's memory follows no long text.
+#: Starts of words in a normalised text; texts are merged in parts of about so many characters, so that the library's memory follows no long text.
+WORD = re.compile(f"(?<!{SPACE}){SPACE}")
 PART = 1 << 16
 
 
@@ -126,6 +128,8 @@ class PieceModel:
             raise ValueError("user-defined symbols, marks at ends of words and plain spaces are not supported")
         self.prefix, self.squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
         self.map = CharacterMap(rules.get(2, b""))
+        #: Whether a normalised text is a space and the text.
+        self.plain = self.prefix and not self.squeeze and not self.map.units
         heads = {*self.map.heads, *([0x20] if self.squeeze else [])}
         self.touched = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in sorted(heads)) + b"]") if heads else None
         #: Of each piece, its bytes in a normalised text; control pieces have none.
@@ -137,9 +141,8 @@ class PieceModel:
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=b"".join(parts) + field(3, plain))
         self.end = self.library.eos_id()
         # no merge crosses the start of a word if no piece has a space after another character
-        mark = SPACE.encode()
-        self.by_words = not any(mark in text.lstrip(b"\xe2\x96\x81") for text, kind in pieces if kind == NORMAL)
-        self.word = re.compile(f"(?<!{SPACE}){SPACE}")
+        if any(SPACE in text.decode().lstrip(SPACE) for text, kind in pieces if kind == NORMAL):
+            raise ValueError("pieces across words are not supported")
 
     def normalize(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """(normalised text, for each of its bytes and its end the source byte it came from).
@@ -196,12 +199,9 @@ class PieceModel:
         return text[at : at + length], length
 
     def _parts(self, text: str) -> list[str]:
-        """``text`` cut before words, in parts of ``PART`` characters and one word."""
+        """``text`` cut at starts of words, in parts of ``PART`` characters and one word."""
         out, begin = [], 0
-        while self.by_words and len(text) - begin > PART:
-            found = self.word.search(text, begin + PART)
-            if not found:
-                break
+        while len(text) - begin > PART and (found := WORD.search(text, begin + PART)):
             out.append(text[begin : found.start()])
             begin = found.start()
         return [*out, text[begin:]]

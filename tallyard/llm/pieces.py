@@ -31,15 +31,21 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (the end id last) and, of each piece, ``begins`` and ``ends``: its bytes of the source."""
+def encode(docs: DataFrame, text: str = "text", model: str | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (the end id last) and, of each piece, ``begins`` and ``ends``: its bytes of the source.
+
+    With ``decoded``, also with the column that ``decode`` adds, made in the same pass.
+    """
     path = model or default_model()
+    added = ADDED | ({"decoded": "string"} if decoded else {})
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        found = piece_model(path).encode(texts.cast(pa.binary()).to_pylist())
-        return [_lists([x[i] for x in found], pa.int64() if i else pa.int32()) for i in range(3)]
+        pieces = piece_model(path)
+        found = pieces.encode(texts.cast(pa.binary()).to_pylist())
+        columns = [_lists([x[i] for x in found], pa.int64() if i else pa.int32()) for i in range(3)]
+        return [*columns, pa.array([pieces.decode(x[0].tolist()) for x in found], pa.string())] if decoded else columns
 
-    return extended(docs, [c for c in docs.columns if c not in ADDED], text_of(text), ADDED, run)
+    return extended(docs, [c for c in docs.columns if c not in added], text_of(text), added, run)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
@@ -54,10 +60,9 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> Da
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (all first bytes joined by spaces, ``|``, all ends)."""
-    joined = lambda column: F.sha2(F.array_join(column.cast("array<string>"), " "), 256)
-    spans = F.sha2(F.concat_ws("|", *(F.array_join(F.col(c).cast("array<string>"), " ") for c in ("begins", "ends"))), 256)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 (of the ends of pieces, joined by spaces; each begins where the one before ends)."""
+    joined = lambda column: F.sha2(F.array_join(F.col(column).cast("array<string>"), " "), 256)
     return decoded.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), joined(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), spans.alias("spans_sha256"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), joined("ends").alias("spans_sha256"),
     )
