@@ -121,6 +121,12 @@ def test_one_row_of_each_component(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text, 77, "a", 5, 6), (2, text, 88, "b", 7, 8), (3, "other words stand here and there today", 99, "c", 9, 10)], "doc_id long, text string, _id long, _mark string, own_id int, `a.b` int")
+    assert sorted(tuple(r) for r in neardup.drop_near_duplicates(df).collect()) == [(1, text, 77, "a", 5, 6), (3, "other words stand here and there today", 99, "c", 9, 10)]
+
+
 def test_candidate_settings_follow_the_threshold():
     assert neardup.settings(85) == (36, 8, 88)
     g = np.random.default_rng(2)
@@ -359,6 +365,25 @@ def test_names_of_layouts_do_not_cost_the_story():
     assert extraction.main_text(f"<body><div>{story}</div><div class=comments>{story.replace('A paragraph', 'My view') * 3}</div></body>").count("My view") == 0
 
 
+STORY = "<p>A paragraph of the story, long enough to score, with commas.</p>" * 3
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article><div class='entry-header'><h1>T</h1><p>Lead.</p></div>{s}</article>", "T Lead. S S S"),
+    ("<article><div class='article-header'><h1>T</h1></div>{s}<p class='notice-board'>The notice board at the hall lists dates.</p></article>", "T S S S The notice board at the hall lists dates."),
+    ("<div class='post'><div class='entry-header'><h1>T</h1></div>{s}</div>", "T S S S"),
+    ("<article>{s}<ul><li><a href=1>Ref one</a></li><li><a href=2>Ref two</a></li><li><a href=3>Ref three</a></li></ul></article>", "S S S Ref one Ref two Ref three"),
+    ("<main><ul><li><a>Home</a></li><li><a>News</a></li><li><a>More</a></li></ul>{s}</main>", "S S S"),
+    ("<div class='post-comments-enabled'>{s}</div>", "S S S"),
+    ("<div class='page-header'><h1>Site</h1></div><div class='post'>{s}</div>", "S S S"),
+    ("<article>{s}<div class='notice'>We use cookies, a lot of them, on all of these pages, and on others.</div><div class='post-comments'><p>I disagree, for many reasons, all the same.</p></div><div class='cookie-notice'>Cookies, yes, cookies here, and there.</div></article>", "S S S"),
+    ("<article>{s}<header class='related'><h2>More</h2></header><div class='ad-slot'>Buy this, now, here, today, and pay less than ever before.</div></article>", "S S S"),
+])
+def test_names_that_stories_use_too(html, want):
+    """Title blocks, notice paragraphs and closing references stay; notices, adverts, comments and menus go."""
+    assert extraction.main_text(f"<body>{html.format(s=STORY)}</body>").replace("A paragraph of the story, long enough to score, with commas.", "S") == want
+
+
 def test_sibling_articles_are_kept():
     one, two = "Part one of the story, with words enough to score.", "Part two of the story, with words enough to score, too."
     main = f"<main><article><p>{one}</p></article><article><p>{two}</p></article><article><a href=/>A teaser that is long enough, but links.</a></article></main>"

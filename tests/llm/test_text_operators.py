@@ -79,6 +79,40 @@ def test_malformed_tags_take_linear_time():
     assert [x["text"] for x in interleaved.items('<p>ok</p><a "x" "y">z</a> <b title="a>b">q</b><a href="open')] == ["ok", 'z q<a href="open']
 
 
+def test_nested_elements_take_linear_time():
+    """What a tag closes is found without climbing, and each element's names are read once."""
+    import time
+
+    from tallyard.llm import extraction
+
+    story = "<p>A paragraph of the story, long enough to score, with commas.</p>" * 4
+    for html in (
+        "<ul>" + "<b>" * 40_000 + "<li>x" * 40_000, "<article>" + "<b>" * 40_000 + "<header>" * 40_000, "<p>" + "<b>" * 40_000 + "</i>" * 40_000, "<li><ul>" * 30_000 + "<li>" * 30_000,
+        "<figure>" * 15_000 + "<img data-digest=x>" * 15_000 + "<figcaption>x</figcaption></figure>" * 15_000, "<main>" + "<section><p>text that is long enough, really</p><div>x</div></section>" * 10_000,
+        "<div class=entry-header>" * 20_000 + story, "<table>" + "<tr><td>" * 40_000,
+    ):
+        for read in (interleaved.items, extraction.main_text):
+            began = time.time()
+            read(html)
+            assert time.time() - began < 8, (read, html[:20])
+
+
+def test_captions_of_figures_in_figures():
+    """The outer figure's caption holds for all its media; media of figures without one keep what they have."""
+    html = "<figure><img data-digest=a alt=own><figure><img data-digest=b><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure><figure><figure><img data-digest=c><figcaption>in</figcaption></figure><img data-digest=d alt=own></figure>"
+    assert [(x["digest"], x["caption"]) for x in interleaved.items(html)] == [("a", "outer"), ("b", "outer"), ("c", "in"), ("d", "own")]
+
+
+def test_sequences_of_clashing_names(spark):
+    """Columns named as added ones give way; all others stay, also those of names that joins or tasks might use."""
+    df = spark.createDataFrame([(1, "<p>t<img data-digest=d></p>", 7, "k", "s", 3, 4)], "doc int, html string, items int, kind string, `a.b` string, `_salt` int, salt int")
+    seq = interleaved.parse_sequences(df)
+    assert seq.columns == ["doc", "kind", "a.b", "_salt", "salt", "items"]
+    store = spark.createDataFrame([("d", b"M")], "digest string, media binary")
+    got = sorted((tuple(r) for r in interleaved.resolve(seq, store, ["doc"]).select("doc", "`a.b`", "_salt", "salt", "position", "kind", "text", "media").collect()), key=lambda r: r[4])
+    assert got == [(1, "s", 3, 4, 0, "text", "t", None), (1, "s", 3, 4, 1, "media", None, b"M")]
+
+
 def test_damaged_media_is_refused():
     image = bytearray(interleaved.encode(b"x" * 192))
     image[45] ^= 1
@@ -118,7 +152,7 @@ def base_spans(text):
 
 HARD = [
     "a@b.c_d@e.fg, 1.2.3.256 1.2.3.4.5 4111 1111 1111 1111.", "+1 (555) 123-4567+44 20 7946 0958 ++1", "é\U0001f600 m@n.op 0000000012.1.1.1 256.1.1.1", "1 " * 5000 + "x@y.zz",
-    "1.1.1.1 " * 400 + "q@q.qq " * 300, "a" * 30_000 + "@b.cc", "4111-1111-1111-1111 4111 1111 1111 1112 12345678901234567890", 'key: "0a1b2c3d4e5f6a7b8c9d0a1b2c3d4e5f" x', "1" * 40_000,
+    "1.1.1.1 " * 400 + "q@q.qq " * 300, "1.2.3.45.6.7.8.9 1.2.3.4" * 3, "12345" * 800 + ".1.1.1 " + "7" * 20_000, "+1" + " " * 200_000 + "2", "+1" * 100_000, "a@" * 100_000 + "b.cc", "a" * 30_000 + "@b.cc", "4111-1111-1111-1111 4111 1111 1111 1112 12345678901234567890", 'key: "0a1b2c3d4e5f6a7b8c9d0a1b2c3d4e5f" x', "1" * 40_000,
 ]
 
 
@@ -136,6 +170,45 @@ def test_base_spans(table, request, spark):
             assert set(joined.split(",")) <= set(r.spans.split(","))
 
 
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "a" * 1_000_000 + "@1", "a1" * 500_000 + "@", "+1" * 500_000, "+1" + " " * 1_000_000, "A" * 1_000_000 + "1", "a://b:" * 170_000 + "@1", "@1" * 500_000], ids=lambda x: x[:6])
+def test_patterns_read_long_runs_once(text, spark):
+    """A million characters of any kind: each pattern's search takes about a second, not one for each character."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(text,)], "text string")
+    counts = [F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(k) for k, p in pii.PATTERNS.items()]
+    df.select(*counts).collect()
+    began = time.time()
+    df.select(*counts).collect()
+    assert time.time() - began < 6  # eight patterns
+
+
+def test_long_texts_full_of_spans(spark):
+    """Spans and masks far into a text of many: positions, contexts and runs as at its start."""
+    unit = "é 1.2.3.4 call +1 555 123 4567, mail ab@c.de; 4111 1111 1111 1111 x\n"
+    df = spark.createDataFrame([(1, unit * 3000)], "doc_id long, text string")
+    r = pii.find(df).first()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (3000,) * 4
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(unit * 3000)).encode()).hexdigest()
+    assert pii.redact(df).first().text == "é [IP] call [PHONE], mail [EMAIL]; [CARD] x\n" * 3000
+
+
+def test_runs_of_overlapping_spans_are_masked_once(spark):
+    """A mark for the first span of each run, against plain Python."""
+    texts = ["+1 4111 1111 1111 1111 end", "4111 1111 1111 1111+1 555 123 4567", "x a@b.cc" * 700, "1.2.3.4+12 345 678 901 1.2.3.4 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [x.rsplit(":", 2) for x in r.spans.split(",") if x] for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        out, at, text = "", 0, texts[r.doc_id]
+        for kind, start, end in spans[r.doc_id]:
+            if int(start) >= at:
+                out += text[at : int(start)] + f"[{kind.upper()}]"
+            at = max(at, int(end))
+        assert r.text == out + text[at:]
+
+
 def test_secrets_are_found_and_masked(spark):
     rows = [(i, f'word token = "{hashlib.sha1(str(i).encode()).hexdigest()}" word mail{i}@host.example.com end') for i in range(40)] + [(100, "a clean text of common words"), (101, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", text_of())

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tallyard.llm import alignment, piecemodel, pieces, queries, vectorcodes
+from tallyard.llm import alignment, piecemodel, pieces, queries, vectorcodes, wordcache
 
 MORE = ["a ▁ b", "<|endoftext|> and <s> </s> <unk>", "  two  spaces  ", "tab\tnew\n\nline    x", "don't I'll 12345 ...!!", "é ﬁ ①", "\x00 zero", "<0x41> x", "no" * 3000, "▁", " "]
 
@@ -39,8 +39,8 @@ def test_pieces_are_the_librarys(table, request):
     for r in df.select("doc_id", "text").collect():
         ids = library.encode(r.text or "", add_eos=True)
         want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
-    got = pieces.digests(pieces.decode(pieces.encode(df.select("doc_id", "text"))))
-    assert rows_of(got.drop("spans_sha256")) == sorted(want, key=repr)
+    for encoded in (pieces.decode(pieces.encode(df.select("doc_id", "text"))), pieces.encode(df, decoded=True)):
+        assert rows_of(pieces.digests(encoded).drop("spans_sha256")) == sorted(want, key=repr)
 
 
 def library_spans(library, text):
@@ -79,17 +79,24 @@ def test_spans_tile_the_source(spark):
     assert b"".join(source[a:b] for a, b in zip(row.begins, row.ends, strict=True)) == source
 
 
-def test_long_texts_are_merged_in_parts(monkeypatch):
+@pytest.mark.parametrize("turn,most", [(7, 40), (1 << 16, 1 << 18)])
+def test_words_give_the_ids_of_whole_texts(turn, most, monkeypatch):
+    """Whatever stands between words, and when the cache starts afresh in the middle of a text."""
+    monkeypatch.setattr(wordcache, "TURN", turn)
+    monkeypatch.setattr(wordcache, "WORDS", most)
+    monkeypatch.setattr(wordcache, "PART", 50)
+    monkeypatch.setattr(piecemodel, "PART", turn)
     model = piecemodel.piece_model(piecemodel.default_model())
-    draw = random.Random(5)
-    text = "".join(draw.choices(["word", " ", "  ", "▁", "é", "xyz", "\n"], k=3000))
-    whole = model.encode([text.encode()])[0][0].tolist()
-    monkeypatch.setattr(piecemodel, "PART", 7)
-    monkeypatch.setattr(alignment, "PART", 7)
-    assert model.encode([text.encode()])[0][0].tolist() == whole == model.library.encode(text, add_eos=True)
     pair = alignment._pair(alignment.default_byte_tokenizer(), piecemodel.default_model())
-    for t in (text, " \n \n  a     b c　 d", "don't  we'll 12 34"):
-        assert pair.encode_a([t])[0].tolist() == pair.encoder.encode(t, add_special_tokens=False).ids
+    draw = random.Random(5)
+    signs = ["word", " ", "  ", "▁", "é", "xyz", "\n", "\t", "\r\n", "'s", "42", "...", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "漢", "😀", "<|endoftext|>", "long" * 20]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(600)] + ["", " ", "  ", "\n", " \n \n  a     b c　 d", "don't  we'll 12 34"]
+    for text, b in zip(texts, model.encode([t.encode() for t in texts]), strict=True):
+        words = pair.split(text)
+        assert "".join(words) == " " + text
+        assert [i for w in words for i in pair.encode_a(w).tolist()] == pair.encoder.encode(" " + text, add_special_tokens=False).ids, text
+        assert not text or [i for w in words for i in pair.encode_b(w).tolist()] == model.library.encode(text), text
+        assert b[0].tolist() == model.library.encode(text, add_eos=True), text
 
 
 def test_models_that_are_refused():
@@ -169,8 +176,8 @@ def test_alignment(table, chunk, request, monkeypatch):
 def test_spans_of_labels():
     """Tokens of 1+2+3 bytes against 3+1+2: groups end at 3 and 6, links are the overlapping pairs."""
     length = np.array([0, 1, 2, 3])
-    many_a, many_b, place_a, place_b = alignment.align(np.array([1, 2, 3]), np.array([3, 1, 2]), length, length)
-    assert (many_a.tolist(), many_b.tolist()) == ([2, 1], [1, 2])
+    many_a, many_b, place_a, place_b, ends = alignment.align(np.array([1, 2, 3]), np.array([3, 1, 2]), length, length)
+    assert (many_a.tolist(), many_b.tolist()) == ([2, 1], [1, 2]) and ends.tolist() == [3, 6]
     assert list(zip(place_a.tolist(), place_b.tolist(), strict=True)) == [(0, 0), (1, 0), (2, 1), (2, 2)]
 
 
