@@ -3,7 +3,8 @@
 For each byte of a text, a label says whether a token of A, of B, of both or of none ends
 there. A regular expression scans the labels and cuts them after each "both": the labels of
 such a span count the tokens of either side in a group. Between two labels lies one pair of
-tokens whose byte ranges overlap, so labels also list all links.
+tokens whose byte ranges overlap, so labels also list all links. Words recur, and groups don't
+reach over their starts: labels are scanned for each new word, many joined at a time.
 
 Counts of linked id pairs over the corpus are needed for each document. Tasks number the pairs
 of a chunk of documents (``CHUNK`` links, one document at least) and write the numbers; of a
@@ -23,9 +24,10 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyard.llm.common import lookup_join, materialise, slices, text_of
-from tallyard.llm.piecemodel import PART, default_model, piece_model
+from tallyard.llm.piecemodel import SPACE, default_model, piece_model
+from tallyard.llm.wordcache import Records, WordCache, borders
 
 #: Links of a chunk of documents, about.
 CHUNK = 1 << 21
@@ -42,8 +45,12 @@ CHUNK = 1 << 21
 LABELS = np.frombuffer(b".AB=", np.uint8)
 SPAN = re.compile(rb"[^=]*=")
 
-#: Where a text may be cut without changing its tokens: at a space after a character that is none.
-BREAK = re.compile(r"(?<=\S) ")
+# fixed values: white space as A's rule for words has it, besides the space
+OTHERS = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581"
+#: Words: neither tokenizer has a token that reaches from another character to a space (or U+2581,
+#: B's space), so both end tokens there and groups never reach over the start of a word.
+WORD = re.compile(f"[ {OTHERS}]*[^ {OTHERS}]+(?:[{OTHERS}][ {OTHERS}]*[^ {OTHERS}]*)*|[ {OTHERS}]+")
+BLANK = re.compile(f"[ {OTHERS}]")
 
 
 def default_byte_tokenizer() -> str:
@@ -77,11 +84,9 @@ class Vocabulary:
 
 
 class Pair:
-    """Both tokenizers, and the decimal texts of their ids."""
+    """Both tokenizers, and what they make of words: links, numbers of tokens and groups, and the groups' ids."""
 
     def __init__(self, byte_tokenizer: str, model: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -95,28 +100,42 @@ class Pair:
         self.a, self.b = Vocabulary(shown), Vocabulary(self.model.shown)
         if len(self.a) * len(self.b) > 1 << 32:
             raise ValueError("pairs of ids must fit 32 bits")
-        #: Each id with the sign that follows it: in a group, before B's, before the next group.
-        self.texts = [f"{i}{sign}" for sign, own in ((",", self.a), ("|", self.a), (",", self.b), (";", self.b)) for i in range(len(own))]
-
-    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_parts(t) for t in texts]
-        found = iter(self.encoder.encode_batch_fast(list(chain.from_iterable(parts)), add_special_tokens=False))
-        return [np.concatenate([np.array(next(found).ids, np.int64) for _ in own]) for own in parts]
-
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        made = [self.model.normalize(t.encode())[0].decode() for t in texts]
-        return [ids.astype(np.int64) for ids in self.model.merge(made)]
-
-
-def _parts(text: str) -> list[str]:
-    out, begin = [], 0
-    while len(text) - begin > PART:
-        found = BREAK.search(text, begin + PART)
-        if not found:
-            break
-        out.append(text[begin : found.start()])
-        begin = found.start()
-    return [*out, text[begin:]]
+        #: Each id with the sign that follows it: in a group, before B's, before the next group, at the end of a word.
+        signs = ((",", self.a), ("|", self.a), (",", self.b), (";", self.b), (" ", self.b))
+        self.texts = [f"{i}{sign}" for sign, own in signs for i in range(len(own))]
+        self.words = WordCache(self._learn, lambda word: self.model.plain and word[0] == " " and not BLANK.match(word[-1]) and SPACE not in word, 4)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a space and the text; all of it as one, if B's normalising knows no words."""
+        return WORD.findall(f" {text}") if self.model.plain else [f" {text}"]
+
+    def encode_a(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def encode_b(self, text: str) -> np.ndarray:
+        """Ids of ``text``, which begins with the space that B would add."""
+        normal = text.replace(" ", SPACE) if self.model.plain else self.model.normalize(text[1:].encode())[0].decode()
+        return self.model.merger.encode(normal, return_type="numpy").astype(np.int64)
+
+    def _learn(self, words: list[str]) -> Records:
+        """Of each word: links as codes of id pairs; tokens of A and of B, groups, and 1 if both are over its bytes; the groups' ids."""
+        text = "".join(words)
+        data = text.encode()
+        a, b = self.encode_a(text), self.encode_b(text)
+        if self.a.joined(a) != data or self.b.joined(b) != data:
+            if len(words) > 1:
+                raise ValueError("tokens of words are not their bytes")
+            return Records(np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros((1, 4), np.int64), [""])
+        many_a, many_b, place_a, place_b, ends = align(a, b, self.a.length, self.b.length)
+        last = borders(words, data)
+        of_word = np.searchsorted(ends, last, "right")  # groups up to the end of each word
+        if (ends[of_word - 1] != last).any():
+            raise ValueError("a group reaches over the start of a word")
+        before = np.concatenate(([0], of_word))
+        sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[before]) for x in (many_a, many_b, many_a + many_b - 1)]
+        numbers = np.stack([sums[0], sums[1], np.diff(before), np.ones(len(words), np.int64)], axis=1)
+        codes = a[place_a] * len(self.b) + b[place_b]
+        return Records(codes.astype(np.uint32), sums[2], numbers, groups_text(self, a, b, many_a, many_b, of_word - 1))
 
 
 _WORKERS: dict[tuple[str, str], Pair] = {}
@@ -129,48 +148,45 @@ def _pair(byte_tokenizer: str, model: str) -> Pair:
     return _WORKERS[key]
 
 
-def align(a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of A in each group, tokens of B, and of each link the place of its A and its B token).
+def align(a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tokens of A in each group, tokens of B, of each link the place of its A and its B token, the end of each group).
 
-    ``a`` and ``b`` are ids over the same bytes; ``length_a`` and ``length_b`` give their bytes.
+    ``a`` and ``b`` are ids over the same bytes; ``length_a`` and ``length_b`` give their bytes. A group
+    of m and n tokens has m + n - 1 links: one for each byte of it that has a label.
     """
     ends_a, ends_b = np.cumsum(length_a[a]) - 1, np.cumsum(length_b[b]) - 1
     kind = np.zeros(int(ends_a[-1]) + 1, np.uint8)
     kind[ends_a] = 1
     kind[ends_b] |= 2
     spans = SPAN.findall(LABELS[kind].tobytes())
-    begins = np.cumsum([0, *map(len, spans)])[:-1]
+    ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+    begins = np.concatenate(([0], ends[:-1]))
     of_a, of_b = kind & 1, kind >> 1
     many_a, many_b = np.add.reduceat(of_a, begins, dtype=np.int64), np.add.reduceat(of_b, begins, dtype=np.int64)
     at = np.flatnonzero(kind)
     place_a, place_b = (np.cumsum(x, dtype=np.int64)[at] - x[at] for x in (of_a, of_b))
-    return many_a, many_b, place_a, place_b
+    return many_a, many_b, place_a, place_b, ends
 
 
-def _order(many_a: np.ndarray, many_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each token of A, then of B, when groups follow one another, A's first; whether it is its group's last of its side)."""
-    both = np.cumsum(many_a + many_b)
-    start = both - many_a - many_b
+def _order(many: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each token of one side, where each group's begin at ``begin``; which are their group's last)."""
+    total = np.cumsum(many)
+    return np.repeat(begin - (total - many), many) + np.arange(total[-1]), total - 1
 
-    def side(many: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.cumsum(many)
-        place = np.repeat(begin - (total - many), many) + np.arange(total[-1])
-        last = np.zeros(total[-1], bool)
-        last[total - 1] = True
-        return place, last
 
-    place_a, last_a = side(many_a, start)
-    place_b, last_b = side(many_b, start + many_a)
-    return place_a, place_b, last_a, last_b
-
-
-def groups_text(pair: Pair, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray) -> bytes:
-    """The groups' ids as ``a1,a2|b1;a3|b2,b3``."""
-    place_a, place_b, last_a, last_b = _order(many_a, many_b)
-    out = np.empty(len(a) + len(b), np.int64)
+def groups_text(pair: Pair, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, last: np.ndarray) -> list[str]:
+    """The ids of groups as ``a1,a2|b1;a3|b2,b3``, a text up to each of the groups ``last``."""
+    start = np.cumsum(many_a + many_b) - many_a - many_b
     na, nb = len(pair.a), len(pair.b)
-    out[place_a], out[place_b] = a + na * last_a, b + 2 * na + nb * last_b
-    return "".join(map(pair.texts.__getitem__, out.tolist()))[:-1].encode()
+    out = np.empty(len(a) + len(b), np.int64)
+    for ids, many, begin, offset, step in ((a, many_a, start, 0, na), (b, many_b, start + many_a, 2 * na, nb)):
+        place, ends = _order(many, begin)
+        codes = ids + offset
+        codes[ends] += step
+        if ids is b:
+            codes[ends[last]] += step
+        out[place] = codes
+    return "".join(map(pair.texts.__getitem__, out.tolist())).split(" ")[:-1]
 
 
 DOCUMENT = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string()}
@@ -215,17 +231,19 @@ def _aligned(byte_tokenizer: str, model: str):
         pair, name = _pair(byte_tokenizer, model), TaskContext.get().partitionId() << 32
         chunk = Chunk(name)
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            spaced = [" " + t for t in texts]
-            empty = np.empty(0, np.int64)
-            for doc, text, a, b in zip(batch.column(0).to_pylist(), spaced, pair.encode_a(spaced), pair.encode_b(texts), strict=True):
-                whole = text.encode()
-                if len(whole) == 1 or pair.a.joined(a) != whole or pair.b.joined(b) != whole:
-                    chunk.add((doc, 0, 0, 0, 0, ""), empty)
+            parts = [pair.split(t) if t else [] for t in batch.column(1).to_pylist()]
+            found = pair.words.records(list(chain.from_iterable(parts)))
+            at = np.cumsum([0, *map(len, parts)])
+            numbers = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(found.numbers, axis=0)))[at]
+            edges = np.concatenate(([0], np.cumsum(found.counts)))[at].tolist()
+            for doc, n, (begin, end), (n_a, n_b, n_groups, whole), first, after in zip(
+                batch.column(0).to_pylist(), map(len, parts), pairwise(at.tolist()), np.diff(numbers, axis=0).tolist(), edges[:-1], edges[1:], strict=True
+            ):
+                if n and whole == n:
+                    digest = hashlib.sha256(";".join(found.texts[begin:end]).encode()).hexdigest()
+                    chunk.add((doc, n_a, n_b, n_groups, after - first, digest), found.values[first:after])
                 else:
-                    many_a, many_b, place_a, place_b = align(a, b, pair.a.length, pair.b.length)
-                    digest = hashlib.sha256(groups_text(pair, a, b, many_a, many_b)).hexdigest()
-                    chunk.add((doc, len(a), len(b), len(many_a), len(place_a), digest), a[place_a] * len(pair.b) + b[place_b])
+                    chunk.add((doc, 0, 0, 0, 0, ""), found.values[:0])
                 if chunk.size >= CHUNK:
                     yield from chunk.batches()
                     name += 1

@@ -68,8 +68,7 @@ def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pieces.digests(pieces.decode(encoded))
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
