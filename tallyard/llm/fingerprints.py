@@ -11,7 +11,9 @@ bases are used where equality is decided.
 A text's fingerprint is its length, the two hashes of the whole, and a sketch: of the
 hashes of all spans of ``SPAN`` code points, mixed to 64 bits, the smallest in each of
 ``SLOTS`` classes (one permutation, densified). The share of equal slots estimates the
-Jaccard likeness of the sets of spans.
+Jaccard likeness of the sets of spans. Texts below ``BOTH`` code points have a second sketch,
+of spans of ``SHORT``: likeness is told from those where one text is below ``FEW``, as such
+texts have few long spans, or one, and any edit would change them all.
 
 Defined results: null text is empty; texts shorter than a span have one span, the
 whole; two empty texts are alike (1.0), an empty and a filled one are not (0.0); repeated
@@ -27,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,11 @@ from tallyard.llm.common import slices, text_of
 
 M = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 700_001_027)
-SPAN = 24
+SPAN, SHORT = 24, 3
+FEW, BOTH = 96, 384
 SLOTS = 32
-#: Bytes of text in a range, about.
-RANGE_BYTES = 64 << 20
+#: Bytes of text in a range, about; ranges at most (then they hold more): the driver sees two numbers and one row of each.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 15
 
 
 def _reduce(x: np.ndarray) -> np.ndarray:
@@ -106,9 +110,9 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
-def sketch(prefixes: Prefixes) -> np.ndarray:
+def sketch(prefixes: Prefixes, width: int = SPAN) -> np.ndarray:
     """Smallest mixed span hash of each of SLOTS classes; empty classes borrow from the next."""
-    x = prefixes.windows(SPAN)
+    x = prefixes.windows(width)
     if not len(x):
         return np.zeros(SLOTS, np.uint32)
     x = (x ^ (x >> np.uint64(15))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -135,17 +139,19 @@ def sketch(prefixes: Prefixes) -> np.ndarray:
 
 def fingerprint(prefixes: Prefixes) -> str:
     whole = prefixes.span(0, prefixes.n)
-    return f"{prefixes.n:x}-{whole[0]:08x}{whole[1]:08x}-{sketch(prefixes).astype('>u4').tobytes().hex()}"
+    sketches = [sketch(prefixes, width).astype(">u4").tobytes().hex() for width in ((SPAN, SHORT) if prefixes.n < BOTH else (SPAN,))]
+    return "-".join([f"{prefixes.n:x}", f"{whole[0]:08x}{whole[1]:08x}", *sketches])
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1, from two fingerprints alone."""
     if a == b:
         return 1.0
-    (na, _, sa), (nb, _, sb) = a.split("-"), b.split("-")
+    (na, _, *sa), (nb, _, *sb) = a.split("-"), b.split("-")
     if na == "0" or nb == "0":
         return 0.0
-    x, y = (np.frombuffer(bytes.fromhex(s), ">u4") for s in (sa, sb))
+    which = int(len(sa) == len(sb) == 2 and min(int(na, 16), int(nb, 16)) < FEW)
+    x, y = (np.frombuffer(bytes.fromhex(s[which]), ">u4") for s in (sa, sb))
     return float((x == y).mean())
 
 
@@ -202,7 +208,7 @@ def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text_of().alias("text"))
     if not ranges:
         size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+        ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES), MOST_RANGES)
     cuts = source.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0] or []
     # several equal cuts are one id with many rows: its ranges are even parts of the hashes
     ties = Counter(cuts)
@@ -231,19 +237,20 @@ def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def _search(key: Column, mark: Column, bounds: list[tuple[int, int]]) -> Column:
-    """Number of ``bounds`` (descending) above (``key``, ``mark``), by binary search."""
+    """Number of ``bounds`` (descending) above (``key``, ``mark``), by binary search of whole batches."""
     if not bounds:
         return F.lit(0)
-    keys, marks, steps = F.array(*[F.lit(k) for k, _ in bounds]), F.array(*[F.lit(m) for _, m in bounds]), []
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        steps.append(step)
-        step >>= 1
-
-    def take(found: Column, step: Column) -> Column:
-        at = found + step
-        i = F.least(at, F.lit(len(bounds)))
-        above = (F.element_at(keys, i) > key) | ((F.element_at(keys, i) == key) & (F.element_at(marks, i) > mark))
-        return F.when((at <= len(bounds)) & above, at).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), take)
+    keys, marks = (np.array(x, np.int64) for x in zip(*bounds, strict=True))
+
+    @F.pandas_udf("int")
+    def above(key: pd.Series, mark: pd.Series) -> pd.Series:
+        key, mark = key.to_numpy(), mark.to_numpy()
+        found, step = np.zeros(len(key), np.int64), 1 << (len(keys).bit_length() - 1)
+        while step:
+            at = found + step
+            i = np.minimum(at, len(keys)) - 1
+            more = (at <= len(keys)) & ((keys[i] > key) | ((keys[i] == key) & (marks[i] > mark)))
+            found, step = np.where(more, at, found), step >> 1
+        return pd.Series(found.astype(np.int32))
+
+    return above(key, mark)
