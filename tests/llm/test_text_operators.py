@@ -359,6 +359,21 @@ def test_likeness_estimates_jaccard():
     assert abs(fingerprints.likeness(*marks) - 0.5) < 0.3
 
 
+def test_likeness_of_short_texts():
+    """Texts of few characters whose last third is another's: alike by about half, as long ones are; others hardly."""
+    g = np.random.default_rng(2)
+    say = lambda n: "".join(g.choice(list("abcdefghijklmnop "), n))
+    mark = lambda t: fingerprints.fingerprint(fingerprints.Prefixes(t))
+    for n in (12, 20, 30, 38, 60, 94, 97, 200):
+        near, far = [], []
+        for _ in range(40):
+            text, other = say(n), say(n + int(g.integers(0, 3)))
+            near.append(fingerprints.likeness(mark(text), mark(fingerprints.edit(text, other))))
+            far.append(fingerprints.likeness(mark(text), mark(other)))
+        assert 0.3 < np.mean(near) < 0.65 and np.mean(far) < 0.1, n
+    assert fingerprints.likeness(mark(say(95)), mark(say(400))) < 0.1
+
+
 def test_span_hashes_are_power_sums():
     text, m = "añ\U0001f600bca", (1 << 31) - 1
     own = fingerprints.Prefixes(text)
