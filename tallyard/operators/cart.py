@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyard.operators.dedupe import keep_first
-
 from tallyard.functions.text import comparable_name, squash
+from tallyard.operators.dedupe import keep_first
+from tallyard.sources.shared import frozen
 
 #: Sites by domain suffix; the flag tells whether a request must name an option.
 SITES = {"mall-a.example": True, "mall-b.example": False}
@@ -102,12 +102,57 @@ def match_mode_counts(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("batch", "productMatchMode").agg(F.count("*").alias("blocks"), F.sum("optionRowCount").alias("optionRows"))
 
 
-def sold_out_in_text(messages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requested products that a message (batch, html, text) of their batch names by id or name.
+#: Grams that patterns are indexed by: of patterns of so many characters or more, the first that fits.
+GRAMS = (12, 6, 4, 3, 2, 1)
 
-    A containment join within a batch, which holds a bounded number of requests.
+
+def contained(texts: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at, pattern): which ``patterns`` (keys, pattern) stand in which ``texts`` (keys, at, text) of their keys.
+
+    Each pattern is listed under that of its grams which the fewest texts have, and meets the
+    texts that have it by equality; what meets is then searched. A pattern with a gram that no
+    text has meets none. No text is compared with all patterns.
+    """
+    size = F.element_at(F.filter(F.array(*[F.lit(g) for g in GRAMS]), lambda g: g <= F.length("pattern")), 1)
+    grams = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n)))
+    wanted = patterns.filter("pattern <> ''").select(*keys, "pattern").distinct().withColumn("size", size)
+    sizes = wanted.select(*keys, "size").distinct()
+    spread = texts.join(sizes, keys).filter(F.length("text") >= F.col("size")).select(*keys, "at", F.explode(grams("text", F.col("size"))).alias("gram"))
+    spread = frozen(spread, "grams")
+    counts = spread.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    asked = wanted.select(*keys, "pattern", F.explode(grams("pattern", F.col("size"))).alias("gram"))
+    listed = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    listed = listed.filter("least.n > 0").select(*keys, "pattern", F.col("least.gram").alias("gram"))
+    met = spread.join(listed, [*keys, "gram"]).select(*keys, "at", "pattern")
+    return met.join(texts.select(*keys, "at", "text"), [*keys, "at"]).filter(F.col("text").contains(F.col("pattern"))).select(*keys, "at", "pattern")
+
+
+def sold_out_in_text(messages: DataFrame, requests: DataFrame, ord: str = "ord") -> DataFrame:
+    """(batch, ord, productId, found) of the requested products that messages report as sold out.
+
+    ``messages`` has batch, ord, html, text and ``unchecked``, the ids whose boxes are no longer
+    checked. A message names a product whose id stands in its html ("id") or whose name, compared
+    without brackets and spaces, in its text ("name"). Where it names none and exactly one
+    requested id is unchecked that no earlier message of the batch has, it is that ("unchecked").
+    Without ``ord`` or ``unchecked`` messages stand for themselves, and nothing is told from boxes.
     """
-    plain = messages.select("batch", "html", comparable_name(F.col("text")).alias("text"))
-    wanted = requests.select("batch", "productId", comparable_name(F.col("productName")).alias("pname"))
-    hit = F.col("html").contains(F.col("productId")) | ((F.col("pname") != "") & F.col("text").contains(F.col("pname")))
-    return plain.join(wanted, "batch").filter(hit).select("batch", "productId").distinct()
+    if ord not in messages.columns:
+        messages = frozen(messages.withColumn(ord, F.monotonically_increasing_id()), "messages")
+    if "unchecked" not in messages.columns:
+        messages = messages.withColumn("unchecked", F.array().cast("array<string>"))
+    wanted = requests.select("batch", F.col("productId").cast("string").alias("productId"), comparable_name(F.col("productName")).alias("name")).distinct()
+    ids = contained(messages.select("batch", F.col(ord).alias("at"), F.col("html").alias("text")), wanted.select("batch", F.col("productId").alias("pattern")), ["batch"])
+    names = contained(messages.select("batch", F.col(ord).alias("at"), comparable_name(F.col("text")).alias("text")), wanted.select("batch", F.col("name").alias("pattern")), ["batch"])
+    by_id = ids.select("batch", "at", F.col("pattern").alias("productId"), F.lit("id").alias("found"))
+    by_name = names.withColumnRenamed("pattern", "name").join(wanted, ["batch", "name"]).select("batch", "at", "productId", F.lit("name").alias("found"))
+    named = frozen(by_id.unionByName(by_name).groupBy("batch", "at", "productId").agg(F.min("found").alias("found")), "named")
+    gone = messages.select("batch", F.col(ord).alias("at"), F.explode("unchecked").alias("productId")).join(wanted.select("batch", "productId").distinct(), ["batch", "productId"], "left_semi")
+    new = gone.groupBy("batch", "productId").agg(F.min("at").alias("at"))
+    single = new.groupBy("batch", "at").agg(F.count("*").alias("n"), F.min("productId").alias("productId")).filter("n = 1")
+    alone = single.join(named, ["batch", "at"], "left_anti").select("batch", "at", "productId", F.lit("unchecked").alias("found"))
+    return named.unionByName(alone).withColumnRenamed("at", ord)
+
+
+def sold_out_products(reports: DataFrame) -> DataFrame:
+    """(batch, productId) of the products that any message reports."""
+    return reports.select("batch", "productId").distinct()

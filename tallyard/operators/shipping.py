@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyard.functions.text import kst_day, year_start
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """``df``, written to the session's shared folder and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'tallyard')}"
-    path = f"{base.rstrip('/')}/shipping-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tallyard.sources.shared import frozen
 
 
 def records(documents: DataFrame, key: str = "doc", column: str = "json") -> DataFrame:
@@ -29,12 +18,12 @@ def records(documents: DataFrame, key: str = "doc", column: str = "json") -> Dat
     depth here; each level is stored. Documents that are no JSON give nothing.
     """
     v = F.try_parse_json(F.col(column))
-    level = _stored(documents.select(F.col(key).alias("doc"), v.alias("v")).filter("v is not null"))
+    level = frozen(documents.select(F.col(key).alias("doc"), v.alias("v")).filter("v is not null"), "shipping")
     found = []
     while not level.isEmpty():
         found.append(level.selectExpr("doc", "try_variant_get(v, '$.id', 'string') AS id", "try_variant_get(v, '$.mft_itemName', 'string') AS name"))
         inner = level.filter("schema_of_variant(v) LIKE 'OBJECT<%' OR schema_of_variant(v) LIKE 'ARRAY<%'")
-        level = _stored(inner.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("doc", "value").withColumnRenamed("value", "v"))
+        level = frozen(inner.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("doc", "value").withColumnRenamed("value", "v"), "shipping")
     rows = reduce(DataFrame.unionByName, found) if found else documents.select(F.col(key).alias("doc"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")).limit(0)
     return rows.filter("id is not null and name is not null").dropDuplicates(["doc", "id", "name"]).withColumnRenamed("doc", key)
 

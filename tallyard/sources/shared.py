@@ -5,21 +5,25 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where they go when a local session names no shared folder.
 LOCAL_DIR = "/tmp/checkpoints/tallyard"
 
 
-def frozen(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table: several readers see the same rows, and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir`` of the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         os.makedirs(LOCAL_DIR, exist_ok=True)
-        folder = f"file://{LOCAL_DIR}"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = f"file://{LOCAL_DIR}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def frozen(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table: several readers see the same rows, and a lost executor costs a re-read."""
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
