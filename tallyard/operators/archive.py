@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.schemas import DETAIL_FIELDS, GENERAL_FIELDS, OPTION, PRODUCT
 from tallyard.functions.text import has_items, has_text, round_half_up, squash
+from tallyard.sources import buckets
 
 NAMES = ("nameKo", "nameJa", "nameEn")
 #: Fields that only text may overwrite, for the source that reads lists.
@@ -180,3 +181,26 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(products: DataFrame, path: str, version: int) -> None:
     """A whole new version beside the old ones; readers take the newest that is complete."""
     products.select(*PRODUCT).write.mode("errorifexists").parquet(f"{path}/version={version:012d}")
+
+
+# --- buckets ----------------------------------------------------------------
+
+SCHEMA = ", ".join(f"`{f}` {k}" for f, (k, _) in PRODUCT.items())
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The archive that ``update_buckets`` keeps below ``path``; empty before the first update."""
+    return buckets.read(spark, path, SCHEMA)
+
+
+def update_buckets(
+    incoming: DataFrame, path: str, source: str, rate: float | None = None, convert_time: str | None = None, version: int | None = None, count: int = buckets.BUCKETS,
+) -> DataFrame | None:
+    """Merges ``incoming`` into the archive below ``path``: only buckets that hold a new or an updated product are written.
+
+    Returns the merge of the buckets that ``incoming`` touches, as ``merge`` does, or None if
+    ``version`` was applied before.
+    """
+    new = normalise(incoming).filter(has_text(F.col("id"))).withColumn("id", squash(F.col("id")))
+    changed = F.col("state").isin("new", "updated") | (F.lit(rate is not None) & (F.col("state") != "kept"))
+    return buckets.update(path, new, "id", lambda stored, own: merge(stored, own, source, rate, convert_time), SCHEMA, version, count, changed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyard.functions.text import squash
@@ -114,3 +114,66 @@ def first_conflict(rows: DataFrame, order: str = "ord") -> DataFrame:
     """Rows whose option text isn't the first of their id."""
     first = F.first_value("optionText").over(Window.partitionBy("productId", "optionId").orderBy(order))
     return rows.withColumn("first", first).filter("optionText <> first")
+
+
+# --- nested tables ----------------------------------------------------------
+
+
+def archive_items(archive: DataFrame) -> DataFrame:
+    """id, names and options (id, ko, ja, en) of archived products, as the translator reads them."""
+    texts = [squash(F.col(c)).alias(c) for c in ("id", "nameKo", "nameJa", "nameEn")]
+    option = lambda o: F.struct(squash(o["id"]).alias("id"), squash(o["nameKo"]).alias("ko"), squash(o["nameJa"]).alias("ja"), squash(o["nameEn"]).alias("en"))
+    return archive.select(*texts, F.transform(F.coalesce("options", F.array()), option).alias("options"))
+
+
+def nested(products: DataFrame, options: DataFrame, order: str = "ord") -> DataFrame:
+    """``products`` with their options (id, ko) as an array in order."""
+    listed = options.groupBy("productId").agg(F.array_sort(F.collect_list(F.struct(order, F.col("optionId").alias("id"), "ko"))).alias("o"))
+    joined = products.join(listed, "productId", "left")
+    return joined.select(*products.columns, F.coalesce(F.transform("o", lambda o: F.struct(o["id"].alias("id"), o["ko"].alias("ko"))), F.array().cast("array<struct<id:string,ko:string>>")).alias("options"))
+
+
+def _last(options: Column, option_id: Column) -> Column:
+    """The last of ``options`` with an id, or null."""
+    same = F.filter(options, lambda o: o["id"] == option_id)
+    return F.get(same, F.size(same) - 1)
+
+
+def with_archive_options(products: DataFrame, items: DataFrame, mode: str) -> DataFrame:
+    """In detail mode, products with the options that only the archive has after their own, and its name where they have none.
+
+    ``products`` has productId, nameKo and options (id, ko); ``items`` is what ``archive_items`` gives. Options
+    without id or text are left out, and the first of an id counts.
+    """
+    if mode != "detail":
+        return products
+    stored = items.select(F.col("id").alias("productId"), F.col("nameKo").alias("stored_name"), F.transform("options", lambda o: F.struct(o["id"].alias("id"), o["ko"].alias("ko"))).alias("stored_options"))
+    joined = products.join(stored, "productId", "left")
+    filled = F.filter(F.coalesce("stored_options", F.array().cast("array<struct<id:string,ko:string>>")), lambda o: (o["id"] != "") & (o["ko"] != ""))
+    known = F.transform("options", lambda o: o["id"])
+    fresh = F.filter(filled, lambda o: ~F.coalesce(F.array_contains(known, o["id"]), F.lit(False)))
+    first = F.filter(fresh, lambda o, i: F.array_position(F.transform(fresh, lambda x: x["id"]), o["id"]) == i + 1)
+    kept = [c for c in products.columns if c not in ("nameKo", "options")]
+    name = F.coalesce(F.nullif(squash(F.col("nameKo")), F.lit("")), F.col("stored_name"), F.lit(""))
+    return joined.select(*kept, name.alias("nameKo"), F.concat("options", first).alias("options"))
+
+
+def nested_tasks(products: DataFrame, items: DataFrame, mode: str) -> DataFrame:
+    """One row per product with anything to translate; its missing options (id, ko, flags) in the order of its own."""
+    name_ja, name_en, option_ja, option_en = REQUIREMENTS[mode]
+    stored = items.select(F.col("id").alias("productId"), F.col("nameKo").alias("s_ko"), F.col("nameJa").alias("s_ja"), F.col("nameEn").alias("s_en"), F.col("options").alias("s_options"))
+    joined = products.join(stored, "productId", "left")
+    lacks = lambda needed, same, text: F.lit(needed) & (~F.coalesce(same, F.lit(False)) | (F.coalesce(text, F.lit("")) == ""))
+    same = F.col("s_ko") == F.col("nameKo")
+    ja, en = lacks(name_ja, same, F.col("s_ja")), lacks(name_en, same, F.col("s_en"))
+
+    def judged(o: Column) -> Column:
+        own = _last(F.col("s_options"), o["id"])
+        known = own["ko"] == o["ko"]
+        return F.struct(o["id"].alias("id"), o["ko"].alias("ko"), lacks(option_ja, known, own["ja"]).alias("translateJa"), lacks(option_en, known, own["en"]).alias("translateEn"))
+
+    missing = F.filter(F.transform("options", judged), lambda o: o["translateJa"] | o["translateEn"])
+    rest = [c for c in products.columns if c not in ("productId", "nameKo", "options")]
+    flagged = joined.select(F.col("productId").alias("key"), *rest, "nameKo", ja.alias("translateNameJa"), en.alias("translateNameEn"), missing.alias("options"))
+    need = F.col("translateNameJa") | F.col("translateNameEn")
+    return flagged.filter(need | (F.size("options") > 0)).withColumn("nameKo", F.when(need, F.col("nameKo")).otherwise(""))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.operators import archive, responses, translation
+from tallyard.plans import catalogue
 from tallyard.plans.catalogue import query, read
 from tallyard.sources import json_arrays
 from tallyard.sources.shared import folder
+from tallyard.streaming import progress
 
 
 def _written(documents: DataFrame) -> str:
@@ -45,3 +48,107 @@ def inventory_documents(spark, sf_dir):
 def document_records(spark, sf_dir):
     found = json_arrays.records(spark, _lists(spark, sf_dir))
     return found.groupBy(F.col("key").isNotNull().alias("keyed")).agg(F.count("*").alias("records"), F.count_distinct("key").alias("keys"))
+
+
+# --- tables that are updated ------------------------------------------------
+
+
+@query("archive_buckets", f"SELECT id, nameKo, nameJa, nameEn, originalPrice, stockQuantity, stockStatus FROM ({catalogue._GENERAL_SQL})")
+def archive_buckets(spark, sf_dir):
+    path = folder(spark, "archive")
+    stored = catalogue._stored(spark, sf_dir)
+    # the first update takes stored products as they are: a detail run fills what a general one leaves
+    archive.update_buckets(stored.withColumn("inventoryObserved", F.lit(True)), path, "general", count=16)
+    archive.update_buckets(stored, path, "detail")
+    archive.update_buckets(catalogue._incoming(spark, sf_dir), path, "general")
+    return archive.read_buckets(spark, path).select("id", "nameKo", "nameJa", "nameEn", "originalPrice", "stockQuantity", "stockStatus")
+
+
+@query("progress_stream", catalogue.ORACLE_SQL["progress_state"])
+def progress_stream(spark, sf_dir):
+    path = folder(spark, "progress")
+    progress.upsert_stream(spark, sf_dir, f"{path}/table", f"{path}/state", "events*.parquet").awaitTermination()
+    return progress.upserted(spark, f"{path}/table").select("user_id", *progress.FIELDS, "updatedAt", "patches")
+
+
+# --- translation ------------------------------------------------------------
+
+
+def _nested(spark, sf_dir):
+    """Archived products with nested options, and products of lines with their own options, some without a name."""
+    part = read(spark, sf_dir, "part")
+    n = F.col("p_size")
+    option = lambda i, ko, ja: F.struct(i.cast("string").alias("id"), ko.alias("nameKo"), ja.alias("nameJa"), F.lit("").alias("nameEn"))
+    options = F.transform(F.sequence(F.lit(1), n % 7 + 1), lambda i: option(F.when(i == 6, F.lit(2)).otherwise(i), F.when(i == 5, F.lit(" ")).otherwise(F.concat(F.lit("o "), i.cast("string"))), F.when(i % 2 == 0, F.lit("ja")).otherwise("")))
+    stored = part.filter("p_size % 5 <> 0").select(
+        F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit(" "), "p_name").alias("nameKo"), F.when(n % 3 == 0, "").otherwise("ja").alias("nameJa"), F.lit("en").alias("nameEn"), options.alias("options"),
+    )
+    own = F.filter(F.transform(F.array(F.lit(9), F.lit(2), F.lit(3)), lambda i: F.struct(i.cast("string").alias("id"), F.when((i == 3) & (n % 2 == 0), F.lit("other")).otherwise(F.concat(F.lit("o "), i.cast("string"))).alias("ko"))), lambda o: (o["id"] != "9") | (n % 4 == 0))
+    products = part.select(F.col("p_partkey").cast("string").alias("productId"), F.when(n % 11 == 0, "").otherwise(F.col("p_name")).alias("nameKo"), own.alias("options"))
+    return products, translation.archive_items(stored)
+
+
+_NESTED_SQL = """p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS n, p_name, p_size % 5 <> 0 AS known, CASE WHEN p_size % 11 <> 0 THEN p_name WHEN p_size % 5 <> 0 THEN p_name ELSE '' END AS nameKo FROM part),
+  a AS (SELECT id, CASE WHEN i = 6 THEN 2 ELSE i END AS oid, i, CASE WHEN i = 5 THEN '' ELSE 'o ' || i END AS ko, CASE WHEN i % 2 = 0 THEN 'ja' ELSE '' END AS ja FROM p, unnest(range(1, n % 7 + 2)) AS t(i) WHERE known),
+  own AS (SELECT id, o AS oid, place, CASE WHEN o = 3 AND n % 2 = 0 THEN 'other' ELSE 'o ' || o END AS ko FROM p, (VALUES (9, 1), (2, 2), (3, 3)) AS t(o, place) WHERE o <> 9 OR n % 4 = 0),
+  extra AS (SELECT id, oid, 10 + min(i) AS place, arg_min(ko, i) AS ko FROM a WHERE ko <> '' AND (id, oid) NOT IN (SELECT (id, oid) FROM own) GROUP BY id, oid),
+  o AS (SELECT * FROM own UNION ALL SELECT * FROM extra),
+  l AS (SELECT id, oid, arg_max(ko, i) AS ko, arg_max(ja, i) AS ja FROM a GROUP BY id, oid)"""
+
+
+@query("translation_supplement", f"WITH {_NESTED_SQL} SELECT p.id AS productId, nameKo, string_agg(oid || '=' || ko, ',' ORDER BY place) AS options FROM p JOIN o USING (id) GROUP BY ALL")
+def translation_supplement(spark, sf_dir):
+    found = translation.with_archive_options(*_nested(spark, sf_dir), "detail")
+    return found.select("productId", "nameKo", F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["id"], o["ko"])), ",").alias("options"))
+
+
+@query("translation_tasks_detail", f"""WITH {_NESTED_SQL}, t AS (SELECT o.id, string_agg(o.oid || '=' || o.ko, ',' ORDER BY place) AS options FROM o LEFT JOIN l ON l.id = o.id AND l.oid = o.oid WHERE l.ko IS NULL OR l.ko <> o.ko OR l.ja = '' GROUP BY o.id)
+  SELECT id AS key, CASE WHEN j OR e THEN nameKo ELSE '' END AS nameKo, j AS translateNameJa, e AS translateNameEn, coalesce(options, '') AS options
+  FROM (SELECT id, nameKo, NOT known OR n % 3 = 0 AS j, NOT known AS e, options FROM p LEFT JOIN t USING (id)) WHERE j OR e OR options IS NOT NULL""")
+def translation_tasks_detail(spark, sf_dir):
+    products, items = _nested(spark, sf_dir)
+    found = translation.nested_tasks(translation.with_archive_options(products, items, "detail"), items, "detail")
+    return found.select("key", "nameKo", "translateNameJa", "translateNameEn", F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["id"], o["ko"])), ",").alias("options"))
+
+
+def _responses(spark, sf_dir):
+    """Tasks of parts in batches of a hundred, and responses; in every third batch some of them are wrong."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    ids = F.sequence(F.lit(1), n % 3 + 2)
+    part = read(spark, sf_dir, "part").withColumn("batch", F.floor(k / 100))
+    sent = part.select("batch", k.cast("string").alias("key"), F.lit(True).alias("translateNameJa"), (n % 2 == 0).alias("translateNameEn"), F.transform(ids, lambda i: F.struct(i.cast("string").alias("id"), (i != 1).alias("translateJa"), F.lit(False).alias("translateEn"))).alias("options"))
+    kind = F.when(F.col("batch") % 3 == 1, n % 12).otherwise(99)
+    text = lambda i: F.struct(i.cast("string").alias("id"), F.when((i == 1) | ((kind == 7) & (i == 2)), F.lit(" ")).otherwise("ja").alias("ja"), F.lit("").alias("en"))
+    options = F.transform(ids, text)
+    wrong = F.when(kind == 3, F.concat(options, F.slice(options, 1, 1))).when(kind == 4, F.slice(options, 2, 9)).when(kind == 5, F.concat(F.slice(options, 2, 9), F.transform(F.array(F.lit(77)), text))).otherwise(options)
+    key = F.when(kind == 2, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
+    received = part.withColumn("times", F.when(kind == 0, 0).when(kind == 1, 2).otherwise(1)).withColumn("time", F.explode(F.sequence(F.lit(0), F.col("times")))).filter("time > 0")
+    return sent, received.select("batch", key.alias("key"), F.when(kind == 6, F.lit(" ")).otherwise("ja").alias("nameJa"), F.when((kind == 8) | (n % 2 == 1), "").otherwise("en").alias("nameEn"), wrong.alias("options"))
+
+
+_RESPONSES_SQL = """s AS (SELECT p_partkey // 100 AS batch, CAST(p_partkey AS VARCHAR) AS key, p_size AS n, CASE WHEN p_partkey // 100 % 3 = 1 THEN p_size % 12 ELSE 99 END AS kind FROM part),
+  c AS (SELECT batch, count(*) AS asked, sum(CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) AS got FROM s GROUP BY batch),
+  f AS (SELECT batch, NULL AS key, NULL AS optionId, 'other number of items' AS reason FROM c WHERE asked <> got
+    UNION ALL SELECT batch, key, NULL, CASE kind WHEN 1 THEN 'duplicate key' ELSE 'missing key' END FROM s WHERE kind IN (0, 1, 2) UNION ALL SELECT batch, 'x' || key, NULL, 'unknown key' FROM s WHERE kind = 2
+    UNION ALL SELECT batch, key, NULL, 'empty ja' FROM s WHERE kind = 6 UNION ALL SELECT batch, key, NULL, 'empty en' FROM s WHERE kind = 8 AND n % 2 = 0
+    UNION ALL SELECT batch, key, '1', CASE kind WHEN 3 THEN 'duplicate option id' ELSE 'missing option id' END FROM s WHERE kind IN (3, 4, 5)
+    UNION ALL SELECT batch, key, '77', 'unknown option id' FROM s WHERE kind = 5 UNION ALL SELECT batch, key, '2', 'empty option ja' FROM s WHERE kind = 7)"""
+
+
+@query("translation_responses", f"WITH {_RESPONSES_SQL} SELECT batch, key, optionId, reason FROM f")
+def translation_responses(spark, sf_dir):
+    return responses.problems(*_responses(spark, sf_dir))
+
+
+@query("translation_accepted", f"WITH {_RESPONSES_SQL} SELECT batch, count(*) AS items FROM s WHERE batch NOT IN (SELECT batch FROM f) GROUP BY batch")
+def translation_accepted(spark, sf_dir):
+    sent, received = _responses(spark, sf_dir)
+    return responses.accepted(received, responses.problems(sent, received)).groupBy("batch").agg(F.count("*").alias("items"))
+
+
+@query("translation_retries", f"""WITH {_RESPONSES_SQL} SELECT key, (row_number() OVER (ORDER BY CAST(key AS BIGINT)) - 1) // 100 AS batch, (row_number() OVER (ORDER BY CAST(key AS BIGINT)) - 1) // 1000 AS wave, 2 AS attempt, 1 AS wait
+  FROM s WHERE batch IN (SELECT batch FROM f)""")
+def translation_retries(spark, sf_dir):
+    sent, received = _responses(spark, sf_dir)
+    found = responses.problems(sent, received)
+    return responses.again(sent.withColumn("number", F.col("key").cast("bigint")), found, ["number"], 2).select("key", "batch", "wave", "attempt", "wait")
