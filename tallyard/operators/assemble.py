@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tallyard.functions import rules
 from tallyard.functions.schemas import OPTION, SPECS
@@ -153,6 +154,11 @@ def _detailed(details: DataFrame) -> DataFrame:
     )
 
 
+def _maps(kind: DataType) -> bool:
+    """Whether values of a type have no order, as they hold maps."""
+    return isinstance(kind, MapType) or any(_maps(x) for x in ([kind.elementType] if isinstance(kind, ArrayType) else [f.dataType for f in kind] if isinstance(kind, StructType) else []))
+
+
 def backend_products(
     products: DataFrame, inventory: DataFrame, details: DataFrame | None = None, translations: DataFrame | None = None, mode: str = "general",
     threshold: int = 10, order: str = "ord", translated_options: DataFrame | None = None,
@@ -160,13 +166,14 @@ def backend_products(
     """One row per product: of the details in detail mode, else of products and of inventory without product.
 
     Details give name, barcode, images and specs in either mode; category, brand and price in detail mode
-    only. A product that no list has is described by its first inventory row.
+    only. A product that no list has is described by its first inventory row. Details without ``order``
+    are taken in the order of all their columns.
     """
     detail = mode == "detail"
     listed = keep_first(products.filter("productId <> ''"), ["productId"], [order])
     rows = inventory.filter("productId <> ''")
     sums = stock(rows, order)
-    pages = None if details is None else keep_first(details.filter("productId <> ''"), ["productId"], [order] if order in details.columns else ["productId"])
+    pages = None if details is None else keep_first(details.filter("productId <> ''"), ["productId"], [order] if order in details.columns else sorted(c for c in details.columns if not _maps(details.schema[c].dataType)))
     if detail and pages is None:
         raise ValueError("detail mode needs a table of details")
     base = pages.select("productId") if detail else listed.select("productId").union(sums.select("productId")).distinct()
@@ -204,9 +211,10 @@ def backend_products(
     )
 
 
-def translation_input(inventory: DataFrame, products: DataFrame, detail: bool = False) -> DataFrame:
-    """Inventory rows with their products' names, and products without inventory."""
-    names = keep_first(products.select("productId", F.col("productName").alias("_name")), ["productId"], ["_name"])
+def translation_input(inventory: DataFrame, products: DataFrame, detail: bool = False, order: str = "ord") -> DataFrame:
+    """Inventory rows with their products' names, and products without inventory. The first row of a product names it."""
+    place = [order] if order in products.columns else ["_name"]
+    names = keep_first(products.select("productId", F.col("productName").alias("_name"), *[c for c in place if c == order]), ["productId"], place).select("productId", "_name")
     rows = inventory.join(names, "productId", "inner" if detail else "left").withColumn("productName", F.coalesce(F.nullif("_name", F.lit("")), "productName")).drop("_name")
     lacking = products.join(inventory.select("productId").distinct(), "productId", "left_anti")
     return rows.unionByName(lacking.select("productId", "productName"), allowMissingColumns=True)

@@ -44,18 +44,20 @@ def coverage(products: DataFrame, popup: DataFrame, inventory: DataFrame, unavai
     Rows count only if the popup selected any; a row mismatch is reported, not a failure.
     """
     expected = expected_products(products, unavailable)
-    key = row_key(F.col("productId"), F.col("optionId"), F.col("optionText"), F.col("hasOption"))
-    wanted = popup.filter("selectedForCart").join(expected, "productId", "left_semi").withColumn("key", key)
-    rows = inventory.join(expected, "productId", "left_semi").withColumn("key", key)
-    by_product = product_coverage(expected, rows).agg(
-        F.count("*").alias("expectedProductCount"), F.count_if("observed").alias("actualProductCount"), F.count_if(~F.col("observed")).alias("missingProductCount")
+    key = row_key(F.col("productId"), F.col("optionId"), F.col("optionText"), F.col("hasOption")).alias("key")
+    side = lambda df, e, a: df.select("productId", key, F.lit(e).alias("e"), F.lit(a).alias("a"))
+    both = side(popup.filter("selectedForCart"), 1, 0).unionByName(side(inventory, 0, 1))
+    # once by key, once by product; both counts are ready before the expected products meet them
+    by_key = both.groupBy("productId", "key").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    by_product = by_key.groupBy("productId").agg(
+        F.sum("e").alias("e"), F.sum("a").alias("a"), F.count_if(F.col("e") > F.col("a")).alias("m"), F.count_if(F.col("e") < F.col("a")).alias("x"),
+    )
+    joined = expected.join(by_product, "productId", "left").select("productId", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("e", "a", "m", "x")])
+    seen = F.col("a") > 0
+    one = joined.agg(
+        F.count("*").alias("expectedProductCount"), F.count_if(seen).alias("actualProductCount"), F.count_if(~seen).alias("missingProductCount"), F.coalesce(F.sum("a"), F.lit(0)).alias("actualRowCount"),
+        F.count_if(seen & (F.col("m") + F.col("x") > 0)).alias("p"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("e", "m", "x")],
     )
-    numbers = wanted.agg(F.count("*").alias("e")).crossJoin(rows.agg(F.count("*").alias("actualRowCount")))  # one row each
-    different = row_differences(wanted, rows).withColumn("productId", F.substring_index("key", "::", 1))
-    missing = product_coverage(expected, rows).filter("not observed").select("productId")
-    partial = different.join(missing, "productId", "left_anti").agg(F.count_distinct("productId").alias("p"))
-    sums = different.agg(F.count_if(F.col("missing") > 0).alias("m"), F.count_if(F.col("extra") > 0).alias("x"))
-    one = by_product.crossJoin(numbers).crossJoin(sums).crossJoin(partial)
     counted = F.col("e") > 0
     return one.select(
         "expectedProductCount", "actualProductCount", "missingProductCount", F.when(counted, F.col("e")).alias("expectedRowCount"), "actualRowCount",

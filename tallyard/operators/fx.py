@@ -52,6 +52,50 @@ def page_rates(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.withColumn("_r", F.explode(F.from_json("_json", entry)["rates"])).select(*[f.name for f in kept], "_r.*")
 
 
+def assigned(text: Column, name: str = "_data") -> Column:
+    """(json, error) of the object that a script assigns to ``name``: from its brace to the one that closes it.
+
+    Pairs of a backslash and a character are covered first, then strings can be skipped as a whole;
+    the text is cut after each brace and string, and the object is what it takes for the depth to be 0 again.
+    """
+    found = F.regexp_extract(text, rf"(?s)\b{name}\s*=\s*(.*)$", 1)
+    begin = F.locate("{", found)
+    rest = F.when(begin > 0, F.substring(found, begin, F.length(found))).otherwise("")
+    covered = F.regexp_replace(rest, r"(?s)\\.", "__")
+    cuts = F.regexp_extract_all(covered, F.lit(r'[^"{}]*+(?:"[^"]*+"?|[{}])'), F.lit(0))
+    step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("ends"))
+
+    def take(state: Column, cut: Column) -> Column:
+        last = F.right(cut, F.lit(1))
+        depth = state["depth"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
+        return F.when(state["ends"], state).otherwise(F.struct(depth.alias("depth"), (state["length"] + F.length(cut)).alias("length"), ((depth == 0) & (last == "}")).alias("ends")))
+
+    end = F.aggregate(cuts, step, take)
+    error = F.when(~text.rlike(rf"\b{name}\s*="), "no assignment").when(begin == 0, "no object").when(~end["ends"], "incomplete")
+    return F.struct(F.when(error.isNull(), F.substring(rest, F.lit(1), end["length"])).alias("json"), F.when(text.isNull(), "no assignment").otherwise(error).alias("error"))
+
+
+def script_rates(pages: DataFrame, html: str = "html", currency: str = CURRENCY) -> DataFrame:
+    """The other columns of ``pages``, currency, unit, cashBuy, day and error of the rate that its script lists for ``currency``.
+
+    Numbers may be texts with commas. ``derive`` judges unit and rate.
+    """
+    kept = [c for c in pages.columns if c != html]
+    found = pages.select(*kept, assigned(F.col(html)).alias("a")).select(*kept, "a.error", F.try_parse_json("a.json").alias("v"))
+    rates = F.coalesce(F.try_variant_get("v", "$.REC_FXD", "array<variant>"), F.array().cast("array<variant>"))
+    own = F.get(F.filter(rates, lambda r: F.try_variant_get(r, "$.CURR_CODE", "string") == currency), F.lit(0))
+    number = lambda name: F.replace(F.try_variant_get("r", f"$.{name}", "string"), F.lit(","), F.lit("")).try_cast("double")
+    rows = found.select(*kept, "error", "v", own.alias("r"))
+    error = F.coalesce("error", F.when(F.col("v").isNull(), "no JSON").when(F.col("r").isNull(), "no rate"))
+    return rows.select(*kept, F.try_variant_get("r", "$.CURR_CODE", "string").alias("currency"), number("UNIT_PRICE").alias("unit"), number("CASH_BUY").alias("cashBuy"), F.trim(F.try_variant_get("r", "$.EXCHANGE_DATE", "string")).alias("day"), error.alias("error"))
+
+
+def derived_rates(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``script_rates`` with rate and revRate, and the first thing that is wrong."""
+    found = script_rates(pages, html).withColumnRenamed("error", "reading")
+    return derive(found).withColumn("error", F.coalesce("reading", "error")).drop("reading")
+
+
 def derive(rates: DataFrame) -> DataFrame:
     """Adds rate (units of yen for a won, 5 places), revRate (2 places) and error."""
     error = F.when((F.col("currency") != CURRENCY) | F.col("currency").isNull(), "other currency").when(F.col("unit") != UNIT, "unit").when(

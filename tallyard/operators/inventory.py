@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import rules
 from tallyard.functions.text import first_text, squash
-from tallyard.operators.dedupe import keep_first
+from tallyard.operators.dedupe import keep_first, running_total
 
 
 def with_status(rows: DataFrame, threshold: int) -> DataFrame:
@@ -116,3 +116,8 @@ def mark_unavailable(products: DataFrame, ids: DataFrame) -> DataFrame:
 def in_order(df: DataFrame, rank: str = "rank", names: tuple[str, ...] = ("categoryHint", "brandHint", "productName", "optionText"), locale: str = "ko") -> list[Column]:
     """Sort columns: names by locale, then ids by number and text."""
     return [F.collate(F.coalesce(F.col(c), F.lit("")), locale) for c in names] + [F.col("productId").try_cast("bigint").asc_nulls_last(), F.col("productId")]
+
+
+def ranked(df: DataFrame, name: str = "rank", locale: str = "ko") -> DataFrame:
+    """``df`` with each row's place in the order of ``in_order``: rows go to ranges of collation keys, and are numbered there."""
+    return running_total(df, [], in_order(df, locale=locale), F.lit(1).cast("long"), name)

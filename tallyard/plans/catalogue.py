@@ -237,6 +237,31 @@ def unique_names(spark, sf_dir):
     return dedupe.suffixed(read(spark, sf_dir, "part"), ["p_brand"], "p_name", ["p_partkey"], "name").select("p_partkey", "name")
 
 
+_NAMES_SQL = """r AS (SELECT l_suppkey AS g, l_orderkey, l_linenumber, 'n' || l_partkey % 5 || CASE WHEN l_linenumber >= 3 THEN '_' || (l_linenumber - 1) ELSE '' END || CASE WHEN l_linenumber = 6 THEN '_2' ELSE '' END AS nm FROM lineitem),
+  k AS (SELECT *, row_number() OVER (PARTITION BY g, nm ORDER BY l_orderkey, l_linenumber) AS m FROM r),
+  b AS (SELECT DISTINCT g, regexp_extract(nm, '^(.*)_([1-9][0-9]*)$', 1) AS base, CAST(regexp_extract(nm, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT) AS num FROM r WHERE regexp_matches(nm, '^.*_([1-9][0-9]*)$')),
+  t AS (SELECT g, base, num - row_number() OVER (PARTITION BY g, base ORDER BY num) + 1 AS t FROM b WHERE num > 1),
+  u AS (SELECT k.*, nm || CASE WHEN m > 1 THEN '_' || (m + (SELECT count(*) FROM t WHERE t.g = k.g AND t.base = k.nm AND t.t <= m)) ELSE '' END AS name FROM k)"""
+
+
+def _named(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    name = F.concat(F.lit("n"), (F.col("l_partkey") % 5).cast("string"), F.when(n >= 3, F.concat(F.lit("_"), (n - 1).cast("string"))).otherwise(""), F.when(n == 6, "_2").otherwise(""))
+    return line.select(F.col("l_suppkey").alias("g"), "l_orderkey", "l_linenumber", name.alias("nm"))
+
+
+@query("free_names", f"WITH {_NAMES_SQL} SELECT g, l_orderkey, l_linenumber, name FROM u")
+def free_names(spark, sf_dir):
+    return dedupe.suffixed(_named(spark, sf_dir), ["g"], "nm", ["l_orderkey", "l_linenumber"], "name").select("g", "l_orderkey", "l_linenumber", "name")
+
+
+@query("options_by_name", f"WITH {_NAMES_SQL} SELECT g, string_agg(name || '=' || l_orderkey, ',' ORDER BY l_orderkey, l_linenumber, nm, m) AS entries FROM u GROUP BY g")
+def options_by_name(spark, sf_dir):
+    found = dedupe.by_name(_named(spark, sf_dir), ["g"], [F.col("nm")], ["l_orderkey", "l_linenumber", "nm"], F.col("l_orderkey"))
+    return found.select("g", F.array_join(F.transform(F.map_entries("entries"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("entries"))
+
+
 @query("requested_products", "SELECT CAST(p_partkey AS VARCHAR) AS productId FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def requested_products(spark, sf_dir):
     wanted = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("productId"))

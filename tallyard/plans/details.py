@@ -11,15 +11,15 @@ from tallyard.plans.inputs import inventory_sql, products
 
 
 def _details(spark, sf_dir):
-    """Detail rows of the parts that some size has a page for; every third has spec rows, a third a map, a third named fields."""
+    """Detail rows of all parts: every third has spec rows, a third a map, a third named fields; those of small size have none of them and no price."""
     i, n, z = F.col("p_partkey"), F.col("p_partkey").cast("string"), F.col("p_size")
     row = lambda label, value, at: F.struct(F.lit(label).alias("labelKo"), F.lit("").alias("labelJa"), value.alias("valueKo"), F.lit("").alias("valueJa"), F.lit(at).cast("int").alias("sortOrder"))
     rows = F.array(row("소재", F.col("p_type"), None), row("판매가", F.concat(z.cast("string"), F.lit(",500원")), None), row("무게", F.lit("  "), None), row("소재", F.lit("again"), 3), row("원산지", F.concat(F.lit("by "), "p_brand"), None))
-    return read(spark, sf_dir, "part").filter("p_size > 3").select(
+    return read(spark, sf_dir, "part").select(
         n.alias("productId"), F.concat(F.lit(" "), "p_name", F.lit("  page ")).alias("productName"), F.when(z % 2 == 0, F.lpad(n, 13, "8")).alias("barcode"),
         F.concat(F.lit("a > "), "p_type").alias("categoryDepth2"), F.when(z % 5 == 0, F.col("p_brand")).alias("brandHint"), F.when(z % 7 == 0, F.col("p_retailprice")).alias("salePrice"),
-        F.when(i % 3 == 0, rows).cast(SPECS).alias("specRows"), F.when(i % 3 == 1, F.create_map(F.lit("브랜드"), F.concat(F.lit("by "), "p_brand"), F.lit("인증"), F.lit("ok"))).alias("rawDetailSpec"),
-        F.when(z % 2 == 1, F.col("p_type")).alias("material"), F.lit("9g").alias("weight"), F.when(z % 11 == 0, "mall-a").otherwise("mall-b").alias("sourceMall"),
+        F.when((z > 3) & (i % 3 == 0), rows).cast(SPECS).alias("specRows"), F.when((z > 3) & (i % 3 == 1), F.create_map(F.lit("브랜드"), F.concat(F.lit("by "), "p_brand"), F.lit("인증"), F.lit("ok"))).alias("rawDetailSpec"),
+        F.when((z > 3) & (z % 2 == 1), F.col("p_type")).alias("material"), F.when(z > 3, F.lit("9g")).alias("weight"), F.when(z % 11 == 0, "mall-a").otherwise("mall-b").alias("sourceMall"),
         F.array(F.concat(F.lit("m"), n), F.concat(F.lit("/THUMB/"), n)).alias("mainImageUrls"), F.array(F.concat(F.lit("i"), n), F.concat(F.lit(" m"), n)).alias("introImageUrls"),
     )
 
@@ -40,14 +40,14 @@ _OPTIONS_SQL = """opt AS (SELECT productId, optionId AS raw, CASE WHEN optionId
   price AS (SELECT productId, arg_min(onePrice, ord) AS one FROM inv WHERE onePrice > 0 GROUP BY productId),
   kind AS (SELECT productId, bool_or(hasOption) AS several, arg_min(maxStock, ord) AS single FROM inv GROUP BY productId)
   SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN several THEN 'OPTION' ELSE 'SINGLE' END AS type, CASE WHEN p_size % 2 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '8') END AS barcode, trim(p_name) || ' page' AS nameKo, p_type AS categoryId,
-    CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN 'by ' || p_brand ELSE '' END AS brandId,
-    CAST(CASE WHEN p_size % 7 = 0 THEN p_retailprice WHEN p_partkey % 3 = 0 THEN p_size * 1000 + 500 WHEN one IS NOT NULL THEN one ELSE round(p_retailprice * 10) END AS DECIMAL(18,4)) AS originalPrice,
+    CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_size > 3 AND p_partkey % 3 = 1 THEN 'by ' || p_brand ELSE '' END AS brandId,
+    CAST(CASE WHEN p_size % 7 = 0 THEN p_retailprice WHEN p_size > 3 AND p_partkey % 3 = 0 THEN p_size * 1000 + 500 WHEN one IS NOT NULL THEN one ELSE round(p_retailprice * 10) END AS DECIMAL(18,4)) AS originalPrice,
     CASE WHEN several THEN total ELSE single END AS stockQuantity, 'm' || p_partkey || ',i' || p_partkey AS images, 'm' || p_partkey AS thumbnailUrl,
     CASE WHEN several THEN CASE WHEN p_size <= 5 THEN regexp_replace(options, ':ON_SALE', ':SOLD_OUT', 'g') ELSE options END ELSE '' END AS options,
-    CASE WHEN p_size % 11 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN '소재=' || p_type || '@0,원산지=' || 'by ' || p_brand || '@10' WHEN p_partkey % 3 = 1 THEN '인증=ok@0'
+    CASE WHEN p_size % 11 = 0 OR p_size <= 3 THEN '' WHEN p_partkey % 3 = 0 THEN '소재=' || p_type || '@0,원산지=' || 'by ' || p_brand || '@10' WHEN p_partkey % 3 = 1 THEN '인증=ok@0'
       WHEN p_size % 2 = 1 THEN '소재=' || p_type || '@0,무게=9g@10' ELSE '무게=9g@0' END AS specs,
     CASE WHEN p_size % 11 = 0 THEN concat_ws('/', CASE WHEN p_size % 2 = 1 THEN p_type END, '9g') END AS facts
-  FROM part LEFT JOIN kind ON kind.productId = CAST(p_partkey AS VARCHAR) LEFT JOIN opts USING (productId) LEFT JOIN price USING (productId) WHERE p_size > 3""")
+  FROM part LEFT JOIN kind ON kind.productId = CAST(p_partkey AS VARCHAR) LEFT JOIN opts USING (productId) LEFT JOIN price USING (productId)""")
 def detail_products(spark, sf_dir):
     rows = inventory_table(spark, sf_dir, shift=15).withColumn("productName", F.lit(""))
     made = assemble.backend_products(products(spark, sf_dir), rows, _details(spark, sf_dir), mode="detail", translated_options=_translated(spark, sf_dir))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyard.operators import archive, responses, translation
+from tallyard.operators import archive, exclusions, fx, inventory, responses, translation
 from tallyard.plans import catalogue
 from tallyard.plans.catalogue import query, read
-from tallyard.sources import json_arrays
+from tallyard.sources import json_arrays, sinks
 from tallyard.sources.shared import folder
 from tallyard.streaming import progress
 
@@ -152,3 +152,58 @@ def translation_retries(spark, sf_dir):
     sent, received = _responses(spark, sf_dir)
     found = responses.problems(sent, received)
     return responses.again(sent.withColumn("number", F.col("key").cast("bigint")), found, ["number"], 2).select("key", "batch", "wave", "attempt", "wait")
+
+
+# --- rates, errors, order, exports ------------------------------------------
+
+
+def _rate_pages(spark, sf_dir):
+    """Script pages of parts: braces, quotes and backslashes stand in strings; some have no object, an open one, or no rate."""
+    n = F.col("p_size")
+    entry = F.concat(F.lit('{"CURR_CODE":"JPY","UNIT_PRICE":"'), F.when(n % 5 == 1, "1").otherwise("100"), F.lit('","CASH_BUY":"1,'), F.lpad(n.cast("string"), 3, "0"), F.when(n % 5 == 2, "x").otherwise(".25"), F.lit('","EXCHANGE_DATE":" 2026.01.'), F.lpad(n.cast("string"), 2, "0"), F.lit(' "}'))
+    rates = F.concat(F.lit('[{"CURR_CODE":"USD","UNIT_PRICE":1}'), F.when(n % 7 != 0, F.concat(F.lit(","), entry)).otherwise(""), F.lit("]"))
+    text = F.concat(F.lit('{"note":"}{ \\" }} \\\\","deep":{"a":[{"b":"}"}]},"REC_FXD":'), rates, F.when(n % 11 == 0, "").otherwise("}"))
+    page = F.concat(F.lit('<script>var x_data = {"REC_FXD":1}; var other = "{";</script><script> _data  =  '), F.when(n % 13 == 0, "null;</script>").otherwise(F.concat(text, F.lit("; _data = {};</script>"))))
+    return read(spark, sf_dir, "part").select("p_partkey", F.when(n % 17 == 0, "<p>_date = {}</p>").otherwise(page).alias("html"))
+
+
+@query("script_rates", """SELECT p_partkey, CASE WHEN reading IS NULL AND p_size % 5 NOT IN (1, 2) THEN CAST(floor(10000000.0 / (1000 + p_size + 0.25) + 0.5) / 100000.0 AS DECIMAL(12,5)) END AS rate,
+    CASE WHEN reading IS NULL THEN '2026.01.' || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS day, coalesce(reading, CASE p_size % 5 WHEN 1 THEN 'unit' WHEN 2 THEN 'rate' END) AS error
+  FROM (SELECT *, CASE WHEN p_size % 17 = 0 THEN 'no assignment' WHEN p_size % 13 = 0 THEN 'no object' WHEN p_size % 11 = 0 THEN 'incomplete' WHEN p_size % 7 = 0 THEN 'no rate' END AS reading FROM part)""")
+def script_rates(spark, sf_dir):
+    return fx.derived_rates(_rate_pages(spark, sf_dir)).select("p_partkey", "rate", "day", "error")
+
+
+_MESSAGES = (("socket hang up ECONNRESET", "retryable"), ("HTTP 403 Forbidden", "blocking"), ("AbortError: stopped by user", "aborted"), ("no such element", "other"))
+
+
+@query("error_classes", f"SELECT event_type, list_value({', '.join(repr(c) for _, c in _MESSAGES)})[event_id % {len(_MESSAGES)} + 1] AS class, count(*) AS n FROM events GROUP BY ALL")
+def error_classes(spark, sf_dir):
+    """Classes of messages; events have one of each class in turn."""
+    events = read(spark, sf_dir, "events").select("event_type", F.get(F.array(*[F.lit(m) for m, _ in _MESSAGES]), F.col("event_id") % len(_MESSAGES)).alias("message"))
+    return events.groupBy("event_type", exclusions.error_class(F.col("message")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_NAMES = ("가나", "각", "ABC", "abc", "漢", "10", "2", "é", "z", "-", "[가] 나", "")
+
+
+@query("locale_order", f"""SELECT productId, row_number() OVER (ORDER BY coalesce(c, '') COLLATE ko, coalesce(b, '') COLLATE ko, coalesce(n, '') COLLATE ko, try_cast(productId AS BIGINT) NULLS LAST, productId) AS rank
+  FROM (SELECT CASE WHEN p_size % 9 = 0 THEN 'x' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS productId, CASE WHEN p_size % 12 <> 11 THEN list_value({", ".join(f"'{n}'" for n in _NAMES)})[p_size % 12 + 1] END AS c, [{", ".join(f"'{n}'" for n in _NAMES[::-1])}][p_partkey % 7 + 1] AS b, p_name || p_brand AS n FROM part)""")
+def locale_order(spark, sf_dir):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i)
+    rows = read(spark, sf_dir, "part").select(
+        F.when(n % 9 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("productId"), F.when(n % 12 != 11, pick(_NAMES, n % 12)).alias("categoryHint"),
+        pick(_NAMES[::-1], (k % 7).cast("int")).alias("brandHint"), F.concat("p_name", "p_brand").alias("productName"), F.lit(None).cast("string").alias("optionText"),
+    )
+    return inventory.ranked(rows).select("productId", "rank")
+
+
+@query("pretty_documents", r"""SELECT '{' || chr(10) || '  "id": ' || p_partkey || ',' || chr(10) || '  "name": "' || p_name || ' \"q\" \\",' || chr(10) || '  "price": ' || CASE WHEN p_size % 3 = 0 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || ',' || chr(10) || '  "tags": '
+    || CASE WHEN p_size % 2 = 0 THEN '[]' ELSE '[' || chr(10) || '    {' || chr(10) || '      "k": "' || p_brand || '",' || chr(10) || '      "on": true' || chr(10) || '    },' || chr(10) || '    null' || chr(10) || '  ]' END || chr(10) || '}' AS json FROM part""")
+def pretty_documents(spark, sf_dir):
+    n = F.col("p_size")
+    tag = F.struct(F.col("p_brand").alias("k"), F.lit(True).alias("on"))
+    return sinks.pretty_json(read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(' "q" \\')).alias("name"), F.when(n % 3 != 0, n).alias("price"), F.when(n % 2 == 0, F.array().cast("array<struct<k:string,on:boolean>>")).otherwise(F.array(tag, F.lit(None))).alias("tags"),
+    ))

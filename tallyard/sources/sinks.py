@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
@@ -59,6 +61,26 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def pretty(c: Column, kind: DataType, depth: int = 0) -> Column:
+    """A value as JSON text, two spaces for each level, a field or an element to a line; nulls are kept."""
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), pretty(c[f.name], f.dataType, depth + 1)) for f in kind]
+        text = F.concat(F.lit("{" + inner), F.concat_ws("," + inner, *fields), F.lit(outer + "}")) if fields else F.lit("{}")
+    elif isinstance(kind, ArrayType):
+        items = F.array_join(F.transform(c, lambda x: pretty(x, kind.elementType, depth + 1)), "," + inner)
+        text = F.when(F.size(c) == 0, "[]").otherwise(F.concat(F.lit("[" + inner), items, F.lit(outer + "]")))
+    else:
+        own = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        text = F.substring(own, F.lit(6), F.length(own) - 6)
+    return F.when(c.isNull(), "null").otherwise(text)
+
+
+def pretty_json(df: DataFrame) -> DataFrame:
+    """One column ``json``: each row as an indented object."""
+    return df.select(pretty(F.struct("*"), df.schema).alias("json"))
+
+
 def write_run(tables: dict[str, DataFrame], folder: str, mall: str, run_id: str) -> None:
     """A run's tables below ``folder``/mall/run/table."""
     for name, df in tables.items():

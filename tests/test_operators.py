@@ -168,3 +168,57 @@ def test_settings(spark):
     assert rows(found, "mall", "category", "settingsError") == [("mall-a", "4", "unknown collection mode"), ("nowhere", None, "unknown mall")]
     assert rows(settings.resolve(asked), "pageEnd", "settingsError") == [(9, "unknown mall"), (1001, "too many pages")]
     assert "accountPw" not in settings.shown(found.withColumn("accountPw", F.lit("x"))).columns
+
+
+def plain_names(rows):
+    """The rule of ``suffixed`` in plain Python: first rows keep their names, others take free numbers."""
+    taken = {(g, n) for g, n, _ in rows}
+    seen, out = {}, {}
+    for g, n, at in sorted(rows, key=lambda r: r[2]):
+        if (g, n) not in seen:
+            seen[g, n] = 1
+            out[at] = n
+            continue
+        k = seen[g, n] + 1
+        while (g, f"{n}_{k}") in taken:
+            k += 1
+        seen[g, n] = k
+        out[at] = f"{n}_{k}"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_without_clash(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    names = ["x", "x_2", "x_2_2", "x_3", "x_5", "y", "", "_2", "x_02", "x_1", "a_b_2", "a_b"]
+    data = [(draw.choice(["g", "h", None]), draw.choice(names), i) for i in range(300)]
+    df = spark.createDataFrame(data, "rank string, base string, number int").repartition(4)
+    got = {r.number: r.name for r in dedupe.suffixed(df, ["rank"], "base", ["number"], "name").collect()}
+    assert got == plain_names(data)
+    assert len({(g, got[i]) for g, _, i in data}) == 300
+
+
+def test_names_of_clashing_columns(spark):
+    df = spark.createDataFrame([("g", "x", 1, "a", 5), ("g", "x", 2, "b", 6), ("g", "x_2", 3, "c", 7)], "g string, n string, at int, _rank string, part int")
+    assert rows(dedupe.suffixed(df, ["g"], "n", ["at"], "out"), "at", "out", "_rank", "part") == [(1, "x", "a", 5), (2, "x_3", "b", 6), (3, "x_2", "c", 7)]
+    assert rows(dedupe.numbered(df, ["at"]), "ord", "_rank", "part") == [(1, "a", 5), (2, "b", 6), (3, "c", 7)]
+    assert rows(dedupe.first_n(df, ["g"], ["at"], 2), "at", "_rank") == [(1, "a"), (2, "b")]
+
+
+def test_running_totals_of_one_key(spark):
+    """A key with all rows, over many ranges."""
+    df = spark.range(2000).selectExpr("CAST(NULL AS STRING) AS k", "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(dedupe.running_total(df, ["k"], ["id"], F.col("id"), "sum"), "id", "sum")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(i, i * (i + 1) // 2) for i in range(2000)]
+
+
+def test_rows_by_unique_names(spark):
+    df = spark.createDataFrame([("p", "red", "1", 1), ("p", "red", "2", 2), ("p", "", "7", 3), ("p", " ", "8", 4), ("p", None, None, 5)], "p string, t string, id string, at int")
+    got = dedupe.by_name(df, ["p"], [F.col("t"), F.col("id")], ["at"], F.col("at")).first().entries
+    assert got == {"red": 1, "red_2": 2, "7": 3, "option_4": 4, "default": 5}
