@@ -66,7 +66,7 @@ def assigned(text: Column, name: str = "_data") -> Column:
     step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("ends"))
 
     def take(state: Column, cut: Column) -> Column:
-        last = F.right(cut, F.lit(1))
+        last = F.when(~cut.contains('"'), F.right(cut, F.lit(1))).otherwise("")  # a string that doesn't end may end in a brace
         depth = state["depth"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
         return F.when(state["ends"], state).otherwise(F.struct(depth.alias("depth"), (state["length"] + F.length(cut)).alias("length"), ((depth == 0) & (last == "}")).alias("ends")))
 
