@@ -226,3 +226,30 @@ def pick_by_words(entries: Column, words: list[str]) -> Column:
         return F.get(F.filter(entries, lambda e: e["key"].contains(word)), F.lit(0))
 
     return F.coalesce(*[first(w) for w in words])["value"]
+
+
+def strict_json(c: Column) -> Column:
+    """The value of a text that is JSON from end to end, else null.
+
+    The parser leaves out what follows a value; between brackets and ahead of a mark, nothing may.
+    """
+    around = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"end"]'))), "$", "array<variant>")
+    whole = (F.size(around) == 2) & (F.try_variant_get(F.get(around, F.lit(1)), "$", "string") == "end")
+    return F.when(whole, F.get(around, F.lit(0)))
+
+
+def parsed_object(c: Column) -> Column:
+    """Entries of a JSON object in a text, as texts of their values; empty for anything else."""
+    v = strict_json(c)
+    entries = F.try_variant_get(v, "$", "map<string,string>")
+    return F.coalesce(F.when(F.schema_of_variant(v).startswith("OBJECT"), entries), F.create_map().cast("map<string,string>"))
+
+
+def response_value(c: Column) -> Column:
+    """(json, text) of a response: its JSON where it is some, else the text; neither where it is empty."""
+    json = strict_json(c)
+    return F.struct(F.to_json(json).alias("json"), F.when(json.isNull(), F.nullif(c, F.lit(""))).alias("text"))
+
+
+def json_key(c: Column, fallback: str) -> Column:
+    return F.coalesce(F.nullif(strip(c.cast("string")), F.lit("")), F.lit(fallback))

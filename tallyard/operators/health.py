@@ -84,6 +84,18 @@ def page_range(mode: str, first: int, last: int, available: int | None, cap: int
     return first, min(max(end, first), first + cap - 1)
 
 
+def page_ranges(runs: DataFrame) -> DataFrame:
+    """``runs`` (pageStart, pageEnd, detectedLastPage) with mode, the last page to read, and an error where the first is beyond it.
+
+    An end of 0 reads to the last page detected ("auto"); an end beyond that is cut to it ("manual-capped").
+    """
+    known, asked = F.col("detectedLastPage") > 0, F.col("pageEnd")
+    mode = F.when(asked == 0, "auto").when(F.coalesce(known, F.lit(False)) & (asked > F.col("detectedLastPage")), "manual-capped").otherwise("manual")
+    found = runs.withColumn("mode", mode).withColumn("resolvedEnd", F.when(F.col("mode") == "manual", asked).otherwise(F.col("detectedLastPage")))
+    late = F.col("resolvedEnd").isNull() | (F.col("pageStart") > F.col("resolvedEnd"))
+    return found.withColumn("error", F.when(late, F.concat(F.lit("first page "), F.col("pageStart").cast("string"), F.lit(" is beyond the last, "), F.coalesce(F.col("resolvedEnd").cast("string"), F.lit("unknown")))))
+
+
 def catalog_info(pages: DataFrame, page_size: int, prefer_count: bool = True) -> DataFrame:
     """Adds lastPage from totalCount and linkedLast (either may be null); one page at least."""
     by_count = F.when(F.col("totalCount") > 0, F.ceil(F.col("totalCount") / page_size))

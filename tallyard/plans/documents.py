@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyard.operators import archive, exclusions, fx, inventory, responses, translation
+from tallyard.functions import text
+from tallyard.operators import archive, exclusions, fx, health, inventory, responses, translation
 from tallyard.plans import catalogue
 from tallyard.plans.catalogue import query, read
 from tallyard.sources import json_arrays, sinks
@@ -207,3 +208,32 @@ def pretty_documents(spark, sf_dir):
     return sinks.pretty_json(read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(' "q" \\')).alias("name"), F.when(n % 3 != 0, n).alias("price"), F.when(n % 2 == 0, F.array().cast("array<struct<k:string,on:boolean>>")).otherwise(F.array(tag, F.lit(None))).alias("tags"),
     ))
+
+
+# --- ranges, objects, run folders -------------------------------------------
+
+
+@query("page_ranges", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'auto' WHEN p_size % 5 <> 0 AND p_size > 20 THEN 'manual-capped' ELSE 'manual' END AS mode, e AS resolvedEnd,
+    CASE WHEN e IS NULL OR p_partkey % 9 + 1 > e THEN 'first page ' || p_partkey % 9 + 1 || ' is beyond the last, ' || coalesce(CAST(e AS VARCHAR), 'unknown') END AS error
+  FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 5 <> 0 THEN 20 END WHEN p_size % 5 <> 0 AND p_size > 20 THEN 20 ELSE p_size END AS e FROM part)""".replace("'first page ' || p_partkey % 9 + 1 ||", "'first page ' || (p_partkey % 9 + 1) ||"))
+def page_ranges(spark, sf_dir):
+    n = F.col("p_size")
+    runs = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 9 + 1).alias("pageStart"), F.when(n % 3 == 0, 0).otherwise(n).cast("int").alias("pageEnd"), F.when(n % 5 != 0, 20).alias("detectedLastPage"))
+    return health.page_ranges(runs).select("p_partkey", "mode", "resolvedEnd", "error")
+
+
+@query("parsed_objects", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 4 IN (0, 2) THEN NULL WHEN event_id % 4 = 1 THEN props || '}' ELSE 'not {json' END AS text, event_id % 4 IN (0, 2) AS isJson FROM events""")
+def parsed_objects(spark, sf_dir):
+    i = F.col("event_id") % 4
+    said = F.when(i == 0, F.col("props")).when(i == 1, F.concat("props", F.lit("}"))).when(i == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise("not {json")
+    events = read(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    return events.select("event_id", F.try_element_at(text.parsed_object(F.col("said")), F.lit("k")).alias("k"), text.response_value(F.col("said"))["text"].alias("text"), text.response_value(F.col("said"))["json"].isNotNull().alias("isJson"))
+
+
+@query("run_folders", "SELECT 'products' AS name, p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'warnings', s_suppkey, s_name FROM supplier")
+def run_folders(spark, sf_dir):
+    path = folder(spark, "runs")
+    tables = {"products": read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), "warnings": read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))}
+    sinks.write_run(tables, path, "mall-a", "r1")
+    found = [spark.read.schema("id long, text string").json(f"{path}/mall-a/r1/{n}").select(F.lit(n).alias("name"), "id", "text") for n in tables]
+    return found[0].unionByName(found[1])

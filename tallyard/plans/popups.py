@@ -101,3 +101,25 @@ def sold_out_messages(spark, sf_dir):
 def sold_out_reports(spark, sf_dir):
     messages, requests = _messages(spark, sf_dir)
     return cart.sold_out_products(cart.sold_out_in_text(messages, requests))
+
+
+@query("popup_totals", f"""{_SQL} SELECT page, any_value(visible) AS visibleWrapperCount, count(*) FILTER (WHERE z % 13 <> 0) AS optionTableCount, 3 * count(*) FILTER (WHERE z % 13 <> 0) AS optionRowCount,
+    count(*) FILTER (WHERE z % 13 <> 0) * 2 + count(*) FILTER (WHERE z % 13 <> 0 AND z % 4 <> 0) AS completeRowCount, bool_and(z % 13 <> 0 AND z % 4 <> 0) AS usable FROM p GROUP BY page""")
+def popup_totals(spark, sf_dir):
+    els, asked, options = _popups(spark, sf_dir)
+    found = popups.popup_state(popups.block_products(els, asked, ["page"]), popups.popup_rows(els, asked, options, ["page"]), ["page"])
+    return found.drop("selectableRowCount")
+
+
+@query("selection_states", """WITH r AS (SELECT p_partkey // 10 AS batch, p_partkey AS k, p_size AS n FROM part), s AS (SELECT *, n % 29 = 1 AS missing, n % 31 = 2 AS twice, n % 37 = 3 AS off, n % 41 = 4 AS bare, n % 43 = 5 AS otherq, n % 47 = 6 AS un, n % 23 = 7 AS foreign_ FROM r)
+  SELECT batch, count(*) FILTER (WHERE NOT foreign_) AS requested, count(*) FILTER (WHERE missing AND NOT foreign_) AS missing, count(*) FILTER (WHERE twice AND NOT missing AND NOT foreign_) AS duplicate,
+    count(*) FILTER (WHERE off AND NOT missing AND NOT foreign_) AS disabled, count(*) FILTER (WHERE bare AND NOT missing AND NOT foreign_) AS withoutCount, 0 AS countDisabled, count(*) FILTER (WHERE un AND NOT missing AND NOT foreign_) AS unchecked,
+    count(*) FILTER (WHERE otherq AND NOT bare AND NOT missing AND NOT foreign_) AS otherQuantity, count(*) FILTER (WHERE foreign_ AND NOT missing AND NOT un) AS unexpected,
+    count(*) FILTER (WHERE foreign_ AND NOT missing AND NOT un OR NOT foreign_ AND (missing OR twice OR off OR bare OR otherq OR un)) = 0 AND count(*) FILTER (WHERE NOT foreign_) > 0 AND batch % 7 <> 3 AS complete FROM s GROUP BY batch""")
+def selection_states(spark, sf_dir):
+    n = F.col("p_size")
+    part = read(spark, sf_dir, "part").withColumn("batch", F.floor(F.col("p_partkey") / 10)).withColumn("productId", _key())
+    requests = part.filter(n % 23 != 7).select("batch", "productId", F.lit(2).alias("quantity"))
+    boxes = part.filter(n % 29 != 1).withColumn("time", F.explode(F.when(n % 31 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    checks = boxes.select("batch", "productId", (n % 47 != 6).alias("checked"), (n % 37 == 3).alias("disabled"), (n % 41 != 4).alias("hasCount"), F.lit(False).alias("countDisabled"), F.when(n % 43 == 5, 1).otherwise(2).alias("count"))
+    return popups.selection_state(requests, checks, part.select("batch", (F.col("batch") % 7 != 3).alias("ready")).distinct())

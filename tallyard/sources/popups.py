@@ -150,3 +150,38 @@ def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: li
     judged = rows.join(explicit, [*keys, "productId"], "left").join(first, [*keys, "productId", "optionId"], "left")
     chosen = F.col("selectable") & (F.col("explicit").isNull() | F.col("asked").isNotNull())
     return judged.withColumn("selectedForCart", chosen).withColumn("requestedQty", F.when(chosen, F.coalesce("asked", F.lit(quantity))).otherwise(0).cast("bigint")).drop("explicit", "asked")
+
+
+def popup_state(products: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, numbers of blocks, tables, option rows, complete and selectable ones, ``usable``) of what ``block_products`` and ``popup_rows`` found.
+
+    A popup that isn't whole yet is usable if every block has its table and every row is complete.
+    """
+    shown = products.groupBy(*keys).agg(F.count("*").alias("visibleWrapperCount"), F.count("table").alias("optionTableCount"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("optionRowCount"), F.count_if("complete").alias("completeRowCount"), F.count_if("selectable").alias("selectableRowCount"))
+    state = shown.join(counts, keys, "left").fillna(0, ["optionRowCount", "completeRowCount", "selectableRowCount"])
+    whole = (F.col("optionTableCount") == F.col("visibleWrapperCount")) & (F.col("optionRowCount") > 0) & (F.col("completeRowCount") == F.col("optionRowCount"))
+    return state.withColumn("usable", whole)
+
+
+def selection_state(requests: DataFrame, checks: DataFrame, buttons: DataFrame) -> DataFrame:
+    """(batch, what is amiss with the boxes of the requested products, ``complete``).
+
+    ``requests`` has batch, productId, quantity; ``checks`` the boxes shown: batch, productId, checked,
+    disabled, hasCount, countDisabled, count; ``buttons`` batch and whether its button is ready.
+    """
+    box = checks.groupBy("batch", "productId").agg(
+        F.count("*").alias("n"), F.bool_or("checked").alias("checked"), F.bool_or("disabled").alias("disabled"), F.bool_and("hasCount").alias("hasCount"), F.bool_or("countDisabled").alias("countDisabled"), F.min("count").alias("count"),
+    )
+    wanted = requests.groupBy("batch", "productId").agg(F.max("quantity").alias("quantity")).withColumn("asked", F.lit(True))
+    both = wanted.join(box, ["batch", "productId"], "full")
+    asked, shown = F.coalesce("asked", F.lit(False)), F.col("n").isNotNull()
+    tests = {
+        "missing": asked & ~shown, "duplicate": asked & (F.col("n") > 1), "disabled": asked & F.col("disabled"), "withoutCount": asked & shown & ~F.col("hasCount"), "countDisabled": asked & F.col("countDisabled"),
+        "unchecked": asked & shown & ~F.col("checked"), "otherQuantity": asked & shown & F.col("hasCount") & (F.coalesce("count", F.lit(-1)) != F.col("quantity")), "unexpected": ~asked & F.col("checked"),
+    }
+    state = both.groupBy("batch").agg(F.count_if(asked).alias("requested"), *[F.count_if(t).alias(c) for c, t in tests.items()])
+    fine = F.col("requested") > 0
+    for c in tests:
+        fine = fine & (F.col(c) == 0)
+    return state.join(buttons.select("batch", "ready"), "batch", "left").withColumn("complete", fine & F.coalesce("ready", F.lit(False))).drop("ready")
