@@ -194,8 +194,9 @@ def assemble(resolved: DataFrame, key: list[str]) -> DataFrame:
     return resolved.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
 
 
+#: Of each media item: its row, what its document says, and what its stored bytes hold.
 READ = (
-    "doc_id long, n_bytes long, n_texts long, n_media long, position int, caption string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "row long, doc_id long, n_bytes long, n_texts long, n_media long, position int, caption string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string"
 )
 
@@ -203,14 +204,14 @@ READ = (
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        for value in batch.column(6):
+        for value in batch.column(7):
             media = value.as_py()
             samples = decode(media)
             payload = samples.tobytes()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), *columns], [x.split()[0] for x in READ.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), *columns], [x.split()[0] for x in READ.split(", ")])
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -245,13 +246,17 @@ def text_documents(docs: DataFrame) -> DataFrame:
 
 
 def media_of(sequences: DataFrame) -> DataFrame:
-    """``sequences`` with counts of their items, and items reduced to media."""
+    """``sequences`` with a number for each row, counts of their items, and items reduced to media."""
     of = lambda kind: F.filter("items", lambda x: x["kind"] == kind)
-    kept = [c for c in sequences.columns if c != "items"]
-    return sequences.select(*kept, F.size(of("text")).cast("long").alias("n_texts"), F.size(of("media")).cast("long").alias("n_media"), of("media").alias("items"))
+    kept = [c for c in sequences.columns if c not in ("items", "row")]
+    counts = [F.size(of(kind)).cast("long").alias(name) for kind, name in (("text", "n_texts"), ("media", "n_media"))]
+    return sequences.select(F.monotonically_increasing_id().alias("row"), *kept, *counts, of("media").alias("items"))
 
 
 def features(resolved: DataFrame) -> DataFrame:
-    """What the stored bytes of each document's own text hold: those of the media item captioned as text."""
-    found = resolved.filter("media is not null and caption like 'text of %'")
-    return found.select("doc_id", "n_bytes", "n_texts", "n_media", "position", "caption", "media").mapInArrow(_read, READ)
+    """What the stored bytes of each row's media hold: all of the item captioned as its text, place and digest of the one captioned as its start."""
+    names = [x.split()[0] for x in READ.split(", ")]
+    found = resolved.filter("media is not null").select(*names[:7], "media").mapInArrow(_read, READ)
+    item = lambda what, fields: F.max(F.when(F.col("caption").startswith(f"{what} of "), F.struct(*fields)))
+    both = found.groupBy("row").agg(item("text", names[1:]).alias("text"), item("start", ("position", "payload_bytes", "media_sha256")).alias("start"))
+    return both.select("text.*", F.col("start.position").alias("start_position"), F.col("start.payload_bytes").alias("start_bytes"), F.col("start.media_sha256").alias("start_media_sha256"))

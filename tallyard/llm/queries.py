@@ -19,7 +19,7 @@ def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     payloads = interleaved.payloads(docs)
     sequences = materialise(interleaved.media_of(interleaved.parse_sequences(interleaved.text_documents(docs))), "sequences")
-    return interleaved.features(interleaved.resolve(sequences, lambda wanted: interleaved.store(payloads, wanted), ["doc_id"]))
+    return interleaved.features(interleaved.resolve(sequences, lambda wanted: interleaved.store(payloads, wanted), ["row"]))
 
 
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,8 @@ def test_media_round_trip(table, request):
         lines = [x for x in text.split("\n") if x.split()]
         assert (hits[0].n_texts, hits[0].n_media, hits[0].caption) == (len(lines), 2, f"text of {len(raw)} bytes")
         assert hits[0].position == (1 if text.split("\n")[0].split() else 0)
+        start = interleaved.encode(payload[:192])
+        assert (hits[0].start_position, hits[0].start_bytes, hits[0].start_media_sha256) == (len(lines) + 1, 192, hashlib.sha256(start).hexdigest())
         assert (hits[0].media_bytes, hits[0].media_sha256, hits[0].feature) == (len(image), hashlib.sha256(image).hexdigest(), interleaved.feature(interleaved.decode(image)))
 
 
