@@ -17,7 +17,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """White space runs to one space, trimmed; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " "))
 
 
 def has_text(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.functions.rows import once
 from tallyard.functions.text import comparable_name, squash
 from tallyard.operators.dedupe import keep_first
 from tallyard.sources.shared import frozen
@@ -25,22 +26,20 @@ def extract_requests(documents: DataFrame, column: str = "json") -> DataFrame:
 
 def validated(requests: DataFrame, sites: dict[str, bool] = SITES) -> DataFrame:
     """Adds reason (null if the request is good), site as known, and whole quantity."""
-    site = F.lower(squash(F.col("site")))
-    known, needs_option = F.lit(None).cast("string"), F.lit(False)
+    rest = [c for c in requests.columns if c not in ("site", "productId", "optionId", "quantity")]
+    quantity = F.when(F.col("quantity") >= 0, F.floor("quantity")).otherwise(F.ceil("quantity")).cast("bigint")
+    read = once(requests, rest, {"site": F.lower(squash(F.col("site"))), "productId": squash(F.col("productId")), "optionId": squash(F.col("optionId")), "quantity": quantity})
+    site, known, needs_option = F.col("site"), F.lit(None).cast("string"), F.lit(False)
     for domain, must in sites.items():
         fits = (site == domain) | site.endswith(f".{domain}")
         known, needs_option = F.when(fits, F.lit(domain)).otherwise(known), F.when(fits, F.lit(must)).otherwise(needs_option)
-    option, product = squash(F.col("optionId")), squash(F.col("productId"))
-    whole = F.when(F.col("quantity") >= 0, F.floor("quantity")).otherwise(F.ceil("quantity")).cast("bigint")
+    option, whole = F.col("optionId"), F.col("quantity")
     reason = (
-        F.when(known.isNull(), "unknown site").when(~product.rlike("^[0-9]+$"), "product id")
+        F.when(known.isNull(), "unknown site").when(~F.col("productId").rlike("^[0-9]+$"), "product id")
         .when(needs_option & ~option.rlike("^[0-9]+$"), "option id missing").when(~needs_option & (option != "") & (option != "0"), "option id not allowed")
         .when(whole.isNull() | (whole < 1), "quantity")
     )
-    return requests.select(
-        *[c for c in requests.columns if c not in ("site", "productId", "optionId", "quantity")],
-        F.coalesce(known, site).alias("site"), product.alias("productId"), option.alias("optionId"), whole.alias("quantity"), reason.alias("reason"),
-    )
+    return read.select(*rest, F.coalesce(known, site).alias("site"), "productId", "optionId", "quantity", reason.alias("reason"))
 
 
 def merged(requests: DataFrame) -> DataFrame:

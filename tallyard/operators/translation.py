@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.functions.rows import once
 from tallyard.functions.text import squash
 
 #: Languages that a mode asks for: (product ja, product en, option ja, option en).
@@ -18,12 +19,10 @@ def group_rows(rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFram
     Problems are errors (empty id, empty name, two names of one id) and options left out
     (empty id, id 0, empty text, other text than the first of that id).
     """
-    r = rows.select(
-        order, squash(F.col("productId")).alias("productId"), squash(F.col("nameKo")).alias("nameKo"),
-        squash(F.col("optionId")).alias("optionId"), squash(F.col("optionText")).alias("optionText"), F.coalesce("hasOption", F.lit(False)).alias("hasOption"),
-    )
-    first = r.filter("productId <> ''").groupBy("productId").agg(F.min_by("nameKo", order).alias("nameKo"), F.min(order).alias(order), F.count_distinct("nameKo").alias("names"))
-    fails = first.filter("names > 1").select("productId", F.lit(None).cast("string").alias("optionId"), F.lit("two names").alias("reason"))
+    texts = {c: squash(F.col(c)) for c in ("productId", "nameKo", "optionId", "optionText")}
+    r = once(rows, [order], {**texts, "hasOption": F.coalesce("hasOption", F.lit(False))})
+    first = r.filter("productId <> ''").groupBy("productId").agg(F.min_by("nameKo", order).alias("nameKo"), F.min(order).alias(order), (F.min("nameKo") != F.max("nameKo")).alias("several"))
+    fails = first.filter("several").select("productId", F.lit(None).cast("string").alias("optionId"), F.lit("two names").alias("reason"))
     empty = r.filter("productId = '' or nameKo = ''").select("productId", F.lit(None).cast("string").alias("optionId"), F.when(F.col("productId") == "", "empty product id").otherwise("empty name").alias("reason"))
     options = r.filter(F.col("hasOption") | ((F.col("optionId") != "") & (F.col("optionId") != "0") & (F.col("optionText") != "")))
     usable = (F.col("optionId") != "") & (F.col("optionId") != "0") & (F.col("optionText") != "")
@@ -35,7 +34,7 @@ def group_rows(rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFram
     )
     skipped = judged.select("productId", "optionId", reason.alias("reason")).filter("reason is not null")
     kept = texts.select("productId", "optionId", F.col("first").alias("ko"), F.col("at").alias(order))
-    return first.filter("names = 1 and nameKo <> ''").select("productId", "nameKo", order), kept, fails.unionByName(empty).unionByName(skipped)
+    return first.filter("not several and nameKo <> ''").select("productId", "nameKo", order), kept, fails.unionByName(empty).unionByName(skipped)
 
 
 def product_delta(products: DataFrame, archive: DataFrame, mode: str) -> DataFrame:
