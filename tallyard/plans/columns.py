@@ -155,3 +155,26 @@ def elapsed_runs(spark, sf_dir):
     )
     now = F.timestamp_millis(F.unix_millis("startedAt") + F.col("event_id") * 1000)
     return runs.select("event_id", health.elapsed(now).alias("ms"))
+
+
+# --- the built-in lists -----------------------------------------------------
+
+_WORDS = [w for _, words in rules.CATEGORIES for w in words]
+
+
+def _listed_sql() -> str:
+    brand = " ".join(f"WHEN contains(nm, '{b}') THEN '{b}'" for b in rules.BRANDS)
+    category = " ".join(f"WHEN {' OR '.join(f'contains(lower(nm), {w.lower()!r})' for w in words)} THEN '{c}'" for c, words in rules.CATEGORIES)
+    names = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name WHEN p_size % 5 = 1 THEN '[ ' || p_brand || '] ' || {names(rules.BRANDS)}[p_partkey % {len(rules.BRANDS)} + 1]
+      ELSE {names(rules.BRANDS)}[p_partkey % {len(rules.BRANDS)} + 1] || ' ' || {names(rules.BRANDS)}[p_partkey // 3 % {len(rules.BRANDS)} + 1] END || CASE WHEN p_size % 4 > 0 THEN ' ' || {names(_WORDS)}[p_partkey % {len(_WORDS)} + 1] || {names(_WORDS)}[p_partkey // 7 % {len(_WORDS)} + 1] ELSE '' END AS nm, p_size, p_brand FROM part)
+      SELECT p_partkey, CASE WHEN p_size % 5 = 1 THEN p_brand ELSE CASE {brand} ELSE '' END END AS brand, CASE {category} ELSE '{rules.NO_CATEGORY}' END AS category FROM n"""
+
+
+@query("listed_brands", _listed_sql())
+def listed_brands(spark, sf_dir):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), (i % len(words)).cast("int"))
+    head = F.when(n % 5 == 0, F.col("p_name")).when(n % 5 == 1, F.concat(F.lit("[ "), "p_brand", F.lit("] "), pick(rules.BRANDS, k))).otherwise(F.concat_ws(" ", pick(rules.BRANDS, k), pick(rules.BRANDS, F.floor(k / 3))))
+    name = F.concat(head, F.when(n % 4 > 0, F.concat(F.lit(" "), pick(_WORDS, k), pick(_WORDS, F.floor(k / 7)))).otherwise(""))
+    return read(spark, sf_dir, "part").select("p_partkey", rules.infer_brand(name).alias("brand"), rules.infer_category(name).alias("category"))
