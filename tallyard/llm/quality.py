@@ -8,7 +8,7 @@ documents' labels alone, weighs the passages,
     a_i = softmax(w . (tanh(V h_i) * sigmoid(U h_i))),    score = sigmoid(c . sum(a_i h_i) + d)
 
 so a document is judged by the passages that tell. The model is fitted on a bounded
-sample of labelled documents (``SAMPLE``) and scores every document.
+sample of labelled documents (``SAMPLE``, ``PASSAGES``) and scores every document.
 
 Defined results: null and empty texts are one passage without content and get a score
 like any other; several labels of one doc_id count as their mean; without labelled
@@ -22,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyard.llm.common import slices, text_of
+from tallyard.llm.common import materialise, slices, text_of
 from tallyard.llm.bytehash import words
 
 PASSAGE = 1024
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 8_000
+#: Labelled documents that the model is fitted on, and passages of them, at most.
+SAMPLE, PASSAGES = 8_000, 100_000
 THRESHOLD = 0.7
 HIDDEN, GATE = 16, 8
 
@@ -172,17 +172,26 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["passages", "label", "h"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Model | None:
-    """The model of the labelled rows outside the held-out fold, or None without any."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3, most: int = PASSAGES) -> Model | None:
+    """The model of the labelled rows outside the held-out fold, or None without any.
+
+    It learns from ``sample`` documents and ``most`` passages of them at most; a document of more is not learnt from.
+    """
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     # repeated doc_ids can't lengthen the sample; texts are encoded where they are
     encoded = found.select("text", "label", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(_encoded, "passages binary, label double, h long")
-    rows = encoded.orderBy("h", "label", "passages").limit(sample).collect()
-    if not rows:
+    encoded = materialise(encoded.withColumn("n", F.expr(f"octet_length(passages) div {4 * WIDTH}")).filter(F.col("n") <= most), "bags")
+    # whole documents, until their passages are as many as the driver may hold; a row for each of the sample
+    so_far = F.sum("n").over(Window.orderBy("h", "label", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    narrow = encoded.select("h", "label", "n").orderBy("h", "label", "n").limit(sample).withColumn("total", so_far)
+    last = narrow.filter(F.col("total") <= most).agg(F.max(F.struct("h", "label", "n")).alias("last")).first()["last"]
+    if last is None:
         return None
+    border = F.struct(*(F.lit(last[c]).alias(c) for c in ("h", "label", "n")))
+    rows = encoded.filter(F.struct("h", "label", "n") <= border).orderBy("h", "label", "n", "passages").limit(sample).collect()
     bags = [np.frombuffer(r["passages"], "<f4").reshape(-1, WIDTH) for r in rows]
     return Model(seed).fit(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), np.array([r["label"] for r in rows]))
 

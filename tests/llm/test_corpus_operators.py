@@ -50,6 +50,29 @@ def test_near_duplicates(docs):
     assert got == want
 
 
+def test_near_duplicates_of_a_larger_table(spark):
+    """All pairs that share a shingle, compared in full: the same components, so every link is found."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets, holders, root = {d: shingles(t) for d, t in rows}, {}, {d: d for d, _ in rows}
+    for d, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(d)
+    near = {(a, b) for ids in holders.values() for i, a in enumerate(sorted(ids)) for b in sorted(ids)[i + 1 :]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for a, b in near if linked(sets[a], sets[b])]
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert len(links) > 50 and got == {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+
+
 def test_chains_and_groups(spark):
     """Chains link their ends; a group of pairs below the threshold stays apart."""
     base = [f"w{i}" for i in range(120)]
@@ -276,6 +299,28 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.judge(none, labels).count() == 0 and quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_the_sample_is_bounded_by_passages(spark):
+    """Whole documents in the order of their hashes, as many passages as asked for; one of more is not learnt from."""
+    rows = [(i, "word " * (300 * (1 + i % 4))) for i in range(40)] + [(99, "word " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.Model.fit
+
+    def spy(self, x, per_doc, y, **k):
+        seen.append((len(x), per_doc.tolist()))
+        return real(self, x, per_doc, y, epochs=2)
+
+    quality.Model.fit = spy
+    try:
+        for most in (7, 30, 100_000):
+            quality.fit(df, labels, most=most)
+        assert quality.fit(df.filter("doc_id = 99"), labels, most=7) is None
+    finally:
+        quality.Model.fit = real
+    assert seen[0][0] <= 7 < seen[1][0] <= 30 < seen[2][0] and max(seen[1][1]) < 30 < max(seen[2][1])
+
+
 def test_attention_weighs_passages():
     import numpy as np
 

@@ -227,6 +227,29 @@ def test_reliabilities(spark):
     assert set(model.reliability) == set(pii.LABELERS) and model.reliability["check"]["for"] > 0.9
 
 
+def test_reliabilities_are_those_of_plain_em(docs):
+    """EM over a row for each candidate, instead of over counts of vote patterns."""
+    spans = docs.select(pii.candidates(text_of()).alias("spans"))
+    votes = [(s.kind, s.votes) for r in spans.collect() for s in r.spans]
+    lean = np.array([sum({"+": 1, "-": -1, "0": 0}[v] * (2 if i == 0 else 1) for i, v in enumerate(x)) for _, x in votes], float)
+    post, kind = 1 / (1 + np.exp(-1.5 * (lean - 0.5))), np.array([k for k, _ in votes])
+    cast = np.array([list(x) for _, x in votes])
+    for _ in range(40):
+        prior = {k: (post[kind == k].sum() + 1) / ((kind == k).sum() + 2) for k in set(kind)}
+        tables = []
+        for i in range(len(pii.LABELERS)):
+            table = {(v, y): 0.5 + (2 if (v, y) in (("+", 1), ("-", 0)) else 0) + (post if y else 1 - post)[cast[:, i] == v].sum() for v in "+-0" for y in (0, 1)}
+            tables.append({(v, y): n / sum(table[u, y] for u in "+-0") for (v, y), n in table.items()})
+        z = np.array([np.log(prior[k] / (1 - prior[k])) for k in kind])
+        for i, t in enumerate(tables):
+            z += np.array([np.log(t[v, 1] / t[v, 0]) for v in cast[:, i]])
+        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    got = pii.fit(spans).reliability
+    assert len(votes) > 20
+    for name, t in zip(pii.LABELERS, tables, strict=True):
+        assert abs(got[name]["for"] - t["+", 1] / (t["+", 1] + t["+", 0])) < 1e-9 and abs(got[name]["against"] - t["-", 0] / (t["-", 1] + t["-", 0])) < 1e-9
+
+
 def test_the_classifier_learns_from_spans():
     """Features of spans alone tell cells of high posterior from those of low."""
     cells = [(["secret:0:5", "secret:1:2"], 30, 0.95), (["secret:0:4", "secret:1:0"], 50, 0.05), (["secret:0:5", "secret:1:0"], 10, 0.2)]
