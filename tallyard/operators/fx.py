@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +36,6 @@ def assigned_json(page: str | None, name: str = "_data") -> str | None:
     return None
 
 
-def page_rates(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The columns of ``pages`` and currency, unit, cashBuy of each entry of the rate list."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["_json"] = [assigned_json(x) for x in frame[html]]
-            yield frame.drop(columns=[html])
-
-    kept = [f for f in pages.schema if f.name != html]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_json string"])
-    found = pages.mapInPandas(run, schema)
-    entry = "struct<rates:array<struct<currency:string,unit:double,cashBuy:double>>>"
-    return found.withColumn("_r", F.explode(F.from_json("_json", entry)["rates"])).select(*[f.name for f in kept], "_r.*")
-
-
 def assigned(text: Column, name: str = "_data") -> Column:
     """(json, error) of the object that a script assigns to ``name``: from its brace to the one that closes it.
 
@@ -75,6 +59,13 @@ def assigned(text: Column, name: str = "_data") -> Column:
     return F.struct(F.when(error.isNull(), F.substring(rest, F.lit(1), end["length"])).alias("json"), F.when(text.isNull(), "no assignment").otherwise(error).alias("error"))
 
 
+def page_rates(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The columns of ``pages`` and currency, unit, cashBuy of each entry of the rate list."""
+    kept = [c for c in pages.columns if c != html]
+    entry = "struct<rates:array<struct<currency:string,unit:double,cashBuy:double>>>"
+    return pages.select(*kept, F.explode(F.from_json(assigned(F.col(html))["json"], entry)["rates"]).alias("_r")).select(*kept, "_r.*")
+
+
 def script_rates(pages: DataFrame, html: str = "html", currency: str = CURRENCY) -> DataFrame:
     """The other columns of ``pages``, currency, unit, cashBuy, day and error of the rate that its script lists for ``currency``.
 
