@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyard.plans.catalogue import query, read
 from tallyard.sources import elements
+from tallyard.sources.shared import dealt
 
 
 def _key() -> Column:
@@ -29,13 +30,13 @@ def _lists(spark, sf_dir, item: Column, before: str, after: Column) -> DataFrame
     """Elements of list pages of twenty parts each."""
     rows = read(spark, sf_dir, "part").withColumn("page", F.floor(F.col("p_partkey") / 20)).withColumn("item", item)
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "item"))), lambda x: x["item"]), "")
-    pages = rows.groupBy("page").agg(items.alias("items")).select("page", F.concat(F.lit(before), "items", after).alias("html"))
-    return elements.elements(pages)
+    pages = dealt(rows, "page").groupBy("page").agg(items.alias("items")).select("page", F.concat(F.lit(before), "items", after).alias("html"))
+    return elements.stored_elements(pages)
 
 
 def _single(spark, sf_dir, html: Column) -> DataFrame:
-    """Elements of one page for each part."""
-    return elements.elements(read(spark, sf_dir, "part").select("p_partkey", html.alias("html")))
+    """Elements of one page for each part; few blocks hold all parts, so these are dealt out ahead of the work."""
+    return elements.stored_elements(dealt(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html.alias("html")))
 
 
 def _list_a(spark, sf_dir):

@@ -8,7 +8,7 @@ from tallyard.operators import cart
 from tallyard.plans.catalogue import query, read
 from tallyard.plans.pages import _html, _key, _size, _when
 from tallyard.sources import elements, popups
-from tallyard.sources.shared import frozen
+from tallyard.sources.shared import dealt
 
 #: Parts of a popup: three, of every fourth three the first alone.
 _SQL = """WITH b AS (SELECT p_partkey AS k, p_size AS z, p_name AS nm, p_brand AS br, p_partkey // 3 AS page FROM part WHERE NOT (p_partkey // 3 % 4 = 0 AND p_partkey % 3 <> 0)),
@@ -41,10 +41,10 @@ def _popups(spark, sf_dir):
         '<div class="many_add"', _when(_size() % 11 == 0, ' style="color:red; DISPLAY: none"'), '><div class="subject"><p>[', F.col("p_brand"), "] ", subject, '</p></div><b class="coc_brd_name">[', F.col("p_brand"), ']</b><span class="icon">', _size(), " 개입</span>", ids,
         F.when(_size() % 13 != 0, _html('<table id="opSelectedList"><tr><td><input id="inIDXPOP" value="g', _key(), '"></td></tr>', rows, "</table>")).otherwise(""), "</div>",
     )
-    made = part.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("block")))), lambda x: x["block"]), "").alias("html"))
+    made = dealt(part, "page").groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("block")))), lambda x: x["block"]), "").alias("html"))
     asked = part.filter("p_size % 7 <> 0").select("page", _key().alias("productId"), F.concat(F.lit("[new] "), "p_name").alias("productName"), "p_size")
     options = asked.filter("p_size % 2 = 0").select("page", "productId", F.concat("productId", F.lit("-1")).alias("optionId"), (F.col("p_size") % 4).alias("quantity"))
-    return frozen(elements.elements(made), "popups"), asked.drop("p_size"), options
+    return elements.stored_elements(made), asked.drop("p_size"), options
 
 
 @query("popup_options", f"""{_SQL} SELECT page, productIndex, optionIndex::INTEGER AS optionIndex, productId, productMatchMode, CASE WHEN productId <> '' THEN '[new] ' || rn ELSE '[' || br || '] ' || label END AS productName, br AS brandText, z::BIGINT AS outerBoxQty,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import rules
 from tallyard.functions.text import first_text, squash, strip, to_number
-from tallyard.sources.elements import attr, first_of, has_class, inside, some
+from tallyard.sources.elements import around, attr, first_of, has_class, inside, is_inside, mark, some
 
 # fixed values: names of inputs that carry a product's id, letters and digits only; number fields of a row, by input
 ID_INPUTS = ("qidx", "inqidx", "qidxpop", "inqidxpop", "productid", "inproductid")
@@ -38,7 +38,7 @@ def blocks(els: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, productIndex) of the visible product blocks: neither they nor anything around them is hidden."""
     found = els.filter(has_class("many_add")).select(*keys, "pos", F.explode(F.array_append("up", F.col("pos"))).alias("around"))
     hidden = els.filter(_hidden()).select(*keys, F.col("pos").alias("around"), F.lit(True).alias("hides"))
-    shown = found.join(hidden, [*keys, "around"], "left").groupBy(*keys, "pos").agg(some(F.col("hides"), "hidden")).filter("not hidden")
+    shown = found.join(hidden.hint("merge"), [*keys, "around"], "left").groupBy(*keys, "pos").agg(some(F.col("hides"), "hidden")).filter("not hidden")
     return shown.select(*keys, "pos", (F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1).alias("productIndex"))
 
 
@@ -63,12 +63,8 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
     ``requests`` has keys, productId, productName, one row for each product of a page.
     """
     shown = blocks(els, keys)
-    marks = lambda df, name: df.select(*keys, "pos").distinct().withColumn(name, F.lit(True))
-    subject = marks(inside(els.filter("tag = 'p'"), els.filter(has_class("subject")), keys), "inSubject")
-    figures = inside(els.filter("tag = 'figure'"), els.filter(has_class("product_info")), keys)
-    figure = marks(inside(els.filter("tag = 'img'"), figures, keys), "inFigure")
-    within = inside(els, shown, keys).join(subject, [*keys, "pos"], "left").join(figure, [*keys, "pos"], "left")
-    within = within.withColumn("inSubject", F.coalesce("inSubject", F.lit(False))).withColumn("inFigure", F.coalesce("inFigure", F.lit(False)))
+    in_figure = (F.col("tag") == "img") & (F.size(around(mark("figure"), mark(".product_info"))) > 0)
+    within = els.withColumns({"inSubject": (F.col("tag") == "p") & is_inside(mark(".subject")), "inFigure": in_figure, "scope": F.explode(around(mark(".many_add")))})
     text = lambda test, name: first_of(test, F.col("text"), name)
     subjects = ((F.col("inSubject"), "s1"), ((F.col("tag") == "p") & has_class("subject"), "s2"), (has_class("m_pdt_list_name"), "s3"), (has_class("subject"), "s4"))
     named = within.groupBy(*keys, "scope").agg(
@@ -80,7 +76,7 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
     ids = ids.groupBy(*keys, "scope", "id").agg(F.min(F.struct("late", "pos", "k")).alias("at"))
     listed = ids.groupBy(*keys, "scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("explicitProductIds"))
     subject_text = F.coalesce("s1", "s2", "s3", "s4", F.lit(""))
-    block = shown.withColumnRenamed("pos", "scope").join(named, [*keys, "scope"], "left").join(listed, [*keys, "scope"], "left").select(
+    block = shown.withColumnRenamed("pos", "scope").join(named.hint("merge"), [*keys, "scope"], "left").join(listed.hint("merge"), [*keys, "scope"], "left").select(
         *keys, F.col("scope").alias("block"), "productIndex", "table", subject_text.alias("subjectText"), product_label(subject_text).alias("comparableSubjectText"),
         F.regexp_replace(F.regexp_replace(squash(F.col("brand")), r"^\[", ""), r"\]$", "").alias("brandText"),
         to_number(F.regexp_extract(F.coalesce("icon", F.lit("")), r"([0-9]+)\s*개", 1)).alias("outerBoxQty"),
@@ -88,13 +84,13 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
     )
     wanted = requests.select(*keys, F.col("productId").cast("string").alias("pid"), squash(F.col("productName")).alias("pname"))
     matches = lambda joined, name: joined.groupBy(*keys, "block").agg(F.array_sort(F.collect_set("pid")).alias(name))
-    by_id = matches(block.select(*keys, "block", F.explode("explicitProductIds").alias("pid")).join(wanted, [*keys, "pid"]), "explicitMatchProductIds")
+    by_id = matches(block.select(*keys, "block", F.explode("explicitProductIds").alias("pid")).join(wanted.hint("merge"), [*keys, "pid"]), "explicitMatchProductIds")
     label = wanted.filter("pname <> ''").select(*keys, "pid", product_label(F.col("pname")).alias("comparableSubjectText"))
-    by_name = matches(block.filter("comparableSubjectText <> ''").join(label, [*keys, "comparableSubjectText"]), "exactNameMatchProductIds")
+    by_name = matches(block.filter("comparableSubjectText <> ''").join(label.hint("merge"), [*keys, "comparableSubjectText"]), "exactNameMatchProductIds")
     counts = wanted.groupBy(*keys).agg(F.count("*").alias("requestedProductCount"), F.min("pid").alias("alone"))
     visible = block.groupBy(*keys).agg(F.count("*").alias("visibleBlockCount"))
     none = F.array().cast("array<string>")
-    joined = block.join(by_id, [*keys, "block"], "left").join(by_name, [*keys, "block"], "left").join(counts, keys, "left").join(visible, keys)
+    joined = block.join(by_id.hint("merge"), [*keys, "block"], "left").join(by_name.hint("merge"), [*keys, "block"], "left").join(counts.hint("merge"), keys, "left").join(visible.hint("merge"), keys)
     joined = joined.withColumns({c: F.coalesce(c, none) for c in ("explicitMatchProductIds", "exactNameMatchProductIds")}).withColumn("requestedProductCount", F.coalesce("requestedProductCount", F.lit(0)))
     mode = (
         F.when(F.size("explicitMatchProductIds") == 1, "dom-id").when(F.size("exactNameMatchProductIds") == 1, "exact-name")
@@ -102,7 +98,7 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
     )
     product = F.when(mode == "dom-id", F.get("explicitMatchProductIds", F.lit(0))).when(mode == "exact-name", F.get("exactNameMatchProductIds", F.lit(0))).when(mode == "single-block", F.col("alone"))
     judged = joined.withColumn("productMatchMode", mode).withColumn("pid", product)
-    return judged.join(wanted, [*keys, "pid"], "left").select(
+    return judged.join(wanted.hint("merge"), [*keys, "pid"], "left").select(
         *keys, "block", "productIndex", "table", F.coalesce("pid", F.lit("")).alias("productId"), "productMatchMode", F.coalesce(F.nullif("pname", F.lit("")), "subjectText").alias("productName"),
         "subjectText", "comparableSubjectText", "brandText", "outerBoxQty", "explicitProductIds", "explicitMatchProductIds", "exactNameMatchProductIds", "requestedProductCount", "visibleBlockCount",
     )
@@ -119,11 +115,11 @@ def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: li
     products = block_products(els, requests, keys)
     tables = products.filter("table is not null").select(*keys, "block", "table")
     scopes = tables.select(*keys, F.col("table").alias("pos")).distinct()
-    of_block = lambda found: found.withColumnRenamed("scope", "table").join(tables, [*keys, "table"]).select(*keys, "block", "pos", attr("value").alias("value"))
+    of_block = lambda found: found.withColumnRenamed("scope", "table").join(tables.hint("merge"), [*keys, "table"]).select(*keys, "block", "pos", attr("value").alias("value"))
     group = of_block(inside(els.filter((F.col("tag") == "input") & (F.col("id") == "inIDXPOP")), scopes, keys)).groupBy(*keys, "block").agg(F.min_by("value", "pos").alias("cartGroupId"))
     lines = of_block(inside(els.filter((F.col("tag") == "tr") & (F.col("id") == "inOptionTR")), scopes, keys)).drop("value")
     lines = lines.withColumn("optionIndex", F.row_number().over(Window.partitionBy(*keys, "block").orderBy("pos")) - 1)
-    within = inside(els, lines.select(*keys, "pos").distinct(), keys)
+    within = els.withColumn("scope", F.explode(around(mark("tr", "#inOptionTR"))))
     box = lambda test: (F.col("tag") == "input") & test
     value = lambda name: first_of(box(F.col("id") == name), attr("value"), name)
     by_id, by_name = box(F.col("id") == "optionCHKPOP"), box(attr("name") == "optionCHKPOP")
@@ -137,7 +133,7 @@ def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: li
     has = option != ""
     stock, disabled = to_number(F.col("inOPMaxStock")), F.coalesce("idOff", "nameOff", F.lit(False))
     complete = F.coalesce("idValue", "nameValue").isNotNull() & F.col("counted") & F.coalesce(strip(F.col("inOPMaxStock")) != "", F.lit(False))
-    rows = lines.join(read, [*keys, "pos"]).join(products, [*keys, "block"]).join(group, [*keys, "block"], "left").select(
+    rows = lines.join(read.hint("merge"), [*keys, "pos"]).join(products.hint("merge"), [*keys, "block"]).join(group.hint("merge"), [*keys, "block"], "left").select(
         *keys, "productIndex", "optionIndex", "productId", "productMatchMode", "productName", "subjectText", "comparableSubjectText", "brandText", "outerBoxQty", "explicitProductIds",
         "explicitMatchProductIds", "exactNameMatchProductIds", "requestedProductCount", "visibleBlockCount", F.coalesce("cartGroupId", F.lit("")).alias("cartGroupId"),
         F.when(has, option).otherwise("0").alias("optionId"), F.when(has, F.coalesce(first_text(F.col("text1"), F.col("text2")), F.lit(""))).otherwise("").alias("optionText"), has.alias("hasOption"),
@@ -147,7 +143,7 @@ def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: li
     asked = options.select(*keys, "productId", F.coalesce(F.col("optionId").cast("string"), F.lit("0")).alias("optionId"), F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.col("quantity").cast("bigint"), F.lit(1))).alias("asked"))
     first = asked.groupBy(*keys, "productId", "optionId").agg(F.min("asked").alias("asked"))
     explicit = asked.select(*keys, "productId").distinct().withColumn("explicit", F.lit(True))
-    judged = rows.join(explicit, [*keys, "productId"], "left").join(first, [*keys, "productId", "optionId"], "left")
+    judged = rows.join(explicit.hint("merge"), [*keys, "productId"], "left").join(first.hint("merge"), [*keys, "productId", "optionId"], "left")
     chosen = F.col("selectable") & (F.col("explicit").isNull() | F.col("asked").isNotNull())
     return judged.withColumn("selectedForCart", chosen).withColumn("requestedQty", F.when(chosen, F.coalesce("asked", F.lit(quantity))).otherwise(0).cast("bigint")).drop("explicit", "asked")
 
@@ -159,7 +155,7 @@ def popup_state(products: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     """
     shown = products.groupBy(*keys).agg(F.count("*").alias("visibleWrapperCount"), F.count("table").alias("optionTableCount"))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("optionRowCount"), F.count_if("complete").alias("completeRowCount"), F.count_if("selectable").alias("selectableRowCount"))
-    state = shown.join(counts, keys, "left").fillna(0, ["optionRowCount", "completeRowCount", "selectableRowCount"])
+    state = shown.join(counts.hint("merge"), keys, "left").fillna(0, ["optionRowCount", "completeRowCount", "selectableRowCount"])
     whole = (F.col("optionTableCount") == F.col("visibleWrapperCount")) & (F.col("optionRowCount") > 0) & (F.col("completeRowCount") == F.col("optionRowCount"))
     return state.withColumn("usable", whole)
 

@@ -27,3 +27,8 @@ def frozen(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over as many tasks as shuffles have, also where it is small: for rows that cost much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -115,3 +115,21 @@ def test_scheduled_batches_see_new_rows_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(source))
         progress.scheduled(stream, lambda batch, i: seen.append((i, batch.count())), str(tmp_path / "state")).awaitTermination()
     assert seen == [(0, 3), (1, 2)]
+
+
+def test_references_without_end_stay(spark):
+    pages = spark.createDataFrame([(1, '<title>a &amp;&lt;b&#x27; &amp</title><a href="?x=1&b=2">c</a>')], "page int, html string").withColumn("html", elements.ended_references(F.col("html")))
+    found = {r.tag: (r.text, r.attrs) for r in elements.elements(pages).collect()}
+    assert found["title"][0] == "a &<b' &amp" and found["a"][1] == {"href": "?x=1&b=2"}
+
+
+def test_readers_gather_no_elements_at_the_driver(spark):
+    pages = spark.createDataFrame([(1, LIST_A)], "page int, html string")
+    for read in (elements.list_products_a, elements.list_products_b, elements.cart_rows_a, elements.cart_rows_b, elements.details_a, elements.details_b):
+        plan = read(elements.elements(pages), ["page"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan, read.__name__
+
+
+def test_lines_without_known_fields(spark):
+    rows = elements.cart_rows_a(els(spark, '<table id="cartTable"><tr class="tr-nth"><td><b>x</b></td></tr><tr class="tr-nth"></tr></table><table><tr class="tr-nth"><td>y</td></tr></table>'), ["page"])
+    assert [(r["index"], r.productId, r.hasOption) for r in rows.collect()] == [(1, "", False)]
