@@ -80,8 +80,10 @@ def match_blocks(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     block = blocks.select("batch", "blockId", "ids", comparable_name(F.col("name")).alias("bname"))
     only = lambda df, mode: df.groupBy("batch", "blockId").agg(F.count_distinct("pid").alias("n"), F.min("pid").alias(mode)).filter("n = 1").drop("n")
     by_id = only(block.withColumn("pid", F.explode("ids")).join(wanted.select("batch", "pid"), ["batch", "pid"]), "byId")
-    named = wanted.withColumnRenamed("pname", "bname")
-    by_name = only(block.filter("bname <> ''").join(named, ["batch", "bname"]), "byName")
+    # of all products of a name the least and the greatest id tell whether it is one; many blocks and many products of one name don't meet
+    named = wanted.groupBy("batch", F.col("pname").alias("bname")).agg(F.min("pid").alias("least"), F.max("pid").alias("most"))
+    met = block.filter("bname <> ''").select("batch", "blockId", "bname").join(named, ["batch", "bname"])
+    by_name = met.groupBy("batch", "blockId").agg(F.min("least").alias("byName"), F.max("most").alias("most")).filter("byName = most").drop("most")
     single = block.groupBy("batch").agg(F.count("*").alias("blocks")).join(wanted.groupBy("batch").agg(F.count("*").alias("n"), F.min("pid").alias("alone")), "batch").filter("blocks = 1 and n = 1").select("batch", "alone")
     joined = block.select("batch", "blockId").join(by_id, ["batch", "blockId"], "left").join(by_name, ["batch", "blockId"], "left").join(single, "batch", "left")
     mode = F.when(F.col("byId").isNotNull(), "id").when(F.col("byName").isNotNull(), "name").when(F.col("alone").isNotNull(), "single").otherwise("unresolved")

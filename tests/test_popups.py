@@ -157,3 +157,13 @@ def test_coverage_of_no_rows(spark):
     none = spark.createDataFrame([], schema)
     r = coverage.coverage(none.select("productId"), none, none, none).first()
     assert (r.expectedProductCount, r.actualRowCount, r.expectedRowCount, r.rowCoverageAvailable, r.complete, r.optionCoverageComplete) == (0, 0, None, False, True, True)
+
+
+def test_blocks_of_one_name_meet_once(spark):
+    n = 60_000
+    began = time.monotonic()
+    blocks = spark.range(n).selectExpr("1 as batch", "id as blockId", "cast(array() as array<string>) as ids", "if(id = 0, 'Cup', 'Pen') as name")
+    requests = spark.range(n).selectExpr("1 as batch", "cast(id as string) as productId", "if(id = 7, '[x] cup', 'pen') as productName")
+    found = cart.match_blocks(blocks, requests)
+    assert {(r.productId, r.matchMode) for r in found.filter("blockId < 9").collect()} == {("7", "name"), (None, "unresolved")}
+    assert found.count() == n and time.monotonic() - began < 60  # all pairs of one name were 3.6 billion rows
