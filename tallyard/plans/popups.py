@@ -107,7 +107,8 @@ def sold_out_reports(spark, sf_dir):
     count(*) FILTER (WHERE z % 13 <> 0) * 2 + count(*) FILTER (WHERE z % 13 <> 0 AND z % 4 <> 0) AS completeRowCount, bool_and(z % 13 <> 0 AND z % 4 <> 0) AS usable FROM p GROUP BY page""")
 def popup_totals(spark, sf_dir):
     els, asked, options = _popups(spark, sf_dir)
-    found = popups.popup_state(popups.block_products(els, asked, ["page"]), popups.popup_rows(els, asked, options, ["page"]), ["page"])
+    products = popups.block_products(els, asked, ["page"])
+    found = popups.popup_state(products, popups.popup_rows(els, asked, options, ["page"], products=products), ["page"])
     return found.drop("selectableRowCount")
 
 

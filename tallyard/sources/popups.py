@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import rules
 from tallyard.functions.text import first_text, squash, strip, to_number
-from tallyard.sources.elements import around, attr, first_of, has_class, inside, is_inside, mark, some
+from tallyard.sources.elements import around, attr, first_of, has_class, is_inside, mark, some
+from tallyard.sources.shared import frozen
 
 # fixed values: names of inputs that carry a product's id, letters and digits only; number fields of a row, by input
 ID_INPUTS = ("qidx", "inqidx", "qidxpop", "inqidxpop", "productid", "inproductid")
@@ -60,7 +61,8 @@ def _ids() -> Column:
 def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with what they say of themselves and the request they belong to.
 
-    ``requests`` has keys, productId, productName, one row for each product of a page.
+    ``requests`` has keys, productId, productName, one row for each product of a page. Blocks and the result are
+    stored, one row a block: matches and readers use them several times, and would read all elements again for each.
     """
     shown = blocks(els, keys)
     in_figure = (F.col("tag") == "img") & (F.size(around(mark("figure"), mark(".product_info"))) > 0)
@@ -82,6 +84,7 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
         to_number(F.regexp_extract(F.coalesce("icon", F.lit("")), r"([0-9]+)\s*개", 1)).alias("outerBoxQty"),
         F.coalesce("explicitProductIds", F.array().cast("array<string>")).alias("explicitProductIds"),
     )
+    block = frozen(block, "blocks")
     wanted = requests.select(*keys, F.col("productId").cast("string").alias("pid"), squash(F.col("productName")).alias("pname"))
     matches = lambda joined, name: joined.groupBy(*keys, "block").agg(F.array_sort(F.collect_set("pid")).alias(name))
     by_id = matches(block.select(*keys, "block", F.explode("explicitProductIds").alias("pid")).join(wanted.hint("merge"), [*keys, "pid"]), "explicitMatchProductIds")
@@ -98,26 +101,27 @@ def block_products(els: DataFrame, requests: DataFrame, keys: list[str]) -> Data
     )
     product = F.when(mode == "dom-id", F.get("explicitMatchProductIds", F.lit(0))).when(mode == "exact-name", F.get("exactNameMatchProductIds", F.lit(0))).when(mode == "single-block", F.col("alone"))
     judged = joined.withColumn("productMatchMode", mode).withColumn("pid", product)
-    return judged.join(wanted.hint("merge"), [*keys, "pid"], "left").select(
+    found = judged.join(wanted.hint("merge"), [*keys, "pid"], "left").select(
         *keys, "block", "productIndex", "table", F.coalesce("pid", F.lit("")).alias("productId"), "productMatchMode", F.coalesce(F.nullif("pname", F.lit("")), "subjectText").alias("productName"),
         "subjectText", "comparableSubjectText", "brandText", "outerBoxQty", "explicitProductIds", "explicitMatchProductIds", "exactNameMatchProductIds", "requestedProductCount", "visibleBlockCount",
     )
+    return frozen(found, "block-products")
 
 
-def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: list[str], quantity: int = 1, threshold: int = 10) -> DataFrame:
+def popup_rows(els: DataFrame, requests: DataFrame, options: DataFrame, keys: list[str], quantity: int = 1, threshold: int = 10, products: DataFrame | None = None) -> DataFrame:
     """One row per option row of the visible blocks.
 
-    ``options`` has the options that requests name: keys, productId, optionId, quantity. Where a
+    ``products`` is what ``block_products`` gave for the same elements and requests, if it was asked already. ``options`` has the options that requests name: keys, productId, optionId, quantity. Where a
     product has any, only those are selected; where it has none, all that can be. A row is complete
     with its checkbox, its quantity and a filled stock input, and can be selected if it is switched
     on and has stock too.
     """
-    products = block_products(els, requests, keys)
+    products = block_products(els, requests, keys) if products is None else products
     tables = products.filter("table is not null").select(*keys, "block", "table")
-    scopes = tables.select(*keys, F.col("table").alias("pos")).distinct()
-    of_block = lambda found: found.withColumnRenamed("scope", "table").join(tables.hint("merge"), [*keys, "table"]).select(*keys, "block", "pos", attr("value").alias("value"))
-    group = of_block(inside(els.filter((F.col("tag") == "input") & (F.col("id") == "inIDXPOP")), scopes, keys)).groupBy(*keys, "block").agg(F.min_by("value", "pos").alias("cartGroupId"))
-    lines = of_block(inside(els.filter((F.col("tag") == "tr") & (F.col("id") == "inOptionTR")), scopes, keys)).drop("value")
+    in_table = lambda found: found.select(*keys, "pos", attr("value").alias("value"), F.explode(around(mark("table", "#opSelectedList"))).alias("table"))
+    of_block = lambda found: in_table(found).join(tables.hint("merge"), [*keys, "table"]).drop("table")
+    group = of_block(els.filter((F.col("tag") == "input") & (F.col("id") == "inIDXPOP"))).groupBy(*keys, "block").agg(F.min_by("value", "pos").alias("cartGroupId"))
+    lines = of_block(els.filter((F.col("tag") == "tr") & (F.col("id") == "inOptionTR"))).drop("value")
     lines = lines.withColumn("optionIndex", F.row_number().over(Window.partitionBy(*keys, "block").orderBy("pos")) - 1)
     within = els.withColumn("scope", F.explode(around(mark("tr", "#inOptionTR"))))
     box = lambda test: (F.col("tag") == "input") & test

@@ -167,3 +167,12 @@ def test_blocks_of_one_name_meet_once(spark):
     found = cart.match_blocks(blocks, requests)
     assert {(r.productId, r.matchMode) for r in found.filter("blockId < 9").collect()} == {("7", "name"), (None, "unresolved")}
     assert found.count() == n and time.monotonic() - began < 60  # all pairs of one name were 3.6 billion rows
+
+
+def test_popup_elements_are_read_once_for_blocks(spark, popup_tables):
+    """What matches and rows take of the blocks is stored: their plans don't read all elements again for each use."""
+    els, requests = popup_tables
+    options = spark.createDataFrame([], "page string, productId string, optionId string, quantity int")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    products = popups.block_products(els, requests, ["page"])
+    assert reads(products) == 0 and reads(popups.popup_rows(els, requests, options, ["page"], products=products)) <= 3
