@@ -110,22 +110,24 @@ GRAMS = (12, 6, 4, 3, 2, 1)
 def contained(texts: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, pattern): which ``patterns`` (keys, pattern) stand in which ``texts`` (keys, at, text) of their keys.
 
-    Each pattern is listed under that of its grams which the fewest texts have, and meets the
-    texts that have it by equality; what meets is then searched. A pattern with a gram that no
-    text has meets none. No text is compared with all patterns.
+    Each pattern is cut into grams that cover it, and listed under that of them which the fewest different texts
+    have. It meets the texts that have that gram by equality of hashes, and what meets is then searched in the texts
+    themselves. A pattern with a gram that no text has meets none. No text is compared with all patterns, and
+    equal texts of the same keys are cut once.
     """
     size = F.element_at(F.filter(F.array(*[F.lit(g) for g in GRAMS]), lambda g: g <= F.length("pattern")), 1)
-    grams = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n)))
-    wanted = patterns.filter("pattern <> ''").select(*keys, "pattern").distinct().withColumn("size", size)
+    grams = lambda text, places: F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col(text), i, F.col("size")))))
+    own = frozen(texts.filter("at is not null").select(*keys, "text").distinct(), "texts")
+    wanted = patterns.filter("pattern <> ''").select(*keys, "pattern").withColumn("size", size)
     sizes = wanted.select(*keys, "size").distinct()
-    spread = texts.join(sizes, keys).filter(F.length("text") >= F.col("size")).select(*keys, "at", F.explode(grams("text", F.col("size"))).alias("gram"))
-    spread = frozen(spread, "grams")
+    every, last = F.sequence(F.lit(1), F.greatest(F.length("text") - F.col("size") + 1, F.lit(1))), F.length("pattern") - F.col("size") + 1
+    spread = own.join(sizes, keys).filter(F.length("text") >= F.col("size")).select(*keys, F.xxhash64("text").alias("t"), F.explode(grams("text", every)).alias("gram"))
     counts = spread.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-    asked = wanted.select(*keys, "pattern", F.explode(grams("pattern", F.col("size"))).alias("gram"))
+    asked = wanted.select(*keys, "pattern", F.explode(grams("pattern", F.array_append(F.sequence(F.lit(1), last, F.col("size")), last))).alias("gram"))
     listed = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     listed = listed.filter("least.n > 0").select(*keys, "pattern", F.col("least.gram").alias("gram"))
-    met = spread.join(listed, [*keys, "gram"]).select(*keys, "at", "pattern")
-    return met.join(texts.select(*keys, "at", "text"), [*keys, "at"]).filter(F.col("text").contains(F.col("pattern"))).select(*keys, "at", "pattern")
+    met = spread.join(listed, [*keys, "gram"]).select(*keys, "t", "pattern")
+    return met.join(texts.select(*keys, "at", "text", F.xxhash64("text").alias("t")), [*keys, "t"]).filter(F.col("text").contains(F.col("pattern"))).select(*keys, "at", "pattern")
 
 
 def sold_out_in_text(messages: DataFrame, requests: DataFrame, ord: str = "ord") -> DataFrame:
@@ -137,17 +139,17 @@ def sold_out_in_text(messages: DataFrame, requests: DataFrame, ord: str = "ord")
     requested id is unchecked that no earlier message of the batch has, it is that ("unchecked").
     Without ``ord`` or ``unchecked`` messages stand for themselves, and nothing is told from boxes.
     """
-    if ord not in messages.columns:
-        messages = frozen(messages.withColumn(ord, F.monotonically_increasing_id()), "messages")
-    if "unchecked" not in messages.columns:
-        messages = messages.withColumn("unchecked", F.array().cast("array<string>"))
-    wanted = requests.select("batch", F.col("productId").cast("string").alias("productId"), comparable_name(F.col("productName")).alias("name")).distinct()
-    ids = contained(messages.select("batch", F.col(ord).alias("at"), F.col("html").alias("text")), wanted.select("batch", F.col("productId").alias("pattern")), ["batch"])
-    names = contained(messages.select("batch", F.col(ord).alias("at"), comparable_name(F.col("text")).alias("text")), wanted.select("batch", F.col("name").alias("pattern")), ["batch"])
+    at = F.col(ord) if ord in messages.columns else F.monotonically_increasing_id()
+    unchecked = F.col("unchecked") if "unchecked" in messages.columns else F.array().cast("array<string>")
+    # both are read several times over
+    messages = frozen(messages.select("batch", at.alias("at"), "html", comparable_name(F.col("text")).alias("text"), unchecked.alias("unchecked")), "messages")
+    wanted = frozen(requests.select("batch", F.col("productId").cast("string").alias("productId"), comparable_name(F.col("productName")).alias("name")).distinct(), "requests")
+    ids = contained(messages.select("batch", "at", F.col("html").alias("text")), wanted.select("batch", F.col("productId").alias("pattern")), ["batch"])
+    names = contained(messages.select("batch", "at", "text"), wanted.select("batch", F.col("name").alias("pattern")), ["batch"])
     by_id = ids.select("batch", "at", F.col("pattern").alias("productId"), F.lit("id").alias("found"))
     by_name = names.withColumnRenamed("pattern", "name").join(wanted, ["batch", "name"]).select("batch", "at", "productId", F.lit("name").alias("found"))
     named = frozen(by_id.unionByName(by_name).groupBy("batch", "at", "productId").agg(F.min("found").alias("found")), "named")
-    gone = messages.select("batch", F.col(ord).alias("at"), F.explode("unchecked").alias("productId")).join(wanted.select("batch", "productId").distinct(), ["batch", "productId"], "left_semi")
+    gone = messages.select("batch", "at", F.explode("unchecked").alias("productId")).join(wanted.select("batch", "productId").distinct(), ["batch", "productId"], "left_semi")
     new = gone.groupBy("batch", "productId").agg(F.min("at").alias("at"))
     single = new.groupBy("batch", "at").agg(F.count("*").alias("n"), F.min("productId").alias("productId")).filter("n = 1")
     alone = single.join(named, ["batch", "at"], "left_anti").select("batch", "at", "productId", F.lit("unchecked").alias("found"))

@@ -80,10 +80,13 @@ _MESSAGES = """r AS (SELECT DISTINCT l_suppkey AS batch, CAST(l_partkey AS VARCH
 
 def _messages(spark, sf_dir):
     """Requests by supplier, and messages about lines of large quantities: by id, by name, or by an unchecked box."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").distinct()
+    # lines are made distinct by their keys, ahead of the names, and meet parts sorted: Spark knows the packed size of the parts alone
+    of_part = lambda lines: lines.distinct().join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    batch, lines = F.col("l_suppkey").alias("batch"), read(spark, sf_dir, "lineitem")
     name = F.concat("p_name", F.lit(" / "), "p_brand")
-    requests = lines.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("batch"), _key().alias("productId"), F.concat(F.lit("[A] "), name).alias("productName")).distinct()
-    told = lines.filter("l_quantity > 42").select(F.col("l_suppkey").alias("batch"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), "p_partkey", "p_name", "p_brand", "p_size").distinct()
+    requests = of_part(lines.filter("l_returnflag = 'R'").select(batch, "l_partkey")).select("batch", _key().alias("productId"), F.concat(F.lit("[A] "), name).alias("productName"))
+    told = of_part(lines.filter("l_quantity > 42").select(batch, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), "l_partkey"))
     messages = told.select(
         "batch", "ord", F.when(_size() % 3 == 0, _html("<p>", _key(), "</p>")).otherwise("<p>x</p>").alias("html"), F.when(_size() % 3 == 1, _html("[x] ", F.upper(name), " Sold Out")).otherwise("sold out").alias("text"),
         F.when(_size() % 3 == 2, F.array(_key(), _size().cast("string"))).otherwise(F.array(_key())).alias("unchecked"),

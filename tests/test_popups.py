@@ -176,3 +176,12 @@ def test_popup_elements_are_read_once_for_blocks(spark, popup_tables):
     reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
     products = popups.block_products(els, requests, ["page"])
     assert reads(products) == 0 and reads(popups.popup_rows(els, requests, options, ["page"], products=products)) <= 3
+
+
+def test_messages_and_names_are_made_once(spark, sf):
+    """Parts don't go to the driver, and texts of messages and names are stored before they are met."""
+    from tallyard.plans.popups import _messages
+
+    messages, requests = _messages(spark, sf)
+    assert all("BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (messages, requests))
+    assert "regexp_replace" not in cart.sold_out_in_text(messages.limit(20), requests.limit(20))._jdf.queryExecution().optimizedPlan().toString()
