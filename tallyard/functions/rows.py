@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +15,8 @@ def once(df: DataFrame, kept: list[str], columns: dict[str, Column]) -> DataFram
     above and below each filter. What a generator gives isn't, so costly texts are made once for each row.
     """
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, however often that names it: the value is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

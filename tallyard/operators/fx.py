@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.functions.rows import bound, once
 from tallyard.functions.text import kst_minute, round_half_up
 
 CURRENCY, UNIT = "JPY", 100
@@ -42,11 +43,6 @@ def assigned(text: Column, name: str = "_data") -> Column:
     Pairs of a backslash and a character are covered first, then strings can be skipped as a whole;
     the text is cut after each brace and string, and the object is what it takes for the depth to be 0 again.
     """
-    found = F.regexp_extract(text, rf"(?s)\b{name}\s*=\s*(.*)$", 1)
-    begin = F.locate("{", found)
-    rest = F.when(begin > 0, F.substring(found, begin, F.length(found))).otherwise("")
-    covered = F.regexp_replace(rest, r"(?s)\\.", "__")
-    cuts = F.regexp_extract_all(covered, F.lit(r'[^"{}]*+(?:"[^"]*+"?|[{}])'), F.lit(0))
     step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("ends"))
 
     def take(state: Column, cut: Column) -> Column:
@@ -54,9 +50,17 @@ def assigned(text: Column, name: str = "_data") -> Column:
         depth = state["depth"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
         return F.when(state["ends"], state).otherwise(F.struct(depth.alias("depth"), (state["length"] + F.length(cut)).alias("length"), ((depth == 0) & (last == "}")).alias("ends")))
 
-    end = F.aggregate(cuts, step, take)
-    error = F.when(~text.rlike(rf"\b{name}\s*="), "no assignment").when(begin == 0, "no object").when(~end["ends"], "incomplete")
-    return F.struct(F.when(error.isNull(), F.substring(rest, F.lit(1), end["length"])).alias("json"), F.when(text.isNull(), "no assignment").otherwise(error).alias("error"))
+    def closed(rest: Column) -> Column:
+        covered = F.regexp_replace(rest, r"(?s)\\.", "__")
+        cuts = F.regexp_extract_all(covered, F.lit(r'[^"{}]*+(?:"[^"]*+"?|[{}])'), F.lit(0))
+        return bound(F.aggregate(cuts, step, take), lambda end: F.struct((rest == "").alias("none"), end["ends"].alias("ends"), F.substring(rest, F.lit(1), end["length"]).alias("json")))
+
+    def judged(found: Column) -> Column:
+        error = F.when(text.isNull() | ~text.rlike(rf"\b{name}\s*="), "no assignment").when(found["none"], "no object").when(~found["ends"], "incomplete")
+        return F.struct(F.when(~found["none"] & found["ends"], found["json"]).alias("json"), error.alias("error"))
+
+    from_brace = lambda said: F.when(said.contains("{"), F.substring(said, F.locate("{", said), F.length(said))).otherwise("")
+    return bound(bound(bound(F.regexp_extract(text, rf"(?s)\b{name}\s*=\s*(.*)$", 1), from_brace), closed), judged)
 
 
 def page_rates(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -72,13 +76,16 @@ def script_rates(pages: DataFrame, html: str = "html", currency: str = CURRENCY)
     Numbers may be texts with commas. ``derive`` judges unit and rate.
     """
     kept = [c for c in pages.columns if c != html]
-    found = pages.select(*kept, assigned(F.col(html)).alias("a")).select(*kept, "a.error", F.try_parse_json("a.json").alias("v"))
+    found = once(pages, kept, {"a": assigned(F.col(html))})
+    found = once(found, kept, {"error": F.col("a.error"), "v": F.try_parse_json("a.json")})
     rates = F.coalesce(F.try_variant_get("v", "$.REC_FXD", "array<variant>"), F.array().cast("array<variant>"))
     own = F.get(F.filter(rates, lambda r: F.try_variant_get(r, "$.CURR_CODE", "string") == currency), F.lit(0))
     number = lambda name: F.replace(F.try_variant_get("r", f"$.{name}", "string"), F.lit(","), F.lit("")).try_cast("double")
-    rows = found.select(*kept, "error", "v", own.alias("r"))
+    rows = once(found, [*kept, "error", "v"], {"r": own})
     error = F.coalesce("error", F.when(F.col("v").isNull(), "no JSON").when(F.col("r").isNull(), "no rate"))
-    return rows.select(*kept, F.try_variant_get("r", "$.CURR_CODE", "string").alias("currency"), number("UNIT_PRICE").alias("unit"), number("CASH_BUY").alias("cashBuy"), F.trim(F.try_variant_get("r", "$.EXCHANGE_DATE", "string")).alias("day"), error.alias("error"))
+    return once(rows, kept, {
+        "currency": F.try_variant_get("r", "$.CURR_CODE", "string"), "unit": number("UNIT_PRICE"), "cashBuy": number("CASH_BUY"), "day": F.trim(F.try_variant_get("r", "$.EXCHANGE_DATE", "string")), "error": error,
+    })
 
 
 def derived_rates(pages: DataFrame, html: str = "html") -> DataFrame:

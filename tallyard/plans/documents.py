@@ -10,7 +10,7 @@ from tallyard.operators import archive, exclusions, fx, health, inventory, respo
 from tallyard.plans import catalogue
 from tallyard.plans.catalogue import query, read
 from tallyard.sources import json_arrays, sinks
-from tallyard.sources.shared import folder
+from tallyard.sources.shared import dealt, folder
 from tallyard.streaming import progress
 
 
@@ -165,7 +165,7 @@ def _rate_pages(spark, sf_dir):
     rates = F.concat(F.lit('[{"CURR_CODE":"USD","UNIT_PRICE":1}'), F.when(n % 7 != 0, F.concat(F.lit(","), entry)).otherwise(""), F.lit("]"))
     text = F.concat(F.lit('{"note":"}{ \\" }} \\\\","deep":{"a":[{"b":"}"}]},"REC_FXD":'), rates, F.when(n % 11 == 0, "").otherwise("}"))
     page = F.concat(F.lit('<script>var x_data = {"REC_FXD":1}; var other = "{";</script><script> _data  =  '), F.when(n % 13 == 0, "null;</script>").otherwise(F.concat(text, F.lit("; _data = {};</script>"))))
-    return read(spark, sf_dir, "part").select("p_partkey", F.when(n % 17 == 0, "<p>_date = {}</p>").otherwise(page).alias("html"))
+    return dealt(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.when(n % 17 == 0, "<p>_date = {}</p>").otherwise(page).alias("html"))
 
 
 @query("script_rates", """SELECT p_partkey, CASE WHEN reading IS NULL AND p_size % 5 NOT IN (1, 2) THEN CAST(floor(10000000.0 / (1000 + p_size + 0.25) + 0.5) / 100000.0 AS DECIMAL(12,5)) END AS rate,

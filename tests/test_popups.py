@@ -185,3 +185,12 @@ def test_messages_and_names_are_made_once(spark, sf):
     messages, requests = _messages(spark, sf)
     assert all("BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (messages, requests))
     assert "regexp_replace" not in cart.sold_out_in_text(messages.limit(20), requests.limit(20))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rate_scripts_are_cut_once(spark, sf):
+    """The text of a script is searched once, not for each value read from it, and by all tasks where one block holds all pages."""
+    from tallyard.plans.documents import _rate_pages
+
+    pages = _rate_pages(spark, sf)
+    assert pages.rdd.getNumPartitions() == 4
+    assert fx.derived_rates(pages)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
