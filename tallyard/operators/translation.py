@@ -19,21 +19,23 @@ def group_rows(rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFram
     Problems are errors (empty id, empty name, two names of one id) and options left out
     (empty id, id 0, empty text, other text than the first of that id).
     """
-    texts = {c: squash(F.col(c)) for c in ("productId", "nameKo", "optionId", "optionText")}
-    r = once(rows, [order], {**texts, "hasOption": F.coalesce("hasOption", F.lit(False))})
+    texts = lambda *names: {c: squash(F.col(c)) for c in names}
+    # names and options are read apart, as what a generator makes is made in full wherever it is used
+    r = once(rows, [order], texts("productId", "nameKo"))
     first = r.filter("productId <> ''").groupBy("productId").agg(F.min_by("nameKo", order).alias("nameKo"), F.min(order).alias(order), (F.min("nameKo") != F.max("nameKo")).alias("several"))
     fails = first.filter("several").select("productId", F.lit(None).cast("string").alias("optionId"), F.lit("two names").alias("reason"))
     empty = r.filter("productId = '' or nameKo = ''").select("productId", F.lit(None).cast("string").alias("optionId"), F.when(F.col("productId") == "", "empty product id").otherwise("empty name").alias("reason"))
-    options = r.filter(F.col("hasOption") | ((F.col("optionId") != "") & (F.col("optionId") != "0") & (F.col("optionText") != "")))
+    told = once(rows, [order], {**texts("productId", "optionId", "optionText"), "hasOption": F.coalesce("hasOption", F.lit(False))})
+    options = told.filter(F.col("hasOption") | ((F.col("optionId") != "") & (F.col("optionId") != "0") & (F.col("optionText") != "")))
     usable = (F.col("optionId") != "") & (F.col("optionId") != "0") & (F.col("optionText") != "")
-    texts = options.filter(usable).groupBy("productId", "optionId").agg(F.min_by("optionText", order).alias("first"), F.min(order).alias("at"))
-    judged = options.join(texts, ["productId", "optionId"], "left")
+    firsts = options.filter(usable).groupBy("productId", "optionId").agg(F.min_by("optionText", order).alias("first"), F.min(order).alias("at"))
+    judged = options.join(firsts, ["productId", "optionId"], "left")
     reason = (
         F.when(F.col("optionId") == "", "empty option id").when(F.col("optionId") == "0", "option id 0").when(F.col("optionText") == "", "empty option text")
         .when(F.col("optionText") != F.col("first"), "other text for the same id")
     )
     skipped = judged.select("productId", "optionId", reason.alias("reason")).filter("reason is not null")
-    kept = texts.select("productId", "optionId", F.col("first").alias("ko"), F.col("at").alias(order))
+    kept = firsts.select("productId", "optionId", F.col("first").alias("ko"), F.col("at").alias(order))
     return first.filter("not several and nameKo <> ''").select("productId", "nameKo", order), kept, fails.unionByName(empty).unionByName(skipped)
 
 

@@ -194,3 +194,11 @@ def test_rate_scripts_are_cut_once(spark, sf):
     pages = _rate_pages(spark, sf)
     assert pages.rdd.getNumPartitions() == 4
     assert fx.derived_rates(pages)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_grouped_rows_make_only_the_texts_they_use(spark):
+    data = spark.createDataFrame([(1, " p", "a  b", "7", "t "), (2, "p", "a b", "7", "t")], "ord int, productId string, nameKo string, optionId string, optionText string").withColumn("hasOption", F.lit(True))
+    products, options, _ = translation.group_rows(data)
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert (made(products), made(options)) == (2, 3)
+    assert rows(products, "productId", "nameKo", "ord") == [("p", "a b", 1)] and rows(options, "productId", "optionId", "ko", "ord") == [("p", "7", "t", 1)]
