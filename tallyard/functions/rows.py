@@ -20,3 +20,11 @@ def once(df: DataFrame, kept: list[str], columns: dict[str, Column]) -> DataFram
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, however often that names it: the value is worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gathered(order: Column, value: Column) -> Column:
+    """Aggregate: the values in the order of ``order``.
+
+    ``array_sort`` makes a new comparison of structs for each pair it compares, ``sort_array`` one that is compiled.
+    """
+    return F.sort_array(F.collect_list(F.struct(order.alias("at"), value.alias("value"))))["value"]

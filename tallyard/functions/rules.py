@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyard.functions.rows import bound
 from tallyard.functions.text import has_text, product_name, squash
 
 # fixed values: brands in order of precedence
@@ -108,10 +109,11 @@ def last_category(*levels: Column) -> Column:
 
 def detail_spec(rows: Column, words: list[str]) -> Column:
     """Value of the first row (labelKo, valueKo) whose label holds a word: that of the first word whose row is filled, or null."""
-    def first(word: str) -> Column:
-        return F.nullif(squash(F.get(F.filter(rows, lambda r: squash(r["labelKo"]).contains(word)), F.lit(0))["valueKo"]), F.lit(""))
+    def first(tidy: Column, word: str) -> Column:
+        return F.nullif(squash(F.get(F.filter(tidy, lambda r: r["labelKo"].contains(word)), F.lit(0))["valueKo"]), F.lit(""))
 
-    return F.coalesce(*[first(w) for w in words])
+    tidy = F.transform(rows, lambda r: F.struct(squash(r["labelKo"]).alias("labelKo"), r["valueKo"].alias("valueKo")))
+    return bound(tidy, lambda t: F.coalesce(*[first(t, w) for w in words]))
 
 
 #: Row statuses of popup options add one for controls that are switched off.

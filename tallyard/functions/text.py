@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # fixed value: the white space that names are squeezed by
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
+#: Runs of white space but for one blank ahead of a visible ASCII character, which stays as it is: most places are passed by one comparison.
+RUNS = f"(?=[^!-~])(?! [!-~]){SPACE}"
 TRUE_WORDS = ("true", "1", "yes", "y", "on", "show")
 FALSE_WORDS = ("false", "0", "no", "n", "off", "hide")
 
@@ -17,7 +19,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """White space runs to one space, trimmed; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), RUNS, " "))
 
 
 def has_text(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tallyard.functions import rules
+from tallyard.functions.rows import bound, gathered, once
 from tallyard.functions.schemas import OPTION, SPECS
 from tallyard.functions.text import distinct_texts, first_positive, first_text, not_thumbnail, parse_price, squash, to_price
 from tallyard.operators.dedupe import keep_first
@@ -26,8 +27,7 @@ def images(main: Column, detail: Column, existing: Column) -> Column:
     """struct(imageUrls, thumbnailUrl): main, detail and existing images without thumbnails, each once."""
     none = F.array().cast("array<string>")
     every = F.flatten(F.array(*[F.coalesce(c, none) for c in (main, detail, existing)]))
-    kept = F.filter(distinct_texts(every), not_thumbnail)
-    return F.struct(kept.alias("imageUrls"), F.coalesce(F.get(kept, F.lit(0)), F.lit("")).alias("thumbnailUrl"))
+    return bound(F.filter(distinct_texts(every), not_thumbnail), lambda kept: F.struct(kept.alias("imageUrls"), F.coalesce(F.get(kept, F.lit(0)), F.lit("")).alias("thumbnailUrl")))
 
 
 def spec_rows(rows: Column) -> Column:
@@ -35,13 +35,13 @@ def spec_rows(rows: Column) -> Column:
 
     Japanese texts that lack are the Korean ones, a lacking sort order is ten times the place.
     """
-    clean = F.filter(rows, lambda r: (squash(r["labelKo"]) != "") & (squash(r["valueKo"]) != "") & ~squash(r["labelKo"]).rlike(PRICE_LABELS))
-    labels = F.transform(clean, lambda r: squash(r["labelKo"]))
-    first = F.filter(clean, lambda r, i: F.array_position(labels, squash(r["labelKo"])) == i + 1)
+    tidy = F.transform(rows, lambda r: F.struct(*[squash(r[c]).alias(c) for c in ("labelKo", "labelJa", "valueKo", "valueJa")], r["sortOrder"].alias("sortOrder")))
+    clean = F.filter(tidy, lambda r: (r["labelKo"] != "") & (r["valueKo"] != "") & ~r["labelKo"].rlike(PRICE_LABELS))
+    first = bound(clean, lambda found: bound(found["labelKo"], lambda labels: F.filter(found, lambda r, i: F.array_position(labels, r["labelKo"]) == i + 1)))
     return F.transform(
         first, lambda r, i: F.struct(
-            squash(r["labelKo"]).alias("labelKo"), first_text(squash(r["labelJa"]), squash(r["labelKo"])).alias("labelJa"), squash(r["valueKo"]).alias("valueKo"),
-            first_text(squash(r["valueJa"]), squash(r["valueKo"])).alias("valueJa"), F.coalesce(r["sortOrder"], i * 10).cast("int").alias("sortOrder"),
+            r["labelKo"].alias("labelKo"), first_text(r["labelJa"], r["labelKo"]).alias("labelJa"), r["valueKo"].alias("valueKo"),
+            first_text(r["valueJa"], r["valueKo"]).alias("valueJa"), F.coalesce(r["sortOrder"], i * 10).cast("int").alias("sortOrder"),
         )
     ).cast(SPECS)
 
@@ -61,8 +61,9 @@ def spec_map(entries: Column) -> Column:
 def specs(rows: Column, raw: Column, named: Column | None = None) -> Column:
     """Spec rows if there are any, else those of the raw map, else of the named fields."""
     none = F.array().cast(SPECS)
-    made, mapped = spec_rows(F.coalesce(rows, none)), F.coalesce(spec_map(raw), none)
-    return F.when(F.size(made) > 0, made).when(F.size(mapped) > 0, mapped).otherwise(none if named is None else spec_rows(named))
+    last = none if named is None else spec_rows(named)
+    mapped = bound(F.coalesce(spec_map(raw), none), lambda m: F.when(F.size(m) > 0, m).otherwise(last))
+    return bound(spec_rows(F.coalesce(rows, none)), lambda made: F.when(F.size(made) > 0, made).otherwise(mapped))
 
 
 def named_specs(details: DataFrame) -> Column:
@@ -93,40 +94,55 @@ def options(inventory: DataFrame, translated: DataFrame | None = None, order: st
     Japanese one; the English one is for general collection, an added price for details.
     """
     raw = squash(F.col("optionId"))
-    rows = inventory.filter("hasOption").withColumns({"_raw": raw, "_id": F.when(raw == "0", "").otherwise(raw)})
-    first = keep_first(rows.filter("_id <> ''"), ["productId", "_id"], [order]).unionByName(rows.filter("_id = ''"))
+    rows, own = inventory.filter("hasOption"), raw.isin("", "0")
+    text = {"optionText": F.col("optionText"), "barcode": field(inventory, "barcode", "string"), "stockStatus": field(inventory, "stockStatus", "string")}
+    amounts = {"addPrice": field(inventory, "addPrice", "bigint"), "maxStock": F.col("maxStock").cast("bigint"), "isSoldOut": field(inventory, "isSoldOut", "boolean")}
+    row = F.struct(F.col(order).alias("at"), *[c.alias(n) for n, c in (text | amounts).items()])
+    # rows without an order are taken only where all are
+    ids = once(rows, ["productId"], {"_raw": raw, "_row": F.when(F.col(order).isNotNull(), row)}).filter("_raw not in ('', '0')")
+    alone = rows.filter(own).select("productId", raw.alias("_raw"), row.alias("_row"))
+    least, names = F.min("_row").alias("_row"), [F.lit("").alias(c) for c in ("_ja", "_en")]
     if translated is None:
-        first = first.withColumns({"_ja": F.lit(""), "_en": F.lit("")})
+        first, alone = ids.groupBy("productId", "_raw").agg(least), alone.select("*", *names)
+        first = first.select("*", *names)
     else:
-        t = translated.select("productId", squash(F.col("optionId")).alias("_raw"), squash(F.col("ja")).alias("_ja"), squash(F.col("en")).alias("_en")).filter("_raw <> ''")
-        first = first.join(t.groupBy("productId", "_raw").agg(F.max("_ja").alias("_ja"), F.max("_en").alias("_en")), ["productId", "_raw"], "left")
-    sold = (F.coalesce(field(inventory, "stockStatus", "string"), F.lit("")) == rules.OUT) | F.coalesce(field(inventory, "isSoldOut", "boolean"), F.lit(False))
+        # rows and names of an option meet in one grouping
+        known = once(translated, ["productId"], {"_raw": squash(F.col("optionId")), "_ja": squash(F.col("ja")), "_en": squash(F.col("en"))})
+        most = [F.max("_ja").alias("_ja"), F.max("_en").alias("_en")]
+        both = ids.withColumn("_seen", F.lit(True)).unionByName(known.filter("_raw not in ('', '0') and productId is not null"), allowMissingColumns=True)
+        first = both.groupBy("productId", "_raw").agg(least, *most, F.bool_or("_seen").alias("_seen")).filter("_seen").drop("_seen")
+        zero = translated.filter(raw == "0").select("productId", raw.alias("_raw"), squash(F.col("ja")).alias("_ja"), squash(F.col("en")).alias("_en"))
+        alone = alone.join(zero.groupBy("productId", "_raw").agg(*most), ["productId", "_raw"], "left")
+    first = first.unionByName(alone)
+    sold = (F.coalesce("_row.stockStatus", F.lit("")) == rules.OUT) | F.coalesce("_row.isSoldOut", F.lit(False))
     ja, en = F.coalesce("_ja", F.lit("")), F.coalesce("_en", F.lit(""))
     option = F.struct(
-        F.col("_id").alias("id"), F.nullif(squash(field(inventory, "barcode", "string")), F.lit("")).alias("barcode"), ja.alias("name"), squash(F.col("optionText")).alias("nameKo"),
+        F.when(F.col("_raw") == "0", "").otherwise(F.col("_raw")).alias("id"), F.nullif(squash(F.col("_row.barcode")), F.lit("")).alias("barcode"), ja.alias("name"), squash(F.col("_row.optionText")).alias("nameKo"),
         ja.alias("nameJa"), (F.lit("") if detail else en).alias("nameEn"),
-        (F.coalesce(field(inventory, "addPrice", "bigint"), F.lit(0)) if detail else F.lit(None)).cast("bigint").alias("additionalPrice"),
-        F.col("maxStock").cast("bigint").alias("stockQuantity"), rules.sale_status(F.lit(""), sold).alias("status"),
+        (F.coalesce("_row.addPrice", F.lit(0)) if detail else F.lit(None)).cast("bigint").alias("additionalPrice"),
+        F.col("_row.maxStock").alias("stockQuantity"), rules.sale_status(F.lit(""), sold).alias("status"),
     )
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), option.alias("o"))))
-    return first.groupBy("productId").agg(F.transform(listed, lambda x: x["o"]).cast(f"array<{OPTION}>").alias("options"))
+    return first.groupBy("productId").agg(gathered(F.col("_row.at"), option).cast(f"array<{OPTION}>").alias("options"))
 
 
 def option_stock(made: Column) -> Column:
     """Sum of the known stock of options; null if none is known."""
     known = F.filter(F.transform(made, lambda o: o["stockQuantity"]), lambda q: q.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, q: a + q))
+    return bound(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0).cast("bigint"), lambda a, q: a + q)))
 
 
 def stock(inventory: DataFrame, order: str = "ord") -> DataFrame:
     """productId, hasOption, observed, single (the first known stock), statuses, and what the first row says of the product."""
-    known, price = F.col("maxStock").isNotNull(), field(inventory, "onePrice", "decimal(18,4)")
-    return inventory.groupBy("productId").agg(
+    price, placed = field(inventory, "onePrice", "decimal(18,4)"), F.col(order).isNotNull()
+    # the least struct that begins with the order holds that once; min_by would hold it apart from the value, for each value
+    first = lambda test, *values: F.min(F.when(placed & test, F.struct(F.col(order).alias("at"), *values)))
+    told = [field(inventory, c, kind).alias(c) for c, kind in (("productName", "string"), ("isSoldOut", "boolean"), ("brandHint", "string"), ("categoryHint", "string"))]
+    made = inventory.groupBy("productId").agg(
         F.bool_or(F.coalesce("hasOption", F.lit(False))).alias("hasOption"), F.bool_or(F.col("hasOption").isNotNull()).alias("observed"),
-        F.min_by(F.when(known, F.col("maxStock")), F.when(known, F.col(order))).cast("bigint").alias("single"), F.collect_set("stockStatus").alias("statuses"),
-        F.min_by(F.when(price > 0, price), F.when(price > 0, F.col(order))).alias("onePrice"),
-        *[F.min_by(field(inventory, c, kind), order).alias(f"first_{c}") for c, kind in (("productName", "string"), ("isSoldOut", "boolean"), ("brandHint", "string"), ("categoryHint", "string"))],
+        first(F.col("maxStock").isNotNull(), F.col("maxStock").cast("bigint").alias("v"))["v"].alias("single"), F.collect_set("stockStatus").alias("statuses"),
+        first(price > 0, price.alias("v"))["v"].alias("onePrice"), first(F.lit(True), *told).alias("_first"),
     )
+    return made.select("productId", "hasOption", "observed", "single", "statuses", "onePrice", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in ("productName", "isSoldOut", "brandHint", "categoryHint")])
 
 
 def _listed(products: DataFrame) -> DataFrame:
@@ -147,8 +163,9 @@ def _detailed(details: DataFrame) -> DataFrame:
     out = F.coalesce(field(details, "isSoldOut", "boolean"), F.lit(False)) | F.coalesce(field(details, "unavailableInCart", "boolean"), F.lit(False)) | (squash(field(details, "saleStatus", "string")) == "SOLD_OUT")
     text = [field(details, c, "string").alias(f"d_{c}") for c in ("productName", "barcode", "categoryDepth1", "categoryDepth2", "categoryDepth3", "brandHint", "thumbnailUrl")]
     lists = [field(details, c, "array<string>").alias(f"d_{c}") for c in ("mainImageUrls", "detailImageUrls", "introImageUrls", "imageUrls")]
-    price = original_price(field(details, "originalPrice", "decimal(18,4)"), field(details, "salePrice", "decimal(18,4)"), to_price(found(PRICE_WORDS)), field(details, "consumerPrice", "decimal(18,4)"))
-    return details.select(
+    named = to_price(found(PRICE_WORDS))
+    price = original_price(field(details, "originalPrice", "decimal(18,4)"), field(details, "salePrice", "decimal(18,4)"), F.col("_named"), field(details, "consumerPrice", "decimal(18,4)"))
+    return once(details, details.columns, {"_named": named}).select(
         "productId", *text, *lists, out.alias("d_out"), price.alias("d_price"), found(BRAND_WORDS).alias("d_brandSpec"),
         F.when(first_mall, none).otherwise(specs(rows, raw, named_specs(details))).alias("d_specs"), F.when(first_mall, spec_facts(details)).alias("d_facts"),
     )
@@ -176,10 +193,10 @@ def backend_products(
     pages = None if details is None else keep_first(details.filter("productId <> ''"), ["productId"], [order] if order in details.columns else sorted(c for c in details.columns if not _maps(details.schema[c].dataType)))
     if detail and pages is None:
         raise ValueError("detail mode needs a table of details")
-    base = pages.select("productId") if detail else listed.select("productId").union(sums.select("productId")).distinct()
-    out = base.join(_listed(listed), "productId", "left").join(sums, "productId", "left").join(options(rows, translated_options, order, detail), "productId", "left")
+    base = listed.select("productId").union(sums.select("productId")).distinct()
     seen = _detailed(pages if pages is not None else listed.select("productId").limit(0))
-    out = out.join(seen, "productId", "left")
+    out = seen if detail else base.join(seen, "productId", "left")
+    out = out.join(_listed(listed), "productId", "left").join(sums, "productId", "left").join(options(rows, translated_options, order, detail), "productId", "left")
     if translations is not None:
         t = keep_first(translations, ["productId"], ["productId"]).select("productId", F.col("nameKo").alias("_tko"), F.col("nameJa").alias("_tja"), F.col("nameEn").alias("_ten"))
         out = out.join(t, "productId", "left")

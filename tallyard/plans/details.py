@@ -25,8 +25,8 @@ def _details(spark, sf_dir):
 
 
 def _translated(spark, sf_dir):
-    """Names of options in two languages, by product; those of odd numbers are not translated yet."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("productId"), F.col("l_suppkey").cast("string").alias("optionId")).distinct()
+    """Names of options in two languages, by product, as often as they are sold; those of odd numbers are not translated yet."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("productId"), F.col("l_suppkey").cast("string").alias("optionId"))
     done = F.col("optionId").cast("bigint") % 2 == 0
     return rows.withColumns({"ja": F.when(done, F.concat(F.lit("ja "), "optionId")), "en": F.when(done, F.concat(F.lit("en "), "optionId"))})
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyard.functions import text
 from tallyard.functions.schemas import OPTION
 from tallyard.operators import archive, assemble, cart, coverage, dedupe, exclusions, fx, health, inventory, settings, shipping, translation
 
@@ -148,6 +149,38 @@ def test_assembly_of_details(spark):
     assert [(x.labelKo, x.valueKo, x.sortOrder) for x in r.s] == [("재질", "면", 0)]
 
 
+def test_options_and_their_names(spark):
+    kinds = "ord int, productId string, optionId string, hasOption boolean, optionText string, maxStock int, stockStatus string"
+    sold = [
+        (3, "1", "b", True, "later", 1, "IN_STOCK"), (2, "1", " b ", True, " first\u3000 b", 2, "OUT_OF_STOCK"), (1, "1", "0", True, "zero", 3, None), (1, "1", "0", True, "zero", 3, None), (4, "1", None, True, "none", None, None),
+        (0, "1", "c", False, "no option", 9, None), (None, "2", "d", True, "unplaced", 4, None), (5, "2", "d", True, "placed", 5, None), (None, "3", "e", True, "only", 6, None),
+    ]
+    names = [("1", "b", "ja b", None), ("1", "b", "ja b", "en b"), ("1", "0", "ja 0", None), ("1", "c", "ja c", None), ("1", "", "x", None), (None, "b", "y", None), ("9", "b", "z", None)]
+    inventory, translated = spark.createDataFrame(sold, kinds), spark.createDataFrame(names, "productId string, optionId string, ja string, en string")
+    shown = lambda df: {r.productId: [(o.id, o.nameKo, o.nameJa, o.nameEn, o.stockQuantity, o.status) for o in r.options] for r in df.collect()}
+    zero = ("", "zero", "ja 0", "", 3, "ON_SALE")
+    found = shown(assemble.options(inventory, translated))
+    assert found == {
+        "1": [zero, zero, ("b", "first b", "ja b", "en b", 2, "SOLD_OUT"), ("", "none", "", "", None, "ON_SALE")], "2": [("d", "placed", "", "", 5, "ON_SALE")], "3": [("e", "", "", "", None, "ON_SALE")],
+    }
+    plain = shown(assemble.options(inventory))
+    assert plain == {k: [(o[0], o[1], "", "", *o[4:]) for o in v] for k, v in found.items()}
+
+
+def test_detail_texts_are_made_once(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["detail_products"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 150 and "array_sort" not in plan
+
+
+def test_white_space_runs(spark):
+    texts = ["", " ", "a", " a b ", "a  b", "a\tb", "a \u00a0b", "a \u00e9", "\u3000\u2003x \n y\u3000", "한 글  말", " \U0001f600 \U0001f600  ", "a\u200bb", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), text.SPACE, " "))
+    assert all(a == b for a, b in df.select(text.squash(F.col("t")), plain).collect())
+
+
 def test_exclusions(spark):
     df = spark.createDataFrame([("captcha here",), ("net::ERR",), ("user cancel",), ("x",)], "m string")
     assert [r.c for r in df.select(exclusions.error_class(F.col("m")).alias("c")).collect()] == ["blocking", "retryable", "aborted", "other"]
